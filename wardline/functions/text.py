@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.vectors import let
+
 # Blank characters that separate words: ASCII blanks, no-break space, ideographic space.
 BLANK = r"[\s\u00A0\u3000]+"
 
@@ -187,9 +189,11 @@ def token_frequency_anomaly(tokens: Column) -> Column:
 def ngrams(tokens: Column, n: int = 3) -> Column:
     """All contiguous n-word phrases; an empty array below n words."""
     empty = F.array().cast("array<string>")
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
+    spans = let(
+        tokens,
+        lambda t: F.transform(
+            F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")
+        ),
     )
     return F.when(F.size(tokens) >= n, spans).otherwise(empty)
 

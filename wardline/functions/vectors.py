@@ -8,12 +8,23 @@ and everything before the square root is an integer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMS = 64
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row.
+
+    A lambda body evaluates the outer expressions it mentions anew for every
+    element; bind what is not a plain column first.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bucket(token: Column) -> Column:
     """md5-derived bucket of a token: the low six bits of the first 32 hash bits."""
     return (F.conv(F.substring(F.md5(F.lower(token)), 7, 2), 16, 10).cast("int") % DIMS).cast("int")
@@ -28,7 +39,7 @@ def count_of(items: Column, x: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Pairs (i, j) with a[i] = b[j]."""
+    """Pairs (i, j) with a[i] = b[j]; pass columns or lambda variables, or bind with `let`."""
     return F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + count_of(b, x).cast("long"))
 
 
@@ -47,7 +58,7 @@ def window_at(items: Column, i: Column, radius: int) -> Column:
 
 def counts(span: Column) -> Column:
     """Dense bucket counts of a span."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda d: count_of(span, d))
+    return let(span, lambda s: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda d: count_of(s, d)))
 
 
 def sum_of(values: Column) -> Column:
@@ -71,8 +82,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    norm = l2_norm(a)
-    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    def scale(v: Column) -> Column:
+        return let(l2_norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+
+    return let(a, scale)
 
 
 def embed(text_tokens: Column) -> Column:
@@ -82,9 +95,12 @@ def embed(text_tokens: Column) -> Column:
 
 def variance(a: Column) -> Column:
     """Population variance of the components."""
-    n = F.size(a).cast("double")
-    mean = sum_of(as_doubles(a)) / n
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
+
+    def around(v: Column, mean: Column) -> Column:
+        squares = F.transform(v, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean))
+        return sum_of(squares) / F.size(v).cast("double")
+
+    return let(a, lambda v: let(sum_of(as_doubles(v)) / F.size(v).cast("double"), lambda mean: around(v, mean)))
 
 
 def std(a: Column) -> Column:
@@ -93,17 +109,21 @@ def std(a: Column) -> Column:
 
 def gradient(a: Column) -> Column:
     """Central differences inside, one-sided differences at the ends."""
-    n = F.size(a)
 
-    def at(i: Column) -> Column:
-        lo, hi = F.greatest(i - 1, F.lit(0)), F.least(i + 1, n - 1)
-        return (F.get(a, hi).cast("double") - F.get(a, lo).cast("double")) / (hi - lo).cast("double")
+    def differences(v: Column) -> Column:
+        last = F.size(v) - 1
+
+        def at(i: Column) -> Column:
+            lo, hi = F.greatest(i - 1, F.lit(0)), F.least(i + 1, last)
+            return (F.get(v, hi).cast("double") - F.get(v, lo).cast("double")) / (hi - lo).cast("double")
+
+        return F.transform(F.sequence(F.lit(0), last), at)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+    return let(a, differences)
 
 
 def gradient_magnitude(a: Column) -> Column:
-    return F.when(F.size(a) >= 2, l2_norm(gradient(a))).otherwise(0.0)
+    return F.when(F.size(a) >= 2, let(gradient(a), l2_norm)).otherwise(0.0)
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -7,6 +7,7 @@ import importlib
 SECTIONS = [
     "text_queries",
     "redaction_queries",
+    "vector_queries",
 ]
 
 
