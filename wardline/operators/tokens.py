@@ -17,6 +17,7 @@ from wardline.functions import severity as sv
 from wardline.functions import spans as sp
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
+from wardline.operators.rows import inline_rows, position_rows
 
 BROADCAST_REFERENCES = 20_000  # 64 counts each: at most about 10 MB on every executor
 
@@ -47,13 +48,13 @@ def token_context(df: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
     rows = F.transform(
         tokens, lambda t, i: F.struct(i.cast("long").alias("pos"), t.alias("token"), vx.window_at(tokens, i, radius).alias("ctx"))
     )
-    return df.select(id_col, F.inline(rows))
+    return inline_rows(df, [id_col], rows, "pos")
 
 
 def context_window_embedding(df: DataFrame, id_col: str, radius: int = 5) -> DataFrame:
     """Long table (id, pos, span): the bucket multiset that embeds each token's window, sorted."""
-    spans = F.transform(sp.context_spans(F.col("buckets"), radius), F.array_sort)
-    return df.select(id_col, F.posexplode(spans).alias("pos", "span")).withColumn("pos", F.col("pos").cast("long"))
+    spans = F.transform(sp.context_spans(F.col("buckets"), radius), lambda s: F.array_sort(s))
+    return position_rows(df, [id_col], spans, "span")
 
 
 def build_reference(df: DataFrame, id_col: str, radius: int = 5) -> DataFrame:
@@ -142,7 +143,7 @@ def _blocked_moments(df: DataFrame, reference: DataFrame, id_col: str, radius: i
     )
     names = ["hi", "lo", "total", "squares"]
     zipped = F.arrays_zip(*[F.col(f"_m.{c}").alias(c) for c in names])
-    tokens = met.select(id_col, F.posexplode(zipped).alias("pos", "z"))
+    tokens = position_rows(met, [id_col], zipped, "z")
     merged = tokens.groupBy(id_col, "pos").agg(
         F.max("z.hi").alias("hi"), F.min("z.lo").alias("lo"), F.sum("z.total").alias("total"), F.sum("z.squares").alias("squares")
     )
@@ -165,11 +166,12 @@ def top_similar_tokens(
     n = reference.count()
     if n <= limit:
         refs, _, ids = _collect(reference.orderBy("ref"), ["ref"])
-        return df.select(id_col, F.inline(geo.top_references_udf(ids, refs, radius, first, last)(F.col("buckets"))))
+        tops = geo.top_references_udf(ids, refs, radius, first, last)(F.col("buckets"))
+        return inline_rows(df, [id_col], tops, "pos")
     met = _meet_blocks(df, reference, id_col, -(-n // (limit // 2)))
     tops = geo.block_top_references_udf(radius, last)(F.col("buckets"), F.col("_flat"), F.col("_refs"))
     best = Window.partitionBy(id_col, "pos").orderBy(F.col("similarity").desc(), "ref")
-    ranked = met.select(id_col, F.inline(tops)).withColumn("rank", F.row_number().over(best).cast("long"))
+    ranked = inline_rows(met, [id_col], tops, "pos").withColumn("rank", F.row_number().over(best).cast("long"))
     return ranked.where(F.col("rank").between(first, last))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import severity as sv
 from wardline.functions import text as tx
+from wardline.operators.rows import position_rows
 from wardline.plans.common import (
     SQL_MIXED, SQL_PROMPTS, hashed, load, mixed_prompts, prompts, quoted, r6, rounded, section,
     sql_contains_any,
@@ -30,9 +31,7 @@ def sql_ratio(part: str) -> str:
     f"SELECT prompt_id, unnest({W}) AS token, unnest(range(len({W})))::BIGINT AS pos FROM ({SQL_PROMPTS})",
 )
 def tokenize(spark, sf):
-    return prompts(spark, sf).select(
-        "prompt_id", F.posexplode(tx.tokenize(F.col("text"))).alias("pos", "token")
-    ).withColumn("pos", F.col("pos").cast("long"))
+    return position_rows(prompts(spark, sf), ["prompt_id"], tx.tokenize(F.col("text")), "token")
 
 
 @query(
@@ -87,9 +86,7 @@ def token_frequency_anomaly(spark, sf):
     unnest(range(len(string_split(text,'.'))))::BIGINT AS pos FROM documents""",
 )
 def sentences(spark, sf):
-    return load(spark, sf, "documents").select(
-        "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")
-    ).withColumn("pos", F.col("pos").cast("long"))
+    return position_rows(load(spark, sf, "documents"), ["doc_id"], tx.sentences(F.col("text")), "sentence")
 
 
 @query(
@@ -99,9 +96,7 @@ def sentences(spark, sf):
     FROM (SELECT prompt_id, w, unnest(range(len(w)-2)) AS i FROM w WHERE len(w) >= 3)""",
 )
 def trigrams(spark, sf):
-    return prompts(spark, sf).select(
-        "prompt_id", F.posexplode(tx.ngrams(words_of())).alias("pos", "phrase")
-    ).withColumn("pos", F.col("pos").cast("long"))
+    return position_rows(prompts(spark, sf), ["prompt_id"], tx.ngrams(words_of()), "phrase")
 
 
 SQL_ATTACK = sql_contains_any("text", tx.ATTACK_PHRASES)

@@ -9,6 +9,7 @@ from wardline.functions import text as tx
 from wardline.functions import vectors as vx
 from wardline.operators import sequences as sq
 from wardline.operators import tokens as tk
+from wardline.operators.rows import inline_rows, position_rows
 from wardline.plans.common import (
     SQL_PROMPTS, load, prompts, r6, rounded, section, sql_bucket, sql_buckets, sql_counts, sql_overlap, sql_r6,
     sql_span_cosine, sql_words,
@@ -33,9 +34,7 @@ def embeddings(spark, sf):
 )
 def embed(spark, sf):
     e = prompts(spark, sf).select("prompt_id", vx.embed(tx.words(F.col("text"))).alias("v"))
-    return e.select("prompt_id", F.posexplode("v").alias("dim", "x")).where(F.col("x") > 0).select(
-        "prompt_id", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x")
-    )
+    return rounded(position_rows(e, ["prompt_id"], "v", "x", "dim").where(F.col("x") > 0), "x")
 
 
 @query("dot", f"SELECT vec_id, {sql_r6(f'list_dot_product({VEC}, {REV})')} AS dot FROM embeddings")
@@ -60,8 +59,8 @@ def l2_norm(spark, sf):
 )
 def normalize(spark, sf):
     scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("vec_id"))
-    e = embeddings(spark, sf).where("vec_id > 0").select("vec_id", F.posexplode(vx.normalize(scaled)).alias("dim", "x"))
-    return e.select("vec_id", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x"))
+    e = embeddings(spark, sf).where("vec_id > 0")
+    return rounded(position_rows(e, ["vec_id"], vx.normalize(scaled), "x", "dim"), "x")
 
 
 @query(
@@ -267,8 +266,8 @@ SQL_REFS = f"""refs AS (SELECT item_id::VARCHAR AS ref, {sql_counts('b')} AS rc,
 def reference_similarity(spark, sf):
     scored = tk.with_reference_similarity(tk.with_tokens(prompts(spark, sf)), reference(spark, sf), "prompt_id", 5)
     names = ["max_sim", "mean_sim", "min_sim", "std_sim"]
-    rows = scored.select("prompt_id", F.posexplode(F.arrays_zip(*names)).alias("pos", "z"))
-    return rows.select("prompt_id", F.col("pos").cast("long").alias("pos"), *[r6(F.col(f"z.{n}")).alias(n) for n in names])
+    rows = position_rows(scored, ["prompt_id"], F.arrays_zip(*names), "z")
+    return rows.select("prompt_id", "pos", *[r6(F.col(f"z.{n}")).alias(n) for n in names])
 
 
 @query(
@@ -292,11 +291,8 @@ SQL_ANOMALY = "anom AS (SELECT *, least(1.0, 1.0 - max_sim + 0.5*std_sim) AS ano
 def token_anomaly(spark, sf):
     scored = tk.with_reference_similarity(tk.with_tokens(prompts(spark, sf)), reference(spark, sf), "prompt_id", 5)
     a = tk.token_anomaly(F.col("max_sim"), F.col("std_sim"))
-    rows = scored.select("prompt_id", F.posexplode(a).alias("pos", "anomaly"))
-    return rows.select(
-        "prompt_id", F.col("pos").cast("long").alias("pos"), r6(F.col("anomaly")).alias("anomaly"),
-        (F.col("anomaly") > 0.6).alias("is_anomalous"),
-    )
+    rows = position_rows(scored, ["prompt_id"], a, "anomaly")
+    return rounded(rows.withColumn("is_anomalous", F.col("anomaly") > 0.6), "anomaly")
 
 
 def sql_adjacent(radius: int, threshold: float, source: str = SQL_PROMPTS) -> str:
@@ -334,7 +330,7 @@ def adjacent_shift(spark, sf):
 
 
 def _shift_rows(t, kind):
-    rows = t.select("prompt_id", F.inline(F.filter("shifts", lambda s: s["type"] == kind)))
+    rows = inline_rows(t, ["prompt_id"], F.filter("shifts", lambda s: s["type"] == kind), "position")
     return rounded(rows.drop("type"), "similarity", "magnitude")
 
 
@@ -389,7 +385,7 @@ def analyzed(spark, sf, df=None):
     UNION ALL SELECT prompt_id, type, position, tokens, {sql_r6('1.0-c')}, {sql_severity3('(1.0-c)')} FROM shifts""",
 )
 def anomaly_list(spark, sf):
-    return rounded(analyzed(spark, sf).select("prompt_id", F.inline("anomalies")), "score")
+    return rounded(inline_rows(analyzed(spark, sf), ["prompt_id"], "anomalies", "type"), "score")
 
 
 @query(
