@@ -37,7 +37,8 @@ class TokenParams:
 
 
 def with_tokens(df: DataFrame, text_col: str = "text", max_tokens: int | None = None) -> DataFrame:
-    return df.withColumn("tokens", tx.tokenize(F.col(text_col), max_tokens)).withColumn(
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn("tokens", tx.tokenize(text, max_tokens)).withColumn(
         "buckets", vx.buckets(F.col("tokens"))
     )
 

@@ -8,6 +8,8 @@ SECTIONS = [
     "text_queries",
     "redaction_queries",
     "vector_queries",
+    "detector_queries",
+    "fusion_queries",
 ]
 
 

@@ -367,9 +367,16 @@ def position_entropy(spark, sf):
     return scored.select("prompt_id", r6(sp.position_entropy(F.col("anomaly"))).alias("entropy"))
 
 
-SQL_ANALYSIS = f"""{sql_tokens(1)}, {SQL_REFS}, {SQL_ANOMALY}, {sql_adjacent(1, 0.7)}, {sql_window_shift(5, 2)},
+
+
+def sql_analysis(source: str = SQL_PROMPTS) -> str:
+    """All CTEs of the token analysis: tok, span, tsim, anom, adj, win and shifts."""
+    return f"""{sql_tokens(1, source)}, {SQL_REFS}, {SQL_ANOMALY}, {sql_adjacent(1, 0.7)}, {sql_window_shift(5, 2)},
     shifts AS (SELECT prompt_id, position, tokens, c, 'adjacent_shift' AS type FROM adj WHERE c < 0.7
       UNION ALL SELECT prompt_id, position, tokens, c, 'window_based_shift' FROM win WHERE c < 0.7)"""
+
+
+SQL_ANALYSIS = sql_analysis()
 ANALYSIS = tk.TokenParams(radius=1, shift_radius=1, stride=2)
 
 
