@@ -94,13 +94,13 @@ def embed(text_tokens: Column) -> Column:
 
 
 def variance(a: Column) -> Column:
-    """Population variance of the components."""
+    """Population variance of the components; null for an empty vector."""
 
     def around(v: Column, mean: Column) -> Column:
         squares = F.transform(v, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean))
-        return sum_of(squares) / F.size(v).cast("double")
+        return F.try_divide(sum_of(squares), F.size(v).cast("double"))
 
-    return let(a, lambda v: let(sum_of(as_doubles(v)) / F.size(v).cast("double"), lambda mean: around(v, mean)))
+    return let(a, lambda v: let(F.try_divide(sum_of(as_doubles(v)), F.size(v).cast("double")), lambda mean: around(v, mean)))
 
 
 def std(a: Column) -> Column:

@@ -10,6 +10,7 @@ SECTIONS = [
     "vector_queries",
     "detector_queries",
     "fusion_queries",
+    "generator_queries",
 ]
 
 

@@ -102,11 +102,11 @@ def sql_adjusted(source: str, length: str, rate: str, hour: str, config=CONFIG)
 
 @query(
     "context_adjust",
-    f"SELECT event_id, {', '.join(f'{sql_r6(s)} AS {s}' for s in S)} FROM ({sql_adjusted(SQL_CLIPPED, 'k::DOUBLE', '(value/400.0)', 'hour(ts)')})",
+    f"SELECT event_id, {', '.join(f'{sql_r6(s)} AS {s}' for s in S)} FROM ({sql_adjusted(SQL_CLIPPED, 'k::DOUBLE', '(value/397.0)', 'hour(ts)')})",
 )
 def context_adjust(spark, sf):
     e = clipped(spark, sf)
-    a = fu.context_adjust(cols(), F.col("k").cast("double"), F.col("value") / 400.0, F.hour("ts"), CONFIG)
+    a = fu.context_adjust(cols(), F.col("k").cast("double"), F.col("value") / 397.0, F.hour("ts"), CONFIG)
     return rounded(e.select("event_id", *[v.alias(s) for s, v in a.items()]), *S)
 
 
