@@ -11,6 +11,7 @@ SECTIONS = [
     "detector_queries",
     "fusion_queries",
     "generator_queries",
+    "dataset_queries",
 ]
 
 
