@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
-from wardline.operators.ordering import exact_percentiles, over_blocks, running_index
+from wardline.operators.ordering import exact_percentiles, rolling_sum, running_index
 
 SIGNALS = [
     "embedding_distance", "semantic_similarity", "token_frequency", "context_coherence",
@@ -231,17 +231,13 @@ def recent_anomaly_rate(
 ) -> DataFrame:
     """Share of anomalous rows among the `last` before each row, 0 before `minimum` rows.
 
-    Rows get their exact index per key, then windows run per block of the index
-    with `last` rows of halo, so one busy key spreads over many tasks.
+    Rows get their exact index per key, then sums run per block of the index with
+    `last` rows of halo, so one busy key spreads over many tasks.
     """
     indexed = running_index(df, keys, order, bucket)
-
-    def compute(rows: DataFrame, partition: list[str]) -> DataFrame:
-        w = Window.partitionBy(*partition).orderBy("idx").rowsBetween(-last, -1)
-        share = F.avg(F.col(flag).cast("int")).over(w)
-        return rows.withColumn("recent_rate", F.when(F.col("idx") >= minimum, share).otherwise(0.0))
-
-    return over_blocks(indexed, keys, "idx", block, last, compute)
+    rolled = rolling_sum(indexed, keys, "idx", F.col(flag).cast("int"), last, "_hits", skip_current=True, block=block)
+    rate = F.col("_hits") / F.least(F.col("idx"), F.lit(last))
+    return rolled.withColumn("recent_rate", F.when(F.col("idx") >= minimum, rate).otherwise(0.0)).drop("_hits")
 
 
 # --- adaptive thresholds -----------------------------------------------------------------

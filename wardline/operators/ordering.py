@@ -149,3 +149,49 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, named: dict
         high = F.max(F.when((first <= hi) & (hi <= last), F.col("value")))
         aggs.append((low + (high - low) * F.max(h - lo)).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
+
+
+def rolling_sum(
+    df: DataFrame, keys: list[str], idx: str, value: Column, last: int, out: str, skip_current: bool = False, block: int = 65536
+) -> DataFrame:
+    """Sum of `value` over the `last` rows up to each row (or before it), along a gap-free index.
+
+    A difference of running sums inside a block, so the cost per row does not grow
+    with `last`.
+    """
+    skip = 1 if skip_current else 0
+
+    def compute(rows: DataFrame, partition: list[str]) -> DataFrame:
+        w = Window.partitionBy(*partition).orderBy(idx)
+        running = rows.withColumn("_cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        upto = F.col("_cum") if not skip else F.coalesce(F.lag("_cum", skip).over(w), F.lit(0))
+        return running.withColumn(out, upto - F.coalesce(F.lag("_cum", last + skip).over(w), F.lit(0))).drop("_cum")
+
+    return over_blocks(df, keys, idx, block, last + skip, compute)
+
+
+def trailing_count(df: DataFrame, keys: list[str], micros: str, window_micros: int, out: str) -> DataFrame:
+    """Rows of the same key in the closed interval [t - window, t], t included with all its ties.
+
+    Sweep line: every row enters at t and leaves after t + window, and the running
+    sum of entries and exits is the count. Time buckets carry their net change to
+    later buckets, so a key with most of the rows is many small tasks, whatever
+    the number of rows in one window.
+    """
+    enter = df.withColumns({"_t": F.col(micros), "_exit": F.lit(0), "_d": F.lit(1).cast("long")})
+    leave = df.select(*keys, (F.col(micros) + F.lit(window_micros)).alias("_t"), F.lit(1).alias("_exit"), F.lit(-1).cast("long").alias("_d"))
+    both = enter.unionByName(leave, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_t") / window_micros).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        both.groupBy(*keys, "_bucket")
+        .agg(F.sum("_d").alias("_net"))
+        .withColumn("_offset", F.coalesce(F.sum("_net").over(before), F.lit(0)))
+        .drop("_net")
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_exit").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("_in", F.sum("_d").over(inside)).where("_exit = 0")
+    return (
+        counted.join(offsets, [*keys, "_bucket"])
+        .withColumn(out, F.col("_in") + F.col("_offset"))
+        .drop("_t", "_exit", "_d", "_bucket", "_in", "_offset")
+    )

@@ -12,6 +12,10 @@ SECTIONS = [
     "fusion_queries",
     "generator_queries",
     "dataset_queries",
+    "event_queries",
+    "similarity_queries",
+    "source_queries",
+    "model_queries",
 ]
 
 
