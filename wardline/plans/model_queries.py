@@ -12,6 +12,7 @@ from wardline.operators.rows import inline_rows
 from wardline.plans.common import hashed, load, mixed_prompts, rounded, section
 from wardline.plans.detector_queries import analysed_mixed, labelled_documents
 from wardline.functions import text as tx
+from wardline.session import checkpointed
 
 QUERIES, ORACLE, query = section()
 
@@ -45,7 +46,7 @@ def fit_logistic(spark, sf):
 def classifier_detect(spark, sf):
     """The twelve-feature classifier trained on prompts with a known attack, applied to all of them."""
     rows = analysed_mixed(spark, sf).select("prompt_id", F.col("truth").alias("label"), *[c.alias(n) for n, c in dt.classifier_features().items()])
-    parts = ds.split(rows, "prompt_id")
+    parts = checkpointed(ds.split(rows, "prompt_id"))  # training reads the features several times
     model = ml.fit_logistic(parts.where("part = 'train'").drop("part"), dt.CLASSIFIER_FEATURES, iterations=50)
     scored = ml.score_model(parts, model)
     return rounded(scored.select("prompt_id", "part", "label", "hit", "probability"), "probability")
@@ -95,15 +96,15 @@ def isolation_forest(spark, sf):
     )
     features = ["value", "hour", "k"]
     scored = ml.score_isolation_forest(e, ml.fit_isolation_forest(e, features), features)
-    return rounded(ml.flag_outliers(scored, contamination=0.05).select("event_id", "outlier", "is_outlier"), "outlier")
+    return rounded(ml.flag_outliers(checkpointed(scored), contamination=0.05).select("event_id", "outlier", "is_outlier"), "outlier")
 
 
 @query("stat_anomaly_iforest")
 def stat_anomaly_iforest(spark, sf):
     """One forest over all tokens; a prompt is a hit when too many of its tokens are outliers."""
-    tokens = token_rows(spark, sf)
+    tokens = checkpointed(token_rows(spark, sf))
     scored = ml.score_isolation_forest(tokens, ml.fit_isolation_forest(tokens, TOKEN_FEATURES, trees=50), TOKEN_FEATURES)
-    flagged = ml.flag_outliers(scored)
+    flagged = ml.flag_outliers(checkpointed(scored.select("prompt_id", "outlier")))
     per_prompt = flagged.groupBy("prompt_id").agg(F.avg(F.col("is_outlier").cast("int")).alias("ratio"))
     v = per_prompt.withColumn("v", dt.outlier_ratio(F.col("ratio")))
     return rounded(v.select("prompt_id", "ratio", F.col("v.hit").alias("hit"), F.col("v.confidence").alias("confidence")), "ratio", "confidence")
