@@ -212,7 +212,7 @@ def detect_anomalies(
             "contributions": F.create_map(*[x for s in signals for x in (F.lit(s), parts[s])]),
         }
     )
-    whole = sum((v for v in values.values()), F.lit(0.0)).isNotNull()
+    whole = sum(signals.values(), F.lit(0.0)).isNotNull()
     verdict = decide(F.col("_fused"), config)
     result = stage.withColumns(
         {

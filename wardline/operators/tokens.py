@@ -89,7 +89,7 @@ def with_reference_similarity(
     n, weight = size["n"], float(size["w"] or 0)
     if n == 0:
         fixed = {"max_sim": 0.5, "mean_sim": 0.5, "min_sim": 0.5, "std_sim": 0.0}
-        return df.withColumns({c: F.transform("buckets", lambda _, v=v: F.lit(v)) for c, v in fixed.items()})
+        return df.withColumns({c: F.transform("buckets", _constant(v)) for c, v in fixed.items()})
     if n <= limit:
         refs, copies, _ = _collect(reference, [])
         scored = df.withColumn("_m", geo.moments_udf(refs, copies, radius)(F.col("buckets")))
@@ -107,6 +107,14 @@ def with_reference_similarity(
     ).drop("_m")
 
 
+def _field(name: str):
+    return lambda row: row[name]
+
+
+def _constant(value: float):
+    return lambda _: F.lit(value)
+
+
 def _pack(reference: DataFrame, blocks: int, salts: int) -> DataFrame:
     """The reference as rows of bounded size (hash groups of about half the broadcast limit),
     each repeated once per salt so that no task gets all texts."""
@@ -150,7 +158,7 @@ def _blocked_moments(df: DataFrame, reference: DataFrame, id_col: str, radius: i
     )
     # One row per text again: as many entries as the text has tokens.
     whole = merged.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_t"))
-    arrays = F.struct(*[F.transform("_t", lambda t, c=c: t[c]).alias(c) for c in names])
+    arrays = F.struct(*[F.transform("_t", _field(c)).alias(c) for c in names])
     empty = F.struct(*[F.array().cast("array<double>").alias(c) for c in names])
     return df.join(whole.select(id_col, arrays.alias("_m")), id_col, "left").withColumn("_m", F.coalesce("_m", empty))
 
@@ -201,15 +209,13 @@ def adjacent_shifts(tokens: Column, cosines: Column, threshold: float) -> Column
 def window_shifts(tokens: Column, buckets: Column, window: int, stride: int, threshold: float) -> Column:
     """Windows [i, i+w) and [i+stride, i+stride+w) of token embeddings whose means differ."""
     n = F.size(buckets)
-    last = n - window - stride
-    starts = F.when((n >= 2 * window) & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("i"), F.slice(buckets, i + 1, window).alias("a"), F.slice(buckets, i + 1 + stride, window).alias("b")
-        ),
-    )
-    scored = F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), vx.span_cosine(p["a"], p["b"]).alias("c")))
+    none = F.array().cast("array<array<int>>")
+    spans = F.when(
+        (n >= 2 * window) & (n >= window + stride),
+        vx.let(buckets, lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - (window - 1)), lambda i: F.slice(b, i, window))),
+    ).otherwise(none)
+    cosines = vx.let(spans, lambda s: sp.adjacent_cosines(s, sp.self_overlaps(s), stride))
+    scored = F.transform(cosines, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
     return F.transform(
         F.filter(scored, lambda r: r["c"] < threshold),
         lambda r: F.struct(

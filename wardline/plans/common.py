@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
-from wardline.session import prepare
+from wardline.session import prepare, spread
 
 
 def section():
@@ -26,8 +26,13 @@ def section():
     return queries, oracle, query
 
 
+TEXT_TABLES = {"conversations", "documents"}
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A table; text tables get at least one partition per core, since their operators are bound by CPU."""
+    df = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def r6(c: Column) -> Column:

@@ -12,9 +12,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings for equal results everywhere; sizes and masters stay the caller's choice."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Call sites on every column cost more than the long expressions they would explain.
+    spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few, unsplittable files cut into one partition per core; a table with enough partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; on one machine without it, a fresh temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
