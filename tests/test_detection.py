@@ -213,3 +213,16 @@ def test_batch_score_scores_copies_once(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(50)] + [(50, "other"), (51, None)], "id long, text string")
     out = rk.batch_score(df, "text", lambda t: t.withColumn("n", F.length(F.coalesce("text", F.lit("")))), ["n"])
     assert out.count() == 52 and out.where("n = 9").count() == 50
+
+
+def test_numpy_and_column_features_agree(spark):
+    p = tk.with_tokens(prompts(spark, SF).select("prompt_id", "text")).withColumn("s", sp.sentence_spans(F.col("text")))
+    sizes = F.transform("s", lambda x: F.size(x))
+    rows = p.withColumn("u", vx.normalize(vx.counts(F.col("buckets")))).select(
+        geo.text_statistics_udf(1)(F.col("buckets"), F.flatten("s"), sizes).alias("n"),
+        vx.gradient_magnitude(F.col("u")).alias("gradient"), sp.phrase_anomaly(F.col("buckets")).alias("phrase"),
+        sp.semantic_consistency(F.col("s")).alias("consistency"), sp.sentence_anomaly(F.col("s")).alias("sentence"),
+    ).collect()
+    for r in rows:
+        for name in ("gradient", "phrase", "consistency", "sentence"):
+            assert r.n[name] == pytest.approx(r[name], abs=1e-9)

@@ -81,6 +81,38 @@ def block_moments_udf(radius: int):
     return run
 
 
+def neighbour_cosines(windows: np.ndarray, gap: int) -> np.ndarray:
+    """Cosine of every window with the one `gap` places on."""
+    if len(windows) <= gap:
+        return np.zeros(0)
+    w = windows.astype(np.float64)
+    own = (w * w).sum(axis=1)
+    shared = (w[:-gap] * w[gap:]).sum(axis=1)
+    return shared / np.sqrt(own[:-gap] * own[gap:])
+
+
+def shift_cosines_udf(radius: int, window: int, stride: int):
+    """buckets -> cosines of neighbouring token windows, and of token runs of `window` tokens `stride` apart
+    (none for texts below two runs)."""
+
+    @F.pandas_udf("struct<adjacent:array<double>,runs:array<double>>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        adjacent, runs = [], []
+        for b in batch:
+            b = np.asarray(b, dtype=np.int64)
+            adjacent.append(neighbour_cosines(window_counts(b, radius), 1))
+            if len(b) < max(2 * window, window + stride):
+                runs.append(np.zeros(0))
+                continue
+            running = np.zeros((len(b) + 1, DIMS), dtype=np.int32)
+            running[np.arange(1, len(b) + 1), b] = 1
+            running = np.cumsum(running, axis=0)
+            runs.append(neighbour_cosines(running[window:] - running[:-window], stride))
+        return pd.DataFrame({"adjacent": adjacent, "runs": runs})
+
+    return run
+
+
 TOP_TYPE = "array<struct<pos:bigint,rank:bigint,ref:string,similarity:double>>"
 
 
@@ -125,28 +157,73 @@ def block_top_references_udf(radius: int, last: int):
     return run
 
 
-def span_statistics(buckets: np.ndarray, radius: int) -> tuple[float, float, float]:
+def unit_rows(counts: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((counts**2).sum(axis=1))[:, None]
+    return np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+
+
+def clip(x: float) -> float:
+    return float(min(max(x, 0.0), 1.0))
+
+
+def window_moments(buckets: np.ndarray, radius: int) -> tuple[float, float, float]:
     """Component variance, perturbation signature and outlier score of a text's window embeddings."""
     n = len(buckets)
     if n == 0:
         return 0.0, 0.0, 0.0
-    windows = window_counts(buckets, radius).astype(np.float64)
-    unit = windows / np.sqrt((windows**2).sum(axis=1))[:, None]
+    unit = unit_rows(window_counts(buckets, radius).astype(np.float64))
     variance = float(unit.var())
     if n < 3:
         return variance, 0.0, 0.0
     by_dim = unit.var(axis=0)
-    signature = float(np.clip(1.0 - by_dim.std() / (by_dim.mean() + 1e-8), 0.0, 1.0))
+    signature = clip(1.0 - by_dim.std() / (by_dim.mean() + 1e-8))
     dist = np.linalg.norm(unit - unit.mean(axis=0), axis=1)
     spread = dist.std()
-    outlier = 0.0 if spread < 1e-6 else float(np.clip(np.abs(dist - dist.mean()).max() / spread / 3.0, 0.0, 1.0))
+    outlier = 0.0 if spread < 1e-6 else clip(np.abs(dist - dist.mean()).max() / spread / 3.0)
     return variance, signature, outlier
 
 
-def span_statistics_udf(radius: int):
-    @F.pandas_udf("struct<variance:double,signature:double,outlier:double>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        rows = [span_statistics(np.asarray(b, dtype=np.int64), radius) for b in batch]
-        return pd.DataFrame(rows, columns=["variance", "signature", "outlier"])
+def phrase_anomaly(buckets: np.ndarray) -> float:
+    """10 x variance over the embeddings of all trigrams; the same as spans.phrase_anomaly."""
+    if len(buckets) < 3:
+        return 0.0
+    a, b, c = buckets[:-2], buckets[1:-1], buckets[2:]
+    equal = (a == b).astype(int) + (b == c) + (a == c)
+    mean = (3.0 / np.sqrt(3 + 2 * equal)).mean() / DIMS
+    return clip(10.0 * (1.0 / DIMS - mean * mean))
+
+
+def sentence_moments(buckets: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
+    """Mean pairwise cosine of the sentences and 10 x variance of their embeddings."""
+    n = len(sizes)
+    if n < 2:
+        return 1.0, 0.0
+    counts = np.zeros((n, DIMS))
+    np.add.at(counts, (np.repeat(np.arange(n), sizes), buckets), 1.0)
+    unit = unit_rows(counts)
+    total = unit.sum(axis=0)
+    consistency = float((total @ total - (sizes > 0).sum()) / (n * (n - 1.0)))
+    return consistency, clip(10.0 * unit.var())
+
+
+def text_gradient(buckets: np.ndarray) -> float:
+    """Norm of the gradient over the components of the whole text's embedding."""
+    counts = np.bincount(buckets, minlength=DIMS).astype(np.float64)
+    return float(np.linalg.norm(np.gradient(unit_rows(counts[None, :])[0])))
+
+
+STATISTICS = ["variance", "signature", "outlier", "gradient", "phrase", "consistency", "sentence"]
+
+
+def text_statistics_udf(radius: int):
+    """(token buckets, sentence buckets end to end, sentence sizes) -> the vector features of a text, in one Arrow pass."""
+
+    @F.pandas_udf(f"struct<{','.join(f'{n}:double' for n in STATISTICS)}>")
+    def run(tokens: pd.Series, sentences: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, s, k in zip(tokens, sentences, sizes):
+            t, s, k = (np.asarray(x, dtype=np.int64) for x in (t, s, k))
+            rows.append((*window_moments(t, radius), text_gradient(t), phrase_anomaly(t), *sentence_moments(s, k)))
+        return pd.DataFrame(rows, columns=STATISTICS)
 
     return run

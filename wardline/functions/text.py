@@ -139,20 +139,17 @@ def context_features(text: Column) -> dict[str, Column]:
     }
 
 
-def linguistic_flags(text: Column) -> list[Column]:
-    w, n = words(text), F.length(text)
-    size = F.size(w)
-    return [
-        (size < 2) | (size > 100),
-        ratio(special_count(text), n) > 0.3,
-        (F.size(F.array_distinct(w)) < size * 0.5) & (size > 5),
-        ratio(uppercase_count(text), n) > 0.5,
-    ]
+def linguistic_anomaly(text: Column) -> Column:
+    """Share of four oddities: very few or many words, many symbols, repeated words, upper case."""
+    n = F.length(text)
+    by_char = (ratio(special_count(text), n) > 0.3).cast("int") + (ratio(uppercase_count(text), n) > 0.5).cast("int")
 
+    def by_word(w: Column) -> Column:
+        size = F.size(w)
+        repeated = (size > 5) & (F.size(F.array_distinct(w)) < size * 0.5)
+        return ((size < 2) | (size > 100)).cast("int") + repeated.cast("int")
 
-def linguistic_anomaly(text: Column) -> Column:
-    flags = [f.cast("int") for f in linguistic_flags(text)]
-    return (flags[0] + flags[1] + flags[2] + flags[3]) / F.lit(4.0)
+    return (let(words(text), by_word) + by_char) / F.lit(4.0)
 
 
 def sentence_count(text: Column) -> Column:
@@ -165,10 +162,14 @@ def sentences(text: Column) -> Column:
 
 
 def naturalness(text: Column) -> Column:
-    n = word_count(text).cast("double")
-    by_length = 1.0 / (1.0 + F.abs(avg_word_length(text) - 5.0))
-    by_structure = 1.0 / (1.0 + F.abs(n / sentence_count(text) - 15.0))
-    return F.when(n > 0, (by_length + by_structure) / 2.0).otherwise(0.0)
+    chars = F.length(F.regexp_replace(text, BLANK, "")).cast("double")
+
+    def score(n: Column) -> Column:
+        by_length = 1.0 / (1.0 + F.abs(F.try_divide(chars, n) - 5.0))
+        by_structure = 1.0 / (1.0 + F.abs(n / sentence_count(text) - 15.0))
+        return F.when(n > 0, (by_length + by_structure) / 2.0).otherwise(0.0)
+
+    return let(word_count(text).cast("double"), score)
 
 
 def max_repeat(tokens: Column) -> Column:
@@ -179,7 +180,7 @@ def max_repeat(tokens: Column) -> Column:
         run = F.when(acc["prev"].eqNullSafe(token), acc["run"] + 1).otherwise(1)
         return F.struct(token.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(tokens), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.sort_array(tokens), start, step, lambda acc: acc["best"])
 
 
 def token_frequency_anomaly(tokens: Column) -> Column:

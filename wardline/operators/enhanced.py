@@ -44,28 +44,26 @@ def features16(df: DataFrame, text_col: str = "text", radius: int = 5, defaults:
     """Add the sixteen features to analysed prompts (see `tokens.analyze_tokens`)."""
     fixed = {**DEFAULT_FEATURES, **(defaults or {})}
     text, steps = F.coalesce(F.col(text_col), F.lit("")), sp.embedding_steps(F.col("cosines"))
-    base = (
-        df.withColumn("_stats", geo.span_statistics_udf(radius)(F.col("buckets")))
-        .withColumn("_sentences", sp.sentence_spans(text))
-        .withColumn("_unit", vx.normalize(vx.counts(F.col("buckets"))))
-    )
+    base = df.withColumn("_sentences", sp.sentence_spans(text))
+    sizes = F.transform("_sentences", lambda s: F.size(s))
+    base = base.withColumn("_stats", geo.text_statistics_udf(radius)(F.col("buckets"), F.flatten("_sentences"), sizes))
     found = base.withColumns(
         {
             "embedding_variance": F.col("_stats.variance"),
-            "gradient_magnitude": vx.gradient_magnitude(F.col("_unit")),
+            "gradient_magnitude": F.col("_stats.gradient"),
             "embedding_smoothness": F.when(F.size("buckets") < 2, 1.0).otherwise(1.0 / (1.0 + sp.mean_of(steps))),
             "perturbation_signature": F.col("_stats.signature"),
-            "semantic_consistency": sp.semantic_consistency(F.col("_sentences")),
+            "semantic_consistency": F.col("_stats.consistency"),
             "linguistic_naturalness": tx.naturalness(text),
             "token_frequency_anomaly": tx.token_frequency_anomaly(F.col("tokens")),
             "embedding_outlier_score": F.col("_stats.outlier"),
             "position_entropy": sp.position_entropy(F.col("anomaly")),
             "token_level_anomaly": F.col("overall_anomaly"),
-            "phrase_level_anomaly": sp.phrase_anomaly(F.col("buckets")),
-            "sentence_level_anomaly": sp.sentence_anomaly(F.col("_sentences")),
+            "phrase_level_anomaly": F.col("_stats.phrase"),
+            "sentence_level_anomaly": F.col("_stats.sentence"),
             **{name: F.lit(value) for name, value in fixed.items()},
         }
-    ).drop("_stats", "_sentences", "_unit")
+    ).drop("_stats", "_sentences")
     return found.withColumn(
         "cross_level_consistency",
         sp.cross_level_consistency(F.col("token_level_anomaly"), F.col("phrase_level_anomaly"), F.col("sentence_level_anomaly")),

@@ -14,7 +14,7 @@ from wardline.operators.generate import choice
 from wardline.operators.ordering import (
     lag_by_index, rolling_sum, running_index, salted_join, trailing_count,
 )
-from wardline.operators.rows import inline_rows
+from wardline.operators.rows import fenced, inline_rows
 
 # Brute-force window, threshold and length of the remembered history.
 WINDOW_SECONDS, MIN_FAILURES, MAX_FAILURES = 300, 5, 100
@@ -109,7 +109,7 @@ def blocked_success_events(success: DataFrame, source: str) -> DataFrame:
 
 def injection_events(df: DataFrame, text_col: str = "text", confidence: float = 0.8) -> DataFrame:
     """One event per prompt in which an injection phrase occurs."""
-    found = df.withColumn("patterns", tx.injection_patterns(F.col(text_col))).where(F.size("patterns") > 0)
+    found = fenced(df, {"patterns": tx.injection_patterns(F.col(text_col))}).where(F.size("patterns") > 0)
     level = 3 if confidence > 0.8 else 2
     return found.withColumns(
         {
@@ -131,7 +131,7 @@ def injection_events(df: DataFrame, text_col: str = "text", confidence: float =
 
 def tool_call_events(df: DataFrame, tool: str = "tool", params: str = "params", seconds: str = "seconds") -> DataFrame:
     """One event per tool call with a suspicious parameter or duration."""
-    found = df.withColumn("findings", tx.tool_call_indicators(F.col(params), F.col(seconds))).where(F.size("findings") > 0)
+    found = fenced(df, {"findings": tx.tool_call_indicators(F.col(params), F.col(seconds))}).where(F.size("findings") > 0)
     return found.withColumns(
         {
             "event_code": F.lit("tool.call.anomaly"),

@@ -98,12 +98,15 @@ def level_threshold(base: Column, level: Column, reliability: Column, low: float
 
 
 def level_thresholds(config: FusionConfig, signals: list[str] = SIGNALS, learned: dict[str, Column] | None = None) -> dict[str, Column]:
-    """Thresholds of a configuration; `learned` replaces a base by an adapted one (see `adapt_thresholds`)."""
+    """Thresholds of a configuration, as literals; `learned` replaces a base by an adapted one (see `adapt_thresholds`)."""
     out = {}
     for s in signals:
-        c = config.threshold_of(s)
-        base = (learned or {}).get(s, F.lit(c.base))
-        out[s] = level_threshold(base, F.lit(config.level), F.lit(config.reliability_of(s)), c.low, c.high)
+        c, r = config.threshold_of(s), config.reliability_of(s)
+        if learned and s in learned:
+            out[s] = level_threshold(learned[s], F.lit(config.level), F.lit(r), c.low, c.high)
+        else:
+            start = min(c.base * LEVEL_FACTOR[config.level], c.high)
+            out[s] = F.lit(min(max(start * (LEVEL_ADJUSTMENT[config.level] * (0.8 + 0.4 * r)), c.low), c.high))
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
+from wardline.operators.rows import fenced
 
 # The attack patterns of the contrastive generator, in their order.
 PATTERN_TYPES = [
@@ -136,16 +137,14 @@ def cap_dispatch(text: Column, pattern: Column, index: Column) -> Column:
     )
 
 
-def prompt_similarity(a: Column, b: Column) -> Column:
-    """Cosine of the default embeddings, 0 when either is empty."""
-
-    def similarity(x: Column, y: Column) -> Column:
-        return vx.cosine(x, y)
+def text_counts(text: Column) -> Column:
+    """Bucket counts of a whole text."""
+    return vx.counts(vx.buckets(tx.words(text)))
 
-    def of(text: Column) -> Column:
-        return vx.counts(vx.buckets(tx.words(text)))
 
-    return vx.let(of(a), lambda x: vx.let(of(b), lambda y: similarity(x, y)))
+def prompt_similarity(a: Column, b: Column) -> Column:
+    """Cosine of the default embeddings, 0 when either is empty."""
+    return vx.let(text_counts(a), lambda x: vx.let(text_counts(b), lambda y: vx.cosine(x, y)))
 
 
 def numbered(df: DataFrame, n: int) -> DataFrame:
@@ -156,11 +155,14 @@ def numbered(df: DataFrame, n: int) -> DataFrame:
 def cap_generate(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, threshold: float = 0.75, seed: int = 0) -> DataFrame:
     """Contrastive variants; variant i uses pattern i mod 5 and stays if it is new and close enough."""
     types = F.array(*[F.lit(t) for t in PATTERN_TYPES])
-    made = numbered(df, n).withColumn("pattern", F.element_at(types, F.col("variant") % len(PATTERN_TYPES) + 1))
-    made = made.withColumn(
-        "attack", cap_dispatch(F.col(text_col), F.col("pattern"), choice(F.col(id_col), F.col("variant"), 12, seed, "cap"))
-    ).withColumn("similarity", prompt_similarity(F.col(text_col), F.col("attack")))
-    return made.where((F.col("attack") != F.col(text_col)) & (F.col("similarity") >= threshold))
+    text = F.col(text_col)
+    base = df.withColumn("_own", text_counts(text))  # once per prompt, before the variants
+    made = numbered(base, n).withColumn("pattern", F.element_at(types, F.col("variant") % len(PATTERN_TYPES) + 1))
+    index = choice(F.col(id_col), F.col("variant"), 12, seed, "cap")
+    made = fenced(made, {"attack": cap_dispatch(text, F.col("pattern"), index)})
+    near = vx.let(text_counts(F.col("attack")), lambda its: vx.cosine(F.col("_own"), its))
+    made = fenced(made, {"similarity": near})
+    return made.where((F.col("attack") != text) & (F.col("similarity") >= threshold)).drop("_own")
 
 
 # --- embedding shift ---------------------------------------------------------------------
@@ -234,7 +236,7 @@ def esa_generate(
     edited = F.when(
         F.col("similarity") < 0.8, semantic_variant(text, choice(key, variant, 1 << 20, seed, "semantic"))
     ).otherwise(minor_variant(text, choice(key, variant, 5, seed, "minor")))
-    out = made.withColumn("attack", edited).drop("_e", "_fgsm", "_pgd")
+    out = fenced(made, {"attack": edited}).drop("_e", "_fgsm", "_pgd")
     return out.where((F.col("attack") != text) & (F.col("attack") != ""))
 
 

@@ -21,3 +21,13 @@ def position_rows(df: DataFrame, keep: list[str], array: Column | str, value: st
     """One row per element with its 0-based position."""
     rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
     return rows.withColumn(pos, F.col(pos).cast("long"))
+
+
+def fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters use without recomputing them.
+
+    A filter on a plain computed column is pushed below the projection and brings
+    the whole expression along; it cannot pass a generator.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(made)))

@@ -206,15 +206,8 @@ def adjacent_shifts(tokens: Column, cosines: Column, threshold: float) -> Column
     )
 
 
-def window_shifts(tokens: Column, buckets: Column, window: int, stride: int, threshold: float) -> Column:
-    """Windows [i, i+w) and [i+stride, i+stride+w) of token embeddings whose means differ."""
-    n = F.size(buckets)
-    none = F.array().cast("array<array<int>>")
-    spans = F.when(
-        (n >= 2 * window) & (n >= window + stride),
-        vx.let(buckets, lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - (window - 1)), lambda i: F.slice(b, i, window))),
-    ).otherwise(none)
-    cosines = vx.let(spans, lambda s: sp.adjacent_cosines(s, sp.self_overlaps(s), stride))
+def window_shifts(tokens: Column, cosines: Column, window: int, threshold: float) -> Column:
+    """Token runs whose mean embedding differs from that of the run `stride` tokens on."""
     scored = F.transform(cosines, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
     return F.transform(
         F.filter(scored, lambda r: r["c"] < threshold),
@@ -257,20 +250,21 @@ def anomaly_list(tokens: Column, anomaly: Column, shifts: Column, cut: float = 0
     return F.concat(from_tokens, from_shifts)
 
 
+def with_cosines(df: DataFrame, params: TokenParams) -> DataFrame:
+    """Add `cosines` of neighbouring windows and `run_cosines` of token runs, from one Arrow pass."""
+    both = geo.shift_cosines_udf(params.shift_radius, params.window, params.stride)(F.col("buckets"))
+    return df.withColumn("_c", both).withColumns({"cosines": F.col("_c.adjacent"), "run_cosines": F.col("_c.runs")}).drop("_c")
+
+
 def with_shifts(df: DataFrame, params: TokenParams) -> DataFrame:
-    """Add cosines of neighbouring windows and the list of shifts."""
-    return (
-        df.withColumn("_spans", sp.context_spans(F.col("buckets"), params.shift_radius))
-        .withColumn("_norms", sp.self_overlaps(F.col("_spans")))
-        .withColumn("cosines", sp.adjacent_cosines(F.col("_spans"), F.col("_norms")))
-        .drop("_spans", "_norms")
-        .withColumn(
-            "shifts",
-            F.concat(
-                adjacent_shifts(F.col("tokens"), F.col("cosines"), params.shift_threshold),
-                window_shifts(F.col("tokens"), F.col("buckets"), params.window, params.stride, params.shift_threshold),
-            ),
-        )
+    """Add the list of shifts from the cosines."""
+    cut = params.shift_threshold
+    return df.withColumn(
+        "shifts",
+        F.concat(
+            adjacent_shifts(F.col("tokens"), F.col("cosines"), cut),
+            window_shifts(F.col("tokens"), F.col("run_cosines"), params.window, cut),
+        ),
     )
 
 
@@ -279,7 +273,7 @@ def analyze_tokens(
 ) -> DataFrame:
     """The whole token analysis; keeps the input columns and adds arrays per prompt."""
     tokens = with_tokens(df, text_col, params.max_tokens)
-    similar = with_reference_similarity(tokens, reference, id_col, params.radius)
+    similar = with_reference_similarity(with_cosines(tokens, params), reference, id_col, params.radius)
     scored = with_shifts(similar, params).withColumn("anomaly", token_anomaly(F.col("max_sim"), F.col("std_sim")))
     return scored.withColumns(
         {

@@ -325,7 +325,7 @@ SHIFTS = tk.TokenParams(shift_radius=1, stride=2, shift_threshold=0.7)
     {sql_r6('1.0-c')} AS magnitude, {sql_severity3('(1.0-c)')} AS severity FROM adj WHERE c < 0.7""",
 )
 def adjacent_shift(spark, sf):
-    t = tk.with_shifts(tk.with_tokens(prompts(spark, sf)), SHIFTS)
+    t = tk.with_shifts(tk.with_cosines(tk.with_tokens(prompts(spark, sf)), SHIFTS), SHIFTS)
     return _shift_rows(t, "adjacent_shift")
 
 
@@ -340,7 +340,7 @@ def _shift_rows(t, kind):
     {sql_r6('1.0-c')} AS magnitude, {sql_severity3('(1.0-c)')} AS severity FROM win WHERE c < 0.7""",
 )
 def window_shift(spark, sf):
-    t = tk.with_shifts(tk.with_tokens(prompts(spark, sf)), SHIFTS)
+    t = tk.with_shifts(tk.with_cosines(tk.with_tokens(prompts(spark, sf)), SHIFTS), SHIFTS)
     return _shift_rows(t, "window_based_shift")
 
 
