@@ -29,8 +29,9 @@ def window_counts(buckets: np.ndarray, radius: int) -> np.ndarray:
 
 
 def tile_similarity(windows: np.ndarray, refs: np.ndarray, ref_norms: np.ndarray) -> np.ndarray:
-    own = (windows.astype(np.float64) ** 2).sum(axis=1)
-    shared = windows.astype(np.float64) @ refs.T
+    windows = windows.astype(np.float64)
+    own = np.einsum("ij,ij->i", windows, windows)
+    shared = windows @ refs.T
     norm = np.sqrt(own[:, None] * ref_norms[None, :])
     return np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
 
@@ -198,9 +199,8 @@ def sentence_moments(buckets: np.ndarray, sizes: np.ndarray) -> tuple[float, flo
     n = len(sizes)
     if n < 2:
         return 1.0, 0.0
-    counts = np.zeros((n, DIMS))
-    np.add.at(counts, (np.repeat(np.arange(n), sizes), buckets), 1.0)
-    unit = unit_rows(counts)
+    cells = np.repeat(np.arange(n), sizes) * DIMS + buckets
+    unit = unit_rows(np.bincount(cells, minlength=n * DIMS).reshape(n, DIMS).astype(np.float64))
     total = unit.sum(axis=0)
     consistency = float((total @ total - (sizes > 0).sum()) / (n * (n - 1.0)))
     return consistency, clip(10.0 * unit.var())
@@ -208,8 +208,12 @@ def sentence_moments(buckets: np.ndarray, sizes: np.ndarray) -> tuple[float, flo
 
 def text_gradient(buckets: np.ndarray) -> float:
     """Norm of the gradient over the components of the whole text's embedding."""
+    if len(buckets) == 0:
+        return 0.0
     counts = np.bincount(buckets, minlength=DIMS).astype(np.float64)
-    return float(np.linalg.norm(np.gradient(unit_rows(counts[None, :])[0])))
+    v = counts / np.sqrt(counts @ counts)
+    inner = (v[2:] - v[:-2]) / 2.0
+    return float(np.sqrt(inner @ inner + (v[1] - v[0]) ** 2 + (v[-1] - v[-2]) ** 2))
 
 
 STATISTICS = ["variance", "signature", "outlier", "gradient", "phrase", "consistency", "sentence"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import text as tx
 from wardline.operators.generate import choice
 from wardline.operators.ordering import running_index, salted_join
+from wardline.operators.rows import fenced
 
 
 def filter_samples(df: DataFrame, label: int | None = None, attack_type: str | None = None) -> DataFrame:
@@ -107,13 +108,22 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     return salted_join(df, class_weights(df, label).select(label, "weight"), [label])
 
 
-def bootstrap(df: DataFrame, members: int, seed: int = 42) -> DataFrame:
-    """One sample of the table's size, drawn with replacement, per ensemble member."""
-    parts = [df.sample(True, 1.0, seed + i).withColumn("member", F.lit(i)) for i in range(members)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+# Cumulative probabilities of a Poisson variable of mean 1: how often a row is drawn when as
+# many rows are drawn with replacement as there are.
+POISSON_ONE = [0.367879, 0.735759, 0.919699, 0.98101, 0.99634, 0.999406, 0.999917, 0.99999]
+
+
+def bootstrap_draws(key: Column, member: Column | int, seed: int = 42) -> Column:
+    """Number of times a row is in a member's sample, from the hash of its key."""
+    u = choice(key, member, 1_000_000, seed, "bootstrap") / 1_000_000.0
+    return sum(((u >= c).cast("int") for c in POISSON_ONE), F.lit(0))
+
+
+def bootstrap(df: DataFrame, id_col: str, members: int, seed: int = 42) -> DataFrame:
+    """A sample with replacement, of about the table's size, per ensemble member; no shuffle."""
+    each = df.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    drawn = fenced(each, {"_d": bootstrap_draws(F.col(id_col), F.col("member"), seed)}).where("_d > 0")
+    return drawn.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_d")))).drop("_d")
 
 
 def weighted_sampler(df: DataFrame, id_col: str, label: str, seed: int = 0) -> DataFrame:

@@ -6,6 +6,8 @@ in every run, for every partitioning, and on a retried task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -334,12 +336,24 @@ def augment(df: DataFrame, id_col: str, text_col: str = "text", source_col: str
     return df.withColumn("variant", F.lit(0)).unionByName(new, allowMissingColumns=True)
 
 
-def feature_noise(df: DataFrame, features: list[str], scale: float = 0.1, ratio: float = 0.5, seed: int = 7) -> DataFrame:
-    """Gaussian noise on a quarter of `ratio` of the rows, chosen by the seeded generator."""
-    chosen = df.where(F.rand(seed) < ratio / 4.0)
+def uniform(key: Column, variant: int, seed: int, purpose: str) -> Column:
+    """A number strictly between 0 and 1 from the hash of the key."""
+    return (choice(key, variant, 1_000_000, seed, purpose) + 0.5) / 1_000_000.0
+
+
+def normal(key: Column, variant: int, seed: int) -> Column:
+    """A standard normal number from two hashed uniform ones."""
+    radius = F.sqrt(-2.0 * F.ln(uniform(key, variant, seed, "radius")))
+    return radius * F.cos(uniform(key, variant, seed, "angle") * (2.0 * math.pi))
+
+
+def feature_noise(df: DataFrame, id_col: str, features: list[str], scale: float = 0.1, ratio: float = 0.5, seed: int = 7) -> DataFrame:
+    """Gaussian noise on a quarter of `ratio` of the rows."""
+    key = F.col(id_col)
+    chosen = df.where(uniform(key, 0, seed, "chosen") < ratio / 4.0)
     return chosen.select(
         *[c for c in df.columns if c not in features],
-        *[(F.col(f) + scale * F.randn(seed + 1 + i)).alias(f) for i, f in enumerate(features)],
+        *[(F.col(f) + scale * normal(key, i, seed)).alias(f) for i, f in enumerate(features)],
     )
 
 

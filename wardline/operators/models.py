@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.datasets import with_class_weight
+from wardline.operators.datasets import bootstrap, with_class_weight
 from wardline.operators.ordering import exact_percentiles
 
 
@@ -43,17 +43,19 @@ def fit_random_forest(df: DataFrame, features: list[str], label: str = "label",
 
 
 def fit_mlp_ensemble(
-    df: DataFrame, features: list[str], label: str = "label", members: int = 5, hidden: tuple[int, ...] = (256, 128, 64),
+    df: DataFrame, id_col: str, features: list[str], label: str = "label", members: int = 5, hidden: tuple[int, ...] = (256, 128, 64),
     iterations: int = 100, seed: int = 42,
 ) -> list[PipelineModel]:
     """Networks on bootstrap samples; members differ in sample and start weights."""
     out = []
+    drawn = bootstrap(df, id_col, members, seed)
     for i in range(members):
+        sample = drawn.where(F.col("member") == i)
         net = MultilayerPerceptronClassifier(
             layers=[len(features), *hidden, 2], featuresCol="scaled", labelCol=label, maxIter=iterations, seed=seed + i,
             probabilityCol="probability_vec",
         )
-        out.append(Pipeline(stages=[*scaler_stages(features, robust=True), net]).fit(df.sample(True, 1.0, seed + i)))
+        out.append(Pipeline(stages=[*scaler_stages(features, robust=True), net]).fit(sample))
     return out
 
 

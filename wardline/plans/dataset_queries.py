@@ -91,9 +91,16 @@ def class_weights(spark, sf):
     return rounded(ds.class_weights(s, "attack_type"), "weight")
 
 
-@query("bootstrap")
+SQL_DRAWS = "(" + "+".join(f"({sql_choice('doc_id', 'm', 1_000_000, 'bootstrap', 42)}/1000000.0::DOUBLE >= {c})::INT" for c in ds.POISSON_ONE) + ")"
+
+
+@query(
+    "bootstrap",
+    f"""SELECT doc_id, label, m::INT AS member, unnest(range(1, d+1))::INT AS draw FROM
+    (SELECT doc_id, label, m, {SQL_DRAWS} AS d FROM ({SQL_SAMPLES}), (SELECT unnest(range(3)) AS m))""",
+)
 def bootstrap(spark, sf):
-    return ds.bootstrap(samples(spark, sf).select("doc_id", "label"), 3)
+    return ds.bootstrap(samples(spark, sf).select("doc_id", "label"), "doc_id", 3)
 
 
 @query(

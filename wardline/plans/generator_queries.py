@@ -11,7 +11,7 @@ from wardline.plans.common import (
     SQL_MIXED, SQL_PROMPTS, load, mixed_prompts, prompts, quoted, r6, rounded, section, sql_buckets, sql_counts,
     sql_overlap, sql_r6, sql_words,
 )
-from wardline.plans.detector_queries import SQL_FEATURES, event_features, featured
+from wardline.plans.detector_queries import SQL_EVENT_FEATURES, SQL_FEATURES, event_features, featured
 from wardline.plans.vector_queries import ANALYSIS, reference
 
 QUERIES, ORACLE, query = section()
@@ -325,9 +325,22 @@ def training_mix(spark, sf):
     return gn.training_mix(help_prompts(spark, sf), mixed_prompts(spark, sf).where("truth = 1"), "prompt_id", WEIGHTS)
 
 
-@query("feature_noise")
+def sql_uniform(key: str, variant: str, purpose: str, seed: int = 7) -> str:
+    return f"(({sql_choice(key, variant, 1_000_000, purpose, seed)}+0.5)/1000000.0::DOUBLE)"
+
+
+def sql_normal(key: str, i: int) -> str:
+    return f"(sqrt(-2.0*ln({sql_uniform(key, str(i), 'radius')}))*cos({sql_uniform(key, str(i), 'angle')}*2.0*pi()))"
+
+
+@query(
+    "feature_noise",
+    f"""SELECT event_id, {', '.join(f"{sql_r6(f'{f} + 0.1*' + sql_normal('event_id', i))} AS {f}" for i, f in enumerate(en.FEATURES))}
+    FROM ({SQL_EVENT_FEATURES}) WHERE {sql_uniform('event_id', '0', 'chosen')} < 0.5""",
+)
 def feature_noise(spark, sf):
-    return gn.feature_noise(event_features(spark, sf), en.FEATURES, ratio=2.0)
+    noisy = gn.feature_noise(event_features(spark, sf), "event_id", en.FEATURES, ratio=2.0)
+    return rounded(noisy.select("event_id", *en.FEATURES), *en.FEATURES)
 
 
 @query(
@@ -347,5 +360,5 @@ def augment_features(spark, sf):
     rows = attacks.unionByName(normal.withColumn("label", F.lit(0)))
     feats = en.features16(tk.analyze_tokens(rows, reference(spark, sf), "prompt_id", params=ANALYSIS), radius=1)
     feats = feats.select("prompt_id", "label", *en.FEATURES)
-    noisy = gn.feature_noise(feats.where("label = 0"), en.FEATURES, ratio=0.5)
+    noisy = gn.feature_noise(feats.where("label = 0"), "prompt_id", en.FEATURES, ratio=0.5)
     return feats.where("label = 1").unionByName(noisy)

@@ -62,7 +62,7 @@ def random_forest(spark, sf):
 @query("mlp_ensemble")
 def mlp_ensemble(spark, sf):
     rows = training_rows(spark, sf)
-    models = ml.fit_mlp_ensemble(rows, TEXT_FEATURES, iterations=20)
+    models = ml.fit_mlp_ensemble(rows, "doc_id", TEXT_FEATURES, iterations=20)
     scored = ml.score_ensemble(rows, models)
     out = scored.select("doc_id", "label", *[c.alias(n) for n, c in en.ensemble_verdict(F.col("votes"), F.col("probabilities")).items()])
     return rounded(out, "ensemble", "ensemble_uncertainty")
