@@ -67,17 +67,28 @@ def moments_udf(refs: np.ndarray, copies: np.ndarray, radius: int):
     return run
 
 
-def block_moments_udf(radius: int):
-    """(buckets, block bytes, copies) -> the same struct against the block that travels in the row."""
+def merged_moments(parts: list[np.ndarray]) -> np.ndarray:
+    """Moments against several blocks of references as one."""
+    stack = np.stack(parts)
+    return np.stack([stack[:, 0].max(axis=0), stack[:, 1].min(axis=0), stack[:, 2].sum(axis=0), stack[:, 3].sum(axis=0)])
+
+
+def filed_moments_udf(files: list[str], radius: int, read):
+    """The struct of `moments_udf` against references in files (columns c and copies), read block by block."""
 
     @F.pandas_udf("struct<hi:array<double>,lo:array<double>,total:array<double>,squares:array<double>>")
-    def run(buckets: pd.Series, block: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b, flat, weight in zip(buckets, block, copies):
-            refs = np.asarray(flat, dtype=np.float64).reshape(-1, DIMS)
-            norms = (refs**2).sum(axis=1)
-            rows.append(reference_moments(np.asarray(b, dtype=np.int64), refs, norms, np.asarray(weight, float), radius))
-        return pd.DataFrame({c: [r[k] for r in rows] for k, c in enumerate(["hi", "lo", "total", "squares"])})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [np.asarray(b, dtype=np.int64) for b in batch]
+            best: list = [None] * len(texts)
+            for address in files:
+                block = read(address)
+                refs = np.array(block["c"], dtype=np.float64).reshape(-1, DIMS)
+                norms, copies = (refs**2).sum(axis=1), np.array(block["copies"], dtype=np.float64)
+                for i, t in enumerate(texts):
+                    part = reference_moments(t, refs, norms, copies, radius)
+                    best[i] = part if best[i] is None else merged_moments([best[i], part])
+            yield pd.DataFrame({c: [r[k] for r in best] for k, c in enumerate(["hi", "lo", "total", "squares"])})
 
     return run
 
@@ -145,15 +156,35 @@ def top_references_udf(ids: list, refs: np.ndarray, radius: int, first: int, las
     return run
 
 
-def block_top_references_udf(radius: int, last: int):
+def filed_top_references_udf(files: list[str], radius: int, first: int, last: int, read):
+    """The result of `top_references_udf` against references in files (columns ref and c)."""
+
     @F.pandas_udf(TOP_TYPE)
-    def run(buckets: pd.Series, block: pd.Series, ids: pd.Series) -> pd.Series:
-        out = []
-        for b, flat, names in zip(buckets, block, ids):
-            order = np.argsort(np.asarray(names, dtype=object), kind="stable")
-            dense = np.asarray(flat, dtype=np.float64).reshape(-1, DIMS)[order]
-            out.append(top_references(b, [names[i] for i in order], dense, (dense**2).sum(axis=1), radius, 1, last))
-        return pd.Series(out)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found: list = [{} for _ in batch]
+            for address in files:
+                block = read(address)
+                order = np.argsort(np.asarray(block["ref"], dtype=object), kind="stable")
+                refs = np.array(block["c"], dtype=np.float64).reshape(-1, DIMS)[order]
+                ids, norms = [block["ref"][i] for i in order], (refs**2).sum(axis=1)
+                for hits, b in zip(found, batch):
+                    for h in top_references(b, ids, refs, norms, radius, 1, last):
+                        hits.setdefault(h["pos"], []).append((-h["similarity"], h["ref"]))
+                for hits in found:  # keep the best `last` per token between blocks
+                    for pos in hits:
+                        hits[pos] = sorted(hits[pos])[:last]
+            yield pd.Series(
+                [
+                    [
+                        {"pos": pos, "rank": k + 1, "ref": ref, "similarity": -s}
+                        for pos, best in hits.items()
+                        for k, (s, ref) in enumerate(best)
+                        if k + 1 >= first
+                    ]
+                    for hits in found
+                ]
+            )
 
     return run
 

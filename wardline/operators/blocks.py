@@ -1,0 +1,36 @@
+"""One side of an all-against-all comparison as files of bounded size in the shared folder.
+
+A side too large to broadcast is written once; every task of the other side reads
+it file by file, next to its own Arrow batch. Memory stays bounded by one file and
+one batch, nothing passes through the driver, and neither side is shuffled.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame
+
+from wardline.session import shared_folder
+
+
+def write_blocks(df: DataFrame, rows_per_file: int, by: list[str] | None = None) -> list[str]:
+    """Write rows into files of at most `rows_per_file` rows and return their addresses."""
+    path = f"{shared_folder(df.sparkSession)}/blocks_{uuid.uuid4().hex}"
+    writer = df.write.option("maxRecordsPerFile", rows_per_file)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return sorted(df.sparkSession.read.parquet(path).inputFiles())
+
+
+def read_block(address: str) -> dict[str, list]:
+    """The columns of one file; runs inside a task."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, path = pafs.FileSystem.from_uri(address)
+    return pq.ParquetFile(fs.open_input_file(path)).read().to_pydict()
+
+
+def matrix(rows: list) -> np.ndarray:
+    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)

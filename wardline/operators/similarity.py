@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
+from wardline.operators.blocks import matrix, read_block, write_blocks
 from wardline.operators.ordering import latest_per_key, running_index, salted_join
 
 BROADCAST_QUERIES = 10_000  # 64 doubles each: about 5 MB on every executor
-BLOCK_VECTORS = 4_096  # vectors per packed block on the shuffled path
+CELLS = 4_000_000  # cells of one similarity tile (queries x corpus slice)
 HITS = "query_id bigint, corpus_id bigint, similarity double"
 
 
@@ -43,69 +44,73 @@ def keep_best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
+def tiled_hits(query_ids, queries: np.ndarray, corpus_ids, corpus: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
+    """`best_hits` over slices of the corpus, so that one similarity tile stays small."""
+    step = max(1, CELLS // max(1, len(queries)))
+    best = None
+    for start in range(0, len(corpus), step):
+        part = best_hits(query_ids, queries, corpus_ids[start : start + step], corpus[start : start + step], k, threshold)
+        best = part if best is None else trimmed(pd.concat([best, part]), k)
+    return best
+
+
+def trimmed(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    ordered = hits.sort_values(["query_id", "similarity", "corpus_id"], ascending=[True, False, True])
+    return ordered.groupby("query_id").head(k)
+
+
 def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7,
                limit: int = BROADCAST_QUERIES) -> DataFrame:
-    """Exact top-k by cosine.
+    """Exact top-k by cosine; the corpus is read once and not shuffled.
 
-    Up to `limit` queries are broadcast and the corpus is read once, each task
-    giving at most k hits per query. More queries meet the corpus in packed blocks
-    through an equi-join on the corpus block.
+    Up to `limit` queries are broadcast and each task gives at most k hits per query.
+    More queries are written as files of at most `limit` rows and read file by file
+    next to each batch of the corpus.
     """
     n = queries.count()
-    if n <= limit:
-        rows = queries.select(id_col, vec).toPandas()
-        ids = rows[id_col].to_numpy()
-        q = unit_rows(np.array(rows[vec].tolist(), dtype=np.float64).reshape(n, -1))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                if len(batch) == 0:
-                    continue
-                c = unit_rows(np.array(batch[vec].tolist(), dtype=np.float64))
-                part = best_hits(ids, q, batch[id_col].to_numpy(), c, k, threshold)
-                best = part if best is None else pd.concat([best, part])
-                best = best.sort_values(["query_id", "similarity", "corpus_id"], ascending=[True, False, True])
-                best = best.groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        return keep_best(corpus.select(id_col, vec).mapInPandas(scan, HITS), k)
-    blocks = max(1, -(-corpus.count() // BLOCK_VECTORS))
-    packed = pack(corpus.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")), ["_block"], id_col, vec, "c")
-    groups = F.pmod(F.xxhash64(id_col), F.lit(-(-n // BLOCK_VECTORS))).cast("int")
-    asked = pack(queries.withColumn("_group", groups), ["_group"], id_col, vec, "q")
-    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return keep_best(match_blocks(asked.join(packed, "_block"), k, threshold), k)
-
-
-def pack(df: DataFrame, block: list[str], id_col: str, vec: str, name: str) -> DataFrame:
-    """Vectors of a block as one row: ids and a flat array. Blocks are sized by the caller."""
-    item = F.struct(F.col(id_col).cast("long").alias("i"), vx.as_doubles(F.col(vec)).alias("v"))
-    return df.groupBy(*block).agg(F.collect_list(item).alias("_p")).select(
-        *block, F.transform("_p", lambda x: x["i"]).alias(f"{name}_ids"), F.flatten(F.transform("_p", lambda x: x["v"])).alias(f"{name}_flat")
-    )
+    if n > limit:
+        files = write_blocks(queries.select(F.col(id_col).alias("q"), vx.as_doubles(F.col(vec)).alias("v")), max(limit, 1000))
+        return keep_best(corpus.select(id_col, vec).mapInPandas(file_scan({0: files}, id_col, vec, k, threshold), HITS), k)
+    rows = queries.select(id_col, vec).toPandas()
+    ids = rows[id_col].to_numpy()
+    q = unit_rows(matrix(rows[vec].tolist()))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            if len(batch):
+                part = tiled_hits(ids, q, batch[id_col].to_numpy(), unit_rows(matrix(batch[vec].tolist())), k, threshold)
+                best = part if best is None else trimmed(pd.concat([best, part]), k)
+        if best is not None:
+            yield best
 
+    return keep_best(corpus.select(id_col, vec).mapInPandas(scan, HITS), k)
 
-def match_blocks(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Best hits of each pair of a query block and a corpus block."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def file_scan(files: dict[int, list[str]], id_col: str, vec: str, k: int, threshold: float, cell: str | None = None):
+    """A task that compares its corpus batches with the query files of each row's cell."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q_ids, q_flat, c_ids, c_flat in zip(batch["q_ids"], batch["q_flat"], batch["c_ids"], batch["c_flat"]):
-                q = unit_rows(np.asarray(q_flat, dtype=np.float64).reshape(len(q_ids), -1))
-                c = unit_rows(np.asarray(c_flat, dtype=np.float64).reshape(len(c_ids), -1))
-                yield best_hits(q_ids, q, c_ids, c, k, threshold)
+            for name, part in batch.groupby(cell) if cell else [(0, batch)]:
+                if len(part) == 0:
+                    continue
+                c = unit_rows(matrix(part[vec].tolist()))
+                for address in files.get(int(name), []):
+                    block = read_block(address)
+                    q = unit_rows(matrix(block["v"]))
+                    yield tiled_hits(np.asarray(block["q"]), q, part[id_col].to_numpy(), c, k, threshold)
 
-    return pairs.select("q_ids", "q_flat", "c_ids", "c_flat").mapInPandas(score, HITS)
+    return scan
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7,
                lists: int = 16, probes: int = 4, seed: int = 1) -> DataFrame:
     """Top-k by cosine within the `probes` nearest of `lists` k-means cells of each query.
 
-    Cells are cut into blocks of bounded size, so a cell with most of the corpus is
-    many tasks; scores are exact, only far cells are left out.
+    Queries are written as files per cell; every corpus batch reads those of its
+    cells, so the corpus is not shuffled and a crowded cell is many tasks. Scores are
+    exact, only far cells are left out.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -114,22 +119,18 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k:
     model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="_list", maxIter=10).fit(as_vector)
     centers = np.array(model.clusterCenters())  # lists x dimensions: bounded by the parameter
     cells = model.transform(as_vector).select(id_col, vec, "_list")
-    sizes = cells.groupBy("_list").agg(F.count("*").alias("_n"))  # at most `lists` rows
-    sized = cells.join(F.broadcast(sizes), "_list")
-    parts = F.ceil(F.col("_n") / BLOCK_VECTORS)
-    blocks = sized.withColumn("_part", F.pmod(F.xxhash64(id_col), parts).cast("int"))
-    packed = pack(blocks, ["_list", "_part"], id_col, vec, "c")
 
     @F.pandas_udf("array<int>")
     def nearest(batch: pd.Series) -> pd.Series:
-        q = unit_rows(np.array(batch.tolist(), dtype=np.float64))
-        dist = ((q[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+        q = unit_rows(matrix(batch.tolist()))
+        dist = np.stack([((q - c) ** 2).sum(axis=1) for c in centers], axis=1)
         return pd.Series(list(np.argsort(dist, axis=1)[:, :probes].astype(np.int32)))
 
-    asked = queries.select(id_col, vec, F.explode_outer(nearest(F.col(vec))).alias("_list"))
-    groups = max(1, -(-queries.count() // BLOCK_VECTORS))
-    asked = pack(asked.withColumn("_group", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int")), ["_list", "_group"], id_col, vec, "q")
-    return keep_best(match_blocks(asked.join(packed, "_list"), k, threshold), k)
+    asked = queries.select(F.col(id_col).alias("q"), vx.as_doubles(F.col(vec)).alias("v"), F.explode_outer(nearest(F.col(vec))).alias("_list"))
+    files: dict[int, list[str]] = {}
+    for address in write_blocks(asked, BROADCAST_QUERIES, ["_list"]):
+        files.setdefault(int(address.split("_list=")[1].split("/")[0]), []).append(address)
+    return keep_best(cells.mapInPandas(file_scan(files, id_col, vec, k, threshold, "_list"), HITS), k)
 
 
 # --- embedding store ---------------------------------------------------------------------

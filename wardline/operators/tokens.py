@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import geometry as geo
@@ -17,6 +17,7 @@ from wardline.functions import severity as sv
 from wardline.functions import spans as sp
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
+from wardline.operators.blocks import read_block, write_blocks
 from wardline.operators.rows import inline_rows, position_rows
 
 BROADCAST_REFERENCES = 20_000  # 64 counts each: at most about 10 MB on every executor
@@ -81,9 +82,8 @@ def with_reference_similarity(
 ) -> DataFrame:
     """Add arrays max_sim, mean_sim, min_sim, std_sim: every token against all references.
 
-    Up to `limit` distinct references are broadcast. A larger corpus is cut into
-    blocks of at most `limit`; each text meets each block once through an equi-join
-    on (block, salt) and the per-block moments are merged.
+    Up to `limit` distinct references are broadcast. A larger corpus is written as
+    files of at most `limit` rows and read file by file next to each batch of texts.
     """
     size = reference.agg(F.count("*").alias("n"), F.sum("copies").alias("w")).first()
     n, weight = size["n"], float(size["w"] or 0)
@@ -94,7 +94,8 @@ def with_reference_similarity(
         refs, copies, _ = _collect(reference, [])
         scored = df.withColumn("_m", geo.moments_udf(refs, copies, radius)(F.col("buckets")))
     else:
-        scored = _blocked_moments(df, reference, id_col, radius, -(-n // (limit // 2)))
+        udf = geo.filed_moments_udf(_files(reference, limit, []), radius, read_block)
+        scored = df.withColumn("_m", udf(F.col("buckets")))
     mean = F.transform("_m.total", lambda x: x / weight)
     square = F.transform("_m.squares", lambda x: x / weight)
     return scored.withColumns(
@@ -107,60 +108,12 @@ def with_reference_similarity(
     ).drop("_m")
 
 
-def _field(name: str):
-    return lambda row: row[name]
-
-
 def _constant(value: float):
     return lambda _: F.lit(value)
 
 
-def _pack(reference: DataFrame, blocks: int, salts: int) -> DataFrame:
-    """The reference as rows of bounded size (hash groups of about half the broadcast limit),
-    each repeated once per salt so that no task gets all texts."""
-    block_of = F.pmod(F.xxhash64("span"), F.lit(blocks)).cast("int")
-    ref = F.col("ref") if "ref" in reference.columns else F.lit(None).cast("string")
-    item = F.struct(vx.counts(F.col("span")).alias("c"), F.col("copies").cast("double").alias("copies"), ref.alias("ref"))
-    return (
-        reference.select(block_of.alias("_block"), item.alias("r"))
-        .groupBy("_block")
-        .agg(F.collect_list("r").alias("_r"))
-        .select(
-            "_block",
-            F.flatten(F.transform("_r", lambda r: r["c"])).alias("_flat"),
-            F.transform("_r", lambda r: r["copies"]).alias("_copies"),
-            F.transform("_r", lambda r: r["ref"]).alias("_refs"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-        )
-    )
-
-
-def _meet_blocks(df: DataFrame, reference: DataFrame, id_col: str, blocks: int, salts: int = 64) -> DataFrame:
-    """Every text once with every block of a reference of any size, by an equi-join on (block, salt)."""
-    texts = df.select(id_col, "buckets").withColumns(
-        {
-            "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-            "_salt": F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"),
-        }
-    )
-    return texts.join(_pack(reference, blocks, salts), ["_block", "_salt"])
-
-
-def _blocked_moments(df: DataFrame, reference: DataFrame, id_col: str, radius: int, blocks: int) -> DataFrame:
-    met = _meet_blocks(df, reference, id_col, blocks).withColumn(
-        "_m", geo.block_moments_udf(radius)(F.col("buckets"), F.col("_flat"), F.col("_copies"))
-    )
-    names = ["hi", "lo", "total", "squares"]
-    zipped = F.arrays_zip(*[F.col(f"_m.{c}").alias(c) for c in names])
-    tokens = position_rows(met, [id_col], zipped, "z")
-    merged = tokens.groupBy(id_col, "pos").agg(
-        F.max("z.hi").alias("hi"), F.min("z.lo").alias("lo"), F.sum("z.total").alias("total"), F.sum("z.squares").alias("squares")
-    )
-    # One row per text again: as many entries as the text has tokens.
-    whole = merged.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_t"))
-    arrays = F.struct(*[F.transform("_t", _field(c)).alias(c) for c in names])
-    empty = F.struct(*[F.array().cast("array<double>").alias(c) for c in names])
-    return df.join(whole.select(id_col, arrays.alias("_m")), id_col, "left").withColumn("_m", F.coalesce("_m", empty))
+def _files(reference: DataFrame, limit: int, extra: list[str]) -> list[str]:
+    return write_blocks(reference.select(vx.counts(F.col("span")).alias("c"), "copies", *extra), limit)
 
 
 def top_similar_tokens(
@@ -169,19 +122,14 @@ def top_similar_tokens(
 ) -> DataFrame:
     """References of rank first..last per token by cosine, ties by reference name.
 
-    A reference beyond the broadcast limit is met in blocks; each block gives its
-    own best `last` per token and the ranking over those is exact.
+    A reference beyond the broadcast limit is read from files, block by block.
     """
-    n = reference.count()
-    if n <= limit:
+    if reference.count() <= limit:
         refs, _, ids = _collect(reference.orderBy("ref"), ["ref"])
-        tops = geo.top_references_udf(ids, refs, radius, first, last)(F.col("buckets"))
-        return inline_rows(df, [id_col], tops, "pos")
-    met = _meet_blocks(df, reference, id_col, -(-n // (limit // 2)))
-    tops = geo.block_top_references_udf(radius, last)(F.col("buckets"), F.col("_flat"), F.col("_refs"))
-    best = Window.partitionBy(id_col, "pos").orderBy(F.col("similarity").desc(), "ref")
-    ranked = inline_rows(met, [id_col], tops, "pos").withColumn("rank", F.row_number().over(best).cast("long"))
-    return ranked.where(F.col("rank").between(first, last))
+        udf = geo.top_references_udf(ids, refs, radius, first, last)
+    else:
+        udf = geo.filed_top_references_udf(_files(reference, limit, ["ref"]), radius, first, last, read_block)
+    return inline_rows(df, [id_col], udf(F.col("buckets")), "pos")
 
 
 def token_anomaly(max_sim: Column, std_sim: Column) -> Column:
