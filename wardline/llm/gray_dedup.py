@@ -266,3 +266,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = known.join(least, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return of.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The documents without near copies, with all their columns: of each group the one with the smallest id stays.
+
+    A null id is larger than any other; of rows that agree in the id the first stays. `docs` is read more than once and must
+    number its rows alike, as a written table does.
+    """
+    row = F.monotonically_increasing_id().alias("row")
+    groups = near_groups(docs.select(row, F.col(text_col).alias("text")), "row", "text", radius, shingle).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row"))
+    stay = groups.join(docs.select(row, F.col(id_col).alias("id")), "row").groupBy("component_id").agg(first.alias("f")).select(F.col("f.row").alias("row"))
+    return docs.select(row, F.struct("*").alias("doc")).join(stay, "row", "left_semi").select("doc.*")

@@ -93,20 +93,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns are ignored; an empty table gives an empty table. `block` (words per slot) bounds how far a source may end below
     its target: a few blocks, whatever the size of the table.
     """
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    return taken_words(docs, id_col, text_col, source_col, block, limit).drop("row")
+
+
+def taken_words(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, limit: int) -> DataFrame:
+    """`mix` with `row`, the number that monotonically_increasing_id gives each row of `docs`."""
+    number = F.monotonically_increasing_id().alias("row")
+    sizes = docs.select(number, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sizes = common.stored(sizes, "mix-sizes")
     targets = common.checkpointed(source_targets(sizes, limit))
     slots = common.checkpointed(schedule(targets, block))
     used = targets.join(slots.groupBy("src").agg(F.count("*").alias("slots")), "src", "left").withColumn("words", F.least(F.coalesce("slots", F.lit(0)) * block, F.floor("target")))
     rows = sizes.join(used, sizes["source"].eqNullSafe(used["source"])).drop(used["source"])
-    rows = common.checkpointed(shuffled(rows.withColumn("row", F.monotonically_increasing_id())))
+    rows = common.checkpointed(shuffled(rows))
     passes = F.sequence(F.lit(0), F.ceil(F.col("words") / F.col("source_size")) - 1)
     pieces = rows.where("size > 0 and words > 0").withColumn("pass", F.explode(passes)).withColumn("from", F.col("pass") * F.col("source_size") + F.col("at"))
     pieces = pieces.where(F.col("from") < F.col("words")).withColumn("to", F.least(F.col("from") + F.col("size"), "words"))
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     cut = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
     taken = pieces.join(slots, ["src", "rank"]).groupBy("row").agg(F.sum(cut).alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, limit: int = 3) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns; a part of a document rounds to the nearer whole.
+
+    Documents without words are never taken. `docs` is read twice and must number its rows alike, as a written table does.
+    """
+    taken = taken_words(docs, id_col, text_col, source_col, block, limit)
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    copies = taken.where((F.col("size") > 0) & (times > 0)).select("row", times.alias("times"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    return numbered.join(copies, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")
 
 
 BLOCK = 128

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import bpe, gray_dedup, mixing
-from wardline.llm.common import table
+from wardline.llm import adaptive_rules, block_simhash, bpe, bwt_dedup, chat_pairs, gray_dedup, hyper_langid, mixing, quality_trees, toxicity
+from wardline.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict = {}
@@ -23,6 +24,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query(chat_pairs.SQL)
+def op1_preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_pairs.preference_pairs(chat_pairs.broken_off(table(spark, sf, "conversations")))
+
+
 @query()
 def op2_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return gray_dedup.near_groups(table(spark, sf, "documents"))
@@ -34,6 +40,42 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN), path))
 
 
+@query()
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return toxicity.score(docs, model, fold(F.col("doc_id"), 4) == 2)
+
+
+@query()
+def op5_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return block_simhash.fingerprint_table(table(spark, sf, "documents"))
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    forest = quality_trees.fit(docs, table(spark, sf, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return quality_trees.score(docs, forest, fold(F.col("doc_id"), 3) == 1)
+
+
+@query(adaptive_rules.SQL)
+def op7_adaptive_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return adaptive_rules.apply_rules(table(spark, sf, "documents"))
+
+
+@query()
+def op8_repeated_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt_dedup.digests(bwt_dedup.without_repeats(table(spark, sf, "documents")))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    known = hyper_langid.prototypes(docs, fold(F.col("doc_id"), 4) != 2)
+    return hyper_langid.identify(docs, known, fold(F.col("doc_id"), 4) == 2)
+
+
 @query(mixing.SQL)
 def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), block=mixing.BLOCK)
