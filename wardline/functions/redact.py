@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +22,6 @@ class Rule(NamedTuple):
     replacement: str
 
 
-# Brackets around a phone match, so that a second rewrite can keep its last four
-# characters whatever alternative matched.
-OPEN, CLOSE = "\uE000", "\uE001"
-
 # Patterns and masks, in the order in which they run. The token
 # rule runs before the key rule, which would otherwise take the token's head.
 CREDIT_CARD = Rule("credit_card", r"\b(?:\d{4}[-\s]?){3}(\d{4})\b", "****-****-****-$1")
@@ -35,7 +30,7 @@ EMAIL = Rule("email", r"\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[
 PHONE = Rule(
     "phone",
     r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|\+\d{1,3}[-.\s]?\d{3,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}",
-    "***-***-",
+    "***-***-$1",
 )
 PASSWORD = Rule("password", r"(?i)(password|pwd|pass)\s*[:=]\s*['\"]?[^'\"\s]+['\"]?", "$1=[REDACTED]")
 JWT = Rule(
@@ -65,11 +60,13 @@ SENSITIVE_FIELDS = [
 ]
 
 
+# What a match of the phone rule ends in, whatever alternative matched.
+LAST_FOUR = r"(?<=([\s\S]{4}))"
+
+
 def apply_rule(text: Column, rule: Rule) -> Column:
-    if rule.name != "phone":
-        return F.regexp_replace(text, rule.pattern, rule.replacement)
-    bracketed = F.regexp_replace(text, rule.pattern, f"{OPEN}$0{CLOSE}")
-    return F.regexp_replace(bracketed, f"{OPEN}[^{CLOSE}]*([^{CLOSE}]{{4}}){CLOSE}", rule.replacement + "$1")
+    pattern = f"(?:{rule.pattern}){LAST_FOUR}" if rule.name == PHONE.name else rule.pattern
+    return F.regexp_replace(text, pattern, rule.replacement)
 
 
 def redact_text(text: Column, rules: list[Rule] = RULES, enabled: bool = True) -> Column:
@@ -87,14 +84,9 @@ def remove_rule(rules: list[Rule], name: str) -> list[Rule]:
     return [r for r in rules if r.name != name]
 
 
-def redact_with(text: Column, fn: Callable[[str], str]) -> Column:
-    """Redaction by a Python callable, in Arrow batches; for masks no pattern can state."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(fn, na_action="ignore")
-
-    return run(text)
+def redact_with(text: Column, mask: Callable[[Column], Column]) -> Column:
+    """Redaction by a function of columns, for masks that no single pattern states; null stays null."""
+    return F.when(text.isNotNull(), mask(text))
 
 
 def rule_counts(text: Column, rules: list[Rule] = RULES) -> dict[str, Column]:
@@ -103,7 +95,10 @@ def rule_counts(text: Column, rules: list[Rule] = RULES) -> dict[str, Column]:
 
 
 def redact_value(value: Column, dtype: T.DataType, rules: list[Rule] = RULES) -> Column:
-    """Redact a value by its type: strings by rule, nested fields by name and rule."""
+    """Redact a value by its type: strings by rule, nested fields by name and rule.
+
+    Under a sensitive map key a string becomes the mask and any other value null.
+    """
     if isinstance(dtype, T.StringType):
         return redact_text(value, rules)
     if isinstance(dtype, T.StructType):
@@ -118,11 +113,11 @@ def redact_value(value: Column, dtype: T.DataType, rules: list[Rule] = RULES) ->
         return F.when(value.isNotNull(), F.struct(*parts))
     if isinstance(dtype, T.ArrayType):
         return F.transform(value, lambda item: redact_value(item, dtype.elementType, rules))
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
-        return F.transform_values(
-            value,
-            lambda k, v: F.when(F.lower(k).isin(SENSITIVE_FIELDS), REDACTED).otherwise(redact_text(v, rules)),
-        )
+    if isinstance(dtype, T.MapType):
+        kind = dtype.valueType
+        masked = F.lit(REDACTED) if isinstance(kind, T.StringType) else F.lit(None).cast(kind)
+        hidden = lambda k: F.lower(k.cast("string")).isin(SENSITIVE_FIELDS)
+        return F.transform_values(value, lambda k, v: F.when(hidden(k), masked).otherwise(redact_value(v, kind, rules)))
     return value
 
 

@@ -27,6 +27,7 @@ TAILS = [
     "fetch https://bob:pw#@host.example.com/x",
     "from 10.20.30.40 via 192.168.1.77",
     "mac aa:bb:cc:dd:ee:0f and 00-1B-44-11-3A-B7 and aa:bb-cc:dd:ee:0f",
+    "\uE000 keep this, call 555-987-# now \uE001 and \uE000 this too \uE001",
 ]
 
 
@@ -54,9 +55,10 @@ def sql_replace(text: str, pattern: str, mask: str) -> str:
 
 def sql_rule(text: str, rule: rd.Rule) -> str:
     """The rule in the pattern language of DuckDB: groups as backslash digits, no back-references in patterns."""
-    if rule.name == "phone":
-        inner = sql_replace(text, rule.pattern, rd.OPEN + r"\0" + rd.CLOSE)
-        return sql_replace(inner, f"{rd.OPEN}[^{rd.CLOSE}]*([^{rd.CLOSE}]{{4}}){rd.CLOSE}", rule.replacement + r"\1")
+    if rule.name == "phone":  # the parts between the matches, each but the first behind a masked match
+        parts, found = f"string_split_regex({text}, {literal(rule.pattern)})", f"regexp_extract_all({text}, {literal(rule.pattern)})"
+        masked = f"list_transform({found}, lambda m: '***-***-'||right(m, 4))"
+        return f"array_to_string(list_transform(list_zip({parts}, list_concat({masked}, [''])), lambda z: z[1]||z[2]), '')"
     if rule.name == "mac_address":
         for sep in "-:":
             pattern = rf"\b[0-9A-Fa-f]{{2}}{sep}(?:[0-9A-Fa-f]{{2}}{sep}){{4}}([0-9A-Fa-f]{{2}})\b"
@@ -139,6 +141,8 @@ def event_records(spark, sf):
         F.struct(mail.alias("contact"), F.concat(F.lit("tok"), k).alias("token"), k.cast("int").alias("k")).alias("account"),
         F.array(F.struct(ip.alias("host"), uid.alias("session_id")), F.struct(F.col("event_type").alias("host"), k.alias("session_id"))).alias("items"),
         F.create_map(F.lit("api_key"), k, F.lit("note"), F.concat(F.lit("mail "), mail)).alias("extra"),
+        F.create_map(F.lit("password"), k.cast("int"), F.lit("count"), k.cast("int")).alias("numbers"),
+        F.create_map(F.lit("seen"), F.array(ip, mail), F.lit("Token"), F.array(ip)).alias("lists"),
         F.concat(F.lit("seen "), ip).alias("message"),
     )
 
@@ -147,6 +151,7 @@ SQL_RECORDS = f"""SELECT event_id, '[REDACTED]' AS password,
     {sql_redact("'user'||user_id||'@example.com'")} AS contact, '[REDACTED]' AS token, (props->>'$.k')::INT AS k,
     {sql_redact("'10.0.0.'||(props->>'$.k')")}||'/[REDACTED],'||{sql_redact('event_type')}||'/[REDACTED]' AS items,
     'api_key=[REDACTED];note='||{sql_redact("'mail user'||user_id||'@example.com'")} AS extra,
+    'null,'||(props->>'$.k') AS numbers, {sql_redact("'10.0.0.'||(props->>'$.k')")}||','||{sql_redact("'user'||user_id||'@example.com'")}||'/null' AS lists,
     {sql_redact("'seen 10.0.0.'||(props->>'$.k')")} AS message FROM events"""
 
 
@@ -156,6 +161,8 @@ def _flat_records(df):
         F.col("account.k").alias("k"),
         F.array_join(F.transform("items", lambda i: F.concat_ws("/", i["host"], i["session_id"])), ",").alias("items"),
         tx.map_as_text(F.col("extra")).alias("extra"), "message",
+        F.concat_ws(",", F.coalesce(F.col("numbers")["password"].cast("string"), F.lit("null")), F.col("numbers")["count"].cast("string")).alias("numbers"),
+        F.concat_ws("/", F.array_join(F.col("lists")["seen"], ","), F.coalesce(F.array_join(F.col("lists")["Token"], ","), F.lit("null"))).alias("lists"),
     )
 
 
@@ -206,6 +213,4 @@ def audit_record(spark, sf):
     f"SELECT doc_id, regexp_replace(text, '[0-9]', 'N', 'g') AS text FROM ({SQL_LINES})",
 )
 def redact_callable(spark, sf):
-    import re
-
-    return log_lines(spark, sf).select("doc_id", rd.redact_with(F.col("text"), lambda t: re.sub("[0-9]", "N", t)).alias("text"))
+    return log_lines(spark, sf).select("doc_id", rd.redact_with(F.col("text"), lambda t: F.translate(t, "0123456789", "N" * 10)).alias("text"))
