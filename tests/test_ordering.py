@@ -32,7 +32,7 @@ def by_key(rows):
 
 
 def test_running_index(df, rows):
-    got = {r.id: r.idx for r in od.running_index(df, ["key"], ["t", "id"], F.floor(F.col("t") / 100)).collect()}
+    got = {r.id: r.idx for r in od.running_index(df, ["key"], ["t", "id"]).collect()}
     want = {r[0]: i for part in by_key(rows).values() for i, r in enumerate(part)}
     assert got == want
 
@@ -40,7 +40,7 @@ def test_running_index(df, rows):
 @pytest.mark.parametrize("block", [16, 100, 100000])
 @pytest.mark.parametrize("skip", [False, True])
 def test_rolling_sum(df, rows, block, skip):
-    indexed = od.running_index(df, ["key"], ["t", "id"], F.floor(F.col("t") / 100))
+    indexed = od.running_index(df, ["key"], ["t", "id"])
     rolled = od.rolling_sum(indexed, ["key"], "idx", F.col("id"), 10, "s", skip_current=skip, block=block)
     got = {r.id: r.s for r in rolled.collect()}
     want = {}
@@ -53,7 +53,7 @@ def test_rolling_sum(df, rows, block, skip):
 
 
 def test_lag(df, rows):
-    indexed = od.running_index(df, ["key"], ["t", "id"], F.floor(F.col("t") / 100))
+    indexed = od.running_index(df, ["key"], ["t", "id"])
     got = {r.id: (r.p1, r.p2) for r in od.lag_by_index(indexed, ["key"], "idx", {"p1": ("id", 1), "p2": ("id", 2)}, block=7).collect()}
     for part in by_key(rows).values():
         ids = [None, None] + [r[0] for r in part]
@@ -78,17 +78,21 @@ def test_exact_percentiles(df, rows):
     assert whole == pytest.approx(np.percentile([r[3] for r in rows], 90))
 
 
-def test_value_bucket_is_monotone(spark):
-    values = sorted([-1e12, -5.0, -1e-9, 0.0, 1e-9, 0.3, 0.3000001, 1.0, 2.5, 1e6, 1e12])
-    got = [r.b for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", od.value_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
-    assert got == sorted(got)
+@pytest.mark.parametrize("what", ["one second", "one day", "one value range"])
+def test_ranges_stay_bounded(spark, what):
+    """All rows of one key, close together: no range holds much more than its share."""
+    n = 20_000
+    t = {"one second": F.lit(5), "one day": F.col("id") % 86400, "one value range": 0.5 + F.col("id") / 1e9}[what]
+    df = spark.range(n).select("id", F.lit("k").alias("key"), t.alias("t"))
+    sizes = [r["count"] for r in od.parted(df, ["key"], ["t", "id"]).groupBy("_part").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 2 * n / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = od.running_index(df, ["key"], ["t", "id"]).agg(F.max("idx"), F.count_distinct("idx")).first()
+    assert tuple(last) == (n - 1, n)
 
 
-def test_salted_join_keeps_all_rows(spark, df, rows):
-    small = spark.createDataFrame([("hot", 1), ("a", 2)], "key string, w int")
-    joined = od.salted_join(df, small, ["key"], how="left")
-    assert joined.count() == len(rows)
-    assert joined.where("key = 'hot' and w = 1").count() == sum(1 for r in rows if r[1] == "hot")
+def test_null_keys_are_a_key(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id long, key string")
+    assert {r.id: r.idx for r in od.running_index(df, ["key"], ["id"]).collect()} == {1: 0, 2: 1, 3: 0}
 
 
 def test_latest_per_key(df, rows):

@@ -65,7 +65,7 @@ SECURITY_WORDS = [
     "anomaly", "unusual", "abnormal", "outlier",
     "security", "violation", "alert", "incident",
 ]
-SECURITY_LOGGERS = ["security", "auth", "psi"]
+SECURITY_LOGGERS = ["security", "auth"]
 
 # Tool-call parameter rules.
 PATH_PATTERNS = ["../", "..\\"]

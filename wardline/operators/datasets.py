@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.operators.generate import choice
-from wardline.operators.ordering import running_index, salted_join
+from wardline.operators.ordering import running_index
 from wardline.operators.rows import fenced
 
 
@@ -25,29 +25,27 @@ def split(df: DataFrame, id_col: str, share: float = 0.8, seed: int = 0) -> Data
     return df.withColumn("part", F.when(in_train, "train").otherwise("test"))
 
 
-def hash_order(id_col: str, seed: int = 0) -> tuple[Column, Column]:
-    """A shuffled order as a column, and its bucket for `running_index`."""
-    digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    return digest, F.conv(F.substring(digest, 1, 3), 16, 10).cast("long")
+def hash_order(id_col: str, seed: int = 0) -> Column:
+    """A shuffled order as a column."""
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float = 0.2, seed: int = 0) -> DataFrame:
     """Add `part` with exactly ceil(share * n) test rows of every label, in hash order.
 
-    Ranks come from hash buckets, so a label with most of the rows is many tasks.
+    Ranks come from ranges of the hash, so a label with most of the rows is many tasks.
     """
-    digest, bucket = hash_order(id_col, seed)
-    ranked = running_index(df.withColumn("_h", digest), [label], ["_h", id_col], bucket, "_rank")
+    ranked = running_index(df.withColumn("_h", hash_order(id_col, seed)), [label], ["_h", id_col], "_rank")
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    joined = salted_join(ranked, sizes, [label])
+    joined = ranked.join(sizes, label)
     return joined.withColumn("part", F.when(F.col("_rank") < F.col("_n") * test_share, "test").otherwise("train")).drop(
         "_h", "_rank", "_n"
     )
 
 
 def validate(df: DataFrame, text_col: str = "text", label: str = "label") -> DataFrame:
-    """Problems of a dataset in one row. Duplicates are counted over text hashes, in two aggregates."""
-    per_text = df.groupBy(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("_t")).agg(
+    """Problems of a dataset in one row. Duplicates are counted over text hashes, in two aggregates; null and empty differ."""
+    per_text = df.groupBy(F.sha2(text_col, 256).alias("_t")).agg(
         F.count("*").alias("_n"),
         F.count_if(F.regexp_replace(F.coalesce(text_col, F.lit("")), tx.BLANK, "") == "").alias("_blank"),
         F.count_if(F.col(label) == 0).alias("_normal"),
@@ -90,10 +88,10 @@ def dataset_stats(df: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     return totals.join(sources, keys)
 
 
-def label_prompts(df: DataFrame, order: list[str], bucket: Column, text_col: str = "text") -> DataFrame:
+def label_prompts(df: DataFrame, order: list[str], text_col: str = "text") -> DataFrame:
     """Automatic labels with the position of the row in the batch."""
     labelled = df.withColumns(tx.auto_label(F.col(text_col)))
-    return running_index(labelled, [], order, bucket, "batch_index")
+    return running_index(labelled, [], order, "batch_index")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -105,7 +103,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
-    return salted_join(df, class_weights(df, label).select(label, "weight"), [label])
+    return df.join(class_weights(df, label).select(label, "weight"), label)
 
 
 # Cumulative probabilities of a Poisson variable of mean 1: how often a row is drawn when as

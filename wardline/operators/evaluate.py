@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.ordering import cumulative_counts, exact_percentiles, salted_join
+from wardline.operators.ordering import at_percentiles, cumulative_counts, value_counts
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -65,11 +65,14 @@ def roc_curve(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def auc_roc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve (tied scores count half); .5 when a class is missing."""
-    t = score_table(df, keys)
+    return score_table(df, keys).groupBy(*keys).agg(roc_area())
+
+
+def roc_area() -> Column:
     strip = F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2.0)
     area = F.sum(strip) / (F.max("total_pos").cast("double") * F.max("total_neg"))
     both = (F.max("total_pos") > 0) & (F.max("total_neg") > 0)
-    return t.groupBy(*keys).agg(F.when(both, area).otherwise(0.5).alias("auc_roc"))
+    return F.when(both, area).otherwise(0.5).alias("auc_roc")
 
 
 def pr_points(t: DataFrame) -> DataFrame:
@@ -92,8 +95,12 @@ def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def auc_pr(df: DataFrame, keys: list[str]) -> DataFrame:
     """Trapezoid area under the precision-recall points, positive; 0 without positives."""
+    return pr_points(score_table(df, keys)).groupBy(*keys).agg(pr_area())
+
+
+def pr_area() -> Column:
     strip = (F.col("recall") - F.col("_r0")) * (F.col("precision") + F.col("_p0")) / 2.0
-    return pr_points(score_table(df, keys)).groupBy(*keys).agg(F.sum(strip).alias("auc_pr"))
+    return F.sum(strip).alias("auc_pr")
 
 
 def class_report(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -125,21 +132,19 @@ def class_report(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred:
 
 def latency_profile(df: DataFrame, keys: list[str], millis: str, target: float = 200.0, by_mean: bool = False) -> DataFrame:
     """Count, mean, spread and exact p95/p99 of a duration; whether p95 (or the mean) meets the target."""
-    basic = df.groupBy(*keys).agg(
-        F.count(millis).alias("n"), F.avg(millis).alias("avg_ms"), F.stddev_pop(millis).alias("std_ms"),
-        F.min(millis).alias("min_ms"), F.max(millis).alias("max_ms"), F.sum(millis).alias("sum_ms"),
-    )
-    tails = exact_percentiles(df, keys, F.col(millis), {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    counted = value_counts(df, keys, F.col(millis)).withColumn("nv", F.col("n") * F.col("value"))
+    ranked = cumulative_counts(counted, keys, ["n", "nv"])
+    off = F.col("value") - F.col("total_nv") / F.col("total_n")
+    profile = ranked.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.max("total_nv") / F.max("total_n")).alias("avg_ms"),
+        F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n")).alias("std_ms"), F.min("value").alias("min_ms"), F.max("value").alias("max_ms"),
+        F.max("total_nv").alias("sum_ms"), *at_percentiles({"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}),
+    )
     met = F.col("avg_ms") if by_mean else F.col("p95_ms")
-    return basic.join(tails, keys).withColumn("target_met", met <= target)
+    return profile.withColumn("target_met", met <= target)
 
 
-FINDINGS = [
-    ("High average processing time", "Consider model optimization or hardware acceleration"),
-    ("High processing time variability", "Investigate caching mechanisms or load balancing"),
-    ("Significant processing time outliers", "Profile outlier cases and optimize hot paths"),
-    ("Suboptimal concurrency utilization", "Increase concurrent request limit or optimize async operations"),
-]
+FINDINGS = [("slow_mean", "speed_up_model"), ("unsteady", "balance_load"), ("slow_tail", "profile_outliers"), ("idle_slots", "raise_concurrency")]
 
 
 def bottlenecks(profile: DataFrame, keys: list[str], total: str) -> DataFrame:
@@ -170,8 +175,9 @@ def throughput(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 def evaluate(df: DataFrame, keys: list[str], millis: str = "ms", target: float = 200.0) -> DataFrame:
     """One row per run: confusion, P/R/F1, rates, both areas and latency."""
     counts = confusion(df, keys).withColumns({**prf_columns(), **rate_columns()})
+    areas = pr_points(score_table(df, keys)).groupBy(*keys).agg(roc_area(), pr_area())
     latency = latency_profile(df, keys, millis, target).drop("sum_ms")
-    return counts.join(auc_roc(df, keys), keys).join(auc_pr(df, keys), keys).join(latency, keys)
+    return counts.join(areas, keys).join(latency, keys)
 
 
 def evaluation_summary(runs: DataFrame, keys: list[str], order: str, fnr_target: float = 0.05) -> DataFrame:
@@ -239,7 +245,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 50) -> Dat
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     bounds = counted.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    joined = salted_join(counted, bounds, keys)
+    joined = counted.join(bounds, keys) if keys else counted.crossJoin(bounds)
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     binned = joined.withColumns({"bin": index.cast("long"), "_w": width})

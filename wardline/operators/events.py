@@ -12,12 +12,12 @@ from wardline.functions import text as tx
 from wardline.operators.evaluate import latency_profile
 from wardline.operators.generate import choice
 from wardline.operators.ordering import (
-    lag_by_index, rolling_sum, running_index, salted_join, trailing_count,
+    lag_by_index, rolling_sum, running_index, trailing_count,
 )
 from wardline.operators.rows import fenced, inline_rows
 
-# Brute-force window, threshold and length of the remembered history.
-WINDOW_SECONDS, MIN_FAILURES, MAX_FAILURES = 300, 5, 100
+# Brute-force window and threshold.
+WINDOW_SECONDS, MIN_FAILURES = 300, 5
 
 
 def micros(ts: Column) -> Column:
@@ -26,13 +26,12 @@ def micros(ts: Column) -> Column:
 
 def brute_force(
     failures: DataFrame, keys: list[str], ts: str = "ts", window_seconds: int = WINDOW_SECONDS,
-    threshold: int = MIN_FAILURES, cap: int = MAX_FAILURES,
+    threshold: int = MIN_FAILURES,
 ) -> DataFrame:
     """Failed logins with at least `threshold` failures of the same key in the trailing window, itself included."""
     timed = failures.withColumn("_us", micros(F.col(ts)))
-    counted = trailing_count(timed, keys, "_us", window_seconds * 1_000_000, "_n")
-    hits = counted.where(F.col("_n") >= threshold)
-    return hits.withColumn("failed_attempts", F.least("_n", F.lit(cap))).drop("_us", "_n")
+    counted = trailing_count(timed, keys, "_us", window_seconds * 1_000_000, "failed_attempts")
+    return counted.where(F.col("failed_attempts") >= threshold).drop("_us")
 
 
 def blocked_sources(brute: DataFrame, source: str, ts: str = "ts") -> DataFrame:
@@ -42,7 +41,7 @@ def blocked_sources(brute: DataFrame, source: str, ts: str = "ts") -> DataFrame:
 
 def blocked_success(successes: DataFrame, blocked: DataFrame, source: str, ts: str = "ts", block_ttl_seconds: int | None = None) -> DataFrame:
     """Successful logins after their source was blocked; without a ttl a block never ends."""
-    joined = salted_join(successes, blocked, [source]).where(F.col(ts) > F.col("blocked_at"))
+    joined = successes.join(blocked, source).where(F.col(ts) > F.col("blocked_at"))
     if block_ttl_seconds is not None:
         joined = joined.where(micros(F.col(ts)) <= micros(F.col("blocked_at")) + block_ttl_seconds * 1_000_000)
     return joined
@@ -74,6 +73,9 @@ def add_tag(tags: Column, tag: str) -> Column:
     return F.array_union(tags, F.array(F.lit(tag)))
 
 
+# Titles, descriptions, techniques and tags of the events below.
+
+
 def brute_force_events(brute: DataFrame, source: str, user: str, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     src, usr = F.col(source).cast("string"), F.col(user).cast("string")
     return brute.withColumns(
@@ -282,14 +284,14 @@ def trace_log_correlation(logs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def drift_flag(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, wrong: str, window: int = 1000, threshold: float = 0.1,
+    df: DataFrame, keys: list[str], order: list[str], wrong: str, window: int = 1000, threshold: float = 0.1,
     block: int = 65536,
 ) -> DataFrame:
     """Rolling error rate of the last `window` rows against the key's overall rate."""
-    indexed = running_index(df, keys, order, bucket)
+    indexed = running_index(df, keys, order)
     rolled = rolling_sum(indexed, keys, "idx", F.col(wrong).cast("int"), window, "_w", block=block)
     base = df.groupBy(*keys).agg(F.avg(F.col(wrong).cast("int")).alias("baseline"))
-    joined = salted_join(rolled, base, keys)
+    joined = rolled.join(base, keys)
     rate = F.col("_w") / F.least(F.col("idx") + 1, F.lit(window))
     return joined.withColumn("error_rate", rate).withColumn(
         "drift", (F.col("idx") + 1 >= window) & (F.abs(F.col("error_rate") - F.col("baseline")) > threshold)
@@ -305,9 +307,9 @@ def rapid_fire(calls: DataFrame, user: str, ts: str, minimum: int = 100, seconds
     return calls.groupBy(user, window.alias("window")).agg(F.count("*").alias("calls")).where(F.col("calls") >= minimum)
 
 
-def sequence_escalation(calls: DataFrame, user: str, order: list[str], bucket: Column, risk: str) -> DataFrame:
+def sequence_escalation(calls: DataFrame, user: str, order: list[str], risk: str) -> DataFrame:
     """Calls of risk 2 whose two predecessors of the same user had risk 0 and then 1."""
-    indexed = running_index(calls, [user], order, bucket)
+    indexed = running_index(calls, [user], order)
     lagged = lag_by_index(indexed, [user], "idx", {"_one": (risk, 1), "_two": (risk, 2)})
     return lagged.where((F.col(risk) == 2) & (F.col("_one") == 1) & (F.col("_two") == 0)).drop("_one", "_two", "idx")
 

@@ -1,8 +1,10 @@
 """Ordered computations that stay parallel when one key holds much of the data.
 
-A window over a key is one task per key. The helpers here cut a key's ordered
-rows into blocks, give each block the few earlier rows its frames reach back to
-(its halo), and run the window per (key, block).
+A window over a key is one task per key. Here the rows of all keys are cut into
+ranges of (keys, order) of about equal size, so a key with many rows is many
+ranges, whatever its values: running totals come from the rows inside a range
+plus the totals of the ranges before it. Frames of fixed length run per block of
+a gap-free index, which gets the few earlier rows its frames reach back to.
 """
 
 from __future__ import annotations
@@ -12,28 +14,44 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import checkpointed
 
-def running_index(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "idx") -> DataFrame:
-    """Exact 0-based position of each row within its key.
 
-    `bucket` must not decrease along `order`. Rows are numbered inside
-    (key, bucket); bucket sizes, one small row each, give the offsets.
+def parted(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The rows with `_part`, the number of their range of (keys, order).
+
+    Spark cuts the ranges by sampled counts, as many as shuffle partitions. They are
+    checkpointed, since a row must keep its range however often the result is read.
     """
-    cut = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    numbered = cut.withColumn("_row", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(offsets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_row").cast("long") + F.col("_offset"))
-        .drop("_row", "_offset", "_bucket")
-    )
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(ranges, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def running_totals(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
+    """Add, by name, the sum of a column over the rows of the same key up to and with each row.
+
+    `order` must be total within a key. Every window is bounded by a range; the
+    offsets have one row per (range, key).
+    """
+    p = parted(df, keys, order)
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = p.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    starts = totals.select("_part", *keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    joined = null_safe_join(p.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}), starts, ["_part", *keys])
+    return joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop("_part", *[f"_o_{n}" for n in sums])
+
+
+def running_index(df: DataFrame, keys: list[str], order: list[str], out: str = "idx") -> DataFrame:
+    """Exact 0-based position of each row within its key."""
+    return running_totals(df, keys, order, {out: F.lit(1).cast("long")}).withColumn(out, F.col(out) - 1)
 
 
 def over_blocks(
@@ -66,22 +84,6 @@ def lag_by_index(df: DataFrame, keys: list[str], idx: str, columns: dict[str, tu
     return over_blocks(df, keys, idx, block, reach, compute)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Join a table to an aggregate of one row per key, spreading hot keys.
-
-    The big side takes a salt from its row content, the small side is repeated
-    once per salt. Null keys never match, as in any equi-join.
-    """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns that can be hashed (maps and variants cannot)."""
-    return [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-
-
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`; a partial aggregate, so hot keys shrink before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -91,12 +93,6 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return picked.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def value_bucket(x: Column) -> Column:
-    """Monotone bucket of a double: 256 per octave, sign kept, at most ~70 000 in all."""
-    magnitude = F.log2(F.lit(1.0) + F.abs(x) * F.lit(1024.0))
-    return F.floor(F.signum(x) * magnitude * F.lit(256.0)).cast("long")
-
-
 def value_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return (
         df.where(value.isNotNull())
@@ -106,40 +102,18 @@ def value_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 
 def cumulative_counts(vc: DataFrame, keys: list[str], sums: list[str], descending: bool = False) -> DataFrame:
-    """Per distinct `value`: running totals `cum_<s>` of `sums`, this value included, and `total_<s>`.
-
-    Two levels: totals per value bucket (at most ~70 000 rows per key) give the
-    offsets, the window over the values themselves runs inside one bucket.
-    """
-    b = vc.withColumn("_b", value_bucket(F.col("value")) * (-1 if descending else 1))
+    """Per distinct `value`: running totals `cum_<s>` of `sums`, this value included, and `total_<s>`."""
     order = F.col("value").desc() if descending else F.col("value").asc()
-    totals = b.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = totals.select(
-        *keys,
-        "_b",
-        *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
-        *[F.sum(f"_t_{s}").over(whole).alias(f"total_{s}") for s in sums],
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = b.withColumns({f"_i_{s}": F.sum(s).over(inside) for s in sums}).join(offsets, [*keys, "_b"])
-    return joined.select(
-        *keys,
-        "value",
-        *sums,
-        *[(F.col(f"_i_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
-        *[f"total_{s}" for s in sums],
-    )
-
+    running = running_totals(vc, keys, [order], {f"cum_{s}": F.col(s) for s in sums})
+    whole = vc.groupBy(*keys).agg(*[F.sum(s).alias(f"total_{s}") for s in sums])
+    if not keys:  # one row
+        running, whole = running.withColumn("_k", F.lit(0)), whole.withColumn("_k", F.lit(0))
+    joined = null_safe_join(running, whole, keys or ["_k"])
+    return joined.select(*keys, "value", *sums, *[f"cum_{s}" for s in sums], *[f"total_{s}" for s in sums])
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: Column, named: dict[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles per key, exact, without collecting a group.
 
-    Distinct values are counted, ranks come from `cumulative_counts`, and only the
-    values at the two neighbouring ranks of each percentile survive.
-    """
-    ranked = cumulative_counts(value_counts(df, keys, value), keys, ["n"])
+def at_percentiles(named: dict[str, float]) -> list[Column]:
+    """Aggregates over `cumulative_counts` rows: linear-interpolated percentiles by name."""
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     aggs = []
     for name, p in named.items():
@@ -148,7 +122,17 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, named: dict
         low = F.max(F.when((first <= lo) & (lo <= last), F.col("value")))
         high = F.max(F.when((first <= hi) & (hi <= last), F.col("value")))
         aggs.append((low + (high - low) * F.max(h - lo)).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: Column, named: dict[str, float], count: str | None = None) -> DataFrame:
+    """Linear-interpolated percentiles per key, exact, without collecting a group; with the number of values as `count`.
+
+    Distinct values are counted, ranks come from `cumulative_counts`, and only the
+    values at the two neighbouring ranks of each percentile survive.
+    """
+    ranked = cumulative_counts(value_counts(df, keys, value), keys, ["n"])
+    return ranked.groupBy(*keys).agg(*at_percentiles(named), *([F.sum("n").alias(count)] if count else []))
 
 
 def rolling_sum(
@@ -173,25 +157,13 @@ def rolling_sum(
 def trailing_count(df: DataFrame, keys: list[str], micros: str, window_micros: int, out: str) -> DataFrame:
     """Rows of the same key in the closed interval [t - window, t], t included with all its ties.
 
-    Sweep line: every row enters at t and leaves after t + window, and the running
-    sum of entries and exits is the count. Time buckets carry their net change to
-    later buckets, so a key with most of the rows is many small tasks, whatever
-    the number of rows in one window.
+    Sweep line: the rows of a time enter at t and leave after t + window, and the
+    running total of entries and exits is the count. Rows of one (key, t) collapse
+    first; a burst of one key is cut into ranges like any other.
     """
-    enter = df.withColumns({"_t": F.col(micros), "_exit": F.lit(0), "_d": F.lit(1).cast("long")})
-    leave = df.select(*keys, (F.col(micros) + F.lit(window_micros)).alias("_t"), F.lit(1).alias("_exit"), F.lit(-1).cast("long").alias("_d"))
-    both = enter.unionByName(leave, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_t") / window_micros).cast("long"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        both.groupBy(*keys, "_bucket")
-        .agg(F.sum("_d").alias("_net"))
-        .withColumn("_offset", F.coalesce(F.sum("_net").over(before), F.lit(0)))
-        .drop("_net")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_exit").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = both.withColumn("_in", F.sum("_d").over(inside)).where("_exit = 0")
-    return (
-        counted.join(offsets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_in") + F.col("_offset"))
-        .drop("_t", "_exit", "_d", "_bucket", "_in", "_offset")
-    )
+    times = df.groupBy(*keys, F.col(micros).alias("_t")).agg(F.count("*").alias("_d"))
+    enter = times.withColumn("_exit", F.lit(0))
+    leave = times.select(*keys, (F.col("_t") + F.lit(window_micros)).alias("_t"), (-F.col("_d")).alias("_d"), F.lit(1).alias("_exit"))
+    swept = running_totals(enter.unionByName(leave), keys, ["_t", "_exit"], {out: F.col("_d")}).where("_exit = 0")
+    counts = swept.select(*keys, F.col("_t").alias(micros), out)
+    return null_safe_join(df, counts, [*keys, micros])

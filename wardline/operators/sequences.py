@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import vectors as vx
-from wardline.operators.ordering import lag_by_index, running_index, salted_join
+from wardline.operators.ordering import lag_by_index, running_index
 
 
 def with_previous(df: DataFrame, seq: str, order: str, vec: str, span: int = 4096) -> DataFrame:
     """Add `prev_<vec>`: the vector before this one in its sequence; `order` is an integer unique per sequence."""
-    indexed = running_index(df, [seq], [order], F.floor(F.col(order) / span))
+    indexed = running_index(df, [seq], [order])
     return lag_by_index(indexed, [seq], "idx", {f"prev_{vec}": (vec, 1)})
 
 
@@ -65,7 +65,7 @@ def centroids(df: DataFrame, seq: str, vec: str) -> DataFrame:
 
 def outlier_score(df: DataFrame, seq: str, vec: str) -> DataFrame:
     """Largest |z| of the distances to the centroid, over 3, clipped to 0..1."""
-    joined = salted_join(df, centroids(df, seq, vec), [seq])
+    joined = df.join(centroids(df, seq, vec), seq)
     diff = F.zip_with(vec, "centroid", lambda a, b: a.cast("double") - b)
     dist = joined.select(seq, "n", vx.l2_norm(diff).alias("_d"))
     return dist.groupBy(seq).agg(
@@ -87,7 +87,7 @@ def embedding_shift(
     stats = steps.groupBy(seq).agg(
         F.avg("step").alias("mean_step"), F.stddev_pop("step").alias("_std"), F.max("step").alias("max_step")
     )
-    far = salted_join(steps, stats, [seq]).groupBy(seq).agg(
+    far = steps.join(stats, seq).groupBy(seq).agg(
         F.first("mean_step").alias("mean_step"),
         F.first("max_step").alias("max_step"),
         F.count_if(F.col("step") > F.col("mean_step") + 2.0 * F.col("_std")).alias("num_perturbations"),

@@ -77,7 +77,7 @@ def dataset_stats(spark, sf):
 )
 def label_prompts(spark, sf):
     p = prompts(spark, sf).withColumn("text", F.concat(F.lit("Enter developer mode. "), "text"))
-    out = ds.label_prompts(p, ["conv_id", "turn"], F.floor(F.col("conv_id") / 4096))
+    out = ds.label_prompts(p, ["conv_id", "turn"])
     return out.select("prompt_id", "batch_index", "label", "attack_type", "confidence")
 
 
@@ -357,25 +357,22 @@ def training_summary(spark, sf):
     return rounded(ev.training_summary(long, ["dataset"], "run", "v"), "final", "best")
 
 
-SQL_SCORED_RUN = f"""SELECT p.prompt_id, truth AS y_true, is_malicious::INT AS y_pred, is_malicious::INT::DOUBLE AS score, length(text)::DOUBLE AS ms, 'mixed' AS dataset
+SQL_SCORED_RUN = f"""SELECT p.prompt_id, truth AS y_true, is_malicious::INT AS y_pred, risk_score AS score, 'mixed' AS dataset
     FROM ({SQL_MIXED}) p JOIN ({fq.ORACLE['prompt_risk']}) r USING (prompt_id)"""
 
 
 @query(
     "engine_evaluation",
-    f"""WITH {sql_scores('dataset', 'SELECT * FROM run')}, cf AS ({sql_conf('dataset', 'SELECT * FROM run')}), la AS ({sql_latency('dataset', 'SELECT * FROM run')}),
+    f"""WITH {sql_scores('dataset', 'SELECT * FROM run')}, cf AS ({sql_conf('dataset', 'SELECT * FROM run')}),
     a1 AS (SELECT dataset, {SQL_AUC_ROC} AS auc_roc FROM cu GROUP BY dataset)
-    SELECT dataset, tp, tn, fp, fn, {sql_metrics({**SQL_PRF, 'fnr': SQL_RATES['fnr'], 'auc_roc': 'auc_roc', 'avg_ms': 'avg_ms', 'p95_ms': 'p95_ms'})}, target_met
-    FROM cf JOIN a1 USING (dataset) JOIN la USING (dataset)""".replace("WITH ", f"WITH run AS MATERIALIZED ({SQL_SCORED_RUN}), ", 1),
+    SELECT dataset, tp, tn, fp, fn, {sql_metrics({**SQL_PRF, 'fnr': SQL_RATES['fnr'], 'auc_roc': 'auc_roc'})}
+    FROM cf JOIN a1 USING (dataset)""".replace("WITH ", f"WITH run AS MATERIALIZED ({SQL_SCORED_RUN}), ", 1),
 )
 def engine_evaluation(spark, sf):
-    """The full score against the truth of the mixed prompts; the text length stands in for the duration."""
+    """The full score against the truth of the mixed prompts. Prompts carry no durations, so there is no latency."""
     p = mixed_prompts(spark, sf)
-    scored = prompt_risk_query(spark, sf).select("prompt_id", F.col("is_malicious").cast("int").alias("y_pred"))
-    run = p.join(scored, "prompt_id").select(
-        F.lit("mixed").alias("dataset"), F.col("truth").alias("y_true"), "y_pred", F.col("y_pred").cast("double").alias("score"),
-        F.length("text").cast("double").alias("ms"),
-    )
-    # The evaluation reads its input several times; the scores are computed once.
-    e = ev.evaluate(checkpointed(run), ["dataset"]).select("dataset", "tp", "tn", "fp", "fn", *SQL_PRF, "fnr", "auc_roc", "avg_ms", "p95_ms", "target_met")
-    return rounded(e, *SQL_PRF, "fnr", "auc_roc", "avg_ms", "p95_ms")
+    scored = prompt_risk_query(spark, sf).select("prompt_id", F.col("is_malicious").cast("int").alias("y_pred"), F.col("risk_score").alias("score"))
+    run = checkpointed(p.join(scored, "prompt_id").select(F.lit("mixed").alias("dataset"), F.col("truth").alias("y_true"), "y_pred", "score"))
+    counts = ev.confusion(run, ["dataset"]).withColumns({**ev.prf_columns(), **ev.rate_columns()})
+    e = counts.join(ev.auc_roc(run, ["dataset"]), "dataset").select("dataset", "tp", "tn", "fp", "fn", *SQL_PRF, "fnr", "auc_roc")
+    return rounded(e, *SQL_PRF, "fnr", "auc_roc")

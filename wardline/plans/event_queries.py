@@ -16,7 +16,7 @@ QUERIES, ORACLE, query = section()
 
 # No user of the table fails five times within 300 s, so the checked queries look back three days.
 DAYS3 = 3 * 86400
-SQL_BRUTE = """SELECT * FROM (SELECT event_id, user_id, ts, least(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW), 100)::BIGINT AS failed_attempts
+SQL_BRUTE = """SELECT * FROM (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW)::BIGINT AS failed_attempts
     FROM events WHERE event_type = 'error') WHERE failed_attempts >= 5"""
 
 
@@ -216,19 +216,19 @@ def operation_profile(spark, sf):
 
 @query(
     "trace_log_correlation",
-    """SELECT d.doc_id, md5('trace'||d.doc_id) AS trace_id, e.event_type AS operation, e.value AS duration_ms
-    FROM documents d LEFT JOIN events e ON d.doc_id * 7 = e.event_id""",
+    """SELECT e.event_id, md5('trace'||d.doc_id) AS trace_id, d.source AS operation, d.n_chars::DOUBLE AS duration_ms
+    FROM events e LEFT JOIN documents d ON e.event_id % (SELECT count(*) FROM documents) = d.doc_id""",
 )
 def trace_log_correlation(spark, sf):
-    """Log records carry the ids of the span they belong to: document n that of event 7 n."""
+    """Events are log records that carry the ids of their span; documents are spans, as many events to each as there are."""
     def ids(key):
         k = key.cast("string")
         return F.md5(F.concat(F.lit("trace"), k)).alias("trace_id"), F.md5(F.concat(F.lit("span"), k)).alias("span_id")
 
-    logs = load(spark, sf, "documents").select("doc_id", *ids(F.col("doc_id")))
-    e = load(spark, sf, "events").where(F.col("event_id") % 7 == 0)
-    spans = e.select(*ids((F.col("event_id") / 7).cast("long")), F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"))
-    return ve.trace_log_correlation(logs, spans).select("doc_id", "trace_id", "operation", "duration_ms")
+    d, e = load(spark, sf, "documents"), load(spark, sf, "events")
+    logs = e.select("event_id", F.col("value").alias("logged_ms"), *ids(F.col("event_id") % d.count()))
+    spans = d.select(*ids(F.col("doc_id")), F.col("source").alias("operation"), F.col("n_chars").cast("double").alias("duration_ms"))
+    return ve.trace_log_correlation(logs, spans).select("event_id", "trace_id", "operation", "duration_ms")
 
 
 SQL_DRIFT_ROWS = "SELECT event_id, event_type, ts, ((props->>'$.k')::INT % 3 = 0 OR (value > 25 AND day(ts) > 20)) AS wrong FROM events"
@@ -244,7 +244,7 @@ def drift_flag(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     e = load(spark, sf, "events")
     rows = e.select("event_id", "event_type", "ts", ((k % 3 == 0) | ((F.col("value") > 25) & (F.dayofmonth("ts") > 20))).alias("wrong"))
-    d = ve.drift_flag(rows, ["event_type"], ["ts", "event_id"], F.unix_date(F.to_date("ts")), "wrong", 500, 0.02, block=1024)
+    d = ve.drift_flag(rows, ["event_type"], ["ts", "event_id"], "wrong", 500, 0.02, block=1024)
     return rounded(d.select("event_id", "error_rate", "drift"), "error_rate")
 
 
@@ -270,7 +270,7 @@ def sequence_escalation(spark, sf):
     calls = load(spark, sf, "events").withColumn(
         "risk", F.when(t == "view", 0).when(t == "click", 1).when(t == "purchase", 2).otherwise(-1)
     )
-    found = ve.sequence_escalation(calls.select("event_id", "user_id", "ts", "risk"), "user_id", ["ts", "event_id"], F.unix_date(F.to_date("ts")), "risk")
+    found = ve.sequence_escalation(calls.select("event_id", "user_id", "ts", "risk"), "user_id", ["ts", "event_id"], "risk")
     return found.select("event_id", "user_id")
 
 

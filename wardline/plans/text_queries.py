@@ -354,8 +354,6 @@ def security_envelope(spark, sf):
     FROM conversations c JOIN r USING (conv_id)""",
 )
 def enrich_context(spark, sf):
-    from wardline.operators.ordering import salted_join
-
     c = load(spark, sf, "conversations")
     req = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn")).select(
         "conv_id",
@@ -365,7 +363,7 @@ def enrich_context(spark, sf):
         ).alias("outer_context"),
     )
     local = F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string"))
-    joined = salted_join(c, req, ["conv_id"], how="left")
+    joined = c.join(req, "conv_id", "left")
     return joined.select(
         F.concat_ws(":", "conv_id", "turn").alias("prompt_id"),
         tx.map_as_text(tx.merge_context(F.col("outer_context"), local)).alias("context"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,25 +17,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     # Call sites on every column cost more than the long expressions they would explain.
     spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
+    # Long texts and arrays: what a Python worker is handed at once is bounded in bytes.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of few, unsplittable files cut into one partition per core; a table with enough partitions stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; on one machine without it, a fresh temporary one."""
+    """The folder named by spark.checkpoint.dir, which all executors can reach."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="wardline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named
+
+
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """On one machine without spark.checkpoint.dir: a fresh folder that goes when the process ends. For tests and tools."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="wardline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -45,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def local_session(cores: int = 8, app: str = "wardline") -> SparkSession:
     """Session for tests and the benchmark on one machine."""
-    return prepare(
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -53,5 +57,9 @@ def local_session(cores: int = 8, app: str = "wardline") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    return with_local_folder(prepare(session))
