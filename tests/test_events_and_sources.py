@@ -38,9 +38,10 @@ def test_brute_force_cases(spark, offsets, want):
     assert got == want
 
 
-def test_brute_force_history_is_capped(spark):
+def test_brute_force_counts_without_a_cap(spark):
     got = ve.brute_force(failures(spark, range(150)), ["user"])
-    assert got.agg(F.max("failed_attempts")).first()[0] == 100 and got.count() == 146
+    assert got.agg(F.max("failed_attempts")).first()[0] == 150 and got.count() == 146
+    assert ve.brute_force(failures(spark, range(150)), ["user"], threshold=120).count() == 31
 
 
 def test_success_after_and_before_a_block(spark):
@@ -51,28 +52,43 @@ def test_success_after_and_before_a_block(spark):
     assert ve.blocked_success(ok, blocked, "user", block_ttl_seconds=10).count() == 0
 
 
-def run_stream(spark, df, make, tmp_path):
+def run_stream(spark, batches, make, tmp_path, end):
+    """One file and one micro-batch per entry of `batches`, then a row far in the future."""
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    df.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(src)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(src)
+    for df in [*batches, end]:
+        df.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
+def far(spark):
+    return failures(spark, [10**7], "end").withColumn("event_id", F.col("event_id") + 9999)
+
+
 def test_stream_replay_equals_batch(spark, tmp_path):
     both = failures(spark, [0, 5, 9, 20, 30, 200, 299, 300, 301, 700, 701, 702, 703, 704], "a").unionByName(
         failures(spark, [0, 400, 800], "b").withColumn("event_id", F.col("event_id") + 100)
     )
     batch = {(r.event_id, r.failed_attempts) for r in ve.brute_force(both, ["user"]).collect()}
-    stream = {(r.event_id, r.failed_attempts) for r in run_stream(spark, both, lambda s: sd.stream_brute_force(s, "user"), tmp_path).collect()}
-    assert batch == stream and batch
+    parts = [both.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k) for k in range(4)]
+    stream = run_stream(spark, parts, lambda s: sd.stream_brute_force(s, "user", delay="20 minutes"), tmp_path, far(spark))
+    assert batch == {(r.event_id, r.failed_attempts) for r in stream.collect()} and batch
+
+
+def test_late_row_counts_where_it_belongs(spark, tmp_path):
+    rows = failures(spark, [50, 100])
+    batch = {(r.event_id, r.failed_attempts) for r in ve.brute_force(rows, ["user"], window_seconds=60, threshold=2).collect()}
+    late = [rows.where("event_id = 1"), rows.where("event_id = 0")]
+    got = run_stream(spark, late, lambda s: sd.stream_brute_force(s, "user", window_seconds=60, threshold=2), tmp_path, far(spark))
+    assert batch == {(1, 2)} == {(r.event_id, r.failed_attempts) for r in got.collect()}
 
 
-def test_stream_counts_are_final(spark, tmp_path):
+def test_stream_counts_are_complete(spark, tmp_path):
     df = failures(spark, range(0, 30000, 60)).withColumn("event_type", F.lit("x"))
-    got = run_stream(spark, df, sd.stream_event_counts, tmp_path)
-    assert got.count() > 0 and all(r.n == 60 for r in got.collect())
+    got = run_stream(spark, [df], sd.stream_event_counts, tmp_path, far(spark).withColumn("event_type", F.lit("end")))
+    assert got.agg(F.sum("n")).first()[0] == 500 and set(r.event_type for r in got.collect()) == {"x"}
 
 
 def test_alert_rules_null_conditions_match_all(spark):
@@ -86,7 +102,7 @@ def test_sequence_escalation(spark):
     risks = [0, 1, 2, 0, 2, 1, 0, 1, 2]
     rows = [(i, "u", i, r) for i, r in enumerate(risks)] + [(100 + i, "v", i, r) for i, r in enumerate([1, 2])]
     df = spark.createDataFrame(rows, "id long, user string, t long, risk int")
-    assert sorted(r.id for r in ve.sequence_escalation(df, "user", ["t"], F.col("t"), "risk").collect()) == [2, 8]
+    assert sorted(r.id for r in ve.sequence_escalation(df, "user", ["t"], "risk").collect()) == [2, 8]
 
 
 # --- evaluation --------------------------------------------------------------------------
@@ -184,11 +200,6 @@ def test_load_dataset(spark, tmp_path):
         ps.load_dataset(spark, str(tmp_path / "e.txt"), "no")
 
 
-def test_sample_dataset(spark):
-    s = ps.sample_dataset(spark)
-    assert s.groupBy("label").count().collect() and s.where("label = 1").count() == 15 and s.where("label = 0").count() == 15
-
-
 def test_stream_sink_writes_days(spark, tmp_path):
     df = failures(spark, [0, 86400, 2 * 86400])
     df.write.parquet(str(tmp_path / "in"))
@@ -210,15 +221,21 @@ def test_typed_logs_keep_corrupt_text(spark):
 def test_isolation_forest_finds_the_far_point(spark):
     rows = [(i, float(i % 10), float(i % 7)) for i in range(500)] + [(999, 500.0, -400.0)]
     df = spark.createDataFrame(rows, "id long, a double, b double").repartition(4)
-    forest = ml.fit_isolation_forest(df, ["a", "b"], trees=40)
+    forest = ml.fit_isolation_forest(df, ["a", "b"], ["id"], trees=40)
     scored_rows = ml.score_isolation_forest(df, forest, ["a", "b"])
     assert scored_rows.orderBy(F.col("outlier").desc()).first().id == 999
     flagged = ml.flag_outliers(scored_rows, contamination=0.01)
     assert 1 <= flagged.where("is_outlier").count() <= 6
-    again = ml.fit_isolation_forest(df.repartition(3), ["a", "b"], trees=40)
+    again = ml.fit_isolation_forest(df.repartition(3), ["a", "b"], ["id"], trees=40)
     assert all((x == y).all() for x, y in zip(forest, again))
 
 
+def test_equal_rows_are_drawn_one_by_one(spark):
+    df = spark.range(20000).select("id", F.lit(1.0).alias("a"), F.when(F.col("id") == 7, 9.0).otherwise(2.0).alias("b"))
+    forest = ml.fit_isolation_forest(df, ["a", "b"], ["id"], trees=30, sample=64)
+    assert len(forest) == 30 and max(len(t) for t in forest) <= 2 * 64
+
+
 def test_logistic_learns_a_line(spark):
     df = spark.range(400).select(F.col("id"), (F.col("id") % 20).cast("double").alias("a"), ((F.col("id") % 20) > 14).cast("int").alias("label"))
     out = ml.score_model(df, ml.fit_logistic(df, ["a"], iterations=50))

@@ -44,10 +44,14 @@ def flat(df):
 
 @query("load_json", SQL_SAMPLES)
 def load_json(spark, sf):
+    """Files of one JSON array each, of about 1000 samples."""
     path = scratch(spark, "samples")
-    ps.save_json(samples(spark, sf), path)
-    raw = spark.read.schema(sc.PROMPT_SAMPLE).json(path)
-    return flat(raw)
+    fields = F.struct("prompt", "label", "source", "attack_type", "confidence", "metadata")
+    rows = samples(spark, sf).select(F.xxhash64("prompt").alias("part"), fields.alias("s"))
+    files = 1 + rows.count() // 1000
+    arrays = rows.groupBy((F.pmod("part", F.lit(files))).alias("part")).agg(F.to_json(F.collect_list("s")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return flat(ps.load_json(spark, path))
 
 
 @query("load_csv", SQL_SAMPLES)
@@ -59,13 +63,14 @@ def load_csv(spark, sf):
 
 @query(
     "load_text",
-    """SELECT prompt, 0 AS label FROM (SELECT trim(unnest(string_split(replace(replace(text, chr(13), ' '), chr(9), ' '), chr(10)))) AS prompt FROM documents)
+    """SELECT prompt, 0 AS label, true AS numbered FROM (SELECT trim(unnest(string_split(replace(replace(text, chr(13), ' '), chr(9), ' '), chr(10)))) AS prompt FROM documents)
     WHERE prompt <> ''""",
 )
 def load_text(spark, sf):
     path = scratch(spark, "lines")
     load(spark, sf, "documents").select("text").write.text(path)
-    return ps.load_text(spark, path).select("prompt", "label")
+    lines = ps.load_text(spark, path, line_numbers=True)
+    return lines.select("prompt", "label", (F.col("metadata")["line_number"].cast("long") > 0).alias("numbered"))
 
 
 @query(
@@ -127,11 +132,25 @@ def typed_logs(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 
-def as_stream(spark, sf, df, name: str, files: int = 1):
-    """A table written once and read as a stream of files, in order of time."""
+SLICES = 6
+LATE = "7 days"
+
+
+def as_stream(spark, df, name: str, end: dict | None = None):
+    """A table as a stream of files: slices of time one after the other, rows up to a day out of order, the files of a slice
+    in any order. With `end` a row 90 days on comes last (with those values), so that the watermark passes all others."""
     path = scratch(spark, name)
-    df.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    first, last = df.select(F.min("ts"), F.max("ts")).first()
+    seconds = (last - first).total_seconds() + 86400
+    moved = F.unix_timestamp("ts") - F.unix_timestamp(F.lit(first)) + F.pmod(F.xxhash64("event_id"), F.lit(86400))
+    sliced = df.withColumn("_slice", F.least(F.floor(moved / F.lit(seconds) * SLICES), F.lit(SLICES - 1)).cast("int"))
+    for i in range(SLICES):
+        sliced.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+    if end is None:
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    closing = df.limit(1).select(*[(F.lit(last) + F.expr("INTERVAL 90 DAY") if c == "ts" else F.lit(end.get(c)).cast(t)).alias(c) for c, t in df.dtypes])
+    closing.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
 def replay(stream, spark, name: str, mode: str = "append"):
@@ -148,14 +167,17 @@ def replay(stream, spark, name: str, mode: str = "append"):
 @query("stream_brute_force", f"SELECT event_id, failed_attempts FROM ({SQL_BRUTE})")
 def stream_brute_force(spark, sf):
     e = load(spark, sf, "events").where("event_type = 'error'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    found = sd.stream_brute_force(as_stream(spark, sf, e, "failures"), "user_id", window_seconds=DAYS3)
+    found = sd.stream_brute_force(as_stream(spark, e, "failures", {"user_id": -1}), "user_id", window_seconds=DAYS3, delay=LATE)
     return replay(found, spark, "brute").select("event_id", "failed_attempts")
 
 
-@query("stream_event_counts")
+@query(
+    "stream_event_counts",
+    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL",
+)
 def stream_event_counts(spark, sf):
     e = load(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return replay(sd.stream_event_counts(as_stream(spark, sf, e, "events", files=3)), spark, "counts")
+    return replay(sd.stream_event_counts(as_stream(spark, e, "events", {"event_type": "end"}), delay=LATE), spark, "counts")
 
 
 @query("stream_event_pipeline", f"SELECT rule, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM ({SQL_ALERTS}) GROUP BY rule")
@@ -166,15 +188,19 @@ def stream_event_pipeline(spark, sf):
     e = e.withColumn("category", tx.event_category(F.col("code"))).withColumnRenamed("code", "event_code")
     e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch(spark, "pipeline")
-    q = sd.stream_event_pipeline(as_stream(spark, sf, e, "coded", files=3), out, scratch(spark, "pipeline_checkpoint"), ["event_id", "ts"], RULES)
+    q = sd.stream_event_pipeline(as_stream(spark, e, "coded", {"event_code": "end"}), out, scratch(spark, "pipeline_checkpoint"), ["event_id", "ts"], RULES)
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/alerts").groupBy("rule").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("online_update")
+@query(
+    "online_update",
+    "SELECT event_id, ((props->>'$.k')::DOUBLE + value > 70)::INT AS label, true AS accurate, true AS in_range FROM events",
+)
 def online_update(spark, sf):
     """Logistic regression refitted after every batch of labelled events; the last fit scores them all."""
     from wardline.operators import models as ml
+    from wardline.plans.model_queries import judged
 
     e = load(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("double")
@@ -185,6 +211,6 @@ def online_update(spark, sf):
         fitted.append(ml.fit_logistic(window, ["value", "k"], iterations=20))
 
     sd.online_update(
-        as_stream(spark, sf, rows, "labelled", files=2), scratch(spark, "training"), scratch(spark, "training_checkpoint"), refit
+        as_stream(spark, rows, "labelled"), scratch(spark, "training"), scratch(spark, "training_checkpoint"), refit
     ).trigger(availableNow=True).start().awaitTermination()
-    return rounded(ml.score_model(rows, fitted[-1]).select("event_id", "label", "hit", "probability"), "probability")
+    return judged(ml.score_model(rows, fitted[-1]), ["event_id", "label"], 0.9)

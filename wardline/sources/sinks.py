@@ -25,8 +25,8 @@ def enrich(events: DataFrame, ts: str = "ts", service: str = SERVICE) -> DataFra
 
 
 def event_sink(events: DataFrame, path: str, ts: str = "ts", mode: str = "append") -> None:
-    """Write events into date partitions; rows of a day come together before the write."""
-    enrich(events, ts).write.mode(mode).partitionBy("event_date").parquet(path)
+    """Write events into date partitions. Days come together before the write; Spark splits days that are large."""
+    enrich(events, ts).hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def stream_event_sink(events: DataFrame, path: str, checkpoint: str, ts: str = "ts"):

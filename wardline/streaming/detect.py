@@ -3,50 +3,63 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wardline.operators.events import MAX_FAILURES, MIN_FAILURES, WINDOW_SECONDS, alert_match
+from wardline.operators.events import MIN_FAILURES, WINDOW_SECONDS, alert_match
 from wardline.sources.sinks import enrich
 
 
 def stream_brute_force(
     failures: DataFrame, key: str, ts: str = "ts", id_col: str = "event_id", window_seconds: int = WINDOW_SECONDS,
-    threshold: int = MIN_FAILURES, cap: int = MAX_FAILURES, delay: str = "10 minutes",
+    threshold: int = MIN_FAILURES, delay: str = "10 minutes",
 ) -> DataFrame:
-    """Brute force on a stream of failed logins.
+    """Brute force on a stream of failed logins, the same events as the batch query.
 
-    State per key: the last `cap` failure times, dropped once the watermark is past
-    the window. Rows of one batch are taken in event-time order, ties together.
+    Rows wait until the watermark has passed them and are then swept in event time, so a row that arrives late but within
+    `delay` counts where it belongs. State per key: the waiting rows, and (time, count) pairs of the last window.
     """
     window = window_seconds * 1_000_000
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        times, counts, waiting, ids = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += rows["us"].tolist()
+                ids += rows["event_id"].tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        order = sorted(range(len(waiting)), key=lambda i: (waiting[i], ids[i]))
+        due = [i for i in order if waiting[i] <= mark]
+        out, inside = [], sum(counts)
+        for us, same in groupby(due, key=lambda i: waiting[i]):
+            found = [ids[i] for i in same]
+            while times and times[0] < us - window:
+                inside -= counts.pop(0)
+                times.pop(0)
+            times.append(us)
+            counts.append(len(found))
+            inside += len(found)
+            if inside >= threshold:
+                out += [(e, group[0], us, inside) for e in found]
+        later = order[len(due) :]
+        if later or times and times[-1] + window > mark:
+            state.update((times, counts, [waiting[i] for i in later], [ids[i] for i in later]))
+            wake = waiting[later[0]] if later else times[-1] + window
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        else:
             state.remove()
-            return
-        seen = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for us, same in rows.groupby("us", sort=True):
-            seen = [t for t in seen if us - t <= window] + [int(us)] * len(same)
-            if len(seen) >= threshold:
-                out += [(int(e), group[0], int(us), min(len(seen), cap)) for e in same["event_id"]]
-            seen = seen[-cap:]
-        state.update((seen,))
-        end = (max(seen) + window) // 1000 + 1
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "key", "us", "failed_attempts"])
 
     timed = failures.select(
         F.col(id_col).cast("long").alias("event_id"), F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")
     ).withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
     return timed.groupBy("key").applyInPandasWithState(
-        update, "event_id bigint, key string, us bigint, failed_attempts bigint", "times array<bigint>", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        update, "event_id bigint, key string, us bigint, failed_attempts bigint",
+        "times array<bigint>, counts array<bigint>, waiting array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -84,14 +97,22 @@ def stream_event_pipeline(
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
-def online_update(samples: DataFrame, table: str, checkpoint: str, refit: Callable[[DataFrame], None], ts: str = "ts", window: str = "30 days"):
-    """Append each labelled batch to the training table and refit on its last window."""
+def online_update(samples: DataFrame, table: str, checkpoint: str, refit: Callable[[DataFrame], None], ts: str = "ts", window_days: int = 30):
+    """Append each labelled batch to the training table and refit on its last window.
+
+    The table has a folder per batch and day; only the newest day is read for the newest time, only the days of the window
+    for the fit.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        dated = batch.withColumn("day", F.to_date(ts))
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{table}/batch={batch_id}")
         every = spark.read.parquet(table)
-        newest = every.agg(F.max(ts).alias("m")).first()["m"]
-        refit(every.where(F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {window}")))
+        last = every.select("day").agg(F.max("day").alias("d")).first()["d"]
+        newest = every.where(F.col("day") == F.lit(last)).agg(F.max(ts).alias("m")).first()["m"]
+        span = F.expr(f"INTERVAL {window_days} DAY")
+        recent = every.where((F.col("day") >= F.to_date(F.lit(newest) - span)) & (F.col(ts) >= F.lit(newest) - span))
+        refit(recent.drop("batch", "day"))
 
     return samples.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
