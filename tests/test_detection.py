@@ -1,4 +1,4 @@
-"""Properties of features, fusion and risk, and the large-reference paths against the broadcast ones."""
+"""Properties of features, fusion and risk, and token analysis with few and many references."""
 
 import random
 
@@ -13,6 +13,7 @@ from wardline.functions import vectors as vx
 from wardline.operators import detectors as dt
 from wardline.operators import enhanced as en
 from wardline.operators import fusion as fu
+from wardline.operators import nearest as nr
 from wardline.operators import risk as rk
 from wardline.operators import similarity as sm
 from wardline.operators import tokens as tk
@@ -57,8 +58,8 @@ def test_windows_in_numpy_and_in_columns_agree(spark):
     b = [rng.randrange(64) for _ in range(50)]
     df = spark.createDataFrame([(b,)], "b array<int>")
     for radius in (0, 1, 5):
-        spans = df.select(sp.context_spans(F.col("b"), radius).alias("s")).select(F.transform("s", vx.counts)).first()[0]
-        assert (np.array(spans) == geo.window_counts(np.array(b), radius)).all()
+        spans = df.select(sp.context_spans(F.col("b"), radius).alias("s")).select(F.transform("s", lambda s: vx.counts(s))).first()[0]
+        assert (np.array(spans) == geo.TokenSpace().around(np.array(b), 0, len(b), radius, radius)).all()
 
 
 def test_one_row_per_prompt_and_bounds(texts, analysed):
@@ -91,16 +92,68 @@ def test_granularity_cases(spark):
     assert got[0] == pytest.approx(0.98) and got[1] < 0.7
 
 
-def test_blocked_reference_equals_broadcast(spark):
-    p = tk.with_tokens(prompts(spark, SF).select("prompt_id", "text"))
-    ref = tk.build_reference(tk.with_tokens(load(spark, SF, "benchmark")), "item_id", 2)
-    names = ["max_sim", "mean_sim", "min_sim", "std_sim"]
-    one = {r.prompt_id: r for r in tk.with_reference_similarity(p, ref, "prompt_id", 2).collect()}
-    two = {r.prompt_id: r for r in tk.with_reference_similarity(p, ref, "prompt_id", 2, limit=100).collect()}
-    assert one.keys() == two.keys()
-    for k in one:
-        for n in names:
-            assert np.allclose(one[k][n], two[k][n], atol=1e-7)
+def plain_similarity(spans, known, copies):
+    q, r = (np.array([np.bincount(x, minlength=64) for x in s], float) for s in (spans, known))
+    c = (q @ r.T) / np.sqrt((q * q).sum(axis=1)[:, None] * (r * r).sum(axis=1)[None])
+    w = np.array(copies, float)
+    mean = c @ w / w.sum()
+    return c.max(axis=1), mean, c.min(axis=1), np.sqrt(np.maximum((c * c) @ w / w.sum() - mean * mean, 0))
+
+
+@pytest.mark.parametrize("n", [1, 100, 30_000])
+def test_any_number_of_references(spark, n):
+    rng = np.random.default_rng(n)
+    known = [sorted(rng.integers(0, 64, rng.integers(1, 12)).tolist()) for _ in range(n)]
+    known = [list(x) for x in sorted(set(map(tuple, known)))]
+    copies = [1 + i % 3 for i in range(len(known))]
+    reference = spark.createDataFrame(list(zip(known, copies)), "span array<int>, copies int")
+    p = tk.with_tokens(prompts(spark, SF).select("prompt_id", "text").limit(12))
+    rows = tk.with_reference_similarity(p, reference, "prompt_id", 2).collect()
+    assert len(rows) == 12
+    for r in rows:
+        spans = [r.buckets[max(0, i - 2) : i + 3] for i in range(len(r.buckets))]
+        for got, want in zip((r.max_sim, r.mean_sim, r.min_sim, r.std_sim), plain_similarity(spans, known, copies)):
+            assert np.allclose(got, want, atol=1e-6)
+
+
+@pytest.mark.parametrize("cells,slice_rows,pack", [(1, 1000, 100), (7, 5, 3), (60, 1, 1)])
+def test_cells_lose_no_neighbour(spark, cells, slice_rows, pack):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(6, 8))
+    vectors = [(centers[i % 6] + 0.2 * rng.normal(size=8)).tolist() for i in range(90)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, v array<double>").select("id", nr.packed(F.col("v")).alias("v"))
+    index = nr.build_index(df, "id", "v", cells, slice_rows)
+    meetings = nr.meetings(index, df.select(F.col("id").alias("row"), F.col("v").alias("payload")), nr.one_vector, 4, pack=pack)
+    got = {(r.query_id, r["rank"]): r.corpus_id for r in sm.best_hits(meetings, 4, -2.0).collect()}
+    u = nr.unit(np.array(vectors))
+    c = np.round(u @ u.T, 9)
+    for i in range(90):
+        assert [got[i, k] for k in (1, 2, 3, 4)] == sorted(range(90), key=lambda j: (-c[i, j], j))[:4]
+
+
+def test_long_texts_in_slices(spark, monkeypatch):
+    rng = random.Random(4)
+    cell, sizes = np.array([rng.randrange(64) for _ in range(300)]), np.array([3, 0, 150, 7, 140])
+    space = geo.TokenSpace()
+
+    def everything():
+        return [geo.window_moments(space, cell, 2), geo.phrase_anomaly(space, cell), geo.sentence_moments(space, cell, sizes), geo.text_gradient(space, cell),
+                *map(list, geo.shift_cosines(space, cell, 1, 5, 2))]
+
+    whole = everything()
+    monkeypatch.setattr(geo, "STEP", 13)
+    for a, b in zip(whole, everything()):
+        assert np.allclose(a, b)
+
+
+def test_dense_embedder_equals_its_buckets(spark, reference):
+    one = vx.Embedder("one-hot", 64, lambda t: F.transform(t, lambda x: vx.let(vx.bucket(x), lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda d: (d == b).cast("float")))))
+    p = prompts(spark, SF).select("prompt_id", "text").limit(20)
+    known = tk.text_reference(tk.with_tokens(load(spark, SF, "benchmark"), embedder=one), "item_id", one)
+    names = ["risk_score", "overall_anomaly", "semantic_consistency", "embedding_variance", "phrase_level_anomaly", "gradient_magnitude"]
+    a = {r.prompt_id: r for r in rk.prompt_risk(p, reference, "prompt_id").select("prompt_id", *names).collect()}
+    b = {r.prompt_id: r for r in rk.prompt_risk(p, known, "prompt_id", tk.TokenParams(embedder=one)).select("prompt_id", *names).collect()}
+    assert a.keys() == b.keys() and all(a[k][n] == pytest.approx(b[k][n], abs=1e-9) for k in a for n in names)
 
 
 def test_no_reference_gives_defaults(spark, reference):
@@ -109,13 +162,6 @@ def test_no_reference_gives_defaults(spark, reference):
     assert set(r.max_sim) == {0.5} and set(r.std_sim) == {0.0}
 
 
-def test_blocked_top_references(spark, reference):
-    p = tk.with_tokens(prompts(spark, SF).select("prompt_id", "text"))
-    one = {(r.prompt_id, r.pos, r["rank"]): (r.ref, round(r.similarity, 9)) for r in tk.top_similar_tokens(p, reference, "prompt_id", 2).collect()}
-    two = {(r.prompt_id, r.pos, r["rank"]): (r.ref, round(r.similarity, 9)) for r in tk.top_similar_tokens(p, reference, "prompt_id", 2, limit=6).collect()}
-    assert one == two
-
-
 def test_reference_ranks_six_to_ten(spark, reference):
     p = tk.with_tokens(prompts(spark, SF).select("prompt_id", "text"))
     top = tk.top_similar_tokens(p, reference, "prompt_id", 2, first=6, last=10)
@@ -175,7 +221,7 @@ def test_threshold_adapter_equals_replay(spark, block):
     rows = [(k, i, s, l) for k, h in history.items() for i, (s, l) in enumerate(h)]
     df = spark.createDataFrame(rows, "key string, seq long, score double, label boolean").repartition(5)
     c = fu.ThresholdConfig(rate=0.2, window=100, sensitivity=0.99)
-    got = {r.key: r.threshold for r in fu.adapt_thresholds(df, ["key"], ["seq"], F.floor(F.col("seq") / 37), "score", "label", c, block=block).collect()}
+    got = {r.key: r.threshold for r in fu.adapt_thresholds(df, ["key"], ["seq"], "score", "label", c, block=block).collect()}
     for k, h in history.items():
         assert got[k] == pytest.approx(replay(h, c))
 
@@ -184,7 +230,7 @@ def test_threshold_case_with_clamp(spark):
     history = [(0.3, False), (0.7, False)] * 60 + [(0.8, True)] * 20
     c = fu.ThresholdConfig(rate=0.2, window=100, high=0.6)
     df = spark.createDataFrame([("k", i, s, l) for i, (s, l) in enumerate(history)], "key string, seq long, score double, label boolean")
-    got = fu.adapt_thresholds(df, ["key"], ["seq"], F.col("seq"), "score", "label", c).first().threshold
+    got = fu.adapt_thresholds(df, ["key"], ["seq"], "score", "label", c).first().threshold
     assert got == pytest.approx(replay(history, c)) and got <= 0.6
 
 
@@ -195,9 +241,9 @@ def test_exact_match_ranks_first(spark):
     q = df.where("id = 17")
     assert sm.knn_search(q, df, "id", "v", 3, 0.7).where("rank = 1").first().corpus_id == 17
     exact = {(r.query_id, r.corpus_id) for r in sm.knn_search(df, df, "id", "v", 3, -1.0).collect()}
-    near = {(r.query_id, r.corpus_id) for r in sm.knn_approx(df, df, "id", "v", 3, -1.0, lists=4, probes=4).collect()}
+    near = {(r.query_id, r.corpus_id) for r in sm.knn_approx(df, df, "id", "v", 4, 4, 3, -1.0).collect()}
     assert exact == near  # all cells probed
-    assert sm.knn_approx(df, df, "id", "v", 3, -1.0, lists=4, probes=2).where("rank = 1 and query_id = corpus_id").count() == 60
+    assert sm.knn_approx(df, df, "id", "v", 4, 2, 3, -1.0).where("rank = 1 and query_id = corpus_id").count() == 60
 
 
 def test_get_or_compute_embeds_missing_once(spark):
@@ -211,15 +257,17 @@ def test_get_or_compute_embeds_missing_once(spark):
 
 def test_batch_score_scores_copies_once(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(50)] + [(50, "other"), (51, None)], "id long, text string")
-    out = rk.batch_score(df, "text", lambda t: t.withColumn("n", F.length(F.coalesce("text", F.lit("")))), ["n"])
-    assert out.count() == 52 and out.where("n = 9").count() == 50
+    df = df.unionByName(spark.createDataFrame([(52, "")], df.schema))
+    out = rk.batch_score(df, "text", lambda t: t.withColumn("n", F.coalesce(F.length("text"), F.lit(-1))), ["n"])
+    assert out.count() == 53 and out.where("n = 9").count() == 50
+    assert {r.id: r.n for r in out.where("id > 50").collect()} == {51: -1, 52: 0}  # null and empty are two texts
 
 
 def test_numpy_and_column_features_agree(spark):
     p = tk.with_tokens(prompts(spark, SF).select("prompt_id", "text")).withColumn("s", sp.sentence_spans(F.col("text")))
     sizes = F.transform("s", lambda x: F.size(x))
     rows = p.withColumn("u", vx.normalize(vx.counts(F.col("buckets")))).select(
-        geo.text_statistics_udf(1)(F.col("buckets"), F.flatten("s"), sizes).alias("n"),
+        geo.text_statistics_udf(geo.TokenSpace(), 1)(F.col("buckets"), F.flatten("s"), sizes).alias("n"),
         vx.gradient_magnitude(F.col("u")).alias("gradient"), sp.phrase_anomaly(F.col("buckets")).alias("phrase"),
         sp.semantic_consistency(F.col("s")).alias("consistency"), sp.sentence_anomaly(F.col("s")).alias("sentence"),
     ).collect()

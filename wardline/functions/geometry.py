@@ -1,248 +1,189 @@
 """Arrow-batched numpy helpers for what needs a vector per token.
 
-Only two things cross into Python: the similarity of every token window to a
-block of reference vectors, and moments of a text's window embeddings. Both read
-the bucket array of a row and return a few numbers per token or per text.
+A text crosses into Python as its token vectors (or bucket numbers); long texts are worked on in slices of tokens, and a few
+numbers per token or per text come back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardline.functions.vectors import DIMS
+from wardline.functions.vectors import DIMS, Embedder
 
-CELLS = 4_000_000  # cells of one similarity tile (tokens x references)
+#: Tokens worked on at once.
+STEP = 8192
 
 
-def window_counts(buckets: np.ndarray, radius: int) -> np.ndarray:
-    """Bucket counts of the window around every token: differences of running counts."""
-    n = len(buckets)
-    running = np.zeros((n + 1, DIMS), dtype=np.int32)
-    running[np.arange(1, n + 1), buckets] = 1
-    running = np.cumsum(running, axis=0)
-    at = np.arange(n)
-    return running[np.minimum(at + radius, n - 1) + 1] - running[np.maximum(at - radius, 0)]
+@dataclass(frozen=True)
+class TokenSpace:
+    """How token vectors of an embedder look in Python: bucket numbers, or dense rows."""
 
+    dims: int = DIMS
+    dense: bool = False
 
-def tile_similarity(windows: np.ndarray, refs: np.ndarray, ref_norms: np.ndarray) -> np.ndarray:
-    windows = windows.astype(np.float64)
-    own = np.einsum("ij,ij->i", windows, windows)
-    shared = windows @ refs.T
-    norm = np.sqrt(own[:, None] * ref_norms[None, :])
-    return np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
-
-
-def reference_moments(buckets: np.ndarray, refs: np.ndarray, ref_norms: np.ndarray, copies: np.ndarray, radius: int):
-    """Per token: max, min, weighted sum and sum of squares of the cosines to all references."""
-    n = len(buckets)
-    out = np.zeros((4, n))
-    if n == 0:
+    def rows(self, cell: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        part = cell[lo:hi]
+        if self.dense:
+            return np.asarray(part, np.float64).reshape(-1, self.dims)
+        out = np.zeros((len(part), self.dims))
+        out[np.arange(len(part)), part] = 1
         return out
-    windows = window_counts(buckets, radius)
-    step = max(1, CELLS // max(1, len(refs)))
-    for start in range(0, n, step):
-        sim = tile_similarity(windows[start : start + step], refs, ref_norms)
-        part = slice(start, start + step)
-        out[0, part], out[1, part] = sim.max(axis=1), sim.min(axis=1)
-        out[2, part], out[3, part] = sim @ copies, (sim * sim) @ copies
-    return out
-
-
-def moments_udf(refs: np.ndarray, copies: np.ndarray, radius: int):
-    """buckets -> struct of four arrays (see `reference_moments`) against one broadcast block."""
-    norms = (refs.astype(np.float64) ** 2).sum(axis=1)
-    weights = copies.astype(np.float64)
-
-    @F.pandas_udf("struct<hi:array<double>,lo:array<double>,total:array<double>,squares:array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        dense = refs.astype(np.float64)
-        for batch in batches:
-            rows = [reference_moments(np.asarray(b, dtype=np.int64), dense, norms, weights, radius) for b in batch]
-            yield pd.DataFrame({c: [r[k] for r in rows] for k, c in enumerate(["hi", "lo", "total", "squares"])})
-
-    return run
 
+    def cell(self, value) -> np.ndarray:
+        """An array column's value as numpy: one number or one row per token."""
+        if self.dense:
+            return np.array([np.asarray(v, np.float64) for v in value]).reshape(-1, self.dims)
+        return np.asarray(value, np.int64)
 
-def merged_moments(parts: list[np.ndarray]) -> np.ndarray:
-    """Moments against several blocks of references as one."""
-    stack = np.stack(parts)
-    return np.stack([stack[:, 0].max(axis=0), stack[:, 1].min(axis=0), stack[:, 2].sum(axis=0), stack[:, 3].sum(axis=0)])
+    def around(self, cell: np.ndarray, lo: int, hi: int, left: int, right: int) -> np.ndarray:
+        """Sums of the token vectors i - left .. i + right, cut at the ends, for i in lo .. hi - 1."""
+        n = len(cell)
+        a, b = max(0, lo - left), min(n, hi + right)
+        running = np.zeros((b - a + 1, self.dims))
+        np.cumsum(self.rows(cell, a, b), axis=0, out=running[1:])
+        at = np.arange(lo, hi)
+        return running[np.minimum(at + right + 1, n) - a] - running[np.maximum(at - left, 0) - a]
 
+    def pack(self, units: Column | str) -> Column:
+        """The token vectors of a text as bytes."""
+        kind = np.float32 if self.dense else np.int32
 
-def filed_moments_udf(files: list[str], radius: int, read):
-    """The struct of `moments_udf` against references in files (columns c and copies), read block by block."""
+        @F.pandas_udf("binary")
+        def run(batch: pd.Series) -> pd.Series:
+            return batch.map(lambda v: self.cell(v).astype(kind).tobytes())
 
-    @F.pandas_udf("struct<hi:array<double>,lo:array<double>,total:array<double>,squares:array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [np.asarray(b, dtype=np.int64) for b in batch]
-            best: list = [None] * len(texts)
-            for address in files:
-                block = read(address)
-                refs = np.array(block["c"], dtype=np.float64).reshape(-1, DIMS)
-                norms, copies = (refs**2).sum(axis=1), np.array(block["copies"], dtype=np.float64)
-                for i, t in enumerate(texts):
-                    part = reference_moments(t, refs, norms, copies, radius)
-                    best[i] = part if best[i] is None else merged_moments([best[i], part])
-            yield pd.DataFrame({c: [r[k] for r in best] for k, c in enumerate(["hi", "lo", "total", "squares"])})
-
-    return run
-
-
-def neighbour_cosines(windows: np.ndarray, gap: int) -> np.ndarray:
-    """Cosine of every window with the one `gap` places on."""
-    if len(windows) <= gap:
-        return np.zeros(0)
-    w = windows.astype(np.float64)
-    own = (w * w).sum(axis=1)
-    shared = (w[:-gap] * w[gap:]).sum(axis=1)
-    return shared / np.sqrt(own[:-gap] * own[gap:])
+        return run(units)
 
+    def unpack(self, radius: int):
+        """Bytes of `pack` to the sums of the window around every token."""
+        kind = np.float32 if self.dense else np.int32
 
-def shift_cosines_udf(radius: int, window: int, stride: int):
-    """buckets -> cosines of neighbouring token windows, and of token runs of `window` tokens `stride` apart
-    (none for texts below two runs)."""
+        def run(payload: bytes) -> np.ndarray:
+            cell = np.frombuffer(payload, kind)
+            cell = cell.reshape(-1, self.dims).astype(np.float64) if self.dense else cell.astype(np.int64)
+            return self.around(cell, 0, len(cell), radius, radius)
 
-    @F.pandas_udf("struct<adjacent:array<double>,runs:array<double>>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        adjacent, runs = [], []
-        for b in batch:
-            b = np.asarray(b, dtype=np.int64)
-            adjacent.append(neighbour_cosines(window_counts(b, radius), 1))
-            if len(b) < max(2 * window, window + stride):
-                runs.append(np.zeros(0))
-                continue
-            running = np.zeros((len(b) + 1, DIMS), dtype=np.int32)
-            running[np.arange(1, len(b) + 1), b] = 1
-            running = np.cumsum(running, axis=0)
-            runs.append(neighbour_cosines(running[window:] - running[:-window], stride))
-        return pd.DataFrame({"adjacent": adjacent, "runs": runs})
+        return run
 
-    return run
 
+def space_of(embedder: Embedder) -> TokenSpace:
+    return TokenSpace(embedder.dims, embedder.dense)
 
-TOP_TYPE = "array<struct<pos:bigint,rank:bigint,ref:string,similarity:double>>"
 
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((rows * rows).sum(axis=1))[:, None]
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
-def top_references(buckets, ids: list, refs: np.ndarray, ref_norms: np.ndarray, radius: int, first: int, last: int):
-    """Per token the references of rank first..last by cosine; ties go to the lower position."""
-    b = np.asarray(buckets, dtype=np.int64)
-    found = []
-    if len(b) == 0:
-        return found
-    windows = window_counts(b, radius)
-    step = max(1, CELLS // max(1, len(refs)))
-    for start in range(0, len(b), step):
-        sim = tile_similarity(windows[start : start + step], refs, ref_norms)
-        order = np.argsort(-sim, axis=1, kind="stable")[:, first - 1 : last]
-        for i, row in enumerate(order):
-            for k, j in enumerate(row):
-                found.append({"pos": start + i, "rank": first + k, "ref": ids[j], "similarity": float(sim[i, j])})
-    return found
 
+def neighbour_cosines(rows: np.ndarray, gap: int) -> np.ndarray:
+    """Cosine of every row with the one `gap` places on."""
+    if len(rows) <= gap:
+        return np.zeros(0)
+    own = (rows * rows).sum(axis=1)
+    shared = (rows[:-gap] * rows[gap:]).sum(axis=1)
+    norm = np.sqrt(own[:-gap] * own[gap:])
+    return np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
 
-def top_references_udf(ids: list, refs: np.ndarray, radius: int, first: int, last: int):
-    dense = refs.astype(np.float64)
-    norms = (dense**2).sum(axis=1)
 
-    @F.pandas_udf(TOP_TYPE)
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([top_references(b, ids, dense, norms, radius, first, last) for b in batch])
+def shift_cosines(space: TokenSpace, cell: np.ndarray, radius: int, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of neighbouring token windows, and of runs of `window` tokens `stride` apart (none below two runs)."""
+    n = len(cell)
+    near = [neighbour_cosines(space.around(cell, lo, min(n, lo + STEP + 1), radius, radius), 1) for lo in range(0, n, STEP)]
+    runs = n - window + 1
+    far = []
+    if n >= max(2 * window, window + stride):
+        far = [neighbour_cosines(space.around(cell, lo, min(runs, lo + STEP + stride), 0, window - 1), stride) for lo in range(0, runs, STEP)]
+    return np.concatenate([*near, np.zeros(0)]), np.concatenate([*far, np.zeros(0)])
 
-    return run
 
+def token_numbers_udf(space: TokenSpace, shift_radius: int, window: int, stride: int):
+    """Token vectors -> cosines of neighbouring windows and of token runs."""
 
-def filed_top_references_udf(files: list[str], radius: int, first: int, last: int, read):
-    """The result of `top_references_udf` against references in files (columns ref and c)."""
-
-    @F.pandas_udf(TOP_TYPE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            found: list = [{} for _ in batch]
-            for address in files:
-                block = read(address)
-                order = np.argsort(np.asarray(block["ref"], dtype=object), kind="stable")
-                refs = np.array(block["c"], dtype=np.float64).reshape(-1, DIMS)[order]
-                ids, norms = [block["ref"][i] for i in order], (refs**2).sum(axis=1)
-                for hits, b in zip(found, batch):
-                    for h in top_references(b, ids, refs, norms, radius, 1, last):
-                        hits.setdefault(h["pos"], []).append((-h["similarity"], h["ref"]))
-                for hits in found:  # keep the best `last` per token between blocks
-                    for pos in hits:
-                        hits[pos] = sorted(hits[pos])[:last]
-            yield pd.Series(
-                [
-                    [
-                        {"pos": pos, "rank": k + 1, "ref": ref, "similarity": -s}
-                        for pos, best in hits.items()
-                        for k, (s, ref) in enumerate(best)
-                        if k + 1 >= first
-                    ]
-                    for hits in found
-                ]
-            )
+    @F.pandas_udf("struct<adjacent:array<double>,runs:array<double>>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        rows = [shift_cosines(space, space.cell(b), shift_radius, window, stride) for b in batch]
+        return pd.DataFrame({"adjacent": [r[0] for r in rows], "runs": [r[1] for r in rows]})
 
     return run
 
 
-def unit_rows(counts: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((counts**2).sum(axis=1))[:, None]
-    return np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+def average_cosines(windows: np.ndarray, total: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and mean square of the cosines of each row with all references, from the references' sums: for a unit vector u,
+    u . sum(r) and u' sum(r r') u, both over the number of references."""
+    u = unit_rows(windows)
+    return u @ total, np.einsum("ij,ij->i", u @ second, u)
 
 
 def clip(x: float) -> float:
     return float(min(max(x, 0.0), 1.0))
 
 
-def window_moments(buckets: np.ndarray, radius: int) -> tuple[float, float, float]:
+def window_moments(space: TokenSpace, cell: np.ndarray, radius: int) -> tuple[float, float, float]:
     """Component variance, perturbation signature and outlier score of a text's window embeddings."""
-    n = len(buckets)
+    n = len(cell)
     if n == 0:
         return 0.0, 0.0, 0.0
-    unit = unit_rows(window_counts(buckets, radius).astype(np.float64))
-    variance = float(unit.var())
+    parts = lambda: (unit_rows(space.around(cell, lo, min(n, lo + STEP), radius, radius)) for lo in range(0, n, STEP))
+    mean = sum(p.sum(axis=0) for p in parts()) / n
+    by_dim = sum(((p - mean) ** 2).sum(axis=0) for p in parts()) / n
+    variance = float(by_dim.mean() + mean.var())
     if n < 3:
         return variance, 0.0, 0.0
-    by_dim = unit.var(axis=0)
     signature = clip(1.0 - by_dim.std() / (by_dim.mean() + 1e-8))
-    dist = np.linalg.norm(unit - unit.mean(axis=0), axis=1)
+    dist = np.concatenate([np.linalg.norm(p - mean, axis=1) for p in parts()])
     spread = dist.std()
     outlier = 0.0 if spread < 1e-6 else clip(np.abs(dist - dist.mean()).max() / spread / 3.0)
     return variance, signature, outlier
 
 
-def phrase_anomaly(buckets: np.ndarray) -> float:
+def phrase_anomaly(space: TokenSpace, cell: np.ndarray) -> float:
     """10 x variance over the embeddings of all trigrams; the same as spans.phrase_anomaly."""
-    if len(buckets) < 3:
+    n = len(cell) - 2
+    if n < 1:
         return 0.0
-    a, b, c = buckets[:-2], buckets[1:-1], buckets[2:]
-    equal = (a == b).astype(int) + (b == c) + (a == c)
-    mean = (3.0 / np.sqrt(3 + 2 * equal)).mean() / DIMS
-    return clip(10.0 * (1.0 / DIMS - mean * mean))
+    parts = [unit_rows(space.around(cell, lo, min(n, lo + STEP), 0, 2)) for lo in range(0, n, STEP)]
+    size = n * space.dims
+    mean = sum(p.sum() for p in parts) / size
+    return clip(10.0 * (sum((p * p).sum() for p in parts) / size - mean * mean))
 
 
-def sentence_moments(buckets: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
+def sentence_moments(space: TokenSpace, cell: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
     """Mean pairwise cosine of the sentences and 10 x variance of their embeddings."""
     n = len(sizes)
     if n < 2:
         return 1.0, 0.0
-    cells = np.repeat(np.arange(n), sizes) * DIMS + buckets
-    unit = unit_rows(np.bincount(cells, minlength=n * DIMS).reshape(n, DIMS).astype(np.float64))
-    total = unit.sum(axis=0)
+    ends = np.cumsum(sizes)
+    total, squares, components = np.zeros(space.dims), 0.0, 0.0
+    for lo in range(0, n, STEP):
+        hi = min(n, lo + STEP)
+        a, b = int(ends[lo] - sizes[lo]), int(ends[hi - 1])
+        if space.dense:
+            sums = np.zeros((hi - lo, space.dims))
+            np.add.at(sums, np.repeat(np.arange(hi - lo), sizes[lo:hi]), cell[a:b])
+        else:
+            at = np.repeat(np.arange(hi - lo), sizes[lo:hi]) * space.dims + cell[a:b]
+            sums = np.bincount(at, minlength=(hi - lo) * space.dims).reshape(hi - lo, space.dims).astype(np.float64)
+        u = unit_rows(sums)
+        total += u.sum(axis=0)
+        squares += (u * u).sum()
+        components += u.sum()
     consistency = float((total @ total - (sizes > 0).sum()) / (n * (n - 1.0)))
-    return consistency, clip(10.0 * unit.var())
+    mean = components / (n * space.dims)
+    return consistency, clip(10.0 * (squares / (n * space.dims) - mean * mean))
 
 
-def text_gradient(buckets: np.ndarray) -> float:
+def text_gradient(space: TokenSpace, cell: np.ndarray) -> float:
     """Norm of the gradient over the components of the whole text's embedding."""
-    if len(buckets) == 0:
+    if len(cell) == 0:
         return 0.0
-    counts = np.bincount(buckets, minlength=DIMS).astype(np.float64)
-    v = counts / np.sqrt(counts @ counts)
+    v = sum(space.rows(cell, lo, min(len(cell), lo + STEP)).sum(axis=0) for lo in range(0, len(cell), STEP))
+    v = unit_rows(v[None])[0]
     inner = (v[2:] - v[:-2]) / 2.0
     return float(np.sqrt(inner @ inner + (v[1] - v[0]) ** 2 + (v[-1] - v[-2]) ** 2))
 
@@ -250,15 +191,27 @@ def text_gradient(buckets: np.ndarray) -> float:
 STATISTICS = ["variance", "signature", "outlier", "gradient", "phrase", "consistency", "sentence"]
 
 
-def text_statistics_udf(radius: int):
-    """(token buckets, sentence buckets end to end, sentence sizes) -> the vector features of a text, in one Arrow pass."""
+def text_statistics_udf(space: TokenSpace, radius: int):
+    """(token vectors, those of the sentences end to end, sentence sizes) -> the vector features of a text, in one pass."""
 
     @F.pandas_udf(f"struct<{','.join(f'{n}:double' for n in STATISTICS)}>")
     def run(tokens: pd.Series, sentences: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s, k in zip(tokens, sentences, sizes):
-            t, s, k = (np.asarray(x, dtype=np.int64) for x in (t, s, k))
-            rows.append((*window_moments(t, radius), text_gradient(t), phrase_anomaly(t), *sentence_moments(s, k)))
+            t, s, k = space.cell(t), space.cell(s), np.asarray(k, np.int64)
+            rows.append((*window_moments(space, t, radius), text_gradient(space, t), phrase_anomaly(space, t), *sentence_moments(space, s, k)))
         return pd.DataFrame(rows, columns=STATISTICS)
 
     return run
+
+
+def sentence_statistics_udf(space: TokenSpace):
+    """(token vectors of the sentences end to end, sentence sizes) -> consistency and anomaly of the sentences."""
+
+    @F.pandas_udf("struct<consistency:double,sentence:double>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for sentences, sizes in batches:
+            rows = [sentence_moments(space, space.cell(s), np.asarray(k, np.int64)) for s, k in zip(sentences, sizes)]
+            yield pd.DataFrame(rows, columns=["consistency", "sentence"])
+
+    return run

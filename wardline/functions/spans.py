@@ -18,7 +18,7 @@ def context_spans(buckets: Column, radius: int) -> Column:
 
 
 def self_overlaps(spans: Column) -> Column:
-    return F.transform(spans, lambda s: vx.overlap(s, s))
+    return F.transform(spans, vx.self_overlap)
 
 
 def neighbours(items: Column, gap: int = 1) -> tuple[Column, Column]:
@@ -44,9 +44,9 @@ def inverse_root(m: Column) -> Column:
     return F.when(m > 0, 1.0 / F.sqrt(m.cast("double"))).otherwise(0.0)
 
 
-def sentence_spans(text: Column) -> Column:
-    """Buckets of every sentence; empty sentences give empty spans."""
-    return F.transform(tx.sentences(text), lambda s: vx.buckets(tx.words(s)))
+def sentence_spans(text: Column, embedder: vx.Embedder = vx.HASHED) -> Column:
+    """Token vectors (or buckets) of every sentence; empty sentences give empty spans."""
+    return F.transform(tx.sentences(text), lambda s: embedder.embed(tx.words(s)))
 
 
 def semantic_consistency(spans: Column) -> Column:
@@ -66,7 +66,7 @@ def semantic_consistency(spans: Column) -> Column:
 
 def unit(span: Column) -> Column:
     return vx.let(
-        inverse_root(vx.overlap(span, span)), lambda w: F.transform(vx.counts(span), lambda c: c.cast("double") * w)
+        inverse_root(vx.self_overlap(span)), lambda w: F.transform(vx.counts(span), lambda c: c.cast("double") * w)
     )
 
 
@@ -96,7 +96,7 @@ def phrase_anomaly(buckets: Column) -> Column:
 
 def sentence_anomaly(spans: Column) -> Column:
     """10 x variance over the sentence embeddings, clipped; 0 below two sentences."""
-    total = vx.sum_of(F.transform(spans, lambda s: F.size(s) * inverse_root(vx.overlap(s, s))))
+    total = vx.sum_of(F.transform(spans, lambda s: F.size(s) * inverse_root(vx.self_overlap(s))))
     filled = F.size(F.filter(spans, lambda s: F.size(s) > 0))
     n = F.size(spans)
     return F.when(n >= 2, vx.clip(10.0 * component_variance(total, filled, n))).otherwise(0.0)

@@ -9,6 +9,7 @@ and everything before the square root is an integer.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,13 +26,38 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def bucket(token: Column) -> Column:
-    """md5-derived bucket of a token: the low six bits of the first 32 hash bits."""
-    return (F.conv(F.substring(F.md5(F.lower(token)), 7, 2), 16, 10).cast("int") % DIMS).cast("int")
+def bucket(token: Column, dims: int = DIMS) -> Column:
+    """md5-derived bucket of a token: the low bits of the first 32 hash bits (dims is a power of two up to 256)."""
+    return (F.conv(F.substring(F.md5(F.lower(token)), 7, 2), 16, 10).cast("int") % dims).cast("int")
 
 
-def buckets(tokens: Column) -> Column:
-    return F.transform(tokens, bucket)
+def buckets(tokens: Column, dims: int = DIMS) -> Column:
+    return F.transform(tokens, lambda t: bucket(t, dims))
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """Vectors of tokens. `embed` turns an array of tokens into an array with one vector per token (array<float>), or,
+    if not `dense`, one bucket number per token, which stands for a unit vector. Any model that runs as a Column fits."""
+
+    name: str
+    dims: int
+    embed: Callable[[Column], Column]
+    dense: bool = True
+
+    def sum_of_tokens(self, units: Column) -> Column:
+        """Dense sum of the token vectors that `embed` gave."""
+        if not self.dense:
+            return counts(units, self.dims)
+        zero = F.transform(F.sequence(F.lit(1), F.lit(self.dims)), lambda _: F.lit(0.0))
+        return F.aggregate(units, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")))
+
+    def embed_text(self, tokens: Column) -> Column:
+        """Unit vector of a whole text."""
+        return normalize(self.sum_of_tokens(self.embed(tokens)))
+
+
+HASHED = Embedder(f"hashed-{DIMS}", DIMS, buckets, dense=False)
 
 
 def count_of(items: Column, x: Column) -> Column:
@@ -45,7 +71,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def span_cosine(a: Column, b: Column) -> Column:
     """Cosine of two bucket multisets, 0 when either is empty."""
-    norm = F.sqrt((overlap(a, a) * overlap(b, b)).cast("double"))
+    norm = F.sqrt((self_overlap(a) * self_overlap(b)).cast("double"))
     return F.coalesce(F.try_divide(overlap(a, b).cast("double"), norm), F.lit(0.0))
 
 
@@ -56,9 +82,20 @@ def window_at(items: Column, i: Column, radius: int) -> Column:
     return F.slice(items, start + 1, end - start + 1)
 
 
-def counts(span: Column) -> Column:
+def self_overlap(span: Column) -> Column:
+    """overlap(span, span): the sum of the squared bucket counts, from one walk over the sorted span."""
+    start = F.struct(F.lit(-1).alias("x"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["x"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("x"), run.alias("run"), (a["n"] + 2 * run - 1).alias("n"))
+
+    return F.aggregate(F.array_sort(span), start, step, lambda a: a["n"])
+
+
+def counts(span: Column, dims: int = DIMS) -> Column:
     """Dense bucket counts of a span."""
-    return let(span, lambda s: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda d: count_of(s, d)))
+    return let(span, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: count_of(s, d)))
 
 
 def sum_of(values: Column) -> Column:

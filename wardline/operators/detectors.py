@@ -112,11 +112,13 @@ def attack_risk(confidences: dict[str, Column]) -> Column:
     return F.least(F.lit(1.0), F.coalesce(best, F.lit(0.0)))
 
 
+# Sentences of the explanation.
 EXPLANATIONS = {
     "ESA": ("- Embedding Shift Attack: ", " perturbations detected", "count"),
     "CAP": ("- Contrastive Adversarial Prompting: ", " manipulation score", "score"),
     "STATISTICAL_ANOMALY": ("- Statistical Anomaly: ", " anomaly ratio", "score"),
     "ENSEMBLE_CLASSIFIER": ("- Ensemble Classification: ", " adversarial probability", "score"),
+    "ISOLATION_FOREST": ("- Isolation Forest: ", " outlier score", "score"),
     "DETECTION_ERROR": ("- DETECTION_ERROR: Detection triggered", "", None),
 }
 
@@ -136,15 +138,13 @@ def explanation(verdicts: dict[str, Column], confidence: Column) -> Column:
     return F.when(F.size(found) == 0, "No adversarial attacks detected. The prompt appears to be legitimate.").otherwise(text)
 
 
-def is_unscorable(text: Column, max_chars: int | None = None) -> Column:
-    """Rows no detector can judge: null, blank, or longer than a stated limit."""
-    bad = text.isNull() | (F.regexp_replace(text, tx.BLANK, "") == "")
-    return bad if max_chars is None else bad | (F.length(text) > max_chars)
+def is_unscorable(text: Column) -> Column:
+    """Rows no detector can judge: null or blank."""
+    return text.isNull() | (F.regexp_replace(text, tx.BLANK, "") == "")
 
 
 def detect_attacks(
     df: DataFrame, text_col: str = "text", esa_scale: float = 10.0, extra: dict[str, Column] | None = None,
-    max_chars: int | None = None,
 ) -> DataFrame:
     """Run the detectors on analysed prompts.
 
@@ -154,7 +154,7 @@ def detect_attacks(
     """
     named = {"ESA": esa(F.col("cosines"), esa_scale), "CAP": cap(), "STATISTICAL_ANOMALY": statistical(F.col("anomaly"))}
     named.update(extra or {})
-    broken = is_unscorable(F.col(text_col), max_chars)
+    broken = is_unscorable(F.col(text_col))
     named["DETECTION_ERROR"] = verdict(broken, F.lit(1.0), F.lit(1.0))
     kept = {n: f"_v_{n}" for n in named}
     scored = df.withColumns({kept[n]: v for n, v in named.items()})

@@ -14,6 +14,7 @@ from wardline.functions import text as tx
 from wardline.functions import vectors as vx
 from wardline.operators.detectors import is_unscorable
 from wardline.operators.ordering import exact_percentiles
+from wardline.operators.rows import fenced
 
 FEATURES = [
     "embedding_variance", "gradient_magnitude", "embedding_smoothness", "perturbation_signature",
@@ -40,13 +41,15 @@ class Thresholds:
     semantic: float = 0.4
 
 
-def features16(df: DataFrame, text_col: str = "text", radius: int = 5, defaults: dict[str, float] | None = None) -> DataFrame:
+def features16(
+    df: DataFrame, text_col: str = "text", radius: int = 5, defaults: dict[str, float] | None = None, embedder: vx.Embedder = vx.HASHED,
+) -> DataFrame:
     """Add the sixteen features to analysed prompts (see `tokens.analyze_tokens`)."""
     fixed = {**DEFAULT_FEATURES, **(defaults or {})}
     text, steps = F.coalesce(F.col(text_col), F.lit("")), sp.embedding_steps(F.col("cosines"))
-    base = df.withColumn("_sentences", sp.sentence_spans(text))
+    base = fenced(df, {"_sentences": sp.sentence_spans(text, embedder)})
     sizes = F.transform("_sentences", lambda s: F.size(s))
-    base = base.withColumn("_stats", geo.text_statistics_udf(radius)(F.col("buckets"), F.flatten("_sentences"), sizes))
+    base = base.withColumn("_stats", geo.text_statistics_udf(geo.space_of(embedder), radius)(F.col("buckets"), F.flatten("_sentences"), sizes))
     found = base.withColumns(
         {
             "embedding_variance": F.col("_stats.variance"),
@@ -179,10 +182,10 @@ def dynamic_threshold(
 ) -> DataFrame:
     """One adaptation step per key: towards the middle of p95 of the positives and p5 of the negatives."""
     p = params.percentile
-    pos = exact_percentiles(df.where(F.col(label)), keys, F.col(score), {"p_pos": p})
-    neg = exact_percentiles(df.where(~F.col(label)), keys, F.col(score), {"p_neg": 1.0 - p})
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    joined = n.join(pos, keys, "left").join(neg, keys, "left")
+    both = exact_percentiles(df, [*keys, label], F.col(score), {"high": p, "low": 1.0 - p}, count="n")
+    joined = both.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col(label), F.col("high"))).alias("p_pos"), F.max(F.when(~F.col(label), F.col("low"))).alias("p_neg")
+    )
     best = (F.col("p_pos") + F.col("p_neg")) / 2.0
     moved = vx.clip(start + params.rate * (best - start), low, high)
     return joined.withColumn(

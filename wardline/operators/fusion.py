@@ -229,7 +229,7 @@ def detect_anomalies(
 
 
 def recent_anomaly_rate(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, flag: str, last: int = 100, minimum: int = 10,
+    df: DataFrame, keys: list[str], order: list[str], flag: str, last: int = 100, minimum: int = 10,
     block: int = 65536,
 ) -> DataFrame:
     """Share of anomalous rows among the `last` before each row, 0 before `minimum` rows.
@@ -237,7 +237,7 @@ def recent_anomaly_rate(
     Rows get their exact index per key, then sums run per block of the index with
     `last` rows of halo, so one busy key spreads over many tasks.
     """
-    indexed = running_index(df, keys, order, bucket)
+    indexed = running_index(df, keys, order)
     rolled = rolling_sum(indexed, keys, "idx", F.col(flag).cast("int"), last, "_hits", skip_current=True, block=block)
     rate = F.col("_hits") / F.least(F.col("idx"), F.lit(last))
     return rolled.withColumn("recent_rate", F.when(F.col("idx") >= minimum, rate).otherwise(0.0)).drop("_hits")
@@ -289,7 +289,7 @@ def percentile(ordered: list[float], p: float) -> float:
 
 
 def adapt_thresholds(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, score: str, label: str,
+    df: DataFrame, keys: list[str], order: list[str], score: str, label: str,
     config: ThresholdConfig = ThresholdConfig(), minimum: int = 50, block: int = 65536,
 ) -> DataFrame:
     """Final threshold per key after replaying its whole history in order.
@@ -298,7 +298,7 @@ def adapt_thresholds(
     rows before it; a block is one bounded task and gives one row. The blocks of a
     key, in order, are then folded over the start value.
     """
-    indexed = running_index(df, keys, order, bucket).select(
+    indexed = running_index(df, keys, order).select(
         *keys, "idx", F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_l")
     )
     own = F.floor(F.col("idx") / block).cast("long")

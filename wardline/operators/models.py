@@ -10,11 +10,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.datasets import bootstrap, with_class_weight
 from wardline.operators.ordering import exact_percentiles
+from wardline.session import checkpointed
 
 
 def scaler_stages(features: list[str], robust: bool = False, out: str = "scaled") -> list:
@@ -48,7 +49,7 @@ def fit_mlp_ensemble(
 ) -> list[PipelineModel]:
     """Networks on bootstrap samples; members differ in sample and start weights."""
     out = []
-    drawn = bootstrap(df, id_col, members, seed)
+    drawn = checkpointed(bootstrap(df, id_col, members, seed))
     for i in range(members):
         sample = drawn.where(F.col("member") == i)
         net = MultilayerPerceptronClassifier(
@@ -117,33 +118,34 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, depth: int) -> list[tu
     return nodes
 
 
-def fit_isolation_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int = SAMPLE, seed: int = 42) -> list[np.ndarray]:
+def fit_isolation_forest(
+    df: DataFrame, features: list[str], key: list[str], trees: int = 100, sample: int = SAMPLE, seed: int = 42
+) -> list[np.ndarray]:
     """Trees on small samples, grown in parallel; the forest is bounded by trees x 2 x sample nodes.
 
-    Rows are drawn for all trees in one pass; a tree's sample is trimmed to `sample`
-    rows inside its task.
+    `key` names the rows: each has a hash per tree, and a tree takes the `sample` rows of smallest hash, so equal rows are
+    drawn one by one. Rows far from the smallest hashes are dropped where they are read; the ranking keeps at most `sample`
+    rows per tree and task before the shuffle.
     """
     total = df.count()
     if total == 0:
         raise ValueError("an isolation forest needs rows")
     # A little more than needed, so that hardly any tree falls short.
-    share = min(1.0, (sample + 4 * sample**0.5) / total)
-    drawn = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    if share >= 1.0:
-        picked = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        # One uniform number per (row, tree) from the row's hash, so that retried tasks draw the same rows.
-        u = lambda t: F.pmod(F.xxhash64(*features, t), F.lit(1_000_003)) / 1_000_003.0
-        hit = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < share)
-        picked = drawn.withColumn("tree", F.explode_outer(hit)).where(F.col("tree").isNotNull())
+    share = min(1.0, (sample + 6 * sample**0.5) / total)
+    drawn = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.xxhash64(*key).alias("_key"))
+    # One uniform number per (row, tree) from the row's key, so that retried tasks draw the same rows.
+    u = lambda t: F.pmod(F.xxhash64("_key", t), F.lit(1_000_003)) / 1_000_003.0
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), u(t).alias("u")))
+    hits = drawn.withColumn("_hits", F.filter(numbers, lambda n: n["u"] <= share))
+    picked = hits.withColumn("_hit", F.explode_outer("_hits")).where(F.col("_hit").isNotNull()).select(*features, "_key", "_hit.tree", "_hit.u")
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "_key"))
+    picked = picked.withColumn("_place", place).where(F.col("_place") <= sample)
     depth = int(np.ceil(np.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(seed + tree)
         rows = pdf.sort_values(features)[features].to_numpy()
-        rows = rows[rng.permutation(len(rows))[:sample]]
-        nodes = grow_tree(rows, rng, depth)
+        nodes = grow_tree(rows, np.random.default_rng(seed + tree), depth)
         return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "cut", "left", "right", "path"])
 
     schema = "tree int, node int, feature int, cut double, left int, right int, path double"

@@ -15,7 +15,6 @@ from wardline.operators import detectors as dt
 from wardline.operators import enhanced as en
 from wardline.operators import fusion as fu
 from wardline.operators import tokens as tk
-from wardline.operators.ordering import salted_join
 
 
 def risk_aggregate(embedding: Column, adversarial: Column, anomaly: Column | None = None, threshold: float = 0.5) -> dict[str, Column]:
@@ -50,14 +49,17 @@ def with_signals(df: DataFrame) -> DataFrame:
 def prompt_risk(
     df: DataFrame, reference: DataFrame, id_col: str, params: tk.TokenParams = tk.TokenParams(),
     fusion: fu.FusionConfig = fu.FusionConfig(), esa_scale: float = 10.0, recent_rate: Column | None = None,
-    hour: Column | None = None,
+    hour: Column | None = None, models: Callable[[DataFrame], tuple[DataFrame, dict[str, Column]]] | None = None,
 ) -> DataFrame:
     """The full score of every prompt in `text`: attacks, confidence, risk level and explanation.
 
-    One pass without a shuffle as long as the reference can be broadcast.
+    `models` gets the analysed prompts and gives them back with the columns of fitted models, and verdicts on those columns by
+    detector name (see `detectors.verdict`).
     """
     analysed = tk.analyze_tokens(df, reference, id_col, params=params)
-    detected = dt.detect_attacks(en.features16(analysed, radius=params.radius), esa_scale=esa_scale)
+    featured = en.features16(analysed, radius=params.radius, embedder=params.embedder)
+    featured, extra = models(featured) if models else (featured, None)
+    detected = dt.detect_attacks(featured, esa_scale=esa_scale, extra=extra)
     signalled = with_signals(detected)
     values = {s: F.col(f"signals.{s}") for s in fu.SIGNALS}
     decided = fu.detect_anomalies(signalled, values, fusion, recent_rate=recent_rate, hour=hour)
@@ -79,13 +81,13 @@ def prompt_risk(
 def batch_score(df: DataFrame, text_col: str, score: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """Score each distinct text once and give every row its result.
 
-    `score` gets (text_key, text). Copies of one text, however many, meet their
-    result through a salted join.
+    `score` gets (text_key, text); a null text has a key of its own. One row per
+    distinct text joins all its copies; Spark splits a text with very many copies.
     """
-    keyed = df.withColumn("text_key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    keyed = df.withColumn("text_key", F.coalesce(F.sha2(text_col, 256), F.lit("null")))
     distinct = keyed.groupBy("text_key").agg(F.first(text_col).alias("text"))
     results = score(distinct).select("text_key", *columns)
-    return salted_join(keyed, results, ["text_key"]).drop("text_key")
+    return keyed.join(results, "text_key").drop("text_key")
 
 
 def plugin_scores(df: DataFrame, plugins: dict[str, Callable[[DataFrame], Column]]) -> DataFrame:

@@ -11,126 +11,51 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
-from wardline.operators.blocks import matrix, read_block, write_blocks
-from wardline.operators.ordering import latest_per_key, running_index, salted_join
+from wardline.operators import nearest as nr
+from wardline.operators.ordering import latest_per_key, running_index
 
-BROADCAST_QUERIES = 10_000  # 64 doubles each: about 5 MB on every executor
-CELLS = 4_000_000  # cells of one similarity tile (queries x corpus slice)
 HITS = "query_id bigint, corpus_id bigint, similarity double"
 
 
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-
-
-def best_hits(query_ids, queries: np.ndarray, corpus_ids, corpus: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
-    """Up to k corpus vectors per query with cosine >= threshold; ties by corpus id."""
-    sim = np.round(queries @ corpus.T, 9)
-    corpus_ids = np.asarray(corpus_ids)
-    by_id = np.argsort(corpus_ids, kind="stable")
-    sim, corpus_ids = sim[:, by_id], corpus_ids[by_id]
-    top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-    value = np.take_along_axis(sim, top, axis=1)
-    row, col = np.nonzero(value >= threshold)
-    return pd.DataFrame(
-        {"query_id": np.asarray(query_ids)[row], "corpus_id": corpus_ids[top[row, col]], "similarity": value[row, col]}
-    )
-
-
 def keep_best(hits: DataFrame, k: int) -> DataFrame:
     """Global ranking; Spark drops all but k rows per query in each task before the shuffle."""
     best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "corpus_id")
     return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
-def tiled_hits(query_ids, queries: np.ndarray, corpus_ids, corpus: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
-    """`best_hits` over slices of the corpus, so that one similarity tile stays small."""
-    step = max(1, CELLS // max(1, len(queries)))
-    best = None
-    for start in range(0, len(corpus), step):
-        part = best_hits(query_ids, queries, corpus_ids[start : start + step], corpus[start : start + step], k, threshold)
-        best = part if best is None else trimmed(pd.concat([best, part]), k)
-    return best
-
-
-def trimmed(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(["query_id", "similarity", "corpus_id"], ascending=[True, False, True])
-    return ordered.groupby("query_id").head(k)
-
+def best_hits(meetings: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The best k of every query in every slice it meets, then of all slices; ties by corpus id."""
 
-def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7,
-               limit: int = BROADCAST_QUERIES) -> DataFrame:
-    """Exact top-k by cosine; the corpus is read once and not shuffled.
-
-    Up to `limit` queries are broadcast and each task gives at most k hits per query.
-    More queries are written as files of at most `limit` rows and read file by file
-    next to each batch of the corpus.
-    """
-    n = queries.count()
-    if n > limit:
-        files = write_blocks(queries.select(F.col(id_col).alias("q"), vx.as_doubles(F.col(vec)).alias("v")), max(limit, 1000))
-        return keep_best(corpus.select(id_col, vec).mapInPandas(file_scan({0: files}, id_col, vec, k, threshold), HITS), k)
-    rows = queries.select(id_col, vec).toPandas()
-    ids = rows[id_col].to_numpy()
-    q = unit_rows(matrix(rows[vec].tolist()))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                part = tiled_hits(ids, q, batch[id_col].to_numpy(), unit_rows(matrix(batch[vec].tolist())), k, threshold)
-                best = part if best is None else trimmed(pd.concat([best, part]), k)
-        if best is not None:
-            yield best
-
-    return keep_best(corpus.select(id_col, vec).mapInPandas(scan, HITS), k)
-
+            out = []
+            for row, cosines, ids in nr.scores(batch, nr.one_vector):
+                sim, ids = np.round(cosines[0], 9), np.asarray(ids)
+                top = np.lexsort((ids, -sim))[:k]
+                top = top[sim[top] >= threshold]
+                out.append(pd.DataFrame({"query_id": row, "corpus_id": ids[top], "similarity": sim[top]}))
+            if out:
+                yield pd.concat(out)
 
-def file_scan(files: dict[int, list[str]], id_col: str, vec: str, k: int, threshold: float, cell: str | None = None):
-    """A task that compares its corpus batches with the query files of each row's cell."""
+    return keep_best(meetings.mapInPandas(run, HITS), k)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, part in batch.groupby(cell) if cell else [(0, batch)]:
-                if len(part) == 0:
-                    continue
-                c = unit_rows(matrix(part[vec].tolist()))
-                for address in files.get(int(name), []):
-                    block = read_block(address)
-                    q = unit_rows(matrix(block["v"]))
-                    yield tiled_hits(np.asarray(block["q"]), q, part[id_col].to_numpy(), c, k, threshold)
 
-    return scan
+def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7) -> DataFrame:
+    """Exact top-k by cosine among vectors of at least the threshold; see `nearest` for how far ones are left out."""
+    index = nr.build_index(corpus.select(id_col, nr.packed(F.col(vec)).alias("v")), id_col, "v")
+    asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
+    return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold), k, threshold)
 
 
-def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7,
-               lists: int = 16, probes: int = 4, seed: int = 1) -> DataFrame:
-    """Top-k by cosine within the `probes` nearest of `lists` k-means cells of each query.
+def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, cells: int, probes: int, k: int = 5, threshold: float = 0.7) -> DataFrame:
+    """Top-k by cosine within the `probes` nearest of `cells` cells of each query.
 
-    Queries are written as files per cell; every corpus batch reads those of its
-    cells, so the corpus is not shuffled and a crowded cell is many tasks. Scores are
-    exact, only far cells are left out.
+    Scores are exact, only far cells are left out; recall rises with the share of cells probed, cost as well. Both numbers
+    belong to the data, so they have no default.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    as_vector = corpus.select(id_col, vec, array_to_vector(vx.normalize(F.col(vec))).alias("features"))
-    model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="_list", maxIter=10).fit(as_vector)
-    centers = np.array(model.clusterCenters())  # lists x dimensions: bounded by the parameter
-    cells = model.transform(as_vector).select(id_col, vec, "_list")
-
-    @F.pandas_udf("array<int>")
-    def nearest(batch: pd.Series) -> pd.Series:
-        q = unit_rows(matrix(batch.tolist()))
-        dist = np.stack([((q - c) ** 2).sum(axis=1) for c in centers], axis=1)
-        return pd.Series(list(np.argsort(dist, axis=1)[:, :probes].astype(np.int32)))
-
-    asked = queries.select(F.col(id_col).alias("q"), vx.as_doubles(F.col(vec)).alias("v"), F.explode_outer(nearest(F.col(vec))).alias("_list"))
-    files: dict[int, list[str]] = {}
-    for address in write_blocks(asked, BROADCAST_QUERIES, ["_list"]):
-        files.setdefault(int(address.split("_list=")[1].split("/")[0]), []).append(address)
-    return keep_best(cells.mapInPandas(file_scan(files, id_col, vec, k, threshold, "_list"), HITS), k)
+    index = nr.build_index(corpus.select(id_col, nr.packed(F.col(vec)).alias("v")), id_col, "v", cells)
+    asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
+    return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold, probes=probes), k, threshold)
 
 
 # --- embedding store ---------------------------------------------------------------------
@@ -139,7 +64,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k:
 def split_cached(requests: DataFrame, store: DataFrame, key: str, ts: str, stored_ts: str, ttl_seconds: int = 3600) -> DataFrame:
     """Every request with `cached`: its key is in the store and younger than the ttl at request time."""
     newest = store.groupBy(key).agg(F.max(stored_ts).alias("_at"))
-    joined = salted_join(requests, newest, [key], how="left")
+    joined = requests.join(newest, key, "left")
     age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
     return joined.withColumn("cached", F.coalesce((age >= 0) & (age < ttl_seconds * 1_000_000), F.lit(False))).drop("_at")
 
@@ -148,7 +73,7 @@ def two_level_lookup(requests: DataFrame, first: DataFrame, second: DataFrame, k
     """Value of the first store that has the key, and which one it was. Stores have one row per key."""
     one = first.select(key, F.col(value).alias("_v1"), F.lit(True).alias("_in1"))
     two = second.select(key, F.col(value).alias("_v2"), F.lit(True).alias("_in2"))
-    joined = salted_join(salted_join(requests, one, [key], how="left"), two, [key], how="left")
+    joined = requests.join(one, key, "left").join(two, key, "left")
     return joined.withColumns(
         {
             value: F.when(F.col("_in1"), F.col("_v1")).otherwise(F.col("_v2")),
@@ -157,16 +82,16 @@ def two_level_lookup(requests: DataFrame, first: DataFrame, second: DataFrame, k
     ).drop("_v1", "_v2", "_in1", "_in2")
 
 
-def get_or_compute(texts: DataFrame, store: DataFrame, text_col: str, model: str = "hashed-64") -> tuple[DataFrame, DataFrame]:
+def get_or_compute(texts: DataFrame, store: DataFrame, text_col: str, embedder: vx.Embedder = vx.HASHED) -> tuple[DataFrame, DataFrame]:
     """(embedding of every distinct text, the part of it that was not stored).
 
     The second frame is what a caller appends to the store; each text is embedded
     once however often it occurs.
     """
-    keyed = texts.withColumn("key", tx.content_key(F.lit(model), F.col(text_col)))
+    keyed = texts.withColumn("key", tx.content_key(F.lit(embedder.name), F.col(text_col)))
     distinct = keyed.groupBy("key").agg(F.first(text_col).alias("text"))
     missing = distinct.join(store.select("key"), "key", "left_anti")
-    fresh = missing.select("key", vx.embed(tx.words(F.col("text"))).alias("embedding"))
+    fresh = missing.select("key", embedder.embed_text(tx.words(F.col("text"))).alias("embedding"))
     known = store.select("key", "embedding").join(distinct.select("key"), "key", "left_semi")
     both = known.withColumn("origin", F.lit("stored")).unionByName(fresh.withColumn("origin", F.lit("computed")))
     return both, fresh
@@ -180,15 +105,15 @@ def hot_keys(accesses: DataFrame, key: str, n: int = 10) -> DataFrame:
     return accesses.groupBy(key).agg(F.count("*").alias("accesses")).orderBy(F.col("accesses").desc(), key).limit(n)
 
 
-def hit_rate(accesses: DataFrame, key: str, order: list[str], bucket: Column, decay: float = 0.9) -> DataFrame:
+def hit_rate(accesses: DataFrame, key: str, order: list[str], decay: float = 0.9) -> DataFrame:
     """Hits of a store that never evicts: plain rate and exponential moving average after the last access.
 
     The first access of a key misses. The average is a weighted sum over positions
     from the end, so it is one aggregate after the running index.
     """
     first = accesses.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    indexed = running_index(accesses.select(key, *order), [], order, bucket)
-    flagged = salted_join(indexed, first, [key]).withColumn("_hit", (F.struct(*order) != F.col("_first")).cast("int"))
+    indexed = running_index(accesses.select(key, *order), [], order)
+    flagged = indexed.join(first, key).withColumn("_hit", (F.struct(*order) != F.col("_first")).cast("int"))
     total = accesses.agg(F.count("*").alias("_n"))
     k = F.lit(0).alias("_k")
     weighted = flagged.select("_hit", "idx", k).join(F.broadcast(total.select("_n", k)), "_k")

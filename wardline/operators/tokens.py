@@ -1,15 +1,17 @@
 """Token-level analysis: context windows, similarity to a reference corpus, semantic shifts.
 
 One row per prompt in, one row per prompt out; tokens stay arrays of their row
-until a caller explodes them, so the chain has no shuffle.
+until a caller explodes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import geometry as geo
@@ -17,10 +19,9 @@ from wardline.functions import severity as sv
 from wardline.functions import spans as sp
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
-from wardline.operators.blocks import read_block, write_blocks
-from wardline.operators.rows import inline_rows, position_rows
-
-BROADCAST_REFERENCES = 20_000  # 64 counts each: at most about 10 MB on every executor
+from wardline.operators import nearest as nr
+from wardline.operators.rows import fenced, inline_rows, position_rows
+from wardline.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,13 @@ class TokenParams:
     window: int = 5
     stride: int = 1
     anomaly_cut: float = 0.6
+    embedder: vx.Embedder = vx.HASHED
 
 
-def with_tokens(df: DataFrame, text_col: str = "text", max_tokens: int | None = None) -> DataFrame:
+def with_tokens(df: DataFrame, text_col: str = "text", max_tokens: int | None = None, embedder: vx.Embedder = vx.HASHED) -> DataFrame:
+    """Add `tokens` and `buckets`, what the embedder gives per token (bucket numbers, or vectors if it is dense)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn("tokens", tx.tokenize(text, max_tokens)).withColumn(
-        "buckets", vx.buckets(F.col("tokens"))
-    )
+    return fenced(df.withColumn("tokens", tx.tokenize(text, max_tokens)), {"buckets": embedder.embed(F.col("tokens"))})
 
 
 def token_context(df: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
@@ -65,71 +66,123 @@ def build_reference(df: DataFrame, id_col: str, radius: int = 5) -> DataFrame:
     return spans.groupBy("span").agg(F.count("*").alias("copies"))
 
 
-def text_reference(df: DataFrame, id_col: str) -> DataFrame:
-    """Whole texts as reference vectors."""
-    return df.select(F.col(id_col).cast("string").alias("ref"), F.array_sort("buckets").alias("span"), F.lit(1).alias("copies"))
+def text_reference(df: DataFrame, id_col: str, embedder: vx.Embedder = vx.HASHED) -> DataFrame:
+    """Whole texts as reference vectors: (ref, copies) and `span` for buckets, `vector` for a dense embedder."""
+    ref = F.col(id_col).cast("string").alias("ref")
+    if embedder.dense:
+        return df.select(ref, embedder.sum_of_tokens(F.col("buckets")).alias("vector"), F.lit(1).alias("copies"))
+    return df.select(ref, F.array_sort("buckets").alias("span"), F.lit(1).alias("copies"))
 
 
-def _collect(reference: DataFrame, extra: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
-    """The reference as numpy arrays; callers have checked its size."""
-    rows = reference.select(vx.counts(F.col("span")).alias("c"), "copies", *extra).toPandas()
-    refs = np.array(rows["c"].tolist(), dtype=np.int32).reshape(-1, vx.DIMS)
-    return refs, rows["copies"].to_numpy(), rows[extra[0]].tolist() if extra else []
+def _vectors(reference: DataFrame, embedder: vx.Embedder) -> DataFrame:
+    """(ref, v, copies) with packed vectors, computed once; spans name themselves where there is no `ref`."""
+    named = reference if "ref" in reference.columns else reference.withColumn("ref", F.array_join(F.col("span").cast("array<string>"), " "))
+    given = checkpointed(named.select("ref", "vector" if embedder.dense else "span", F.col("copies").cast("double").alias("copies")))
+    vector = nr.packed(F.col("vector")) if embedder.dense else nr.packed_counts(F.col("span"), embedder.dims)
+    return given.select("ref", vector.alias("v"), "copies")
 
 
-def with_reference_similarity(
-    df: DataFrame, reference: DataFrame, id_col: str, radius: int = 5, limit: int = BROADCAST_REFERENCES
-) -> DataFrame:
-    """Add arrays max_sim, mean_sim, min_sim, std_sim: every token against all references.
+def _sums(vectors: DataFrame, dims: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number of references, sum of their unit vectors and of the products of their components: dims squared numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(1 + dims + dims * dims)
+        for b in batches:
+            if len(b):
+                u, w = nr.unit(np.stack([nr.one_vector(bytes(v))[0] for v in b["v"]])), b["copies"].to_numpy()
+                out += np.r_[w.sum(), w @ u, ((u * w[:, None]).T @ u).ravel()]
+        yield pd.DataFrame({"i": np.arange(len(out)), "x": out})
+
+    total = vectors.select("v", "copies").mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    flat = np.zeros(1 + dims + dims * dims)
+    for r in total:
+        flat[r.i] = r.x
+    return flat[0], flat[1 : dims + 1], flat[dims + 1 :].reshape(dims, dims)
+
+
+SIMILARITIES = "hi array<double>, lo array<double>, mean array<double>, std array<double>"
+
+
+def with_reference_similarity(df: DataFrame, reference: DataFrame, id_col: str, radius: int = 5, embedder: vx.Embedder = vx.HASHED) -> DataFrame:
+    """Add arrays max_sim, mean_sim, min_sim, std_sim: every token window against all references.
 
-    Up to `limit` distinct references are broadcast. A larger corpus is written as
-    files of at most `limit` rows and read file by file next to each batch of texts.
+    Mean and deviation come from sums over the references (a fixed number of them). Largest and smallest are searched
+    exactly among cells (see `nearest`), whatever the number of references, and joined back by `id_col`, which must name
+    the rows. Without references the arrays are .5, .5, .5 and 0.
     """
-    size = reference.agg(F.count("*").alias("n"), F.sum("copies").alias("w")).first()
-    n, weight = size["n"], float(size["w"] or 0)
-    if n == 0:
+    vectors, space = _vectors(reference, embedder), geo.space_of(embedder)
+    weight, total, second = _sums(vectors, embedder.dims)
+    if weight == 0:
         fixed = {"max_sim": 0.5, "mean_sim": 0.5, "min_sim": 0.5, "std_sim": 0.0}
         return df.withColumns({c: F.transform("buckets", _constant(v)) for c, v in fixed.items()})
-    if n <= limit:
-        refs, copies, _ = _collect(reference, [])
-        scored = df.withColumn("_m", geo.moments_udf(refs, copies, radius)(F.col("buckets")))
-    else:
-        udf = geo.filed_moments_udf(_files(reference, limit, []), radius, read_block)
-        scored = df.withColumn("_m", udf(F.col("buckets")))
-    mean = F.transform("_m.total", lambda x: x / weight)
-    square = F.transform("_m.squares", lambda x: x / weight)
-    return scored.withColumns(
-        {
-            "max_sim": F.col("_m.hi"),
-            "min_sim": F.col("_m.lo"),
-            "mean_sim": mean,
-            "std_sim": F.zip_with(square, mean, lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0)))),
-        }
-    ).drop("_m")
+    total, second, unpack = total / weight, second / weight, space.unpack(radius)
+    index = nr.build_index(vectors, "ref", "v")
+    queries = df.select(F.col(id_col).alias("row"), space.pack("buckets").alias("payload"))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(row, c.max(axis=1), c.min(axis=1)) for row, c, _ in nr.scores(batch, unpack) if len(c)]
+            yield pd.DataFrame(rows, columns=["row", "hi", "lo"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    found = nr.meetings(index, queries, unpack, 1, signs=(1, -1)).mapInPandas(ends, f"row {kind}, hi array<double>, lo array<double>")
+    best = lambda c, pick: F.reduce(F.collect_list(c), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, pick)))
+    merged = found.groupBy("row").agg(best("hi", lambda a, b: F.greatest(a, b)).alias("max_sim"), best("lo", lambda a, b: F.least(a, b)).alias("min_sim"))
+
+    @F.pandas_udf("struct<mean:array<double>,std:array<double>>")
+    def spread(batch: pd.Series) -> pd.DataFrame:
+        out = []
+        for b in batch:
+            mean, square = geo.average_cosines(space.around(cell := space.cell(b), 0, len(cell), radius, radius), total, second)
+            out.append((mean, np.sqrt(np.maximum(square - mean * mean, 0.0))))
+        return pd.DataFrame(out, columns=["mean", "std"])
+
+    joined = df.join(merged.withColumnRenamed("row", id_col), id_col, "left").withColumn("_s", spread("buckets"))
+    none = F.array().cast("array<double>")
+    return joined.withColumns(
+        {"max_sim": F.coalesce("max_sim", none), "min_sim": F.coalesce("min_sim", none), "mean_sim": F.col("_s.mean"), "std_sim": F.col("_s.std")}
+    ).drop("_s")
 
 
 def _constant(value: float):
     return lambda _: F.lit(value)
 
 
-def _files(reference: DataFrame, limit: int, extra: list[str]) -> list[str]:
-    return write_blocks(reference.select(vx.counts(F.col("span")).alias("c"), "copies", *extra), limit)
-
-
 def top_similar_tokens(
-    df: DataFrame, reference: DataFrame, id_col: str, radius: int = 5, first: int = 1, last: int = 5,
-    limit: int = BROADCAST_REFERENCES,
+    df: DataFrame, reference: DataFrame, id_col: str, radius: int = 5, first: int = 1, last: int = 5, embedder: vx.Embedder = vx.HASHED,
 ) -> DataFrame:
-    """References of rank first..last per token by cosine, ties by reference name.
-
-    A reference beyond the broadcast limit is read from files, block by block.
-    """
-    if reference.count() <= limit:
-        refs, _, ids = _collect(reference.orderBy("ref"), ["ref"])
-        udf = geo.top_references_udf(ids, refs, radius, first, last)
-    else:
-        udf = geo.filed_top_references_udf(_files(reference, limit, ["ref"]), radius, first, last, read_block)
-    return inline_rows(df, [id_col], udf(F.col("buckets")), "pos")
+    """References of rank first..last per token by cosine, ties by reference name."""
+    vectors, space = _vectors(reference, embedder), geo.space_of(embedder)
+    unpack = space.unpack(radius)
+    queries = df.select(F.col(id_col).alias("row"), space.pack("buckets").alias("payload"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, c, ids in nr.scores(batch, unpack):
+                by_name = np.argsort(np.array(ids, object), kind="stable")
+                names, c = np.array(ids, object)[by_name], c[:, by_name]
+                order = np.argsort(-c, axis=1, kind="stable")[:, :last]
+                pos = np.repeat(np.arange(len(c)), order.shape[1])
+                out.append(pd.DataFrame({id_col: row, "pos": pos, "ref": names[order].ravel(), "similarity": np.take_along_axis(c, order, axis=1).ravel()}))
+            if out:
+                yield pd.concat(out)
+
+    meetings = nr.meetings(nr.build_index(vectors, "ref", "v"), queries, unpack, last)
+    rows = meetings.mapInPandas(top, f"{id_col} {kind}, pos bigint, ref string, similarity double")
+    rank = F.row_number().over(Window.partitionBy(id_col, "pos").orderBy(F.col("similarity").desc(), "ref"))
+    ranked = rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= last)
+    return ranked.where(F.col("rank") >= first).select(id_col, "pos", "rank", "ref", "similarity")
+
+
+def sentence_statistics(df: DataFrame, id_col: str, text_col: str = "text", embedder: vx.Embedder = vx.HASHED) -> DataFrame:
+    """(id, consistency, sentence): mean pairwise cosine of a text's sentences and 10 x variance of their embeddings."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    spans = fenced(df.select(id_col, text.alias("_t")), {"_s": sp.sentence_spans(F.col("_t"), embedder)})
+    sizes = F.transform("_s", lambda s: F.size(s))
+    both = geo.sentence_statistics_udf(geo.space_of(embedder))(F.flatten("_s"), sizes)
+    return spans.select(id_col, both.alias("_n")).select(id_col, "_n.consistency", "_n.sentence")
 
 
 def token_anomaly(max_sim: Column, std_sim: Column) -> Column:
@@ -200,7 +253,7 @@ def anomaly_list(tokens: Column, anomaly: Column, shifts: Column, cut: float = 0
 
 def with_cosines(df: DataFrame, params: TokenParams) -> DataFrame:
     """Add `cosines` of neighbouring windows and `run_cosines` of token runs, from one Arrow pass."""
-    both = geo.shift_cosines_udf(params.shift_radius, params.window, params.stride)(F.col("buckets"))
+    both = geo.token_numbers_udf(geo.space_of(params.embedder), params.shift_radius, params.window, params.stride)(F.col("buckets"))
     return df.withColumn("_c", both).withColumns({"cosines": F.col("_c.adjacent"), "run_cosines": F.col("_c.runs")}).drop("_c")
 
 
@@ -220,9 +273,9 @@ def analyze_tokens(
     df: DataFrame, reference: DataFrame, id_col: str, text_col: str = "text", params: TokenParams = TokenParams()
 ) -> DataFrame:
     """The whole token analysis; keeps the input columns and adds arrays per prompt."""
-    tokens = with_tokens(df, text_col, params.max_tokens)
-    similar = with_reference_similarity(with_cosines(tokens, params), reference, id_col, params.radius)
-    scored = with_shifts(similar, params).withColumn("anomaly", token_anomaly(F.col("max_sim"), F.col("std_sim")))
+    tokens = with_tokens(df, text_col, params.max_tokens, params.embedder)
+    similar = with_reference_similarity(tokens, reference, id_col, params.radius, params.embedder)
+    scored = with_shifts(with_cosines(similar, params), params).withColumn("anomaly", token_anomaly(F.col("max_sim"), F.col("std_sim")))
     return scored.withColumns(
         {
             "overall_anomaly": prompt_anomaly(F.col("anomaly"), params.anomaly_cut),

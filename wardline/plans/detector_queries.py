@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wardline.functions import vectors as vx
 from wardline.operators import detectors as dt
 from wardline.operators import enhanced as en
-from wardline.operators.ordering import salted_join
 from wardline.plans.common import (
     SQL_MIXED, load, mixed_prompts, r6, rounded, section, sql_buckets, sql_overlap, sql_r6, sql_words,
 )
@@ -120,8 +119,7 @@ def detect_attacks(spark, sf):
     )
 
 
-LIMIT = 1000
-SQL_BROKEN = f"(t IS NULL OR regexp_replace(t, '[\\s\\x{{00A0}}\\x{{3000}}]+', '', 'g') = '' OR length(t) > {LIMIT})"
+SQL_BROKEN = "(t IS NULL OR regexp_replace(t, '[\\s\\x{00A0}\\x{3000}]+', '', 'g') = '')"
 
 
 @query(
@@ -131,12 +129,12 @@ SQL_BROKEN = f"(t IS NULL OR regexp_replace(t, '[\\s\\x{{00A0}}\\x{{3000}}]+', '
     (SELECT conv_id||':'||turn AS prompt_id, CASE turn % 5 WHEN 1 THEN NULL WHEN 3 THEN '  ' ELSE text END AS t FROM conversations)""",
 )
 def fail_safe(spark, sf):
-    """Null, blank and over-long texts keep their row and count as attacks."""
+    """Null and blank texts keep their row and count as attacks."""
     c = load(spark, sf, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("prompt_id"),
         F.when(F.col("turn") % 5 == 1, None).when(F.col("turn") % 5 == 3, "  ").otherwise(F.col("text")).alias("text"),
     )
-    d = dt.detect_attacks(analyzed(spark, sf, c), esa_scale=ESA_SCALE, max_chars=LIMIT)
+    d = dt.detect_attacks(analyzed(spark, sf, c), esa_scale=ESA_SCALE)
     failed = F.array_contains("attacks", "DETECTION_ERROR")
     return d.select(
         "prompt_id", failed.alias("error"), F.when(failed, F.array_join("attacks", ",")).otherwise("").alias("error_attack"),
@@ -228,6 +226,17 @@ _score_query("cap_enhanced", en.cap_score, SQL_CAP, 0.75)
 _score_query("multi_granularity", en.granularity_score, SQL_GRAN, 0.7)
 _score_query("semantic_check", en.semantic_score, SQL_SEM, 0.4)
 
+@query(
+    "feature_scores",
+    f"""WITH {SQL_FEATURES} SELECT prompt_id, {sql_r6(SQL_ESA)} AS esa, {sql_r6(SQL_CAP)} AS cap, {sql_r6(SQL_GRAN)} AS granularity, {sql_r6(SQL_SEM)} AS semantic FROM feat""",
+)
+def feature_scores(spark, sf):
+    """The four scores on the features of prompts."""
+    f = en.feature_columns()
+    scores = {"esa": en.esa_score(f), "cap": en.cap_score(f), "granularity": en.granularity_score(f), "semantic": en.semantic_score(f)}
+    return rounded(featured(spark, sf).select("prompt_id", *[c.alias(n) for n, c in scores.items()]), *scores)
+
+
 SQL_JUDGED = f"""base AS (SELECT *, {SQL_ESA} AS e1, {SQL_CAP} AS e2, {SQL_GRAN} AS e3, 0.0::DOUBLE AS e4, {SQL_SEM} AS e5 FROM (@source)),
     hit AS (SELECT *, list_filter([CASE WHEN e1 > 0.8 THEN 'ESA' END, CASE WHEN e2 > 0.75 THEN 'CAP' END, CASE WHEN e3 > 0.7 THEN 'MULTI_GRANULARITY' END,
         CASE WHEN e5 > 0.4 THEN 'SEMANTIC_INCONSISTENCY' END], lambda x: x IS NOT NULL) AS hits,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
@@ -118,8 +120,7 @@ def context_adjust(spark, sf):
 )
 def recent_anomaly_rate(spark, sf):
     e = load(spark, sf, "events").select("event_id", "event_type", "ts", (F.col("value") > 20).alias("flag"))
-    day = F.to_date("ts")
-    rated = fu.recent_anomaly_rate(e, ["event_type"], ["ts", "event_id"], F.unix_date(day), "flag", block=1024)
+    rated = fu.recent_anomaly_rate(e, ["event_type"], ["ts", "event_id"], "flag", block=1024)
     return rounded(rated.select("event_id", "recent_rate"), "recent_rate")
 
 
@@ -238,13 +239,24 @@ def operator_stats(spark, sf):
     return rounded(st, "avg_ms", "avg_score", "anomaly_rate", "median_ms", "p95_ms")
 
 
-@query("threshold_adapter")
+ADAPT = fu.ThresholdConfig()
+
+
+@query(
+    "threshold_adapter",
+    f"""WITH e AS (SELECT event_type, ts, event_id, least(value/100.0, 1.0) AS score, (props->>'$.k')::INT > 80 AS label FROM events),
+    w AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, quantile_cont(score, {ADAPT.percentile / 100}) FILTER (WHERE label) OVER r AS hi,
+      quantile_cont(score, {1 - ADAPT.percentile / 100}) FILTER (WHERE NOT label) OVER r AS lo FROM e
+      WINDOW r AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {ADAPT.window - 1} PRECEDING AND CURRENT ROW)),
+    b AS (SELECT event_type, count(*)::BIGINT AS n, list((hi + lo)/2.0 ORDER BY i) FILTER (WHERE i >= 50 AND hi IS NOT NULL AND lo IS NOT NULL) AS best FROM w GROUP BY event_type)
+    SELECT event_type, n, {sql_r6(f"list_reduce(list_prepend({ADAPT.base}::DOUBLE, coalesce(best, []::DOUBLE[])), lambda t, x: least(greatest((t + {ADAPT.rate}*(x - t))*{ADAPT.sensitivity}, {ADAPT.low}), {ADAPT.high}))")} AS threshold FROM b""",
+)
 def threshold_adapter(spark, sf):
     e = load(spark, sf, "events").select(
         "event_type", "ts", "event_id", F.least(F.col("value") / 100.0, F.lit(1.0)).alias("score"),
         (F.get_json_object("props", "$.k").cast("int") > 80).alias("label"),
     )
-    return fu.adapt_thresholds(e, ["event_type"], ["ts", "event_id"], F.unix_date(F.to_date("ts")), "score", "label")
+    return rounded(fu.adapt_thresholds(e, ["event_type"], ["ts", "event_id"], "score", "label", ADAPT), "threshold")
 
 
 SQL_ANOMALY_DETECTION = sql_fused(
@@ -268,6 +280,25 @@ def detect_anomalies(spark, sf):
     return rounded(out, "score", "threshold", "confidence")
 
 
+def _method_query(name: str, method: str):
+    """The decision by another method on the signals of prompts."""
+    other = replace(CONFIG, method=method)
+    source = sql_fused(sql_adjusted(f"SELECT * REPLACE ({', '.join(f'{sql_clip(s)} AS {s}' for s in S)}) FROM sig", "length(text)", "0.0", "12"), method, "prompt_id")
+
+    @query(
+        name,
+        f"""WITH {SQL_FEATURES}, sig AS ({SQL_FEAT_SIGNALS}), fus AS ({source})
+        SELECT prompt_id, {sql_r6('score')} AS score, is_anomalous, {sql_r6('confidence')} AS confidence FROM ({sql_decided('SELECT * FROM fus', 'prompt_id, score, t')})""",
+    )
+    def run(spark, sf):
+        d = fu.detect_anomalies(signalled(spark, sf), {s: F.col(f"signals.{s}") for s in S}, other)
+        return rounded(d.select("prompt_id", F.col("fusion_score").alias("score"), "is_anomalous", F.col("anomaly_confidence").alias("confidence")), "score", "confidence")
+
+
+_method_query("detect_by_majority", "majority_vote")
+_method_query("detect_by_evidence", "evidence_fusion")
+
+
 @query(
     "risk_aggregate",
     f"""SELECT event_id, {sql_r6('score')} AS risk_score, score >= 0.5 AS is_malicious, {SQL_RISK_LEVEL} AS risk_level, {sql_r6('two')} AS risk_without
@@ -299,17 +330,17 @@ def prompt_risk(spark, sf):
     return rounded(out, "risk_score")
 
 
-@query(
-    "batch_score",
-    f"""SELECT doc_id, {sql_r6(SQL_NATURALNESS)} AS naturalness, ({SQL_LINGUISTIC})::DOUBLE AS linguistic FROM documents""",
-)
+@query("batch_score", f"SELECT prompt_id, risk_score, is_malicious, risk_level FROM ({ORACLE['prompt_risk']})")
 def batch_score(spark, sf):
+    """The full score, computed once per distinct text."""
+    known = reference(spark, sf)
+
     def score(texts):
-        return texts.select(
-            "text_key", r6(tx.naturalness(F.col("text"))).alias("naturalness"), tx.linguistic_anomaly(F.col("text")).alias("linguistic")
-        )
+        scored = rk.prompt_risk(texts, known, "text_key", ANALYSIS, CONFIG, ESA_SCALE)
+        return rounded(scored.select("text_key", "risk_score", "is_malicious", "risk_level"), "risk_score")
 
-    return rk.batch_score(load(spark, sf, "documents").select("doc_id", "text"), "text", score, ["naturalness", "linguistic"]).drop("text")
+    columns = ["risk_score", "is_malicious", "risk_level"]
+    return rk.batch_score(mixed_prompts(spark, sf).select("prompt_id", "text"), "text", score, columns).drop("text")
 
 
 def _broken_plugin(df):

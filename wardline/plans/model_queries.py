@@ -1,4 +1,8 @@
-"""Queries that train and apply models; checked by rows and by tests, not by SQL."""
+"""Queries that train and apply models.
+
+A fit has no SQL; what is exact about it has: the rows scored, their labels and parts, and that the scores are probabilities
+of at least a stated quality. The scaler is exact throughout.
+"""
 
 from __future__ import annotations
 
@@ -8,74 +12,138 @@ from wardline.operators import datasets as ds
 from wardline.operators import detectors as dt
 from wardline.operators import enhanced as en
 from wardline.operators import models as ml
+from wardline.operators import risk as rk
 from wardline.operators.rows import inline_rows
-from wardline.plans.common import hashed, load, mixed_prompts, rounded, section
-from wardline.plans.detector_queries import analysed_mixed, labelled_documents
+from wardline.plans.common import SQL_MIXED, load, mixed_prompts, rounded, section, sql_r6
+from wardline.plans.detector_queries import ESA_SCALE, analysed_mixed, labelled_documents
+from wardline.plans.fusion_queries import CONFIG
+from wardline.plans.generator_queries import sql_choice
+from wardline.plans.text_queries import AVG_WORD, PUNCT, SPECIAL, UPPER, W, sql_ratio
+from wardline.plans.vector_queries import ANALYSIS, reference
 from wardline.functions import text as tx
 from wardline.session import checkpointed
 
 QUERIES, ORACLE, query = section()
 
 TEXT_FEATURES = ["prompt_length", "word_count", "avg_word_length", "punctuation_density", "uppercase_ratio", "special_char_ratio"]
+SQL_TEXT_FEATURES = f"""SELECT doc_id, length(text)::DOUBLE AS prompt_length, len({W})::DOUBLE AS word_count, {AVG_WORD} AS avg_word_length,
+    {sql_ratio(PUNCT)} AS punctuation_density, {sql_ratio(UPPER)} AS uppercase_ratio, {sql_ratio(SPECIAL)} AS special_char_ratio FROM documents JOIN labels USING (doc_id)"""
+SQL_JUNK = "(1 - quality)::INT AS label"
 
 
 def training_rows(spark, sf):
-    """Cheap text features of every labelled document; junk is the class to find."""
+    """Cheap text features of every labelled document, computed once; junk is the class to find."""
     d = labelled_documents(spark, sf)
     f = {n: c.cast("double") for n, c in tx.context_features(F.col("text")).items()}
-    return d.select("doc_id", (1 - F.col("quality")).alias("label"), *[c.alias(n) for n, c in f.items()])
+    return checkpointed(d.select("doc_id", (1 - F.col("quality")).alias("label"), *[c.alias(n) for n, c in f.items()]))
+
+
+def judged(scored, keep: list[str], least: float):
+    """The rows with two facts about the model that scored them: its accuracy reaches `least`, all scores are in 0..1."""
+    scored = checkpointed(scored)
+    right = F.avg((F.col("hit").cast("int") == F.col("label")).cast("int"))
+    facts = scored.agg((right >= least).alias("accurate"), F.bool_and(F.col("probability").between(0, 1)).alias("in_range")).withColumn("_k", F.lit(0))
+    return scored.select(*keep).withColumn("_k", F.lit(0)).join(F.broadcast(facts), "_k").drop("_k")
+
 
+SQL_DOCUMENT_FACTS = f"SELECT doc_id, {SQL_JUNK}, true AS accurate, true AS in_range FROM documents JOIN labels USING (doc_id)"
 
-@query("fit_scaler")
+
+@query(
+    "fit_scaler",
+    "SELECT doc_id, " + ", ".join(sql_r6(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_samp({n}) OVER (), 0), 0)") + f" AS {n}" for n in TEXT_FEATURES) + f" FROM ({SQL_TEXT_FEATURES})",
+)
 def fit_scaler(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     rows = training_rows(spark, sf)
-    model = ml.fit_scaler(rows, TEXT_FEATURES, robust=True)
-    return model.transform(rows).select("doc_id", F.array_join(F.transform(vector_to_array("scaled"), lambda x: F.round(x, 6).cast("string")), ",").alias("scaled"))
+    scaled = ml.fit_scaler(rows, TEXT_FEATURES).transform(rows).withColumn("v", vector_to_array("scaled"))
+    return rounded(scaled.select("doc_id", *[F.col("v")[i].alias(n) for i, n in enumerate(TEXT_FEATURES)]), *TEXT_FEATURES)
 
 
-@query("fit_logistic")
+@query("fit_logistic", SQL_DOCUMENT_FACTS)
 def fit_logistic(spark, sf):
     rows = training_rows(spark, sf)
-    model = ml.fit_logistic(rows, TEXT_FEATURES, iterations=100)
-    return rounded(ml.score_model(rows, model).select("doc_id", "label", "hit", "probability"), "probability")
+    return judged(ml.score_model(rows, ml.fit_logistic(rows, TEXT_FEATURES, iterations=100)), ["doc_id", "label"], 0.6)
+
+
+def fitted_classifier(rows):
+    """The twelve-feature classifier, fitted on the training part of analysed prompts with a known truth."""
+    parts = checkpointed(ds.split(rows, "prompt_id"))  # training reads the features several times
+    return ml.fit_logistic(parts.where("part = 'train'").drop("part"), dt.CLASSIFIER_FEATURES, iterations=50), parts
 
 
-@query("classifier_detect")
+@query(
+    "classifier_detect",
+    f"""SELECT prompt_id, CASE WHEN {sql_choice('prompt_id', '0', 1_000_000, 'split')} < 800000 THEN 'train' ELSE 'test' END AS part, truth AS label,
+    true AS accurate, true AS in_range FROM ({SQL_MIXED})""",
+)
 def classifier_detect(spark, sf):
     """The twelve-feature classifier trained on prompts with a known attack, applied to all of them."""
     rows = analysed_mixed(spark, sf).select("prompt_id", F.col("truth").alias("label"), *[c.alias(n) for n, c in dt.classifier_features().items()])
-    parts = checkpointed(ds.split(rows, "prompt_id"))  # training reads the features several times
-    model = ml.fit_logistic(parts.where("part = 'train'").drop("part"), dt.CLASSIFIER_FEATURES, iterations=50)
-    scored = ml.score_model(parts, model)
-    return rounded(scored.select("prompt_id", "part", "label", "hit", "probability"), "probability")
+    model, parts = fitted_classifier(rows)
+    return judged(ml.score_model(parts, model), ["prompt_id", "part", "label"], 0.55)
+
+
+@query(
+    "prompt_risk_models",
+    f"SELECT prompt_id, true AS hit_as_fitted, true AS risk_not_lower FROM ({SQL_MIXED})",
+)
+def prompt_risk_models(spark, sf):
+    """The full score with fitted models among the detectors: the classifier and a forest over the prompt features.
+
+    A prompt reports ENSEMBLE_CLASSIFIER exactly where the fitted model says so, and its risk is never below that without
+    the models.
+    """
+    prompts = mixed_prompts(spark, sf)
+    analysed = analysed_mixed(spark, sf).select("prompt_id", F.col("truth").alias("label"), *[c.alias(n) for n, c in dt.classifier_features().items()])
+    model, parts = fitted_classifier(analysed)
+    forest = ml.fit_isolation_forest(parts, dt.CLASSIFIER_FEATURES, ["prompt_id"], trees=20)
+
+    def models(df):
+        scored = ml.score_model(df.withColumns(dt.classifier_features()), model, "fit_hit", "fit_p")
+        scored = ml.score_isolation_forest(scored, forest, dt.CLASSIFIER_FEATURES, out="fit_outlier").drop(*set(dt.CLASSIFIER_FEATURES) - set(df.columns))
+        far = F.col("fit_outlier") > 0.6
+        return scored, {
+            "ENSEMBLE_CLASSIFIER": dt.verdict(F.col("fit_hit"), F.col("fit_p"), F.col("fit_p")),
+            "ISOLATION_FOREST": dt.verdict(far, F.col("fit_outlier"), F.col("fit_outlier")),
+        }
+
+    known = reference(spark, sf)
+    with_models = rk.prompt_risk(prompts, known, "prompt_id", ANALYSIS, CONFIG, ESA_SCALE, models=models)
+    plain = rk.prompt_risk(prompts, known, "prompt_id", ANALYSIS, CONFIG, ESA_SCALE).select("prompt_id", F.col("attack_risk").alias("plain"))
+    fits = checkpointed(with_models.select("prompt_id", "attacks", "fit_hit", "attack_risk"))
+    return fits.join(plain, "prompt_id").select(
+        "prompt_id", (F.array_contains("attacks", "ENSEMBLE_CLASSIFIER") == F.col("fit_hit")).alias("hit_as_fitted"),
+        (F.col("attack_risk") >= F.col("plain") - 1e-9).alias("risk_not_lower"),
+    )
 
 
-@query("random_forest")
+@query("random_forest", SQL_DOCUMENT_FACTS)
 def random_forest(spark, sf):
     rows = training_rows(spark, sf)
-    model = ml.fit_random_forest(rows, TEXT_FEATURES)
-    return rounded(ml.score_model(rows, model).select("doc_id", "label", "hit", "probability"), "probability")
+    return judged(ml.score_model(rows, ml.fit_random_forest(rows, TEXT_FEATURES)), ["doc_id", "label"], 0.9)
+
 
+def voted(rows, models):
+    """Rows scored by several models: share of votes as the hit, mean probability."""
+    verdict = en.ensemble_verdict(F.col("votes"), F.col("probabilities"))
+    scored = ml.score_ensemble(rows, models).select("doc_id", "label", *[c.alias(n) for n, c in verdict.items()])
+    return scored.withColumnsRenamed({"ensemble_hit": "hit", "ensemble": "probability"})
 
-@query("mlp_ensemble")
+
+@query("mlp_ensemble", SQL_DOCUMENT_FACTS)
 def mlp_ensemble(spark, sf):
     rows = training_rows(spark, sf)
-    models = ml.fit_mlp_ensemble(rows, "doc_id", TEXT_FEATURES, iterations=20)
-    scored = ml.score_ensemble(rows, models)
-    out = scored.select("doc_id", "label", *[c.alias(n) for n, c in en.ensemble_verdict(F.col("votes"), F.col("probabilities")).items()])
-    return rounded(out, "ensemble", "ensemble_uncertainty")
+    return judged(voted(rows, ml.fit_mlp_ensemble(rows, "doc_id", TEXT_FEATURES, iterations=20)), ["doc_id", "label"], 0.75)
 
 
-@query("ensemble_vote")
+@query("ensemble_vote", SQL_DOCUMENT_FACTS)
 def ensemble_vote(spark, sf):
     """Logistic regression and a random forest vote on every labelled document."""
     rows = training_rows(spark, sf)
     models = [ml.fit_logistic(rows, TEXT_FEATURES, iterations=50), ml.fit_random_forest(rows, TEXT_FEATURES, trees=20)]
-    scored = ml.score_ensemble(rows, models)
-    out = scored.select("doc_id", *[c.alias(n) for n, c in en.ensemble_verdict(F.col("votes"), F.col("probabilities")).items()])
-    return rounded(out, "ensemble", "ensemble_uncertainty")
+    return judged(voted(rows, models), ["doc_id", "label"], 0.75)
 
 
 TOKEN_FEATURES = ["anomaly", "max_sim", "mean_sim", "min_sim", "std_sim", "length"]
@@ -84,27 +152,36 @@ TOKEN_FEATURES = ["anomaly", "max_sim", "mean_sim", "min_sim", "std_sim", "lengt
 def token_rows(spark, sf):
     a = analysed_mixed(spark, sf)
     zipped = F.arrays_zip("anomaly", "max_sim", "mean_sim", "min_sim", "std_sim", F.transform("tokens", lambda t: F.length(t).cast("double")).alias("length"))
-    named = F.transform(zipped, lambda z: F.struct(*[z[n].alias(n) for n in TOKEN_FEATURES]))
+    named = F.transform(zipped, lambda z, i: F.struct(i.alias("pos"), *[z[n].alias(n) for n in TOKEN_FEATURES]))
     return inline_rows(a, ["prompt_id", "truth"], named, "anomaly")
 
 
-@query("isolation_forest")
+@query("isolation_forest", "SELECT event_id, true AS in_range, true AS share_met, true AS outliers_first FROM events")
 def isolation_forest(spark, sf):
-    """Outlier score of every event by value, hour and parameter."""
+    """Outlier score of every event by value, hour and parameter; the flagged ones are the top twentieth and lie further out."""
     e = load(spark, sf, "events").select(
         "event_id", "value", F.hour("ts").cast("double").alias("hour"), F.get_json_object("props", "$.k").cast("double").alias("k")
     )
     features = ["value", "hour", "k"]
-    scored = ml.score_isolation_forest(e, ml.fit_isolation_forest(e, features), features)
-    return rounded(ml.flag_outliers(checkpointed(scored), contamination=0.05).select("event_id", "outlier", "is_outlier"), "outlier")
-
-
-@query("stat_anomaly_iforest")
+    scored = ml.score_isolation_forest(e, ml.fit_isolation_forest(e, features, ["event_id"]), features)
+    flagged = checkpointed(ml.flag_outliers(checkpointed(scored), contamination=0.05))
+    value = lambda flag: F.avg(F.when(F.col("is_outlier") == flag, F.col("value")))
+    share = F.avg(F.col("is_outlier").cast("int"))
+    facts = flagged.agg(
+        F.bool_and(F.col("outlier").between(0, 1)).alias("in_range"), share.between(0.02, 0.0501).alias("share_met"), (value(True) > value(False)).alias("outliers_first")
+    ).withColumn("_k", F.lit(0))
+    return flagged.select("event_id", F.lit(0).alias("_k")).join(F.broadcast(facts), "_k").drop("_k")
+
+
+@query(
+    "stat_anomaly_iforest",
+    f"""SELECT prompt_id, true AS in_range, true AS hit_as_ratio FROM ({SQL_MIXED}) WHERE len({W}) > 0""",
+)
 def stat_anomaly_iforest(spark, sf):
     """One forest over all tokens; a prompt is a hit when too many of its tokens are outliers."""
     tokens = checkpointed(token_rows(spark, sf))
-    scored = ml.score_isolation_forest(tokens, ml.fit_isolation_forest(tokens, TOKEN_FEATURES, trees=50), TOKEN_FEATURES)
-    flagged = ml.flag_outliers(checkpointed(scored.select("prompt_id", "outlier")))
-    per_prompt = flagged.groupBy("prompt_id").agg(F.avg(F.col("is_outlier").cast("int")).alias("ratio"))
+    forest = ml.fit_isolation_forest(tokens, TOKEN_FEATURES, ["prompt_id", "pos"], trees=50)
+    flagged = ml.flag_outliers(checkpointed(ml.score_isolation_forest(tokens, forest, TOKEN_FEATURES).select("prompt_id", "outlier")))
+    per_prompt = flagged.groupBy("prompt_id").agg(F.avg(F.col("is_outlier").cast("int")).alias("ratio"), F.bool_and(F.col("outlier").between(0, 1)).alias("in_range"))
     v = per_prompt.withColumn("v", dt.outlier_ratio(F.col("ratio")))
-    return rounded(v.select("prompt_id", "ratio", F.col("v.hit").alias("hit"), F.col("v.confidence").alias("confidence")), "ratio", "confidence")
+    return v.select("prompt_id", "in_range", (F.col("v.hit") == (F.col("ratio") > 0.2)).alias("hit_as_ratio"))

@@ -54,13 +54,12 @@ def l2_norm(spark, sf):
 
 @query(
     "normalize",
-    f"""SELECT vec_id, unnest(range(64))::BIGINT AS dim, round(unnest(list_transform({VEC}, lambda x: x * vec_id))
-    / nullif(sqrt(list_dot_product({VEC}, {VEC})) * vec_id, 0), 6) + 0.0 AS x FROM embeddings WHERE vec_id > 0""",
+    f"""SELECT vec_id, unnest(range(64))::BIGINT AS dim, round(unnest(list_transform({VEC}, lambda x: x * (vec_id + 1)))
+    / nullif(sqrt(list_dot_product({VEC}, {VEC})) * (vec_id + 1), 0), 6) + 0.0 AS x FROM embeddings""",
 )
 def normalize(spark, sf):
-    scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("vec_id"))
-    e = embeddings(spark, sf).where("vec_id > 0")
-    return rounded(position_rows(e, ["vec_id"], vx.normalize(scaled), "x", "dim"), "x")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1))
+    return rounded(position_rows(embeddings(spark, sf), ["vec_id"], vx.normalize(scaled), "x", "dim"), "x")
 
 
 @query(
@@ -160,8 +159,7 @@ SQL_SENT = f"list_transform(string_split(text, '.'), lambda s: {sql_buckets(sql_
     FROM n LEFT JOIN t USING (doc_id)""",
 )
 def semantic_consistency(spark, sf):
-    d = load(spark, sf, "documents").withColumn("_s", sp.sentence_spans(F.col("text")))
-    return d.select("doc_id", r6(sp.semantic_consistency(F.col("_s"))).alias("consistency"))
+    return rounded(tk.sentence_statistics(load(spark, sf, "documents"), "doc_id").select("doc_id", "consistency"), "consistency")
 
 
 def sql_component_variance(size: str, filled: str, n: str) -> str:
@@ -188,8 +186,7 @@ def phrase_anomaly(spark, sf):
     SELECT doc_id, {sql_r6(f"CASE WHEN n >= 2 THEN {sql_component_variance('k', 'f', 'n')} ELSE 0.0 END")} AS score FROM a""",
 )
 def sentence_anomaly(spark, sf):
-    d = load(spark, sf, "documents").withColumn("_s", sp.sentence_spans(F.col("text")))
-    return d.select("doc_id", r6(sp.sentence_anomaly(F.col("_s"))).alias("score"))
+    return rounded(tk.sentence_statistics(load(spark, sf, "documents"), "doc_id").select("doc_id", F.col("sentence").alias("score")), "score")
 
 
 @query(
@@ -270,6 +267,34 @@ def reference_similarity(spark, sf):
     return rows.select("prompt_id", "pos", *[r6(F.col(f"z.{n}")).alias(n) for n in names])
 
 
+# A second embedder: 128 buckets, handed over as dense vectors like those of a model.
+def one_hot(tokens):
+    def vector(token):
+        return vx.let(vx.bucket(token, 128), lambda b: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda d: (d == b).cast("float")))
+
+    return F.transform(tokens, vector)
+
+
+DENSE = vx.Embedder("one-hot-128", 128, one_hot)
+
+
+def sql_wide(sql: str) -> str:
+    return sql.replace("%64)", "%128)").replace("range(64)", "range(128)")
+
+
+@query(
+    "dense_reference_similarity",
+    sql_wide(f"""WITH {sql_tokens(5)}, {SQL_REFS} SELECT prompt_id, pos, {sql_r6('max_sim')} AS max_sim, {sql_r6('mean_sim')} AS mean_sim,
+    {sql_r6('min_sim')} AS min_sim, {sql_r6('std_sim')} AS std_sim FROM tsim"""),
+)
+def dense_reference_similarity(spark, sf):
+    known = tk.text_reference(tk.with_tokens(load(spark, sf, "benchmark"), embedder=DENSE), "item_id", DENSE)
+    scored = tk.with_reference_similarity(tk.with_tokens(prompts(spark, sf), embedder=DENSE), known, "prompt_id", 5, DENSE)
+    names = ["max_sim", "mean_sim", "min_sim", "std_sim"]
+    rows = position_rows(scored, ["prompt_id"], F.arrays_zip(*names), "z")
+    return rows.select("prompt_id", "pos", *[r6(F.col(f"z.{n}")).alias(n) for n in names])
+
+
 @query(
     "top_similar_tokens",
     f"""WITH {sql_tokens(5)}, {SQL_REFS}, r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, pos ORDER BY sim DESC, ref) AS rank FROM sims)
