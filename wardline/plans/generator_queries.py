@@ -351,7 +351,19 @@ def training_features(spark, sf):
     return rounded(featured(spark, sf).select("prompt_id", F.col("truth").alias("label"), *en.FEATURES), *en.FEATURES)
 
 
-@query("augment_features")
+SQL_GENERATED = f"""WITH {sql_esa_generate(SQL_PROMPTS, 2)}, {sql_cap(SQL_PROMPTS, 2)}
+    SELECT prompt_id||'#esa#'||variant AS prompt_id, attack AS text, 1 AS truth FROM esa WHERE attack <> text AND attack <> '' UNION ALL
+    SELECT prompt_id||'#cap#'||variant, attack, 1 FROM cap WHERE attack <> text AND similarity >= 0.75 UNION ALL
+    SELECT prompt_id, text, 0 FROM ({SQL_PROMPTS})"""
+
+
+@query(
+    "augment_features",
+    f"""WITH src AS MATERIALIZED ({SQL_GENERATED}), {SQL_FEATURES.replace(SQL_MIXED, 'SELECT * FROM src')}
+    SELECT prompt_id, truth AS label, {', '.join(f'{sql_r6(f)} AS {f}' for f in en.FEATURES)} FROM feat WHERE truth = 1 UNION ALL
+    SELECT prompt_id, truth, {', '.join(sql_r6(f'{f} + 0.1*' + sql_normal('prompt_id', i)) for i, f in enumerate(en.FEATURES))}
+    FROM feat WHERE truth = 0 AND {sql_uniform('prompt_id', '0', 'chosen')} < 0.125""",
+)
 def augment_features(spark, sf):
     """Sixteen features of generated attacks (label 1) and of noisy copies of the normal rows (label 0)."""
     normal = prompts(spark, sf).select("prompt_id", "text")
@@ -361,4 +373,4 @@ def augment_features(spark, sf):
     feats = en.features16(tk.analyze_tokens(rows, reference(spark, sf), "prompt_id", params=ANALYSIS), radius=1)
     feats = feats.select("prompt_id", "label", *en.FEATURES)
     noisy = gn.feature_noise(feats.where("label = 0"), "prompt_id", en.FEATURES, ratio=0.5)
-    return feats.where("label = 1").unionByName(noisy)
+    return rounded(feats.where("label = 1").unionByName(noisy), *en.FEATURES)
