@@ -1,10 +1,11 @@
 """Byte-level BPE over overlapping chunks.
 
 A long text becomes chunks that overlap, one row each, pre-tokenised in parallel. Each chunk reports the ends of its
-pre-tokens, but only those that no text beyond the chunk can move. Two neighbours that both end a pre-token at the same
-place of their overlap read on alike from there, since the pattern looks only ahead: that place is the stitch. Each chunk
-then encodes the pre-tokens between its two stitches, and a document's ids are the chunks' ids in order. A text of one
-chunk has nothing to stitch and is encoded where it is read. Decoding concatenates the raw bytes of the ids.
+pre-tokens, but only those that no text beyond the chunk can move, and none behind a blank (a run of blanks is split
+differently where a text ends). Two neighbours that both end a pre-token at the same place of their overlap read on alike
+from there, since the pattern looks only ahead: that place is the stitch. The piece of a chunk between its two stitches is
+then encoded on its own, and a document's ids are its pieces' ids in order. A text of one chunk is one piece and is encoded
+where it is read. Decoding concatenates the raw bytes of the ids.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,6 @@ CHUNK = 1 << 15
 OVERLAP = 512
 #: Characters after a pre-token that can still change it: a contraction has three, a run of blanks looks one ahead.
 AHEAD = 3
-#: Pre-tokens a worker remembers; the table is emptied when full.
-REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -35,8 +34,8 @@ def vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class Encoder(dict):
-    """Ids of a pre-token, remembered; splits texts by the pattern."""
+class Encoder:
+    """Splits texts by the pattern and encodes pieces by the ranks."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -45,16 +44,8 @@ class Encoder(dict):
         self.split = regex.compile(pattern).findall
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary(path), special_tokens={})
 
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.library.encode_ordinary(piece)
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), np.int32)
+    def ids(self, piece: str) -> np.ndarray:
+        return self.library.encode_to_numpy(piece, disallowed_special=()).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -67,10 +58,10 @@ def lists(arrays: list[np.ndarray], kind=np.int32) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, kind)]).astype(kind)))
 
 
-def certain_ends(pieces: list[str], base: int, length: int, last: bool) -> list[int]:
-    """Ends of the pre-tokens of a chunk that begins at `base`, without those that text after the chunk could move."""
-    sure = length if last else length - AHEAD
-    return [base + e for e in accumulate(map(len, pieces)) if e <= sure]
+def certain_ends(text: str, pieces: list[str], base: int, last: bool) -> list[int]:
+    """Ends of the pre-tokens of a chunk that begins at `base`: no text after the chunk can move them, no blank is before."""
+    sure = len(text) if last else len(text) - AHEAD
+    return [base + e for e in accumulate(map(len, pieces)) if e <= sure and not text[e - 1].isspace()]
 
 
 def chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -98,7 +89,7 @@ def pretokenised(pieces: DataFrame, path: str, pattern: str, chunk: int) -> Data
         split = encoder(path, pattern).split
         for b in common.slices(batches, 16):
             found = [
-                np.array(certain_ends(split(t), i * chunk, len(t), last), np.int64)
+                np.array(certain_ends(t, split(t), i * chunk, last), np.int64)
                 for i, last, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, lists(found, np.int64)], [*b.schema.names, "ends"])
@@ -132,17 +123,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for b in common.slices(batches, 128):
-            yield pa.RecordBatch.from_arrays([b.column(0), lists([e.ids(e.split(t)) for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
+        for b in common.slices(batches, 32):
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([e.ids(t) for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in common.slices(batches, 16):
-            out = []
-            for i, text, ends, lo, hi in zip(*(b.column(n).to_pylist() for n in ("i", "text", "ends", "from", "to"))):
-                base = i * chunk
-                cuts = [lo, *(x for x in ends if x > lo and (hi is None or x <= hi))]
-                out.append(e.ids([text[x - base : y - base] for x, y in zip(cuts, cuts[1:])]))
+            parts = zip(*(b.column(n).to_pylist() for n in ("i", "text", "from", "to")))
+            out = [e.ids(text[lo - i * chunk : None if hi is None else hi - i * chunk]) for i, text, lo, hi in parts]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("group"), lists(out)], ["row", "doc_id", "group", "ids"])
 
     def rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for row, doc_id, group, lo, texts in zip(*(b.column(n).to_pylist() for n in ("row", "doc_id", "group", "from", "texts"))):
                 text = "".join(t[:chunk] for t in texts[:-1]) + texts[-1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row]), pa.array([doc_id], pa.int64()), pa.array([group], pa.int32()), lists([e.ids(e.split(text[lo - group * chunk :]))])],
+                    [pa.array([row]), pa.array([doc_id], pa.int64()), pa.array([group], pa.int32()), lists([e.ids(text[lo - group * chunk :])])],
                     ["row", "doc_id", "group", "ids"],
                 )
 
@@ -160,7 +148,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     cut = common.stored(pretokenised(chunks(long, chunk, overlap), path, pattern, chunk), "bpe-chunks")
     joined = cut.join(stitches(cut, chunk, overlap), ["row", "i"])
     kind = "row long, doc_id long, group int, ids array<int>"
-    ids = joined.where("again is null or not again").select("row", "doc_id", "group", "i", "text", "ends", "from", "to").mapInArrow(between, kind)
+    ids = joined.where("again is null or not again").select("row", "doc_id", "group", "i", "text", "from", "to").mapInArrow(between, kind)
     runs = joined.where("again").groupBy("row", "doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("p"), F.min_by("from", "i").alias("from"))
     again = runs.select("row", "doc_id", "group", "from", F.col("p.text").alias("texts")).mapInArrow(rejoined, kind)
     stitched = ids.unionByName(again).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("group", "ids"))).alias("p"))
@@ -171,9 +159,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of `encode` with `decoded`, the concatenated bytes of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = {i: b for b, i in vocabulary(path).items()}.__getitem__
-        for b in common.slices(batches, 128):
-            texts = [b"".join(map(raw, ids)) for ids in b.column(1).to_pylist()]
+        known = vocabulary(path)
+        raw = np.empty(max(known.values(), default=0) + 1, object)
+        for token, i in known.items():
+            raw[i] = token
+        for b in common.slices(batches, 32):
+            column = b.column(1)
+            tokens, cuts = raw[column.flatten().to_numpy(zero_copy_only=False)].tolist(), column.offsets.to_numpy()
+            texts = [b"".join(tokens[x - cuts[0] : y - cuts[0]]) for x, y in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
