@@ -239,9 +239,10 @@ def roots(edges: DataFrame) -> DataFrame:
     seen = state(pairs)
     while seen[0]:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Checkpointed sides are plain shuffles, whose hot keys Spark splits in the joins.
+        low = common.checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = common.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = common.checkpointed(small.select("e.*").where("u <> v").distinct())
         now = state(pairs)
