@@ -66,11 +66,12 @@ def packed_counts(span, dims: int) -> F.Column:
 
 
 def build_index(corpus: DataFrame, id_col: str, payload: str, cells: int | None = None, slice_rows: int = SLICE) -> Index:
-    """Index of vectors packed by `packed`; ids must differ. Centers are the vectors with the smallest hashes of their ids.
+    """Index of vectors packed by `packed`; ids must differ and `corpus` is read more than once. Centers are the vectors with
+    the smallest hashes of their ids.
 
     Without `cells` there is one per slice of the corpus, at most CELLS.
     """
-    rows = checkpointed(corpus.select(F.col(id_col).alias("id"), F.col(payload).alias("v")))
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(payload).alias("v"))
     n = rows.count()
     wanted = cells or min(CELLS, max(1, -(-n // slice_rows)))
     picked = rows.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(wanted).collect()

@@ -13,6 +13,7 @@ from wardline.functions import text as tx
 from wardline.functions import vectors as vx
 from wardline.operators import nearest as nr
 from wardline.operators.ordering import latest_per_key, running_index
+from wardline.session import checkpointed
 
 HITS = "query_id bigint, corpus_id bigint, similarity double"
 
@@ -42,7 +43,7 @@ def best_hits(meetings: DataFrame, k: int, threshold: float) -> DataFrame:
 
 def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7) -> DataFrame:
     """Exact top-k by cosine among vectors of at least the threshold; see `nearest` for how far ones are left out."""
-    index = nr.build_index(corpus.select(id_col, nr.packed(F.col(vec)).alias("v")), id_col, "v")
+    index = nr.build_index(checkpointed(corpus.select(id_col, nr.packed(F.col(vec)).alias("v"))), id_col, "v")
     asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
     return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold), k, threshold)
 
@@ -53,7 +54,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, cel
     Scores are exact, only far cells are left out; recall rises with the share of cells probed, cost as well. Both numbers
     belong to the data, so they have no default.
     """
-    index = nr.build_index(corpus.select(id_col, nr.packed(F.col(vec)).alias("v")), id_col, "v", cells)
+    index = nr.build_index(checkpointed(corpus.select(id_col, nr.packed(F.col(vec)).alias("v"))), id_col, "v", cells)
     asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
     return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold, probes=probes), k, threshold)
 

@@ -77,9 +77,9 @@ def text_reference(df: DataFrame, id_col: str, embedder: vx.Embedder = vx.HASHED
 def _vectors(reference: DataFrame, embedder: vx.Embedder) -> DataFrame:
     """(ref, v, copies) with packed vectors, computed once; spans name themselves where there is no `ref`."""
     named = reference if "ref" in reference.columns else reference.withColumn("ref", F.array_join(F.col("span").cast("array<string>"), " "))
-    given = checkpointed(named.select("ref", "vector" if embedder.dense else "span", F.col("copies").cast("double").alias("copies")))
-    vector = nr.packed(F.col("vector")) if embedder.dense else nr.packed_counts(F.col("span"), embedder.dims)
-    return given.select("ref", vector.alias("v"), "copies")
+    given = fenced(named.select("ref", "copies", *(["vector"] if embedder.dense else ["span"])), {"_v": F.col("vector" if embedder.dense else "span")})
+    vector = nr.packed(F.col("_v")) if embedder.dense else nr.packed_counts(F.col("_v"), embedder.dims)
+    return checkpointed(given.select("ref", vector.alias("v"), F.col("copies").cast("double").alias("copies")))
 
 
 def _sums(vectors: DataFrame, dims: int) -> tuple[float, np.ndarray, np.ndarray]:
