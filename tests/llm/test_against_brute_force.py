@@ -189,7 +189,7 @@ def planted(rng):
         copies.append(bytes(c))
     return [
         noisy(rng, 300) + p + noisy(rng, 100), p + noisy(rng, 900), noisy(rng, 50) + p[100:600], p[:399] + noisy(rng, 60), q, noisy(rng, 5) + q + noisy(rng, 5),
-        noisy(rng, 1000), noisy(rng, 200) + q[1:] + noisy(rng, 9), b"ab" * 600, b"x" * 401, b"y" * 400, (z := noisy(rng, 450)) + noisy(rng, 30) + z, b"", b"short", *copies,
+        noisy(rng, 1000), noisy(rng, 200) + q[1:] + noisy(rng, 9), b"ab" * 600, b"x" * 401, b"y" * 400, b"Is onhe. " * 90, noisy(rng, 100) + b"Is onhe. " * 70 + noisy(rng, 20), b"Is onhe. " * 44, (z := noisy(rng, 450)) + noisy(rng, 30) + z, b"", b"short", *copies,
         base[:1300] + p[200:] + base[1300:],
     ]
 

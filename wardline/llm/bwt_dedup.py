@@ -4,7 +4,7 @@
    same place, so only windows whose anchor occurs again can be repeated. A piece is the bytes of all neighbouring windows
    that selected one anchor. Copies of a piece collapse to a class; in a class of two or more every window is repeated.
 2. Pieces that share an anchor but not all bytes (the ends of passages, edited copies) are told apart by suffix order. Pieces
-   are dealt by anchor into buckets and shards. Symbols are the names of the 100-byte blocks at every byte, a suffix goes on
+   are dealt by anchor into shards. Symbols are the names of the 100-byte blocks at every byte, a suffix goes on
    100 bytes later, so the first `length` bytes are `length / 100` symbols. Each shard gets its transform; two transforms are
    merged by refining their interleave: each round sorts the merged order stably by preceding symbols, which lengthens the
    sorted prefixes by one symbol, without sorting suffixes again. The round that first parts two neighbours gives their
@@ -29,9 +29,10 @@ from wardline.llm import common
 LENGTH = 400
 BLOCK = 100
 GRAM = 64
-#: Bytes worked on at once, bytes of a bucket and of a shard, and different pieces of one key that may meet in a task.
+#: Bytes worked on at once, bytes of the pieces merged together and of a shard of them, and different pieces of one key that
+#: may meet.
 SLAB = 1 << 20
-BUCKET = 4 << 20
+BUCKET = 2 << 20
 SHARD = 1 << 20
 MANY = 2000
 #: Windows per piece when an anchor has too many pieces.
@@ -67,24 +68,28 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces_of(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(key, class, from, windows, bytes before the anchor) of the pieces of several texts laid end to end; no window
-    crosses an end."""
+    """(key, class, from, windows, bytes before the anchor, copies) of the pieces of several texts laid end to end; no window
+    crosses an end. Equal pieces one after the other (periodic text) are one row with their number."""
     if len(data) < length:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
+        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))
     h = gram_hashes(np.frombuffer(data, np.uint8))
     anchor = (sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1) & PLACE).astype(np.int64)
     start = np.arange(len(anchor))
-    text = np.searchsorted(ends, start, side="right")
+    text = np.searchsorted(ends, start, side="right").clip(max=len(ends) - 1)
     start = start[start + length <= ends[text]]
     fresh = np.r_[True, (anchor[start][1:] != anchor[start][:-1]) | (text[start][1:] != text[start][:-1])] if len(start) else np.empty(0, bool)
     cuts = np.flatnonzero(fresh)
     begin, windows = start[cuts], np.diff(np.r_[cuts, len(start)])
     same = np.fromiter((xxh64_intdigest(data[b : b + n + length - 1], n) for b, n in zip(begin.tolist(), windows.tolist())), np.uint64, len(begin))
-    return h[anchor[begin]], same, begin, windows, anchor[begin] - begin
+    key, of = h[anchor[begin]], text[begin]
+    again = (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (of[1:] == of[:-1])
+    runs = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), ~again])
+    copies = np.diff(np.r_[runs, len(key)])
+    return key[runs], same[runs], begin[runs], windows[runs], (anchor[begin] - begin)[runs], copies
 
 
 def anchored(rows: DataFrame, length: int) -> DataFrame:
-    """(key, same, row, from, n, lead): the pieces of every text; `from` counts bytes from the start of the text."""
+    """(key, same, row, from, n, lead, copies): the pieces of every text; `from` counts bytes from the start of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 256):
@@ -92,14 +97,15 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
             for who, base, part in slabs(texts, length):
                 size = np.array([len(p) for p in part])
                 ends = np.cumsum(size)
-                key, same, begin, n, lead = pieces_of(b"".join(part), ends, length)
+                key, same, begin, n, lead, copies = pieces_of(b"".join(part), ends, length)
                 text = np.searchsorted(ends, begin, side="right")
                 at = begin - (ends - size)[text] + np.array(base, np.int64)[text]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(ids[np.array(who, np.int64)[text]]), pa.array(at), pa.array(n), pa.array(lead)], ["key", "same", "row", "from", "n", "lead"]
+                    [pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(ids[np.array(who, np.int64)[text]]), pa.array(at), pa.array(n), pa.array(lead), pa.array(copies)],
+                    ["key", "same", "row", "from", "n", "lead", "copies"],
                 )
 
-    return rows.mapInArrow(run, "key long, same long, row long, from long, n long, lead long")
+    return rows.mapInArrow(run, "key long, same long, row long, from long, n long, lead long, copies long")
 
 
 def slabs(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -123,9 +129,9 @@ def slabs(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int
 def stable_order(symbols: np.ndarray) -> np.ndarray:
     """Order of small whole numbers, ties as they stand: number and place sorted as one number, which is the faster sort."""
     bits = np.uint64(len(symbols).bit_length())
-    both = (symbols << bits) | np.arange(len(symbols), dtype=np.uint64)
+    both = (symbols.astype(np.uint64) << bits) | np.arange(len(symbols), dtype=np.uint64)
     both.sort()
-    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32)
 
 
 class Suffixes:
@@ -142,20 +148,22 @@ class Suffixes:
         self.total = int((size + 1).sum())
         h = gram_hashes(np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8))
         name = mixed(h[: self.total - BLOCK] * np.uint64(0x9E3779B97F4A7C15) + h[BLOCK - GRAM : self.total - GRAM])
-        name = np.unique(name, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-        place = np.arange(self.total)
-        self.piece = np.repeat(np.arange(len(pieces)), size + 1)
-        self.inside = place - self.start[self.piece]
+        name = np.unique(name, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
+        place = np.arange(self.total, dtype=np.int32)
+        self.piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size + 1)
+        self.inside = place - self.start.astype(np.int32)[self.piece]
         self.back = place - BLOCK
         first = self.inside < BLOCK
-        self.before = np.where(first, np.uint64(0), name[np.maximum(self.back, 0).clip(max=len(name) - 1)])
+        self.before = np.zeros(self.total, np.uint32)
+        self.before[BLOCK:] = name
+        self.before[first] = 0
         whole = size[self.piece[first]]
         # A sequence's first suffix steps back to its own end: the last place of the same phase.
         self.back[first] = self.start[self.piece[first]] + self.inside[first] + (whole - self.inside[first]) // BLOCK * BLOCK
 
     def transform(self, lo: int, hi: int) -> np.ndarray:
         """Places [lo, hi) in the order of their first length / BLOCK symbols."""
-        order = np.arange(lo, hi)
+        order = np.arange(lo, hi, dtype=np.int32)
         for _ in range(self.length // BLOCK):
             order = self.back[order[stable_order(self.before[order])]]
         return order
@@ -163,18 +171,19 @@ class Suffixes:
     def merge(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(merged order, common prefix with the one before, in symbols, at most length / BLOCK) of two transforms."""
         take = np.r_[np.zeros(len(a), bool), np.ones(len(b), bool)]
-        symbols = np.empty(len(take), np.uint64)
-        group = np.zeros(len(take), np.int64)
+        symbols = np.empty(len(take), np.uint32)
+        group = np.zeros(len(take), np.int32)
         rounds = self.length // BLOCK
-        prefix = np.full(len(take), rounds)
+        prefix = np.full(len(take), rounds, np.int8)
         prefix[:1] = 0
         for round_ in range(rounds):
             symbols[~take], symbols[take] = self.before[a], self.before[b]
             order = stable_order(symbols)
-            parted = np.r_[False, (symbols[order][1:] != symbols[order][:-1]) | (group[order][1:] != group[order][:-1])]
+            next_, group = symbols[order], group[order]
+            parted = np.r_[False, (next_[1:] != next_[:-1]) | (group[1:] != group[:-1])]
             prefix[parted & (prefix == rounds)] = round_
-            take, group = take[order], np.cumsum(parted)
-        merged = np.empty(len(take), np.int64)
+            take, group = take[order], np.cumsum(parted, dtype=np.int32)
+        merged = np.empty(len(take), np.int32)
         merged[~take], merged[take] = a, b
         return merged, prefix
 
@@ -186,8 +195,8 @@ class Suffixes:
                 cuts.append(end)
         parts = [self.transform(lo, hi) for lo, hi in zip(cuts, cuts[1:])]
         if len(parts) == 1:
-            parts.append(np.empty(0, np.int64))
-        prefix = np.zeros(0, np.int64)
+            parts.append(np.empty(0, np.int32))
+        prefix = np.zeros(0, np.int8)
         while len(parts) > 1:
             halves = [self.merge(*parts[k : k + 2]) if k + 1 < len(parts) else (parts[k], prefix) for k in range(0, len(parts), 2)]
             parts, prefix = [m for m, _ in halves], halves[0][1]
@@ -197,27 +206,48 @@ class Suffixes:
         return found[self.inside[found] + self.length <= self.size[self.piece[found]]]
 
 
-def merged_repeats(pieces: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(row, from, to) byte spans of the repeated windows of pieces (key, row, from, piece), dealt by key into buckets."""
+def spans_of(rows: np.ndarray, begin: np.ndarray, pieces: list[bytes], length: int) -> pa.RecordBatch | None:
+    """Byte spans (row, from, to) of the repeated windows of some pieces; None if there are none."""
+    s = Suffixes(pieces, length)
+    place = s.repeated()
+    if not len(place):
+        return None
+    row, at = rows[s.piece[place]], begin[s.piece[place]] + s.inside[place]
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)])
+    last = np.r_[cuts[1:], len(row)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(row[cuts]), pa.array(at[cuts]), pa.array(at[last] + length)], ["row", "from", "to"])
+
+
+def merged_repeats(pieces: DataFrame, length: int) -> DataFrame:
+    """(row, from, to) byte spans of the repeated windows of pieces (key, row, from, piece).
+
+    Pieces of one key come one after the other; whenever BUCKET bytes are together and a key ends, their transforms are
+    built and merged. Memory follows BUCKET and the pieces of one key, not the partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        rows, begin = (table.column(c).to_numpy() for c in ("row", "from"))
-        s = Suffixes(table.column("piece").to_pylist(), length)
-        place = np.sort(s.repeated())
-        row, at = rows[s.piece[place]], begin[s.piece[place]] + s.inside[place]
-        if not len(place):
-            return
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)])
-        last = np.r_[cuts[1:], len(row)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(row[cuts]), pa.array(at[cuts]), pa.array(at[last] + length)], ["row", "from", "to"])
-
-    return pieces.select("key", "row", "from", "piece").repartition(buckets, "key").mapInArrow(run, "row long, from long, to long")
+        held: list[tuple[int, int, bytes]] = []
+        size, last = 0, None
+        for b in common.slices(batches):
+            for key, row, begin, piece in zip(*(c.to_pylist() for c in b.columns)):
+                if size >= BUCKET and key != last:
+                    if (found := merge(held)) is not None:
+                        yield found
+                    held, size = [], 0
+                held.append((row, begin, piece))
+                size, last = size + len(piece), key
+        if held and (found := merge(held)) is not None:
+            yield found
+
+    def merge(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+        rows, begin, parts = zip(*held)
+        return spans_of(np.array(rows, np.int64), np.array(begin, np.int64), list(parts), length)
+
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.select("key", "row", "from", "piece").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "row long, from long, to long")
 
 
 # --- classes -----------------------------------------------------------------------------------
@@ -229,13 +259,13 @@ def settle(found: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFra
     Keys are summed map-side; a key's rows never meet in one task.
     """
     # Checkpointed sides are plain shuffles, whose hot keys Spark splits in the joins.
-    keys = common.checkpointed(found.groupBy("key").agg(F.count("*").alias("all"), F.min("same").alias("low"), F.max("same").alias("high")).where("all > 1"))
-    again = common.stored(found.join(keys, "key").select("key", "same", "row", "from", "n", "lead", *[c for c in found.columns if c == "piece"], (F.col("low") != F.col("high")).alias("differ")), name)
-    classes = common.checkpointed(again.where("differ").groupBy("key", "same").agg(F.count("*").alias("copies"), F.min(F.struct("row", "from")).alias("one")))
+    keys = common.checkpointed(found.groupBy("key").agg(F.sum("copies").alias("all"), F.min("same").alias("low"), F.max("same").alias("high")).where("all > 1"))
+    again = common.stored(found.join(keys, "key").select("key", "same", "row", "from", "n", "lead", "copies", *[c for c in found.columns if c == "piece"], (F.col("low") != F.col("high")).alias("differ")), name)
+    classes = common.checkpointed(again.where("differ").groupBy("key", "same").agg(F.sum("copies").alias("times"), F.min(F.struct("row", "from")).alias("one")))
     told = again.where("differ").join(classes, ["key", "same"])
-    span = lambda d: d.select("row", "from", (F.col("from") + F.col("n") + (length - 1)).alias("to"))
-    spans = span(again.where("not differ")).unionByName(span(told.where("copies > 1")))
-    return spans, told.where((F.col("one.row") == F.col("row")) & (F.col("one.from") == F.col("from"))).drop("one", "copies", "differ", "same")
+    span = lambda d: d.select("row", "from", (F.col("from") + F.col("n") * F.col("copies") + (length - 1)).alias("to"))
+    spans = span(again.where("not differ")).unionByName(span(told.where("times > 1")))
+    return spans, told.where((F.col("one.row") == F.col("row")) & (F.col("one.from") == F.col("from"))).drop("one", "times", "copies", "differ", "same")
 
 
 def cut_out(left: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -275,12 +305,12 @@ def narrower(pieces: DataFrame, windows: int, length: int) -> DataFrame:
                 for at, m, lo, first in stripes(n, lead, windows):
                     part = piece[at : at + m + length - 1]
                     key, same = xxh64_intdigest(piece[lo : first + length], windows), xxh64_intdigest(part, at - first)
-                    for c, v in zip(schema.names, (key - (1 << 63), same - (1 << 63), row, begin + at, m, lead - at, part)):
+                    for c, v in zip(schema.names, (key - (1 << 63), same - (1 << 63), row, begin + at, m, lead - at, 1, part)):
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    schema = pa.schema([*((c, pa.int64()) for c in ("key", "same", "row", "from", "n", "lead")), ("piece", pa.binary())])
-    return pieces.mapInArrow(run, "key long, same long, row long, from long, n long, lead long, piece binary")
+    schema = pa.schema([*((c, pa.int64()) for c in ("key", "same", "row", "from", "n", "lead", "copies")), ("piece", pa.binary())])
+    return pieces.mapInArrow(run, "key long, same long, row long, from long, n long, lead long, copies long, piece binary")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
@@ -297,14 +327,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
         if level == NARROWER[-1]:
             break
         pieces = common.stored(cut_out(left, rows, length) if level is None else left, "bwt-left")
-        counts = pieces.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.length("piece")).alias("bytes"))
-        total = counts.agg(F.sum(F.when(F.col("m") <= many, F.col("bytes"))), F.max("m")).first()
-        if total[0]:
-            usual = pieces.join(counts.where(F.col("m") <= many).select("key"), "key", "left_semi")
-            spans.append(merged_repeats(usual, max(1, -(-total[0] // BUCKET)), length))
-        if (total[1] or 0) <= many:
+        crowded = common.checkpointed(pieces.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > many).select("key"))
+        spans.append(merged_repeats(pieces.join(crowded, "key", "left_anti"), length))
+        if crowded.isEmpty():
             break
-        found = narrower(pieces.join(counts.where(F.col("m") > many).select("key"), "key", "left_semi"), NARROWER[0] if level is None else NARROWER[NARROWER.index(level) + 1], length)
+        found = narrower(pieces.join(crowded, "key", "left_semi"), NARROWER[0] if level is None else NARROWER[NARROWER.index(level) + 1], length)
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
