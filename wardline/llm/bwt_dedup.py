@@ -31,9 +31,9 @@ BLOCK = 100
 GRAM = 64
 #: Bytes worked on at once, bytes of the pieces merged together and of a shard of them, and different pieces of one key that
 #: may meet.
-SLAB = 1 << 20
-BUCKET = 2 << 20
-SHARD = 1 << 20
+SLAB = 1 << 19
+BUCKET = 1 << 20
+SHARD = 1 << 19
 MANY = 2000
 #: Windows per piece when an anchor has too many pieces.
 NARROWER = (16, 1)
