@@ -86,7 +86,7 @@ def build_index(corpus: DataFrame, id_col: str, payload: str, cells: int | None
         best = near.argmax(axis=1)
         return pd.DataFrame({"cell": best.astype(np.int32), "angle": np.arccos(np.clip(near[np.arange(len(near)), best], -1, 1))})
 
-    placed = checkpointed(rows.withColumn("p", place("v")).select("id", "v", "p.*"))
+    placed = rows.withColumn("p", place("v")).select("id", "v", "p.*")
     sizes = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()}
     angles = np.array([sizes[c].angle if c in sizes else 0.0 for c in range(len(centers))])
     counts = [-(-sizes[c].n // slice_rows) if c in sizes else 1 for c in range(len(centers))]
@@ -110,8 +110,9 @@ def open_cells(vectors: np.ndarray, centers: np.ndarray, angles: np.ndarray, k:
 def meetings(index: Index, queries: DataFrame, unpack: Unpack, k: int = 1, threshold: float = -2.0, signs: tuple[int, ...] = (1,), pack: int = PACK, probes: int | None = None) -> DataFrame:
     """(q: array<struct<row, payload>>, ids, vectors): every query next to every slice it has to see.
 
-    `queries` has (row, payload); `unpack` turns a payload into one or more vectors. With `probes`, a query sees only that
-    many cells, those of the nearest centers.
+    `queries` has (row, payload); `unpack` turns a payload into one or more vectors. They are packed by a hash of the row, so a
+    pack of a cell holds about `pack` of them at most. With `probes`, a query sees only that many cells, those of the nearest
+    centers.
     """
     centers, angles = index.centers, index.angles
 
@@ -122,11 +123,8 @@ def meetings(index: Index, queries: DataFrame, unpack: Unpack, k: int = 1, thres
         return pd.Series([open_cells(unpack(p), centers, angles, k, threshold, signs) for p in batch])
 
     opened = queries.select("row", "payload", F.explode_outer(cells("payload")).alias("cell")).where("cell is not null")
-    opened = checkpointed(opened)
-    sizes = {r.cell: r.n for r in opened.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    counts = [-(-sizes.get(c, 1) // pack) for c in range(max(1, len(centers)))]
-    part = F.pmod(F.xxhash64("row"), F.element_at(F.array(*map(F.lit, counts)), F.col("cell") + 1))
-    packs = opened.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct("row", "payload")).alias("q"))
+    parts = max(1, -(-queries.count() // pack))
+    packs = opened.groupBy("cell", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("row", "payload")).alias("q"))
     return packs.join(index.slices, "cell").select("q", "ids", "vectors")
 
 
