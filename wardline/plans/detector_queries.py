@@ -8,7 +8,7 @@ from wardline.functions import vectors as vx
 from wardline.operators import detectors as dt
 from wardline.operators import enhanced as en
 from wardline.plans.common import (
-    SQL_MIXED, load, mixed_prompts, r6, rounded, section, sql_buckets, sql_overlap, sql_r6, sql_words,
+    NUDGE, SQL_MIXED, load, mixed_prompts, r6, rounded, section, sql_buckets, sql_overlap, sql_r6, sql_words,
 )
 from wardline.plans.text_queries import (
     SPECIAL, SQL_LINGUISTIC, SQL_NATURALNESS, UPPER, sql_action, sql_ratio,
@@ -228,13 +228,13 @@ _score_query("semantic_check", en.semantic_score, SQL_SEM, 0.4)
 
 @query(
     "feature_scores",
-    f"""WITH {SQL_FEATURES} SELECT prompt_id, {sql_r6(SQL_ESA)} AS esa, {sql_r6(SQL_CAP)} AS cap, {sql_r6(SQL_GRAN)} AS granularity, {sql_r6(SQL_SEM)} AS semantic FROM feat""",
+    f"""WITH {SQL_FEATURES} SELECT prompt_id, {', '.join(f"{sql_r6(f'{e} + {NUDGE}')} AS {n}" for n, e in (('esa', SQL_ESA), ('cap', SQL_CAP), ('granularity', SQL_GRAN), ('semantic', SQL_SEM)))} FROM feat""",
 )
 def feature_scores(spark, sf):
     """The four scores on the features of prompts."""
     f = en.feature_columns()
     scores = {"esa": en.esa_score(f), "cap": en.cap_score(f), "granularity": en.granularity_score(f), "semantic": en.semantic_score(f)}
-    return rounded(featured(spark, sf).select("prompt_id", *[c.alias(n) for n, c in scores.items()]), *scores)
+    return rounded(featured(spark, sf).select("prompt_id", *[c.alias(n) for n, c in scores.items()]), *scores, nudge=NUDGE)
 
 
 SQL_JUDGED = f"""base AS (SELECT *, {SQL_ESA} AS e1, {SQL_CAP} AS e2, {SQL_GRAN} AS e3, 0.0::DOUBLE AS e4, {SQL_SEM} AS e5 FROM (@source)),

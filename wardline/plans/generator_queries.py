@@ -8,7 +8,7 @@ from wardline.operators import enhanced as en
 from wardline.operators import generate as gn
 from wardline.operators import tokens as tk
 from wardline.plans.common import (
-    SQL_MIXED, SQL_PROMPTS, load, mixed_prompts, prompts, quoted, r6, rounded, section, sql_buckets, sql_counts,
+    NUDGE, SQL_MIXED, SQL_PROMPTS, load, mixed_prompts, prompts, quoted, r6, rounded, section, sql_buckets, sql_counts,
     sql_overlap, sql_r6, sql_words,
 )
 from wardline.plans.detector_queries import SQL_EVENT_FEATURES, SQL_FEATURES, event_features, featured
@@ -360,8 +360,8 @@ SQL_GENERATED = f"""WITH {sql_esa_generate(SQL_PROMPTS, 2)}, {sql_cap(SQL_PROMPT
 @query(
     "augment_features",
     f"""WITH src AS MATERIALIZED ({SQL_GENERATED}), {SQL_FEATURES.replace(SQL_MIXED, 'SELECT * FROM src')}
-    SELECT prompt_id, truth AS label, {', '.join(f'{sql_r6(f)} AS {f}' for f in en.FEATURES)} FROM feat WHERE truth = 1 UNION ALL
-    SELECT prompt_id, truth, {', '.join(sql_r6(f'{f} + 0.1*' + sql_normal('prompt_id', i)) for i, f in enumerate(en.FEATURES))}
+    SELECT prompt_id, truth AS label, {', '.join(f"{sql_r6(f'{f} + {NUDGE}')} AS {f}" for f in en.FEATURES)} FROM feat WHERE truth = 1 UNION ALL
+    SELECT prompt_id, truth, {', '.join(sql_r6(f'{f} + {NUDGE} + 0.1*' + sql_normal('prompt_id', i)) for i, f in enumerate(en.FEATURES))}
     FROM feat WHERE truth = 0 AND {sql_uniform('prompt_id', '0', 'chosen')} < 0.125""",
 )
 def augment_features(spark, sf):
@@ -373,4 +373,4 @@ def augment_features(spark, sf):
     feats = en.features16(tk.analyze_tokens(rows, reference(spark, sf), "prompt_id", params=ANALYSIS), radius=1)
     feats = feats.select("prompt_id", "label", *en.FEATURES)
     noisy = gn.feature_noise(feats.where("label = 0"), "prompt_id", en.FEATURES, ratio=0.5)
-    return rounded(feats.where("label = 1").unionByName(noisy), *en.FEATURES)
+    return rounded(feats.where("label = 1").unionByName(noisy), *en.FEATURES, nudge=NUDGE)
