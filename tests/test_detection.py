@@ -17,6 +17,7 @@ from wardline.operators import nearest as nr
 from wardline.operators import risk as rk
 from wardline.operators import similarity as sm
 from wardline.operators import tokens as tk
+from wardline.plans import similarity_queries as sq
 from wardline.plans.common import load, prompts
 
 SF = "/root/testdata/sf0.001"
@@ -246,6 +247,17 @@ def test_exact_match_ranks_first(spark):
     assert sm.knn_approx(df, df, "id", "v", 4, 2, 3, -1.0).where("rank = 1 and query_id = corpus_id").count() == 60
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_hits_reach_nine_tenths_of_the_exact_ones(spark, sf):
+    exact = {(r.query_id, r.corpus_id): r.similarity for r in sq.knn_search(spark, f"/root/testdata/{sf}").collect()}
+    hits = {(r.query_id, r.corpus_id): r.similarity for r in sq.approx_hits(spark, f"/root/testdata/{sf}").collect()}
+    others = [p for p in exact if p[0] != p[1]]
+    assert all(hits[p] == pytest.approx(exact[p], abs=1e-6) for p in exact if p in hits)
+    found, found_others = sum(p in hits for p in exact) / len(exact), sum(p in hits for p in others) / len(others)
+    print(sf, "recall", round(found, 4), "without the self match", round(found_others, 4))
+    assert found >= 0.9 and found_others >= 0.9
+
+
 def test_get_or_compute_embeds_missing_once(spark):
     texts = spark.createDataFrame([("a b",), ("a b",), ("c",)], "t string")
     none = spark.createDataFrame([], "key string, embedding array<double>")
