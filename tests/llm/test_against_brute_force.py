@@ -291,6 +291,17 @@ def test_mix_meets_its_targets(spark):
     assert abs(per.target.sum() - per["size"].sum()) < 1 and (per.target <= 3 * per["size"]).all()
 
 
+def test_whole_mix_reaches_the_target_of_every_small_source(spark, tmp_path):
+    rows = [(k, "w " * 40, f"s{k:03}") for k in range(300)] + [(1000 + k, "w " * 40, "large") for k in range(250)] + [(2000, "w " * 60, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    kept = {r.source for r in mixing.mixed_documents(docs).select("source").distinct().collect()}
+    assert kept == {r[2] for r in rows}
+    got = mixing.mix(docs, whole=True).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    per = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
+    assert len(per) == 302 and (per.taken == np.floor(per.target)).all() and (got.taken <= 3 * got["size"]).all()
+
+
 def test_schedule_is_even_in_every_stretch(spark):
     sizes = spark.createDataFrame([("a", 100_000), ("b", 100_000), ("c", 100_000), ("d", 5)], "source string, size long")
     slots = mixing.schedule(mixing.source_targets(sizes), 100).orderBy("slot").collect()

@@ -70,6 +70,14 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return taken.withColumn("inside", inside).join(part.select("src", "part", start.alias("start")), ["src", "part"]).select("src", "slot", (F.col("start") + F.col("inside")).alias("rank"))
 
 
+def completed(slots: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """(src, rank) with exactly the ranks that each target needs: surplus ones go, missing ones follow at the end."""
+    need = targets.select("src", F.ceil(F.floor("target") / block).alias("need"))
+    have = need.join(slots.groupBy("src").agg(F.count("*").alias("have")), "src", "left").select("src", "need", F.coalesce("have", F.lit(0)).alias("have"))
+    missing = have.where("have < need").select("src", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"))
+    return slots.join(need, "src").where("rank < need").select("src", "rank").unionByName(missing)
+
+
 def shuffled(sizes: DataFrame) -> DataFrame:
     """Position `at` of every document in its source's shuffled line of words: order of md5(doc_id), summed in three levels."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -84,25 +92,27 @@ def shuffled(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).join(starts, ["src", "b1", "b2"]).withColumn("at", F.col("start") + F.col("inside")).drop("key", "b1", "b2", "start", "inside")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, limit: int = 3) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, limit: int = 3, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
 
     Sizes are words; null, empty and blank texts have none and are never taken. A source's blocks stop at its target, so no
     document is taken more than `limit` times. Null sources form one source, null ids are ids like any other, repeated rows
     are documents of their own; rows that agree in id, source and size may swap places, which no result shows. Other
-    columns are ignored; an empty table gives an empty table. `block` (words per slot) bounds how far a source may end below
-    its target: a few blocks, whatever the size of the table.
+    columns are ignored; an empty table gives an empty table. As the schedule deals blocks of `block` words, a source may end
+    a few blocks below its target, which may be all of a source of few words; with `whole`, every source is taken up to the
+    last whole word of its target.
     """
-    return taken_words(docs, id_col, text_col, source_col, block, limit).drop("row")
+    return taken_words(docs, id_col, text_col, source_col, block, limit, whole).drop("row")
 
 
-def taken_words(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, limit: int) -> DataFrame:
+def taken_words(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, limit: int, whole: bool) -> DataFrame:
     """`mix` with `row`, the number that monotonically_increasing_id gives each row of `docs`."""
     number = F.monotonically_increasing_id().alias("row")
     sizes = docs.select(number, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sizes = common.stored(sizes, "mix-sizes")
     targets = common.checkpointed(source_targets(sizes, limit))
     slots = common.checkpointed(schedule(targets, block))
+    slots = common.checkpointed(completed(slots, targets, block)) if whole else slots
     used = targets.join(slots.groupBy("src").agg(F.count("*").alias("slots")), "src", "left").withColumn("words", F.least(F.coalesce("slots", F.lit(0)) * block, F.floor("target")))
     rows = sizes.join(used, sizes["source"].eqNullSafe(used["source"])).drop(used["source"])
     rows = common.checkpointed(shuffled(rows))
@@ -118,9 +128,9 @@ def taken_words(docs: DataFrame, id_col: str, text_col: str, source_col: str, bl
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, limit: int = 3) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns; a part of a document rounds to the nearer whole.
 
-    Documents without words are never taken. `docs` is read twice and must number its rows alike, as a written table does.
+    Every source is taken up to its target. Documents without words are never taken. `docs` is read twice and must number its rows alike, as a written table does.
     """
-    taken = taken_words(docs, id_col, text_col, source_col, block, limit)
+    taken = taken_words(docs, id_col, text_col, source_col, block, limit, True)
     times = F.round(F.col("taken") / F.col("size")).cast("int")
     copies = taken.where((F.col("size") > 0) & (times > 0)).select("row", times.alias("times"))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
