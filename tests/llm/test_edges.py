@@ -111,6 +111,17 @@ def test_no_labels_and_one_class(docs, labels):
         assert op4(docs, d).where("score between 0 and 1").count() == len(rows())
 
 
+def test_a_repeated_labelled_id_is_learned_once(spark, monkeypatch):
+    rows = [(k, f"text number {k}") for k in range(8)] + [(3, f"copy {k % 5}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_trees, "fit_forest", lambda x, y: seen.append(len(y)))
+    quality_trees.fit(df, marks, every())
+    quality_trees.fit(df, marks, every(), rows=5)
+    assert seen == [8, 5]
+
+
 def test_nothing_learned(docs):
     assert set(r.lang_pred for r in hyper_langid.identify(docs, {}, every()).collect()) == {"und"}
 

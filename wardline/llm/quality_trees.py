@@ -142,10 +142,17 @@ def labelled_sample(labels: DataFrame, label: str, learn: Column, rows: int, id_
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def labelled_texts(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y) of the sample, one row per id: of repeated ids the text with the smallest hash, a null text last."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "doc_id")
+    least = F.min(F.struct(F.col("text").isNull(), F.xxhash64("text"), F.col("text").alias("text")))
+    return texts.groupBy("doc_id", "y").agg(least.alias("l")).select("doc_id", F.col("l.text").alias("text"), "y")
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Forest:
     """Forest from at most `rows` labelled documents (so the sample may be broadcast and its statistics collected)."""
     wanted = labelled_sample(labels, label, learn, rows, id_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "doc_id")
+    texts = labelled_texts(docs, wanted, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from wardline.llm import common
-from wardline.llm.quality_trees import labelled_sample
+from wardline.llm.quality_trees import labelled_sample, labelled_texts
 
 #: Labelled texts that a fit uses at most; those with the smallest hash of their id.
 FIT_ROWS = 10_000
@@ -124,7 +124,7 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, terms: tuple[str, ...] = IDENTITY_TERMS) -> tuple[np.ndarray, float]:
     """Weights and bias, fitted in one task on at most `rows` labelled texts; the driver sees only the weights."""
     wanted = labelled_sample(labels, label, learn, rows, id_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
+    texts = labelled_texts(docs, wanted, id_col, text_col).select("doc_id", "y", "text")
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 128):
