@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import adaptive_rules, block_simhash, bpe, bwt_dedup, chat_pairs, gray_dedup, hyper_langid, mixing, quality_trees, toxicity
+from wardline.llm import adaptive_rules, block_simhash, bpe, bwt_dedup, chat_pairs, gray_dedup, hyper_langid, mixing, page_templates, quality_trees, source_audit, spelling, toxicity
 from wardline.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -79,3 +79,18 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query(mixing.SQL)
 def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), block=mixing.BLOCK)
+
+
+@query(spelling.SQL)
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query(source_audit.SQL)
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf, "documents"))
+
+
+@query()
+def op13_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return page_templates.main_text(table(spark, sf, "pages"))
