@@ -173,6 +173,16 @@ def plain_spans(texts, length=400):
     return out
 
 
+def plain_passages(t, spans, least=51):
+    """Spans between the first and the last whole word in them, if they have enough."""
+    out = []
+    for a, z in spans:
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t) if a <= m.start() and m.end() <= z]
+        if len(words) >= least:
+            out.append((words[0][0], words[-1][1]))
+    return out
+
+
 def noisy(rng, n):
     return bytes(rng.choice(b"abcdefgh ") for _ in range(n))
 
@@ -237,6 +247,39 @@ def test_repeated_strings_of_documents(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
 
 
+def passages(rng):
+    """(texts, passages): passages of 51, 60 and 80 words in two or three texts each, shorter ones and license-like lines in others."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9)))
+    some = lambda n: [word() for _ in range(n)]
+    long_, short = [some(n) for n in (51, 60, 80)], [some(n) for n in (30, 45, 50)]
+    texts = [" ".join(some(60) + p + some(60)) for p in long_ for _ in range(rng.randint(2, 3))] + [" ".join(p) for p in long_]
+    clean = [" ".join(some(60) + p + some(60)) for p in short for _ in range(2)] + [" ".join(some(200)) for _ in range(20)]
+    return texts, clean, [" ".join(p) for p in long_]
+
+
+def test_passages_of_over_fifty_words(spark, tmp_path):
+    texts, clean, long_ = passages(random.Random(6))
+    rows = [(k, t, len(t), "s") for k, t in enumerate(texts + clean)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string").write.parquet(str(tmp_path / "t"))
+    got = corpus_pipeline.repeated_strings(spark, spark.read.parquet(str(tmp_path / "t")), "")
+    got = {r.doc_id: r.text for r in got.collect()}
+    held = [k for k, t in enumerate(texts) if any(p in t for p in long_)]
+    assert all(not any(p in got[k] for p in long_) for k in held) and len(held) == len(texts)
+    assert all(got[len(texts) + k] == t for k, t in enumerate(clean))
+    for k, t in enumerate(texts):
+        rest = t
+        for p in long_:
+            rest = rest.replace(p, "")
+        assert got[k] == rest
+
+
+def test_whole_words():
+    t = b"one two three four five"
+    assert bwt_dedup.whole_words(t, [[2, 18]], 1) == [[4, 18]] and bwt_dedup.whole_words(t, [[2, 16]], 1) == [[4, 13]]
+    assert bwt_dedup.whole_words(t, [[0, len(t)]], 5) == [] and bwt_dedup.whole_words(t, [[0, len(t)]], 4) == [[0, len(t)]]
+    assert bwt_dedup.whole_words(t, [[1, 2]], 0) == [] and bwt_dedup.whole_words(b"", [], 3) == []
+
+
 # --- learned operators ------------------------------------------------------------------------
 
 
@@ -325,9 +368,10 @@ def test_pipeline(spark, library):
         elif name == "SimHash near-dedup":
             assert {r.doc_id for r in after} == set(plain_groups(before)[1].values()) and len(after) == len({r.doc_id for r in after})
         elif name == "suffix-array dedup":
-            spans = plain_spans([r.text.encode() for r in before])
+            spans = plain_spans([r.text.encode() for r in before], bwt_dedup.PASSAGE)
             for r, s in zip(before, spans):
                 t = r.text.encode()
+                s = plain_passages(t, s)
                 kept = b"".join(t[a:b] for a, b in zip([0, *(e for _, e in s)], [*(b for b, _ in s), len(t)]))
                 now = next(x for x in after if x.doc_id == r.doc_id)
                 assert now.text == kept.decode("utf-8", "ignore") and now.n_chars == len(now.text) and now.source == r.source

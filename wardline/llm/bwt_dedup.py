@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from xxhash import xxh64_intdigest
 from wardline.llm import common
 
 LENGTH = 400
+#: For passages: the strings looked for, and the words that a passage has more than.
+PASSAGE, PASSAGE_WORDS = 200, 50
 BLOCK = 100
 GRAM = 64
 #: Bytes worked on at once, bytes of the pieces merged together and of a shard of them, and different pieces of one key that
@@ -38,6 +41,7 @@ MANY = 2000
 #: Windows per piece when an anchor has too many pieces.
 NARROWER = (16, 1)
 PLACE = np.uint64((1 << 24) - 1)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -338,18 +342,34 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
+def whole_words(text: bytes, runs: list[list[int]], words: int) -> list[list[int]]:
+    """The runs cut back to the whole words in them, without those of `words` words or fewer."""
+    out = []
+    for a, z in runs:
+        inner = [m.span() for m in WORD.finditer(text, a, z)]
+        if inner and inner[0][0] == a and a and WORD.match(text, a - 1):
+            inner = inner[1:]
+        if inner and inner[-1][1] == z < len(text) and WORD.match(text, z):
+            inner = inner[:-1]
+        if len(inner) > words:
+            out.append([inner[0][0], inner[-1][1]])
+    return out
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None, words: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (removed byte runs [from, to), maximal and in order), kept (the other bytes), and `keep`.
 
+    With `words`, runs end at whole words and those of so many words or fewer stay.
+
     Null texts are empty; texts shorter than `length` lose nothing; repeated rows are texts of their own, so they remove each
     other's strings; other columns than those in `keep` are ignored; an empty table gives an empty table. Ties do not
     arise: all occurrences of a repeated string go.
     """
     extra = [c for c in keep or [] if c not in (id_col, text_col)]
-    return _split(docs, id_col, text_col, length, extra).select("doc_id", "n_bytes", "spans", "kept", *[F.col("extra")[c].alias(c) for c in extra])
+    return _split(docs, id_col, text_col, length, extra, words).select("doc_id", "n_bytes", "spans", "kept", *[F.col("extra")[c].alias(c) for c in extra])
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str]) -> DataFrame:
+def _split(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str], words: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, extra), extra being a struct of the columns named."""
     row = F.monotonically_increasing_id().alias("row")
     spans = repeated_spans(docs.select(row, F.col(text_col).alias("text")), length).distinct()
@@ -367,6 +387,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list
                         whole[-1][1] = max(whole[-1][1], s["to"])
                     else:
                         whole.append([s["from"], s["to"]])
+                whole = whole if words is None else whole_words(t, whole, words)
                 size.append(len(t))
                 runs.append([{"from": a, "to": z} for a, z in whole])
                 cuts = [0, *(x for r in whole for x in r), len(t)]
@@ -380,12 +401,13 @@ def _split(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text, the kept bytes with U+FFFD for broken characters."""
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
-def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
-    """The documents without repeated strings, with all their columns.
+def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """The documents without repeated strings (see `without_repeats`), with all their columns.
 
     Bytes of a character that was cut in two go with it; `length_col` is counted anew; null texts become empty.
     """
@@ -398,4 +420,4 @@ def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     names = docs.columns
     others = [c for c in names if c not in (id_col, text_col, length_col)]
-    return _split(docs, id_col, text_col, length, others).mapInArrow(run, docs.schema)
+    return _split(docs, id_col, text_col, length, others, words).mapInArrow(run, docs.schema)
