@@ -1,10 +1,14 @@
-"""Exact nearest vectors by cells, as Spark joins.
+"""Exact nearest vectors.
 
-The corpus is divided among centers, which are corpus vectors themselves. A cell knows its center and the largest angle of
+A corpus whose packed vectors have at most HANDED bytes is handed to every task as `Blocks`: neighbouring vectors lie in
+blocks, and the largest and smallest component of a block's unit vectors bound what its members can reach, so only blocks that
+can still change a result are opened. Queries then need no shuffle.
+
+A larger corpus is searched by cells, as Spark joins. It is divided among centers, which are corpus vectors themselves. A cell knows its center and the largest angle of
 a member to it. A query compares itself with the centers: the k-th best of them is a bound that its k best cannot fall below,
 and a cell whose angle keeps all its members under that bound is left out. Queries meet the slices of the remaining cells in a
-join of packed rows; each pair of a pack and a slice is one matrix product. The same path serves every size, and both packs
-and slices are bounded, so a crowded cell is many tasks.
+join of packed rows; each pair of a pack and a slice is one matrix product. The number of cells grows with the root of the
+corpus, and both packs and slices are bounded, so a crowded cell is many tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +23,12 @@ from pyspark.sql import functions as F
 
 from wardline.session import checkpointed
 
-#: Most centers (collected: at most this many vectors), corpus vectors per slice, queries per pack.
-CELLS, SLICE, PACK = 256, 2048, 256
+#: Bytes of vectors that may be handed to every task whole.
+HANDED = 1 << 26
+#: Vectors of a block, and bounds (queries x blocks) held at once.
+LEAF, BOUNDS = 16, 1 << 21
+#: Cells per root of the corpus, corpus vectors per slice, queries per pack, vectors of a query scored at once.
+CELLS, SLICE, PACK, STEP = 4, 2048, 256, 2048
 #: Rounding that a bound must leave room for.
 SLACK = 1e-6
 
@@ -36,6 +44,137 @@ def unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m, np.float64), where=norm > 0)
 
 
+def handed(rows: DataFrame, dims: int, limit: int = HANDED) -> list | None:
+    """All rows if their vectors have at most `limit` bytes, else None; the driver never gets more than one row beyond."""
+    most = max(1, limit // (8 * dims))
+    found = rows.limit(most + 1).collect()
+    return found if len(found) <= most else None
+
+
+def leaf_order(vectors: np.ndarray) -> np.ndarray:
+    """Order in which runs of LEAF vectors are alike: halves by the component that varies most, again and again."""
+    order = np.arange(len(vectors))
+    todo = [(0, len(vectors))]
+    while todo:
+        a, z = todo.pop()
+        if z - a > LEAF:
+            part = vectors[order[a:z]]
+            by = part[:, part.var(axis=0).argmax()]
+            order[a:z] = order[a:z][np.argsort(by, kind="stable")]
+            middle = a + LEAF * max(1, -(-(z - a) // LEAF) // 2)
+            todo += [(a, middle), (middle, z)]
+    return order
+
+
+class Blocks:
+    """Vectors in blocks with bounds on their cosines. `opened` counts the pairs of a query and a vector that were compared."""
+
+    def __init__(self, vectors: np.ndarray, ids: list):
+        alike = unit(vectors)
+        order = leaf_order(alike)
+        self.vectors, self.ids = np.ascontiguousarray(vectors[order]), np.array(ids)[order]
+        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        self.own = (self.vectors * self.vectors).sum(axis=1)
+        starts = np.arange(0, len(order), LEAF)
+        self.high, self.low = np.maximum.reduceat(alike[order], starts), np.minimum.reduceat(alike[order], starts)
+        self.counts = bool((vectors >= 0).all())
+        self.opened = 0
+
+    def steps(self, asked: np.ndarray) -> Iterator[slice]:
+        step = max(16, BOUNDS // max(1, len(self.high)))
+        return (slice(at, at + step) for at in range(0, len(asked), step))
+
+    def bounds(self, asked: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest and smallest cosine that each block may hold."""
+        more, less = np.maximum(asked, 0.0), np.minimum(asked, 0.0)
+        over = np.divide(1.0, norm, out=np.zeros_like(norm), where=norm > 0)[:, None]
+        return (more @ self.high.T + less @ self.low.T) * over, (more @ self.low.T + less @ self.high.T) * over
+
+    def cosines(self, asked: np.ndarray, square: np.ndarray, block: int) -> np.ndarray:
+        """Whole numbers stay whole up to the one square root, so equal cosines are equal."""
+        part = slice(block * LEAF, (block + 1) * LEAF)
+        norm = np.sqrt(square[:, None] * self.own[None, part])
+        shared = asked @ self.vectors[part].T
+        self.opened += shared.size
+        return np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
+
+    def extremes(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest and smallest cosine of each query with all vectors."""
+        hi, lo = np.full(len(asked), -np.inf), np.full(len(asked), np.inf)
+        for part in self.steps(asked):
+            self._extremes(asked[part], hi[part], lo[part])
+        return hi, lo
+
+    def _extremes(self, asked: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
+        square = (asked * asked).sum(axis=1)
+        upper, lower = self.bounds(asked, np.sqrt(square))
+        fresh = np.ones(upper.shape, bool)
+
+        def score(rows: np.ndarray, block: int) -> None:
+            c = self.cosines(asked[rows], square[rows], block)
+            hi[rows], lo[rows] = np.maximum(hi[rows], c.max(axis=1)), np.minimum(lo[rows], c.min(axis=1))
+            fresh[rows, block] = False
+
+        for best in (upper.argmax(axis=1), lower.argmin(axis=1)):
+            for block in np.unique(best).tolist():
+                score(np.flatnonzero((best == block) & fresh[:, block]), block)
+        while True:
+            # No cosine of counts is below 0, so one vector without a shared component settles the smallest.
+            low = fresh & (lower <= lo[:, None] + SLACK) & ~(self.counts & (lo <= 0))[:, None]
+            need = fresh & (upper >= hi[:, None] - SLACK) | low
+            left = np.flatnonzero(need.any(axis=0))
+            if not len(left):
+                return
+            # The blocks that most queries need first; bounds are looked at again after a few of them.
+            for block in left[np.argsort(-need[:, left].sum(axis=0), kind="stable")][: max(4, len(left) // 8)].tolist():
+                rows = need[:, block] & ((upper[:, block] >= hi - SLACK) | low[:, block] & ~(self.counts & (lo <= 0)))
+                fresh[need[:, block] & ~rows, block] = False
+                if rows.any():
+                    score(np.flatnonzero(rows), block)
+
+    def best(self, asked: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of the k best of each query, ties by id; `digits` rounds before comparing."""
+        k = min(k, len(self.ids))
+        places, found = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k))
+        for part in self.steps(asked):
+            places[part], found[part] = self._best(asked[part], k, digits)
+        return self.ids[places], found
+
+    def _best(self, asked: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+        square = (asked * asked).sum(axis=1)
+        upper, _ = self.bounds(asked, np.sqrt(square))
+        places, found = np.full((len(asked), k), -1), np.full((len(asked), k), -np.inf)
+        rank = np.append(self.rank, len(self.rank))  # of no vector: behind all
+        slack = SLACK if digits is None else max(SLACK, 2 * 10.0**-digits)
+
+        def score(rows: np.ndarray, block: int) -> None:
+            c = self.cosines(asked[rows], square[rows], block)
+            c = c if digits is None else np.round(c, digits)
+            at = np.arange(block * LEAF, block * LEAF + c.shape[1])
+            at = np.concatenate([places[rows], np.broadcast_to(at, c.shape)], axis=1)
+            c = np.concatenate([found[rows], c], axis=1)
+            by_id = np.argsort(rank[at], axis=1, kind="stable")
+            c, at = np.take_along_axis(c, by_id, 1), np.take_along_axis(at, by_id, 1)
+            top = np.argsort(-c, axis=1, kind="stable")[:, :k]
+            found[rows], places[rows] = np.take_along_axis(c, top, 1), np.take_along_axis(at, top, 1)
+            upper[rows, block] = -np.inf
+
+        for n in range(min(upper.shape[1], -(-k // LEAF) + 1)):
+            best = upper.argmax(axis=1)
+            for block in np.unique(best).tolist():
+                score(np.flatnonzero(best == block), block)
+        while True:
+            need = upper >= np.maximum(found[:, -1:] - slack, -2.0)
+            left = np.flatnonzero(need.any(axis=0))
+            if not len(left):
+                return places, found
+            for block in left[np.argsort(-need[:, left].sum(axis=0), kind="stable")][: max(4, len(left) // 8)].tolist():
+                rows = need[:, block] & (upper[:, block] >= found[:, -1] - slack)
+                upper[need[:, block] & ~rows, block] = -np.inf
+                if rows.any():
+                    score(np.flatnonzero(rows), block)
+
+
 @dataclass
 class Index:
     """Unit centers and angles of the cells, and the slices (cell, ids, vectors)."""
@@ -69,11 +208,11 @@ def build_index(corpus: DataFrame, id_col: str, payload: str, cells: int | None
     """Index of vectors packed by `packed`; ids must differ and `corpus` is read more than once. Centers are the vectors with
     the smallest hashes of their ids.
 
-    Without `cells` there is one per slice of the corpus, at most CELLS.
+    Without `cells` there is one per slice of the corpus, at most CELLS times the root of its size (the centers are collected).
     """
     rows = corpus.select(F.col(id_col).alias("id"), F.col(payload).alias("v"))
     n = rows.count()
-    wanted = cells or min(CELLS, max(1, -(-n // slice_rows)))
+    wanted = cells or max(1, min(-(-n // slice_rows), int(CELLS * n**0.5)))
     picked = rows.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(wanted).collect()
     centers = unit(np.stack([one_vector(bytes(r.v))[0] for r in picked])) if picked else np.zeros((0, 1))
     if not picked:
@@ -128,16 +267,23 @@ def meetings(index: Index, queries: DataFrame, unpack: Unpack, k: int = 1, thres
     return packs.join(index.slices, "cell").select("q", "ids", "vectors")
 
 
-def scores(batch: pd.DataFrame, unpack: Unpack) -> Iterator[tuple[object, np.ndarray, list]]:
+def scores(batch: pd.DataFrame, unpack: Unpack, shrink: Callable[[np.ndarray], np.ndarray] = lambda c: c) -> Iterator[tuple[object, np.ndarray, list]]:
     """(row, cosines of its vectors with the slice, ids of the slice) for the rows of `meetings` in a pandas batch.
 
-    Whole numbers stay whole up to the one square root, so equal cosines are equal.
+    The vectors of a row are worked on in steps, and `shrink` keeps of each step's matrix what the caller needs. Whole numbers stay whole up to the one square root, so equal cosines are equal.
     """
     for q, ids, vectors in zip(batch["q"], batch["ids"], batch["vectors"]):
         corpus = np.stack([one_vector(bytes(v))[0] for v in vectors])
         own = (corpus * corpus).sum(axis=1)
         for item in q:
-            asked = unpack(bytes(item["payload"])).astype(np.float64)
-            norm = np.sqrt((asked * asked).sum(axis=1)[:, None] * own[None])
-            shared = asked @ corpus.T
-            yield item["row"], np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0), list(ids)
+            windows = unpack(bytes(item["payload"]))
+            if len(windows) == 0:
+                yield item["row"], np.zeros((0, len(corpus))), list(ids)
+                continue
+            parts = []
+            for at in range(0, len(windows), STEP):
+                asked = windows[at : at + STEP].astype(np.float64)
+                norm = np.sqrt((asked * asked).sum(axis=1)[:, None] * own[None])
+                shared = asked @ corpus.T
+                parts.append(shrink(np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)))
+            yield item["row"], np.concatenate(parts), list(ids)

@@ -86,7 +86,9 @@ def batch_score(df: DataFrame, text_col: str, score: Callable[[DataFrame], DataF
     """
     keyed = df.withColumn("text_key", F.coalesce(F.sha2(text_col, 256), F.lit("null")))
     distinct = keyed.groupBy("text_key").agg(F.first(text_col).alias("text"))
-    results = score(distinct).select("text_key", *columns)
+    # Few bytes are much work here: the distinct texts are dealt to all tasks, whatever their size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    results = score(distinct.repartition(parts, "text_key")).select("text_key", *columns)
     return keyed.join(results, "text_key").drop("text_key")
 
 

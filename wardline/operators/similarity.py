@@ -41,11 +41,26 @@ def best_hits(meetings: DataFrame, k: int, threshold: float) -> DataFrame:
     return keep_best(meetings.mapInPandas(run, HITS), k)
 
 
-def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7) -> DataFrame:
-    """Exact top-k by cosine among vectors of at least the threshold; see `nearest` for how far ones are left out."""
-    index = nr.build_index(checkpointed(corpus.select(id_col, nr.packed(F.col(vec)).alias("v"))), id_col, "v")
+def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7, handed: int = nr.HANDED) -> DataFrame:
+    """Exact top-k by cosine among vectors of at least the threshold, ties by corpus id (numbers); see `nearest`."""
+    packed = corpus.select(F.col(id_col).alias("id"), nr.packed(F.col(vec)).alias("v"))
     asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
-    return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold), k, threshold)
+    one = packed.first()
+    few = nr.handed(packed, len(one.v) // 8 or 1, handed) if one else []
+    if few is None:
+        index = nr.build_index(checkpointed(packed), "id", "v")
+        return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold), k, threshold)
+    blocks = nr.Blocks(np.stack([nr.one_vector(bytes(r.v))[0] for r in few]), [r.id for r in few]) if few else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if blocks is not None and len(batch):
+                ids, sims = blocks.best(np.stack([nr.one_vector(bytes(v))[0] for v in batch["payload"]]), k, 9)
+                n, most = sims.shape
+                rows = pd.DataFrame({"query_id": np.repeat(batch["row"].to_numpy(), most), "corpus_id": ids.ravel(), "similarity": sims.ravel(), "rank": np.tile(np.arange(1, most + 1), n)})
+                yield rows[rows["similarity"] >= threshold]
+
+    return asked.mapInPandas(run, HITS + ", rank bigint")
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, cells: int, probes: int, k: int = 5, threshold: float = 0.7) -> DataFrame:

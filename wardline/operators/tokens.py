@@ -74,12 +74,37 @@ def text_reference(df: DataFrame, id_col: str, embedder: vx.Embedder = vx.HASHED
     return df.select(ref, F.array_sort("buckets").alias("span"), F.lit(1).alias("copies"))
 
 
-def _vectors(reference: DataFrame, embedder: vx.Embedder) -> DataFrame:
-    """(ref, v, copies) with packed vectors, computed once; spans name themselves where there is no `ref`."""
+@dataclass
+class Reference:
+    """What a search needs of the reference vectors: their number, the sums of their unit vectors and of the products of their
+    components, and the vectors themselves, in blocks if they are few enough to be handed to every task. Built once for any
+    number of searches."""
+
+    embedder: vx.Embedder
+    weight: float
+    total: np.ndarray
+    second: np.ndarray
+    blocks: nr.Blocks | None
+    vectors: DataFrame
+
+
+def prepared(reference: DataFrame | Reference, embedder: vx.Embedder = vx.HASHED, handed: int = nr.HANDED) -> Reference:
+    """The reference vectors as (ref, v, copies), spans packed as counts; spans name themselves where there is no `ref`."""
+    if isinstance(reference, Reference):
+        return reference
     named = reference if "ref" in reference.columns else reference.withColumn("ref", F.array_join(F.col("span").cast("array<string>"), " "))
     given = fenced(named.select("ref", "copies", *(["vector"] if embedder.dense else ["span"])), {"_v": F.col("vector" if embedder.dense else "span")})
     vector = nr.packed(F.col("_v")) if embedder.dense else nr.packed_counts(F.col("_v"), embedder.dims)
-    return checkpointed(given.select("ref", vector.alias("v"), F.col("copies").cast("double").alias("copies")))
+    vectors = given.select("ref", vector.alias("v"), F.col("copies").cast("double").alias("copies"))
+    few = nr.handed(vectors, embedder.dims, handed)
+    if few is None:
+        vectors = checkpointed(vectors)
+        return Reference(embedder, *_sums(vectors, embedder.dims), None, vectors)
+    if not few:
+        return Reference(embedder, 0.0, np.zeros(0), np.zeros(0), None, vectors)
+    rows, w = np.stack([nr.one_vector(bytes(r.v))[0] for r in few]), np.array([r.copies for r in few])
+    u = nr.unit(rows)
+    return Reference(embedder, w.sum(), w @ u, (u * w[:, None]).T @ u, nr.Blocks(rows, [r.ref for r in few]), vectors)
 
 
 def _sums(vectors: DataFrame, dims: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -100,48 +125,91 @@ def _sums(vectors: DataFrame, dims: int) -> tuple[float, np.ndarray, np.ndarray]
     return flat[0], flat[1 : dims + 1], flat[dims + 1 :].reshape(dims, dims)
 
 
-SIMILARITIES = "hi array<double>, lo array<double>, mean array<double>, std array<double>"
+SIMILARITIES = "hi:array<double>,lo:array<double>,mean:array<double>,std:array<double>"
 
 
-def with_reference_similarity(df: DataFrame, reference: DataFrame, id_col: str, radius: int = 5, embedder: vx.Embedder = vx.HASHED) -> DataFrame:
+def _spread(windows: np.ndarray, total: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean, square = geo.average_cosines(windows, total, second)
+    return mean, np.sqrt(np.maximum(square - mean * mean, 0.0))
+
+
+def similarity_numbers(blocks: nr.Blocks, space: geo.TokenSpace, windows: np.ndarray, total: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Largest, smallest and mean cosine and deviation, a row each; equal windows are searched once."""
+    kinds, of = windows, None
+    if not space.dense and len(windows):
+        plain = np.ascontiguousarray(windows.astype(np.uint8 if windows.max() < 256 else np.int64))
+        _, first, of = np.unique(plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        kinds = windows[first]
+    out = np.stack([*blocks.extremes(kinds), *_spread(kinds, total, second)])
+    return out if of is None else out[:, of]
+
+
+def similarity_udf(known: Reference, radius: int):
+    """Token vectors of a text -> largest, smallest, mean and deviation of the cosines with all references, in one pass. The
+    windows of many texts are searched together, long texts in steps."""
+    blocks, space = known.blocks, geo.space_of(known.embedder)
+    total, second = known.total / known.weight, known.second / known.weight
+
+    @F.pandas_udf(f"struct<{SIMILARITIES}>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        cells = [space.cell(b) for b in batch]
+        found, held, n = [np.zeros((4, 0))], [], 0
+        for cell in cells:
+            for at in range(0, len(cell), geo.STEP):
+                held.append(space.around(cell, at, min(len(cell), at + geo.STEP), radius, radius))
+                n += len(held[-1])
+                if n >= geo.STEP:
+                    found.append(similarity_numbers(blocks, space, np.concatenate(held), total, second))
+                    held, n = [], 0
+        if held:
+            found.append(similarity_numbers(blocks, space, np.concatenate(held), total, second))
+        parts = np.split(np.concatenate(found, axis=1), np.cumsum([len(c) for c in cells])[:-1], axis=1)
+        return pd.DataFrame({name: [p[k] for p in parts] for k, name in enumerate(("hi", "lo", "mean", "std"))})
+
+    return run
+
+
+def with_reference_similarity(df: DataFrame, reference: DataFrame | Reference, id_col: str, radius: int = 5, embedder: vx.Embedder = vx.HASHED) -> DataFrame:
     """Add arrays max_sim, mean_sim, min_sim, std_sim: every token window against all references.
 
-    Mean and deviation come from sums over the references (a fixed number of them). Largest and smallest are searched
-    exactly among cells (see `nearest`), whatever the number of references, and joined back by `id_col`, which must name
-    the rows. Without references the arrays are .5, .5, .5 and 0.
+    Mean and deviation come from sums over the references (a fixed number of them), largest and smallest from an exact search
+    (see `nearest`), among blocks in the same pass or, if the references are too many to be handed out, among cells and joined
+    back by `id_col`, which must name the rows. Without references the arrays are .5, .5, .5 and 0.
     """
-    vectors, space = _vectors(reference, embedder), geo.space_of(embedder)
-    weight, total, second = _sums(vectors, embedder.dims)
-    if weight == 0:
+    known = prepared(reference, embedder)
+    if known.weight == 0:
         fixed = {"max_sim": 0.5, "mean_sim": 0.5, "min_sim": 0.5, "std_sim": 0.0}
         return df.withColumns({c: F.transform("buckets", _constant(v)) for c, v in fixed.items()})
-    total, second, unpack = total / weight, second / weight, space.unpack(radius)
-    index = nr.build_index(vectors, "ref", "v")
+    if known.blocks is not None:
+        return _named(df.withColumn("_s", similarity_udf(known, radius)("buckets")))
+    space = geo.space_of(embedder)
+    total, second, unpack = known.total / known.weight, known.second / known.weight, space.unpack(radius)
+    index = nr.build_index(known.vectors, "ref", "v")
     queries = df.select(F.col(id_col).alias("row"), space.pack("buckets").alias("payload"))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(row, c.max(axis=1), c.min(axis=1)) for row, c, _ in nr.scores(batch, unpack) if len(c)]
-            yield pd.DataFrame(rows, columns=["row", "hi", "lo"])
+            found = nr.scores(batch, unpack, lambda c: np.stack([c.max(axis=1), c.min(axis=1)], axis=1))
+            yield pd.DataFrame([(row, c[:, 0], c[:, 1]) for row, c, _ in found if len(c)], columns=["row", "hi", "lo"])
 
     kind = df.schema[id_col].dataType.simpleString()
     found = nr.meetings(index, queries, unpack, 1, signs=(1, -1)).mapInPandas(ends, f"row {kind}, hi array<double>, lo array<double>")
     best = lambda c, pick: F.reduce(F.collect_list(c), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, pick)))
-    merged = found.groupBy("row").agg(best("hi", lambda a, b: F.greatest(a, b)).alias("max_sim"), best("lo", lambda a, b: F.least(a, b)).alias("min_sim"))
+    merged = found.groupBy("row").agg(best("hi", lambda a, b: F.greatest(a, b)).alias("_hi"), best("lo", lambda a, b: F.least(a, b)).alias("_lo"))
 
     @F.pandas_udf("struct<mean:array<double>,std:array<double>>")
     def spread(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for b in batch:
-            mean, square = geo.average_cosines(space.around(cell := space.cell(b), 0, len(cell), radius, radius), total, second)
-            out.append((mean, np.sqrt(np.maximum(square - mean * mean, 0.0))))
-        return pd.DataFrame(out, columns=["mean", "std"])
+        cells = [space.cell(b) for b in batch]
+        return pd.DataFrame([_spread(space.around(c, 0, len(c), radius, radius), total, second) for c in cells], columns=["mean", "std"])
 
-    joined = df.join(merged.withColumnRenamed("row", id_col), id_col, "left").withColumn("_s", spread("buckets"))
+    joined = df.join(merged.withColumnRenamed("row", id_col), id_col, "left").withColumn("_t", spread("buckets"))
     none = F.array().cast("array<double>")
-    return joined.withColumns(
-        {"max_sim": F.coalesce("max_sim", none), "min_sim": F.coalesce("min_sim", none), "mean_sim": F.col("_s.mean"), "std_sim": F.col("_s.std")}
-    ).drop("_s")
+    both = F.struct(F.coalesce("_hi", none).alias("hi"), F.coalesce("_lo", none).alias("lo"), F.col("_t.mean").alias("mean"), F.col("_t.std").alias("std"))
+    return _named(joined.withColumn("_s", both).drop("_hi", "_lo", "_t"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumns({"max_sim": F.col("_s.hi"), "mean_sim": F.col("_s.mean"), "min_sim": F.col("_s.lo"), "std_sim": F.col("_s.std")}).drop("_s")
 
 
 def _constant(value: float):
@@ -149,13 +217,28 @@ def _constant(value: float):
 
 
 def top_similar_tokens(
-    df: DataFrame, reference: DataFrame, id_col: str, radius: int = 5, first: int = 1, last: int = 5, embedder: vx.Embedder = vx.HASHED,
+    df: DataFrame, reference: DataFrame | Reference, id_col: str, radius: int = 5, first: int = 1, last: int = 5, embedder: vx.Embedder = vx.HASHED,
 ) -> DataFrame:
     """References of rank first..last per token by cosine, ties by reference name."""
-    vectors, space = _vectors(reference, embedder), geo.space_of(embedder)
+    known, space = prepared(reference, embedder), geo.space_of(embedder)
     unpack = space.unpack(radius)
     queries = df.select(F.col(id_col).alias("row"), space.pack("buckets").alias("payload"))
     kind = df.schema[id_col].dataType.simpleString()
+    if known.blocks is not None:
+        blocks = known.blocks
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row, payload in zip(batch["row"], batch["payload"]):
+                    windows = unpack(bytes(payload))
+                    for at in range(0, len(windows), geo.STEP):
+                        refs, sims = blocks.best(windows[at : at + geo.STEP].astype(np.float64), last)
+                        n, k = sims.shape
+                        rank = np.tile(np.arange(1, k + 1), n)
+                        found = pd.DataFrame({id_col: row, "pos": np.repeat(np.arange(at, at + n), k), "rank": rank, "ref": refs.ravel(), "similarity": sims.ravel()})
+                        yield found[rank >= first]
+
+        return queries.mapInPandas(nearest, f"{id_col} {kind}, pos bigint, rank bigint, ref string, similarity double")
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,7 +252,7 @@ def top_similar_tokens(
             if out:
                 yield pd.concat(out)
 
-    meetings = nr.meetings(nr.build_index(vectors, "ref", "v"), queries, unpack, last)
+    meetings = nr.meetings(nr.build_index(known.vectors, "ref", "v"), queries, unpack, last)
     rows = meetings.mapInPandas(top, f"{id_col} {kind}, pos bigint, ref string, similarity double")
     rank = F.row_number().over(Window.partitionBy(id_col, "pos").orderBy(F.col("similarity").desc(), "ref"))
     ranked = rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= last)
@@ -270,12 +353,18 @@ def with_shifts(df: DataFrame, params: TokenParams) -> DataFrame:
 
 
 def analyze_tokens(
-    df: DataFrame, reference: DataFrame, id_col: str, text_col: str = "text", params: TokenParams = TokenParams()
+    df: DataFrame, reference: DataFrame | Reference, id_col: str, text_col: str = "text", params: TokenParams = TokenParams()
 ) -> DataFrame:
     """The whole token analysis; keeps the input columns and adds arrays per prompt."""
     tokens = with_tokens(df, text_col, params.max_tokens, params.embedder)
-    similar = with_reference_similarity(tokens, reference, id_col, params.radius, params.embedder)
-    scored = with_shifts(with_cosines(similar, params), params).withColumn("anomaly", token_anomaly(F.col("max_sim"), F.col("std_sim")))
+    known = prepared(reference, params.embedder)
+    if known.blocks is not None:  # both passes over the token vectors in one Arrow stage
+        both = geo.token_numbers_udf(geo.space_of(params.embedder), params.shift_radius, params.window, params.stride)("buckets")
+        similar = _named(tokens.withColumns({"_s": similarity_udf(known, params.radius)("buckets"), "_c": both}))
+        similar = similar.withColumns({"cosines": F.col("_c.adjacent"), "run_cosines": F.col("_c.runs")}).drop("_c")
+    else:
+        similar = with_cosines(with_reference_similarity(tokens, known, id_col, params.radius, params.embedder), params)
+    scored = with_shifts(similar, params).withColumn("anomaly", token_anomaly(F.col("max_sim"), F.col("std_sim")))
     return scored.withColumns(
         {
             "overall_anomaly": prompt_anomaly(F.col("anomaly"), params.anomaly_cut),
