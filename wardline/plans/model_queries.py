@@ -1,7 +1,7 @@
 """Queries that train and apply models.
 
-A fit has no SQL; what is exact about it has: the rows scored, their labels and parts, and that the scores are probabilities
-of at least a stated quality. The scaler is exact throughout.
+A fit has no SQL, so these return what the models decide (verdicts, scores, votes) without a statement; their quality is held in
+tests. The scaler is exact throughout.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from wardline.operators import detectors as dt
 from wardline.operators import enhanced as en
 from wardline.operators import models as ml
 from wardline.operators import risk as rk
+from wardline.operators import tokens as tk
+from wardline.operators import trainer as tr
 from wardline.operators.rows import inline_rows
-from wardline.plans.common import SQL_MIXED, load, mixed_prompts, rounded, section, sql_r6
+from wardline.plans.common import load, mixed_prompts, rounded, section, sql_r6
 from wardline.plans.detector_queries import ESA_SCALE, analysed_mixed, labelled_documents
 from wardline.plans.fusion_queries import CONFIG
-from wardline.plans.generator_queries import sql_choice
 from wardline.plans.text_queries import AVG_WORD, PUNCT, SPECIAL, UPPER, W, sql_ratio
 from wardline.plans.vector_queries import ANALYSIS, reference
 from wardline.functions import text as tx
@@ -28,7 +29,6 @@ QUERIES, ORACLE, query = section()
 TEXT_FEATURES = ["prompt_length", "word_count", "avg_word_length", "punctuation_density", "uppercase_ratio", "special_char_ratio"]
 SQL_TEXT_FEATURES = f"""SELECT doc_id, length(text)::DOUBLE AS prompt_length, len({W})::DOUBLE AS word_count, {AVG_WORD} AS avg_word_length,
     {sql_ratio(PUNCT)} AS punctuation_density, {sql_ratio(UPPER)} AS uppercase_ratio, {sql_ratio(SPECIAL)} AS special_char_ratio FROM documents JOIN labels USING (doc_id)"""
-SQL_JUNK = "(1 - quality)::INT AS label"
 
 
 def training_rows(spark, sf):
@@ -38,17 +38,6 @@ def training_rows(spark, sf):
     return checkpointed(d.select("doc_id", (1 - F.col("quality")).alias("label"), *[c.alias(n) for n, c in f.items()]))
 
 
-def judged(scored, keep: list[str], least: float):
-    """The rows with two facts about the model that scored them: its accuracy reaches `least`, all scores are in 0..1."""
-    scored = checkpointed(scored)
-    right = F.avg((F.col("hit").cast("int") == F.col("label")).cast("int"))
-    facts = scored.agg((right >= least).alias("accurate"), F.bool_and(F.col("probability").between(0, 1)).alias("in_range")).withColumn("_k", F.lit(0))
-    return scored.select(*keep).withColumn("_k", F.lit(0)).join(F.broadcast(facts), "_k").drop("_k")
-
-
-SQL_DOCUMENT_FACTS = f"SELECT doc_id, {SQL_JUNK}, true AS accurate, true AS in_range FROM documents JOIN labels USING (doc_id)"
-
-
 @query(
     "fit_scaler",
     "SELECT doc_id, " + ", ".join(sql_r6(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_samp({n}) OVER (), 0), 0)") + f" AS {n}" for n in TEXT_FEATURES) + f" FROM ({SQL_TEXT_FEATURES})",
@@ -61,10 +50,10 @@ def fit_scaler(spark, sf):
     return rounded(scaled.select("doc_id", *[F.col("v")[i].alias(n) for i, n in enumerate(TEXT_FEATURES)]), *TEXT_FEATURES)
 
 
-@query("fit_logistic", SQL_DOCUMENT_FACTS)
+@query("fit_logistic")
 def fit_logistic(spark, sf):
     rows = training_rows(spark, sf)
-    return judged(ml.score_model(rows, ml.fit_logistic(rows, TEXT_FEATURES, iterations=100)), ["doc_id", "label"], 0.6)
+    return rounded(ml.score_model(rows, ml.fit_logistic(rows, TEXT_FEATURES, iterations=100)).select("doc_id", "label", "hit", "probability"), "probability")
 
 
 def fitted_classifier(rows):
@@ -73,27 +62,20 @@ def fitted_classifier(rows):
     return ml.fit_logistic(parts.where("part = 'train'").drop("part"), dt.CLASSIFIER_FEATURES, iterations=50), parts
 
 
-@query(
-    "classifier_detect",
-    f"""SELECT prompt_id, CASE WHEN {sql_choice('prompt_id', '0', 1_000_000, 'split')} < 800000 THEN 'train' ELSE 'test' END AS part, truth AS label,
-    true AS accurate, true AS in_range FROM ({SQL_MIXED})""",
-)
+@query("classifier_detect")
 def classifier_detect(spark, sf):
     """The twelve-feature classifier trained on prompts with a known attack, applied to all of them."""
     rows = analysed_mixed(spark, sf).select("prompt_id", F.col("truth").alias("label"), *[c.alias(n) for n, c in dt.classifier_features().items()])
     model, parts = fitted_classifier(rows)
-    return judged(ml.score_model(parts, model), ["prompt_id", "part", "label"], 0.55)
+    return rounded(ml.score_model(parts, model).select("prompt_id", "part", "label", "hit", "probability"), "probability")
 
 
-@query(
-    "prompt_risk_models",
-    f"SELECT prompt_id, true AS hit_as_fitted, true AS risk_not_lower FROM ({SQL_MIXED})",
-)
+@query("prompt_risk_models")
 def prompt_risk_models(spark, sf):
     """The full score with fitted models among the detectors: the classifier and a forest over the prompt features.
 
     A prompt reports ENSEMBLE_CLASSIFIER exactly where the fitted model says so, and its risk is never below that without
-    the models.
+    the models (`plain`).
     """
     prompts = mixed_prompts(spark, sf)
     analysed = analysed_mixed(spark, sf).select("prompt_id", F.col("truth").alias("label"), *[c.alias(n) for n, c in dt.classifier_features().items()])
@@ -109,41 +91,65 @@ def prompt_risk_models(spark, sf):
             "ISOLATION_FOREST": dt.verdict(far, F.col("fit_outlier"), F.col("fit_outlier")),
         }
 
-    known = reference(spark, sf)
+    known = tk.prepared(reference(spark, sf))
     with_models = rk.prompt_risk(prompts, known, "prompt_id", ANALYSIS, CONFIG, ESA_SCALE, models=models)
     plain = rk.prompt_risk(prompts, known, "prompt_id", ANALYSIS, CONFIG, ESA_SCALE).select("prompt_id", F.col("attack_risk").alias("plain"))
-    fits = checkpointed(with_models.select("prompt_id", "attacks", "fit_hit", "attack_risk"))
-    return fits.join(plain, "prompt_id").select(
-        "prompt_id", (F.array_contains("attacks", "ENSEMBLE_CLASSIFIER") == F.col("fit_hit")).alias("hit_as_fitted"),
-        (F.col("attack_risk") >= F.col("plain") - 1e-9).alias("risk_not_lower"),
-    )
+    fits = checkpointed(with_models.select("prompt_id", F.array_join("attacks", ",").alias("attacks"), "fit_hit", "fit_p", "fit_outlier", "attack_risk"))
+    return rounded(fits.join(plain, "prompt_id"), "fit_p", "fit_outlier", "attack_risk", "plain")
 
 
-@query("random_forest", SQL_DOCUMENT_FACTS)
+@query("random_forest")
 def random_forest(spark, sf):
     rows = training_rows(spark, sf)
-    return judged(ml.score_model(rows, ml.fit_random_forest(rows, TEXT_FEATURES)), ["doc_id", "label"], 0.9)
+    return rounded(ml.score_model(rows, ml.fit_random_forest(rows, TEXT_FEATURES)).select("doc_id", "label", "hit", "probability"), "probability")
 
 
-def voted(rows, models):
-    """Rows scored by several models: share of votes as the hit, mean probability."""
+def voted(scored):
+    """Votes and probabilities of several models as their verdict: hit, mean probability, spread."""
     verdict = en.ensemble_verdict(F.col("votes"), F.col("probabilities"))
-    scored = ml.score_ensemble(rows, models).select("doc_id", "label", *[c.alias(n) for n, c in verdict.items()])
-    return scored.withColumnsRenamed({"ensemble_hit": "hit", "ensemble": "probability"})
+    return rounded(scored.select("doc_id", "label", "votes", *[c.alias(n) for n, c in verdict.items()]), "ensemble", "ensemble_uncertainty")
 
 
-@query("mlp_ensemble", SQL_DOCUMENT_FACTS)
+@query("mlp_ensemble")
 def mlp_ensemble(spark, sf):
+    """Five networks with the mixed loss on bootstrap samples, stopped early on a validation part."""
     rows = training_rows(spark, sf)
-    return judged(voted(rows, ml.fit_mlp_ensemble(rows, "doc_id", TEXT_FEATURES, iterations=20)), ["doc_id", "label"], 0.75)
+    return voted(tr.score_networks(rows, tr.fit_networks(rows, "doc_id", TEXT_FEATURES), TEXT_FEATURES))
 
 
-@query("ensemble_vote", SQL_DOCUMENT_FACTS)
+MISS_WEIGHTS = [1.0, 4.0, 16.0]
+
+
+@query("miss_weighted_training")
+def miss_weighted_training(spark, sf):
+    """Misses and false alarms of networks whose losses weigh a miss more and more, on rows they learned from and on others."""
+    rows = checkpointed(ds.split(training_rows(spark, sf), "doc_id"))
+    losses = [tr.Loss(focal=0.0, missed=1.0, miss_weight=w) for w in MISS_WEIGHTS]
+    fitted = tr.fit_networks(rows.where("part = 'train'"), "doc_id", TEXT_FEATURES, losses=losses, resample=False)
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, MISS_WEIGHTS)).alias("miss_weight"), F.col("votes").alias("vote")))
+    said = tr.score_networks(rows, fitted, TEXT_FEATURES).select("part", "label", each.alias("e")).select("part", "label", "e.*")
+    miss, alarm = (F.col("label") == 1) & (F.col("vote") == 0), (F.col("label") == 0) & (F.col("vote") == 1)
+    counts = said.groupBy("miss_weight", "part").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(miss).alias("missed"), F.count_if(F.col("label") == 0).alias("negatives"), F.count_if(alarm).alias("false_alarms"))
+    return rounded(counts.withColumn("miss_rate", tx.ratio(F.col("missed"), F.col("positives"))), "miss_rate")
+
+
+@query("ensemble_vote")
 def ensemble_vote(spark, sf):
     """Logistic regression and a random forest vote on every labelled document."""
     rows = training_rows(spark, sf)
     models = [ml.fit_logistic(rows, TEXT_FEATURES, iterations=50), ml.fit_random_forest(rows, TEXT_FEATURES, trees=20)]
-    return judged(voted(rows, models), ["doc_id", "label"], 0.75)
+    return voted(ml.score_ensemble(rows, models))
+
+
+@query("detect_enhanced_models")
+def detect_enhanced_models(spark, sf):
+    """The sixteen-feature detection with a fitted ensemble among its five detectors."""
+    rows = checkpointed(en.features16(analysed_mixed(spark, sf), radius=1).select("prompt_id", "text", F.col("truth").alias("label"), *en.FEATURES))
+    fitted = tr.fit_networks(rows, "prompt_id", en.FEATURES)
+    verdict = en.ensemble_verdict(F.col("votes"), F.col("probabilities"))
+    scored = tr.score_networks(rows, fitted, en.FEATURES).withColumns({"ensemble_hit": verdict["ensemble_hit"], "ensemble": verdict["ensemble"]})
+    found = en.detect_enhanced(scored, ensemble=("ensemble_hit", "ensemble"))
+    return rounded(found.select("prompt_id", "label", F.array_join("attacks", ",").alias("attacks"), "ensemble_hit", "ensemble", "confidence", "uncertainty", "risk", "action"), "ensemble", "confidence", "uncertainty", "risk")
 
 
 TOKEN_FEATURES = ["anomaly", "max_sim", "mean_sim", "min_sim", "std_sim", "length"]
@@ -156,32 +162,23 @@ def token_rows(spark, sf):
     return inline_rows(a, ["prompt_id", "truth"], named, "anomaly")
 
 
-@query("isolation_forest", "SELECT event_id, true AS in_range, true AS share_met, true AS outliers_first FROM events")
+@query("isolation_forest")
 def isolation_forest(spark, sf):
-    """Outlier score of every event by value, hour and parameter; the flagged ones are the top twentieth and lie further out."""
+    """Outlier score of every event by value, hour and parameter; the flagged ones are the top twentieth."""
     e = load(spark, sf, "events").select(
         "event_id", "value", F.hour("ts").cast("double").alias("hour"), F.get_json_object("props", "$.k").cast("double").alias("k")
     )
     features = ["value", "hour", "k"]
     scored = ml.score_isolation_forest(e, ml.fit_isolation_forest(e, features, ["event_id"]), features)
-    flagged = checkpointed(ml.flag_outliers(checkpointed(scored), contamination=0.05))
-    value = lambda flag: F.avg(F.when(F.col("is_outlier") == flag, F.col("value")))
-    share = F.avg(F.col("is_outlier").cast("int"))
-    facts = flagged.agg(
-        F.bool_and(F.col("outlier").between(0, 1)).alias("in_range"), share.between(0.02, 0.0501).alias("share_met"), (value(True) > value(False)).alias("outliers_first")
-    ).withColumn("_k", F.lit(0))
-    return flagged.select("event_id", F.lit(0).alias("_k")).join(F.broadcast(facts), "_k").drop("_k")
+    return rounded(ml.flag_outliers(checkpointed(scored), contamination=0.05).select("event_id", "value", "outlier", "is_outlier"), "outlier")
 
 
-@query(
-    "stat_anomaly_iforest",
-    f"""SELECT prompt_id, true AS in_range, true AS hit_as_ratio FROM ({SQL_MIXED}) WHERE len({W}) > 0""",
-)
+@query("stat_anomaly_iforest")
 def stat_anomaly_iforest(spark, sf):
     """One forest over all tokens; a prompt is a hit when too many of its tokens are outliers."""
     tokens = checkpointed(token_rows(spark, sf))
     forest = ml.fit_isolation_forest(tokens, TOKEN_FEATURES, ["prompt_id", "pos"], trees=50)
     flagged = ml.flag_outliers(checkpointed(ml.score_isolation_forest(tokens, forest, TOKEN_FEATURES).select("prompt_id", "outlier")))
-    per_prompt = flagged.groupBy("prompt_id").agg(F.avg(F.col("is_outlier").cast("int")).alias("ratio"), F.bool_and(F.col("outlier").between(0, 1)).alias("in_range"))
+    per_prompt = flagged.groupBy("prompt_id").agg(F.count("*").alias("tokens"), F.avg(F.col("is_outlier").cast("int")).alias("ratio"), F.max("outlier").alias("outlier"))
     v = per_prompt.withColumn("v", dt.outlier_ratio(F.col("ratio")))
-    return v.select("prompt_id", "in_range", (F.col("v.hit") == (F.col("ratio") > 0.2)).alias("hit_as_ratio"))
+    return rounded(v.select("prompt_id", "tokens", "ratio", "outlier", F.col("v.hit").alias("hit"), F.col("v.confidence").alias("confidence")), "ratio", "outlier", "confidence")

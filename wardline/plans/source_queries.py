@@ -17,6 +17,7 @@ from wardline.sources import schemas as sc
 from wardline.sources import sinks as sk
 from wardline.session import shared_folder
 from wardline.streaming import detect as sd
+from wardline.streaming import learn as sl
 
 QUERIES, ORACLE, query = section()
 
@@ -193,24 +194,17 @@ def stream_event_pipeline(spark, sf):
     return spark.read.parquet(f"{out}/alerts").groupBy("rule").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query(
-    "online_update",
-    "SELECT event_id, ((props->>'$.k')::DOUBLE + value > 70)::INT AS label, true AS accurate, true AS in_range FROM events",
-)
+@query("online_update")
 def online_update(spark, sf):
-    """Logistic regression refitted after every batch of labelled events; the last fit scores them all."""
-    from wardline.operators import models as ml
-    from wardline.plans.model_queries import judged
-
+    """Logistic regression that takes gradient steps on every batch of labelled events; its last version scores them all."""
     e = load(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", k.alias("k"), (k + F.col("value") > 70).cast("int").alias("label"))
-    fitted = []
-
-    def refit(window):
-        fitted.append(ml.fit_logistic(window, ["value", "k"], iterations=20))
-
-    sd.online_update(
-        as_stream(spark, rows, "labelled"), scratch(spark, "training"), scratch(spark, "training_checkpoint"), refit
-    ).trigger(availableNow=True).start().awaitTermination()
-    return judged(ml.score_model(rows, fitted[-1]), ["event_id", "label"], 0.9)
+    features = ["value", "k"]
+    spread = rows.agg(*[f(c).alias(f"{n}{c}") for c in features for n, f in (("m_", F.avg), ("s_", F.stddev_pop))]).first()
+    centers = {c: (spread[f"m_{c}"], spread[f"s_{c}"]) for c in features}
+    path = scratch(spark, "versions")
+    sl.online_steps(as_stream(spark, rows, "labelled"), path, scratch(spark, "training_checkpoint"), features, "label", centers, 4.0, 5).trigger(availableNow=True).start().awaitTermination()
+    weights = list(sl.version(spark, path)["weights"])
+    p = 1.0 / (1.0 + F.exp(-sl.logit(features, centers, weights)))
+    return rounded(rows.select("event_id", "label", (p > 0.5).alias("hit"), p.alias("probability")), "probability")
