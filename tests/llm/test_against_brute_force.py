@@ -340,7 +340,7 @@ def test_whole_mix_reaches_the_target_of_every_small_source(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "t"))
     kept = {r.source for r in mixing.mixed_documents(docs).select("source").distinct().collect()}
     assert kept == {r[2] for r in rows}
-    got = mixing.mix(docs, whole=True).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    got = mixing.mix(docs, block=mixing.BLOCK).join(docs.select("doc_id", "source"), "doc_id").toPandas()  # as the query calls it
     per = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
     assert len(per) == 302 and (per.taken == np.floor(per.target)).all() and (got.taken <= 3 * got["size"]).all()
 

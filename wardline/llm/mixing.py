@@ -92,15 +92,15 @@ def shuffled(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).join(starts, ["src", "b1", "b2"]).withColumn("at", F.col("start") + F.col("inside")).drop("key", "b1", "b2", "start", "inside")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, limit: int = 3, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, limit: int = 3, whole: bool = True) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
 
     Sizes are words; null, empty and blank texts have none and are never taken. A source's blocks stop at its target, so no
     document is taken more than `limit` times. Null sources form one source, null ids are ids like any other, repeated rows
     are documents of their own; rows that agree in id, source and size may swap places, which no result shows. Other
-    columns are ignored; an empty table gives an empty table. As the schedule deals blocks of `block` words, a source may end
-    a few blocks below its target, which may be all of a source of few words; with `whole`, every source is taken up to the
-    last whole word of its target.
+    columns are ignored; an empty table gives an empty table. Every source is taken up to the last whole word of its target:
+    slots that the schedule deals it beyond that go, missing ones follow at its end. Without `whole` the schedule stays as
+    dealt, and a source may end some blocks of `block` words below its target.
     """
     return taken_words(docs, id_col, text_col, source_col, block, limit, whole).drop("row")
 
@@ -138,7 +138,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 BLOCK = 128
-SQL = f"""
+SQL = """
 WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 t0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM s GROUP BY source),
 t1 AS (SELECT *, src % 3 + 1 AS weight, source_size / (src % 3 + 1)::DOUBLE AS per FROM t0),
@@ -146,12 +146,7 @@ t2 AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER
        / (sum(weight) OVER (ORDER BY per, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM t1),
 l AS (SELECT coalesce((SELECT level FROM t2 WHERE 3 * source_size >= level * weight ORDER BY per, src LIMIT 1), 0) AS level),
 t3 AS (SELECT source, src, source_size, least((3 * source_size)::DOUBLE, l.level * weight) AS target FROM t2, l),
-t4 AS (SELECT *, floor(target * 1000)::BIGINT AS mills FROM t3),
-t5 AS (SELECT *, (sum(mills) OVER (ORDER BY src))::BIGINT AS upto, (sum(mills) OVER ())::BIGINT AS every FROM t4),
-t6 AS (SELECT *, floor((upto - mills)::DOUBLE / every * 4294967296.0)::BIGINT AS lo, floor(upto::DOUBLE / every * 4294967296.0)::BIGINT AS hi FROM t5),
-p AS (SELECT (i % 2147483648 * {GOLDEN}) % 4294967296 AS point FROM range(0, (SELECT ((sum(size) + {BLOCK - 1}) // {BLOCK})::BIGINT FROM s)) r(i)),
-n AS (SELECT src, count(*) AS slots FROM p JOIN t6 ON point >= lo AND point < hi GROUP BY src),
-u AS (SELECT t3.*, least(coalesce(slots, 0) * {BLOCK}, floor(target)::BIGINT) AS words FROM t3 LEFT JOIN n USING (src)),
+u AS (SELECT *, floor(target)::BIGINT AS words FROM t3),
 d AS (SELECT s.doc_id, s.size, u.source_size, u.target, u.words,
       (sum(s.size) OVER (PARTITION BY u.src ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS pos
       FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source)
