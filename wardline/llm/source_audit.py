@@ -274,7 +274,7 @@ def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     block = F.floor(F.col("ord") / TERMS).cast("long")
     last = F.greatest(F.ceil(F.col("kept") / TERMS) - 1, F.lit(0)).cast("long")
     marks = groups.select("lang", "src", "kept", "tiles", F.lit(-1).cast("long").alias("ord"), F.coalesce(share("0", "total", "kept"), F.lit(0)).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    seen = counts.join(groups, ["lang", "source"]).select("lang", "src", "kept", "tiles", "ord", share("n", "total", "kept").alias("p"), block.alias("block"))
+    seen = counts.join(groups.drop("all_total"), ["lang", "source"]).select("lang", "src", "kept", "tiles", "ord", share("n", "total", "kept").alias("p"), block.alias("block"))
     tile = F.floor(F.col("src") / TILE).cast("long")
     rows = marks.unionByName(seen).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.select("lang", "block", F.least(tile, "other").alias("lo"), F.greatest(tile, "other").alias("hi"), "src", "ord", "p", F.least(F.lit(TERMS), F.col("kept") - F.col("block") * TERMS).alias("width"))
@@ -299,7 +299,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "kept"])
     numbered = groups.withColumn("src", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long"))
     tiles = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
-    groups = common.stored(numbered.join(tiles, "lang"), "audit-groups")
+    all_of = totals.groupBy("lang").agg(F.sum("total").alias("all_total"))
+    groups = common.stored(numbered.join(tiles, "lang").join(all_of, "lang", "left"), "audit-groups")
     names = groups.select("lang", "src", "source")
 
     sums = common.stored(pair_sums(counts, groups), "audit-pairs")
@@ -309,8 +310,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
     whole = counts.groupBy("lang", "ord").agg(F.sum("n").alias("all_n"))
-    all_of = totals.groupBy("lang").agg(F.sum("total").alias("all_total"))
-    shares = counts.join(whole, ["lang", "ord"]).join(groups.drop("src", "tiles"), ["lang", "source"]).join(all_of, "lang")
+    shares = counts.join(whole, ["lang", "ord"]).join(groups.drop("src", "tiles"), ["lang", "source"])
     shares = shares.select("lang", "source", "ord", share("n", "total", "kept").alias("p"), share("all_n", "all_total", "kept").alias("q")).where("p > q")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ord")
     best = shares.withColumn("value", apart("p", "q")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
