@@ -15,6 +15,7 @@ SECTIONS = [
     "event_queries",
     "similarity_queries",
     "source_queries",
+    "state_queries",
     "model_queries",
 ]
 
