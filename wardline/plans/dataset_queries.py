@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import datasets as ds
 from wardline.operators import evaluate as ev
-from wardline.plans.common import SQL_MIXED, load, mixed_prompts, prompts, rounded, section, sql_r6
+from wardline.plans.common import SQL_MIXED, hashed, load, mixed_prompts, prompts, rounded, section, sql_hashed, sql_r6
 from wardline.plans.detector_queries import labelled_documents
 from wardline.plans.fusion_queries import prompt_risk as prompt_risk_query
 from wardline.plans.generator_queries import sql_choice
@@ -357,22 +357,27 @@ def training_summary(spark, sf):
     return rounded(ev.training_summary(long, ["dataset"], "run", "v"), "final", "best")
 
 
-SQL_SCORED_RUN = f"""SELECT p.prompt_id, truth AS y_true, is_malicious::INT AS y_pred, risk_score AS score, 'mixed' AS dataset
-    FROM ({SQL_MIXED}) p JOIN ({fq.ORACLE['prompt_risk']}) r USING (prompt_id)"""
+SQL_SCORED_RUN = f"""SELECT p.prompt_id, truth AS y_true, is_malicious::INT AS y_pred, risk_score AS score, 'mixed' AS dataset, value AS ms
+    FROM ({SQL_MIXED}) p JOIN ({fq.ORACLE['prompt_risk']}) r USING (prompt_id) LEFT JOIN events ON event_id = {sql_hashed('prompt_id', '(SELECT count(*) FROM events)')}"""
 
 
 @query(
     "engine_evaluation",
     f"""WITH {sql_scores('dataset', 'SELECT * FROM run')}, cf AS ({sql_conf('dataset', 'SELECT * FROM run')}),
-    a1 AS (SELECT dataset, {SQL_AUC_ROC} AS auc_roc FROM cu GROUP BY dataset)
-    SELECT dataset, tp, tn, fp, fn, {sql_metrics({**SQL_PRF, 'fnr': SQL_RATES['fnr'], 'auc_roc': 'auc_roc'})}
-    FROM cf JOIN a1 USING (dataset)""".replace("WITH ", f"WITH run AS MATERIALIZED ({SQL_SCORED_RUN}), ", 1),
+    a1 AS (SELECT dataset, {SQL_AUC_ROC} AS auc_roc FROM cu GROUP BY dataset), la AS ({sql_latency('dataset', 'SELECT * FROM run')})
+    SELECT dataset, tp, tn, fp, fn, {sql_metrics({**SQL_PRF, 'fnr': SQL_RATES['fnr'], 'auc_roc': 'auc_roc', 'avg_ms': 'avg_ms', 'p95_ms': 'p95_ms'})}, target_met
+    FROM cf JOIN a1 USING (dataset) JOIN la USING (dataset)""".replace("WITH ", f"WITH run AS MATERIALIZED ({SQL_SCORED_RUN}), ", 1),
 )
 def engine_evaluation(spark, sf):
-    """The full score against the truth of the mixed prompts. Prompts carry no durations, so there is no latency."""
-    p = mixed_prompts(spark, sf)
+    """The full score against the truth of the mixed prompts. Prompts carry no durations: each takes that of an event, drawn by
+    the hash of its id."""
+    p, events = mixed_prompts(spark, sf), load(spark, sf, "events")
     scored = prompt_risk_query(spark, sf).select("prompt_id", F.col("is_malicious").cast("int").alias("y_pred"), F.col("risk_score").alias("score"))
-    run = checkpointed(p.join(scored, "prompt_id").select(F.lit("mixed").alias("dataset"), F.col("truth").alias("y_true"), "y_pred", "score"))
+    timed = p.join(scored, "prompt_id").withColumn("event_id", hashed(F.col("prompt_id"), max(events.count(), 1)).cast("long"))
+    timed = timed.join(events.select("event_id", F.col("value").alias("ms")), "event_id", "left")
+    run = checkpointed(timed.select(F.lit("mixed").alias("dataset"), F.col("truth").alias("y_true"), "y_pred", "score", "ms"))
     counts = ev.confusion(run, ["dataset"]).withColumns({**ev.prf_columns(), **ev.rate_columns()})
-    e = counts.join(ev.auc_roc(run, ["dataset"]), "dataset").select("dataset", "tp", "tn", "fp", "fn", *SQL_PRF, "fnr", "auc_roc")
-    return rounded(e, *SQL_PRF, "fnr", "auc_roc")
+    latency = ev.latency_profile(run, ["dataset"], "ms").select("dataset", "avg_ms", "p95_ms", "target_met")
+    e = counts.join(ev.auc_roc(run, ["dataset"]), "dataset").join(latency, "dataset")
+    e = e.select("dataset", "tp", "tn", "fp", "fn", *SQL_PRF, "fnr", "auc_roc", "avg_ms", "p95_ms", "target_met")
+    return rounded(e, *SQL_PRF, "fnr", "auc_roc", "avg_ms", "p95_ms")

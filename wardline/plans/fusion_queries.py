@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.operators import fusion as fu
+from wardline.operators import plugins as pg
 from wardline.operators import risk as rk
 from wardline.operators.detectors import detect_attacks
 from wardline.plans.common import SQL_MIXED, load, mixed_prompts, r6, rounded, section, sql_r6
@@ -366,3 +367,26 @@ def plugin_scores(spark, sf):
         "prompt_id", r6(F.col("plugins.naturalness.result")).alias("naturalness"), F.col("plugins.by_zero.result").alias("by_zero"),
         F.col("plugins.by_zero.error").alias("by_zero_error"), F.col("plugins.broken.error").alias("broken_error"),
     )
+
+
+def _capitals(rows):
+    """Share of capital letters; null for a null or empty text."""
+    return rows["text"].str.count("[A-Z]") / rows["text"].str.len().where(lambda n: n > 0)
+
+
+def _no_override(rows):
+    """Refuses a batch with a text that speaks of an override."""
+    if rows["text"].str.contains("override", case=False, regex=False).any():
+        raise ValueError("override")
+    return rows["text"].str.len()
+
+
+@query(
+    "python_plugins",
+    f"""SELECT prompt_id, {sql_r6("CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE/length(text) END")} AS capitals,
+    CASE WHEN NOT contains(lower(text), 'override') THEN length(text)::DOUBLE END AS chars, CASE WHEN contains(lower(text), 'override') THEN 'ValueError: override' END AS error FROM ({SQL_MIXED})""",
+)
+def python_plugins(spark, sf):
+    """Two plug-ins on pandas rows; one fails on batches with an override, which costs only those rows their result."""
+    d = pg.python_plugins(mixed_prompts(spark, sf), {"capitals": _capitals, "guard": _no_override}, ["text"])
+    return d.select("prompt_id", r6(F.col("plugins.capitals.result")).alias("capitals"), F.col("plugins.guard.result").alias("chars"), F.col("plugins.guard.error").alias("error"))

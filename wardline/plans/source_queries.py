@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import evaluate as ev
 from wardline.operators import events as ve
+from wardline.operators import search_index as si
 from wardline.plans.common import SQL_MIXED, load, mixed_prompts, rounded, section, sql_r6
 from wardline.plans.dataset_queries import SQL_CONF, SQL_PRED, SQL_PRF, predictions, sql_metrics
 from wardline.plans.event_queries import DAYS3, RULES, SQL_ALERTS, SQL_BRUTE
@@ -64,14 +65,19 @@ def load_csv(spark, sf):
 
 @query(
     "load_text",
-    """SELECT prompt, 0 AS label, true AS numbered FROM (SELECT trim(unnest(string_split(replace(replace(text, chr(13), ' '), chr(9), ' '), chr(10)))) AS prompt FROM documents)
+    """SELECT prompt, 0 AS label, part, line_number FROM (SELECT part, trim(replace(replace(line, chr(13), ' '), chr(9), ' ')) AS prompt,
+      row_number() OVER (PARTITION BY part ORDER BY doc_id, i) AS line_number FROM (SELECT doc_id, doc_id // 200 AS part, unnest(lines) AS line, unnest(range(len(lines))) AS i
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))
     WHERE prompt <> ''""",
 )
 def load_text(spark, sf):
+    """Files of 200 documents each, one after the other; every line with its number in the file."""
     path = scratch(spark, "lines")
-    load(spark, sf, "documents").select("text").write.text(path)
+    d = load(spark, sf, "documents").select("text", "doc_id", F.floor(F.col("doc_id") / 200).cast("long").alias("part"))
+    d.repartition("part").sortWithinPartitions("part", "doc_id").select("text", "part").write.partitionBy("part").text(path)
     lines = ps.load_text(spark, path, line_numbers=True)
-    return lines.select("prompt", "label", (F.col("metadata")["line_number"].cast("long") > 0).alias("numbered"))
+    part = F.regexp_extract("source", r"/part=(\d+)/", 1).cast("long")
+    return lines.select("prompt", "label", part.alias("part"), F.col("metadata")["line_number"].cast("long").alias("line_number"))
 
 
 @query(
@@ -130,6 +136,58 @@ def typed_logs(spark, sf):
     )
 
 
+SQL_MIXED_PROPS = """SELECT event_id, event_type, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{"k":"'||(props->>'$.k')||'"}' WHEN 2 THEN '{"k":{"n":'||(props->>'$.k')||'}}'
+    WHEN 3 THEN '{"k":['||(props->>'$.k')||',1.5]}' ELSE '{"k":' END AS json FROM events"""
+
+
+def mixed_props(spark, sf):
+    """The parameter k as number, text, object or list; every fifth text is cut off."""
+    e = load(spark, sf, "events")
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id") % 5
+    forms = F.when(i == 0, F.col("props")).when(i == 1, F.concat(F.lit('{"k":"'), k, F.lit('"}'))).when(i == 2, F.concat(F.lit('{"k":{"n":'), k, F.lit("}}")))
+    return e.select("event_id", "event_type", forms.when(i == 3, F.concat(F.lit('{"k":['), k, F.lit(",1.5]}"))).otherwise('{"k":').alias("json"))
+
+
+@query(
+    "variant_logs",
+    f"""SELECT event_id, CASE json_type(j, '$.k') WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'OBJECT' THEN 'OBJECT<n: BIGINT>' WHEN 'ARRAY' THEN 'ARRAY<DECIMAL>' END AS kind,
+    CASE WHEN json_type(j, '$.k') IN ('UBIGINT', 'VARCHAR') THEN (j->>'$.k')::BIGINT END AS k, (j->>'$.k.n')::BIGINT AS nested, (j->>'$.k[0]')::BIGINT AS first, j IS NULL AS corrupt
+    FROM (SELECT event_id, CASE WHEN json_valid(json) THEN json::JSON END AS j FROM ({SQL_MIXED_PROPS}))""",
+)
+def variant_logs(spark, sf):
+    fields = {"k": ("$.k", "bigint"), "nested": ("$.k.n", "bigint"), "first": ("$.k[0]", "bigint"), "value": ("$.k", "variant")}
+    t = sc.variant_logs(mixed_props(spark, sf), "json", fields)
+    kind = F.regexp_replace(F.schema_of_variant("value"), r"ARRAY<.*>|DECIMAL\(.*", "ARRAY<DECIMAL>")
+    return t.select("event_id", kind.alias("kind"), "k", "nested", "first", F.col(sc.CORRUPT).isNotNull().alias("corrupt"))
+
+
+SEARCHED = "the license data privacy der pour"
+SQL_WANTED = "['the', 'license', 'data', 'privacy', 'der', 'pour']"
+SQL_STAMP = "TIMESTAMP '2024-01-01' + to_hours(doc_id % 700)"
+
+
+@query(
+    "search_ranked",
+    f"""WITH d AS (SELECT doc_id, {SQL_STAMP} AS ts, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM documents),
+    r AS (SELECT * FROM d WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-26'),
+    t AS (SELECT count(*) AS total, sum(len(words))/count(*)::DOUBLE AS average FROM r),
+    p AS (SELECT doc_id, ts, len(words) AS length, word, len(list_filter(words, lambda x: x = word)) AS found FROM r, (SELECT unnest({SQL_WANTED}) AS word) WHERE list_contains(words, word)),
+    f AS (SELECT word, count(*) AS n FROM p GROUP BY word)
+    SELECT doc_id, ts, score FROM (SELECT doc_id, ts, round(sum(ln(1 + (total - n + 0.5)/(n + 0.5))*found*2.2/(found + 1.2*(0.25 + 0.75*length/average))), 6) AS score
+      FROM p JOIN f USING (word), t WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-25 12:00:00' GROUP BY doc_id, ts)
+    ORDER BY score DESC, doc_id LIMIT 100""",
+)
+def search_ranked(spark, sf):
+    """Index all documents as messages of their hour, then the hundred best of three weeks."""
+    import datetime as dt
+
+    path = scratch(spark, "index")
+    stamp = F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(hours=(F.col("doc_id") % 700).cast("int"))
+    si.index_messages(load(spark, sf, "documents").select("doc_id", "text", stamp.alias("ts")), path, "text", "ts", "doc_id")
+    found = si.search(spark, path, SEARCHED, dt.datetime(2024, 1, 5, 6), dt.datetime(2024, 1, 25, 12))
+    return found.select(F.col("id").alias("doc_id"), "ts", "score")
+
+
 # --- streams -----------------------------------------------------------------------------
 
 

@@ -34,6 +34,23 @@ def typed_logs(df: DataFrame, json_col: str, schema: str) -> DataFrame:
     return df.withColumn("_r", parsed).select("*", "_r.*").drop("_r")
 
 
+def variant_logs(df: DataFrame, json_col: str, fields: dict[str, tuple[str, str]], payload: str = "raw_data") -> DataFrame:
+    """JSON text with fields nobody declared: the whole value as a VARIANT, named (path, type) fields taken out of it.
+
+    A field that is missing, or has a value that its type cannot hold, is null; the same name may hold numbers in one row and
+    objects in the next. Text that is not JSON has a null payload and stays in `_corrupt`; null text has neither.
+    """
+    parsed = df.withColumn(payload, F.try_parse_json(json_col))
+    typed = {name: F.try_variant_get(payload, path, kind) for name, (path, kind) in fields.items()}
+    bad = F.when(F.col(json_col).isNotNull() & F.col(payload).isNull(), F.col(json_col))
+    return parsed.withColumns({**typed, CORRUPT: bad})
+
+
+def variant_schemas(df: DataFrame, keys: list[str], payload: str = "raw_data") -> DataFrame:
+    """Per key the schema that all its payloads fit, fields of mixed types as VARIANT; a partial aggregate of schemas."""
+    return df.groupBy(*keys).agg(F.schema_of_variant_agg(payload).alias("schema"), F.count(payload).alias("n"))
+
+
 def daily_index(prefix: str, ts: Column) -> Column:
     """Name of the day's index: prefix-YYYY.MM.DD."""
     return F.concat(F.lit(prefix + "-"), F.date_format(ts, "yyyy.MM.dd"))
