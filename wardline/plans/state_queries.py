@@ -1,13 +1,19 @@
-"""Queries whose rows depend on the rows before them: decisions with feedback, thresholds on a stream."""
+"""Queries with state: decisions with feedback, streams whose state is checked against the batch query, stored sketches."""
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
 from pyspark.sql import functions as F
 
 from wardline.operators import feedback as fb
+from wardline.operators import sketches as sk
 from wardline.plans import fusion_queries as fq
 from wardline.plans.common import load, rounded, section, sql_r6
-from wardline.plans.source_queries import LATE, as_stream, replay
+from wardline.plans.event_queries import DAYS3, SQL_BRUTE
+from wardline.plans.source_queries import LATE, as_stream, replay, scratch
+from wardline.streaming import failures as fl
 from wardline.streaming import thresholds as st
 
 QUERIES, ORACLE, query = section()
@@ -46,3 +52,32 @@ def stream_thresholds(spark, sf):
     moved = st.stream_thresholds(as_stream(spark, e, "observed", {"event_type": "end", "event_id": -1}), "event_type", "score", "label", config=fq.ADAPT, delay=LATE)
     newest = replay(moved, spark, "thresholds").groupBy(F.col("key").alias("event_type")).agg(F.max("n").alias("n"), F.max_by("threshold", "n").alias("threshold"))
     return rounded(newest, "threshold")
+
+
+@query("brute_force_table", f"SELECT event_id, failed_attempts FROM ({SQL_BRUTE})")
+def brute_force_table(spark, sf):
+    """The batch query's events from a replayed stream whose state is a table."""
+    e = load(spark, sf, "events").where("event_type = 'error'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = scratch(spark, "failures")
+    stream = as_stream(spark, e, "failures", {"user_id": -1, "event_id": -1})
+    fl.brute_force_table(stream, path, scratch(spark, "failures_checkpoint"), "user_id", window_seconds=DAYS3, delay_seconds=7 * 86400).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/found").select("event_id", "failed_attempts")
+
+
+SHARES = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    "sketch_percentiles",
+    f"""WITH s AS (SELECT event_type, CASE WHEN value > 1e-9 THEN ceil(ln(value)/{math.log(sk.growth(sk.ERROR))!r}::DOUBLE) END AS cell, value FROM events
+      WHERE value >= 0 AND ts >= TIMESTAMP '2024-01-04 06:00:00' AND ts < TIMESTAMP '2024-01-24 18:00:00'),
+    m AS (SELECT event_type, value, coalesce(2.0*pow({sk.growth(sk.ERROR)!r}::DOUBLE, cell)/{sk.growth(sk.ERROR) + 1.0!r}::DOUBLE, 0.0) AS middle FROM s)
+    SELECT event_type, count(*)::BIGINT AS n, {sql_r6('avg(value)')} AS avg, {', '.join(f"{sql_r6(f'quantile_cont(middle, {q})')} AS {p}" for p, q in SHARES.items())} FROM m GROUP BY event_type""",
+)
+def sketch_percentiles(spark, sf):
+    """Percentiles of twenty days and a half from the stored sketches of hours."""
+    path = scratch(spark, "sketches")
+    sk.store_sketches(load(spark, sf, "events"), path, ["event_type"], "ts", "value")
+    window = sk.read_sketches(spark, path, dt.datetime(2024, 1, 4, 6), dt.datetime(2024, 1, 24, 18))
+    p = sk.sketch_percentiles(window, ["event_type"], SHARES)
+    return rounded(p.select("event_type", "n", "avg", *SHARES), "avg", *SHARES)
