@@ -159,6 +159,19 @@ def test_preference_pairs_on_edges(spark):
     assert chat_pairs.preference_pairs(chat_pairs.broken_off(df.where("false"))).count() == 0
 
 
+def test_turns_without_a_conversation_stay_apart(spark):
+    import duckdb
+    import pandas as pd
+
+    turns = [(None, i % 2, ("user", "assistant")[i % 2], f"lost {i % 3}") for i in range(40)] + [(5, 0, "user", "q"), (5, 1, "assistant", "answer")]
+    conversations = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    pairs = chat_pairs.preference_pairs(chat_pairs.broken_off(df))
+    assert pairs.where("pair_id is null").count() == 40
+    want = duckdb.sql(chat_pairs.SQL)
+    assert sorted(map(str, (tuple(r) for r in pairs.select(*want.columns).collect()))) == sorted(map(str, want.fetchall())) and len(conversations) == 42
+
+
 def test_prefix_of_unequal_lengths(spark):
     kind = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"
     u, a, b = ("user", "q"), ("assistant", "a"), ("assistant", "b")

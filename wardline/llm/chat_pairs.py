@@ -62,10 +62,12 @@ def broken_off(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected) per conversation of a table (conv_id, turn, role, text).
 
     Chosen is the conversation; in rejected every answer from turn number conv_id modulo the number of turns on breaks off
-    half-way. Turns are in the order of (turn, role, text), nulls first; a null conv_id is one conversation.
+    half-way. Turns are in the order of (turn, role, text), nulls first. A turn without a conv_id belongs to no other and is a
+    conversation of its own, so however many there are, they never meet in a task.
     """
     turn = F.struct("turn", F.col("role"), F.col("text"))
-    c = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    named = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    c = named.unionByName(turns.where(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("t")))
     start = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.size("t"))
     half = lambda t: F.substring(t["text"], F.lit(1), F.floor(F.length(t["text"]) / 2).cast("int"))
     worse = lambda t, i: F.when((i >= start) & (t["role"] == TRAINED), half(t)).otherwise(t["text"])
@@ -82,7 +84,8 @@ _BODY = _PLAIN.format("t.text") + " || '<|end|>' || chr(10)"
 _TEXT = "array_to_string(list_transform({}, lambda t: " + _HEAD + " || " + _BODY + "), '')"
 _MASK = "array_to_string(list_transform({}, lambda t: repeat('0', length(" + _HEAD + ")) || repeat(CASE WHEN t.role = 'assistant' THEN '1' ELSE '0' END, length(" + _BODY + "))), '')"
 SQL = f"""
-WITH c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS a FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS a
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id UNION ALL SELECT conv_id, [struct_pack(role := role, text := text)] FROM conversations WHERE conv_id IS NULL),
 b AS (SELECT conv_id, a, list_transform(range(1, len(a) + 1), lambda i: struct_pack(role := a[i].role,
       text := CASE WHEN i > coalesce(conv_id, 0) % len(a) AND a[i].role = 'assistant' THEN substr(a[i].text, 1, length(a[i].text) // 2) ELSE a[i].text END)) AS b FROM c),
 n AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, len(a) + 1), lambda i: a[i] IS NOT DISTINCT FROM b[i]), false), 0) - 1, len(a))::BIGINT AS n_shared FROM b)
