@@ -27,17 +27,21 @@ def index_messages(messages: DataFrame, path: str, message: str, ts: str, id_col
     """Write the postings and counts of all days in `messages`; a day that is there already is replaced.
 
     Rows without a time are left out, a null message has no words but counts as a message. Repeated rows are messages of their
-    own with equal ids, whose words add up to one hit.
+    own with equal ids, whose scores add up to one hit.
     """
     timed = messages.where(F.col(ts).isNotNull()).select(
-        F.to_date(ts).alias("day"), F.col(ts).cast("timestamp").alias("ts"), F.col(id_col).alias("id"), F.coalesce(message_words(F.col(message)), F.array()).alias("_words")
+        F.to_date(ts).alias("day"), F.col(ts).cast("timestamp").alias("ts"), F.col(id_col).alias("id"), F.array_sort(F.coalesce(message_words(F.col(message)), F.array())).alias("_words")
     )
-    single = timed.select("day", "ts", "id", F.size("_words").cast("long").alias("length"), F.explode("_words").alias("word"))
-    postings = single.groupBy("day", "word", "ts", "id").agg(F.count("*").alias("found"), F.max("length").alias("length"))
+    # Equal words stand together: a message's counts are the distances between the places where a word begins.
+    begins = F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: ~F.get("_words", i).eqNullSafe(F.get("_words", i - 1)))
+    counted = F.transform("_begins", lambda at, k: F.struct(F.get("_words", at).alias("word"), (F.get("_begins", k + 1) - at).cast("long").alias("found")))
+    single = timed.withColumn("_begins", begins).select("day", "ts", "id", F.size("_words").cast("long").alias("length"), F.explode(counted).alias("_c"))
+    postings = single.select("day", "_c.word", "ts", "id", "_c.found", "length").where("found IS NOT NULL")
     # A row per day without a word, so that a day whose messages have no words is replaced too.
     lengths = timed.groupBy("day").agg(F.lit("").alias("word"), F.count("*").alias("n"), F.sum(F.size("_words").cast("long")).alias("words"))
     marks = lengths.select("day", "word", *[F.lit(None).cast(postings.schema[c].dataType).alias(c) for c in ("ts", "id", "found", "length")])
-    table = postings.unionByName(marks).repartition("day", F.pmod(F.xxhash64("word"), F.lit(16))).sortWithinPartitions("day", "word")
+    # Large days are split, small ones share a task.
+    table = postings.unionByName(marks).hint("rebalance", "day").sortWithinPartitions("day", "word")
     overwrite(table, f"{path}/{POSTINGS}")
     stored = messages.sparkSession.read.parquet(f"{path}/{POSTINGS}").where("word <> ''").join(lengths.select("day"), "day", "left_semi")
     found = stored.groupBy("day", "word").agg(F.count("*").alias("n"), F.sum("found").alias("words"))
