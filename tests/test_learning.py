@@ -139,6 +139,22 @@ def test_index_of_clustered_vectors_reads_few_cells(spark, tmp_path):
     assert all("part=" in f for f in plan)
 
 
+def test_search_reads_a_bounded_number_and_shuffles_hits_only(spark, tmp_path, monkeypatch):
+    """The candidates of a query never leave their block: k hits and a count a block, whatever is read."""
+    monkeypatch.setattr(vi.blocks_of, "__defaults__", (500,))
+    met, plain = [], vi.meet
+    monkeypatch.setattr(vi, "meet", lambda *a: met.append(plain(*a)) or met[-1])
+    v = np.random.default_rng(8).normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    index = vi.build(df, "id", "v", str(tmp_path / "index"), parts=4)
+    assert index.vectors(spark).schema["v"].dataType.simpleString() == "array<float>"
+    ask = df.where("id % 20 = 0")
+    found = vi.search(index, ask, "id", "v", 5, len(index.centers), 100).collect()
+    exact = {(r.query_id, r.corpus_id) for r in sm.knn_search(ask, df, "id", "v", 5, -1.0).collect()}
+    assert len(exact & {(r.query_id, r.corpus_id) for r in found}) >= 0.9 * len(exact) and len(found) == 500
+    assert {r.n_read for r in found} == {400} and met[0].count() == 100 * 4 * (5 + 1)
+
+
 # --- what the queries decide ---------------------------------------------------------------------------
 
 

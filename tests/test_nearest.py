@@ -99,3 +99,15 @@ def test_a_long_text_is_searched_in_steps(spark, monkeypatch):
     asked = windows_of_text(rng, 20_000)
     hi, _ = blocks.extremes(asked)
     assert max(largest) <= nr.BOUNDS and np.allclose(hi[:200], all_cosines(asked[:200], known).max(axis=1))
+
+
+def test_packs_meet_every_block_once(spark, monkeypatch):
+    """Equal vectors, queries that come twice, several packs and blocks: the hits of the search by blocks that are handed out."""
+    monkeypatch.setattr(nr.blocks_of, "__defaults__", (64,))
+    monkeypatch.setattr(nr.packs_of, "__defaults__", (10,))
+    rng = np.random.default_rng(7)
+    rows = [(k, v) for k, v in enumerate(rng.normal(size=(300, 4)).round(0).tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    ask = df.where("id % 5 = 0").union(df.where("id = 5"))
+    got, want = ([tuple(r) for r in sm.knn_search(ask, df, "id", "v", 4, 0.2, limit).select("query_id", "corpus_id", "similarity", "rank").collect()] for limit in (500, nr.HANDED))
+    assert sorted(got) == sorted(want) and len(got) > 200

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ HANDED = 1 << 26
 LEAF, BOUNDS = 16, 1 << 21
 #: Cells per root of the corpus, corpus vectors per slice, queries per pack, vectors of a query scored at once.
 CELLS, SLICE, PACK, STEP = 4, 2048, 256, 2048
+#: Vectors of a block and queries of a pack where packs meet blocks.
+BLOCK, QUERIES = 32_768, 1024
 #: Rounding that a bound must leave room for.
 SLACK = 1e-6
 
@@ -287,3 +290,50 @@ def scores(batch: pd.DataFrame, unpack: Unpack, shrink: Callable[[np.ndarray], n
                 shared = asked @ corpus.T
                 parts.append(shrink(np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)))
             yield item["row"], np.concatenate(parts), list(ids)
+
+
+# --- packs of queries meet blocks of vectors ------------------------------------------------
+
+
+def blocks_of(rows: DataFrame, n: int, columns: list[str], size: int = BLOCK) -> tuple[DataFrame, int]:
+    """(block, m), number of blocks: the rows, about n of them, dealt by a hash of `id` into blocks of about `size`, sorted by
+    `columns`."""
+    many = max(1, -(-n // size))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).alias("block")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("m")), many
+
+
+def packs_of(queries: DataFrame, order: list[str], size: int = QUERIES) -> DataFrame:
+    """(ids, q): the queries (query_id, v) as packs of at most `size` neighbours of the order, vectors as bytes of doubles."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, held = [], []
+        for f in frames:
+            for who, v in zip(f["query_id"], f["v"]):
+                ids.append(who), held.append(np.asarray(v, np.float64))
+                if len(ids) == size:
+                    yield pd.DataFrame({"ids": [ids], "q": [np.stack(held).tobytes()]})
+                    ids, held = [], []
+        if ids:
+            yield pd.DataFrame({"ids": [ids], "q": [np.stack(held).tobytes()]})
+
+    parts = max(1, -(-queries.count() // size))
+    dealt = queries.repartitionByRange(parts, *order).select("query_id", "v")
+    return checkpointed(dealt.mapInPandas(run, f"ids array<{queries.schema['query_id'].dataType.simpleString()}>, q binary"))
+
+
+def meet(packs: DataFrame, blocks: DataFrame, many: int, use: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What `use` makes of (ids, queries, columns of the block) for every pack and every block."""
+    fields = blocks.schema["m"].dataType.elementType.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                ids = b.column("ids")[at].values.to_numpy(zero_copy_only=False)
+                q = np.frombuffer(b.column("q")[at].as_py(), np.float64).reshape(len(ids), -1)
+                m = b.column("m")[at].values
+                block = {n: m.field(n).to_numpy(zero_copy_only=False) for n in fields}
+                for found in use(ids, q, block):
+                    yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    everywhere = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
+    return everywhere.join(blocks, "block").select("ids", "q", "m").mapInArrow(run, schema)

@@ -15,6 +15,8 @@ from wardline.operators import nearest as nr
 from wardline.operators.ordering import latest_per_key, running_index
 from wardline.session import checkpointed
 
+#: Bytes of vectors that a search of single vectors hands to every task; bounds leave little out where vectors have no clusters.
+FEW = 1 << 24
 HITS = "query_id bigint, corpus_id bigint, similarity double"
 
 
@@ -41,15 +43,14 @@ def best_hits(meetings: DataFrame, k: int, threshold: float) -> DataFrame:
     return keep_best(meetings.mapInPandas(run, HITS), k)
 
 
-def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7, handed: int = nr.HANDED) -> DataFrame:
+def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7, handed: int = FEW) -> DataFrame:
     """Exact top-k by cosine among vectors of at least the threshold, ties by corpus id (numbers); see `nearest`."""
     packed = corpus.select(F.col(id_col).alias("id"), nr.packed(F.col(vec)).alias("v"))
     asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
     one = packed.first()
     few = nr.handed(packed, len(one.v) // 8 or 1, handed) if one else []
     if few is None:
-        index = nr.build_index(checkpointed(packed), "id", "v")
-        return best_hits(nr.meetings(index, asked, nr.one_vector, k, threshold), k, threshold)
+        return by_blocks(queries, corpus, id_col, vec, k, threshold)
     blocks = nr.Blocks(np.stack([nr.one_vector(bytes(r.v))[0] for r in few]), [r.id for r in few]) if few else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +64,34 @@ def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k:
     return asked.mapInPandas(run, HITS + ", rank bigint")
 
 
+def by_blocks(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int, threshold: float) -> DataFrame:
+    """Exact top-k where the corpus is too large to be handed out: packs of queries meet blocks of vectors, each pair leaves the
+    k best of every query, and these are ranked."""
+    rows = checkpointed(corpus.select(F.col(id_col).alias("id"), F.col(vec).alias("v")))
+    asked = checkpointed(queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))).withColumn("query_id", F.monotonically_increasing_id())
+
+    def use(ids: np.ndarray, q: np.ndarray, block: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        vectors = np.stack([np.asarray(v, np.float64) for v in block["v"]])
+        own = (vectors * vectors).sum(axis=1)
+        for at in range(0, len(q), nr.STEP // 32):
+            asked = q[at : at + nr.STEP // 32]
+            norm = np.sqrt((asked * asked).sum(axis=1)[:, None] * own[None])
+            shared = asked @ vectors.T
+            sim = np.round(np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0), 9)
+            # Everything as good as the k-th best, so that ids decide among equals.
+            cut = -np.partition(-sim, min(k, len(vectors)) - 1, axis=1)[:, min(k, len(vectors)) - 1]
+            row, hit = np.nonzero((sim >= cut[:, None]) & (sim >= threshold))
+            order = np.lexsort((block["id"][hit], -sim[row, hit], row))
+            row, hit = row[order], hit[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, hit = row[kept], hit[kept]
+            yield pd.DataFrame({"query_id": ids[at + row], "corpus_id": block["id"][hit], "similarity": sim[row, hit]})
+
+    met = nr.meet(nr.packs_of(asked.select("query_id", "v"), ["query_id"]), *nr.blocks_of(rows, rows.count(), ["id", "v"]), use, HITS)
+    named = asked.select(F.col("id").alias("_name"), "query_id")
+    return keep_best(met, k).join(named, "query_id").select(F.col("_name").alias("query_id"), "corpus_id", "similarity", "rank")
+
+
 def knn_approx(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, cells: int, probes: int, k: int = 5, threshold: float = 0.7) -> DataFrame:
     """Top-k by cosine within the `probes` nearest of `cells` cells of each query.
 

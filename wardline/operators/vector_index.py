@@ -3,8 +3,11 @@
 Centers are trained by mini-batch k-means in Spark and their number grows with the root of the corpus. A vector belongs to its
 nearest center; what remains of it is cut into parts, and each part is named by the nearest of CODES vectors of its codebook.
 A query looks into the cells of its nearest centers, ranks their members by codes alone (a few bytes each), and only the best
-`rerank` are compared with their full vectors. Codes and vectors are partitioned by cell, so probes prune files. Every row is
-indexed; codebooks are fitted on at most TRAIN rows, those with the smallest hashes of their ids.
+`rerank` of every BLOCK vectors are compared with their full vectors. The table is partitioned by cell, so probes prune files.
+Every row is indexed; codebooks are fitted on at most TRAIN rows, those with the smallest hashes of their ids.
+
+A search deals the index by id into blocks of about BLOCK vectors and the queries, by nearest cell, into packs. Each pack meets
+each block once and leaves its k best there, so what is shuffled is the index once and the packs and k hits once per block.
 """
 
 from __future__ import annotations
@@ -14,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators.nearest import unit
+from wardline.operators.nearest import blocks_of, meet, packs_of, unit
 from wardline.session import checkpointed
 
-TRAIN, CODES, PER_CELL = 16_384, 256, 4096
-#: Cells per folder of the tables.
+TRAIN, CODES = 16_384, 256
+#: Cells per folder of the table.
 TOGETHER = 16
+#: Queries whose codes are looked at together.
+STEP = 128
 
 
 @dataclass
@@ -30,11 +35,15 @@ class VectorIndex:
     path: str
     centers: np.ndarray
     books: np.ndarray  # parts x CODES x dims / parts
+    rows: int
 
     def codes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/codes")
+        """(part, cell, ids, codes): the codes of a cell."""
+        members = self.vectors(spark).groupBy("part", "cell").agg(F.sort_array(F.collect_list(F.struct("id", "code"))).alias("m"))
+        return members.select("part", "cell", F.col("m.id").alias("ids"), F.col("m.code").alias("codes"))
 
     def vectors(self, spark: SparkSession) -> DataFrame:
+        """(id, cell, code, v, part), as stored."""
         return spark.read.parquet(f"{self.path}/vectors")
 
 
@@ -88,7 +97,7 @@ def codebook(part: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
 def build(corpus: DataFrame, id_col: str, vec: str, path: str, cells: int | None = None, parts: int = 16, rounds: int = 6) -> VectorIndex:
     """Write the index of all rows with a vector under `path`; ids are whole numbers that differ, the dimension a multiple of
     `parts`."""
-    rows = checkpointed(corpus.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")))
+    rows = checkpointed(corpus.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")))
     n = rows.count()
     if n == 0:
         raise ValueError("an index needs vectors")
@@ -105,53 +114,68 @@ def build(corpus: DataFrame, id_col: str, vec: str, path: str, cells: int | None
                 v = unit(stacked(f["v"]))
                 cell = (v @ centers.T).argmax(axis=1)
                 names = [((b * b).sum(axis=1) - 2 * p @ b.T).argmin(axis=1) for p, b in zip(np.split(v - centers[cell], parts, axis=1), books)]
-                yield pd.DataFrame({"id": f["id"], "cell": cell, "part": cell // TOGETHER, "code": [c.tobytes() for c in np.stack(names, axis=1).astype(np.uint8)], "v": list(v)})
+                yield pd.DataFrame({"id": f["id"], "cell": cell, "part": cell // TOGETHER, "code": [c.tobytes() for c in np.stack(names, axis=1).astype(np.uint8)], "v": f["v"]})
 
-    coded = checkpointed(rows.mapInPandas(encode, "id long, cell int, part int, code binary, v array<double>"))
-    coded.select("id", "cell", "v", "part").repartition("part", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("cell").write.partitionBy("part").parquet(f"{path}/vectors")
-    # Slices of at most about PER_CELL codes, so that a crowded cell is many rows.
-    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / PER_CELL).alias("slices"))
-    sliced = coded.join(sizes, "cell").groupBy("cell", "part", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("id", "code"))).alias("m"))
-    sliced.select("cell", "part", F.col("m.id").alias("ids"), F.col("m.code").alias("codes")).repartition("part").write.partitionBy("part").parquet(f"{path}/codes")
-    return VectorIndex(path, centers, books)
+    # Vectors stay in their own type: floats take half the room of doubles and are the same numbers.
+    coded = rows.mapInPandas(encode, f"id long, cell int, part int, code binary, v {rows.schema['v'].dataType.simpleString()}")
+    coded.repartition("part", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("cell").write.partitionBy("part").parquet(f"{path}/vectors")
+    return VectorIndex(path, centers, books, n)
 
 
 def search(index: VectorIndex, queries: DataFrame, id_col: str, vec: str, k: int = 5, probes: int = 8, rerank: int = 100, threshold: float = -1.0) -> DataFrame:
-    """(query_id, corpus_id, similarity, rank, n_read): the best k by exact cosine of the `rerank` members of the probed cells
-    that rank first by their codes; n_read is the number of full vectors a query read."""
+    """(query_id, corpus_id, similarity, rank, n_read): the best k by exact cosine of the members of the probed cells that rank
+    first by their codes, `rerank` of every block (one block up to nearest.BLOCK vectors); n_read is the number of full vectors
+    a query read."""
     spark, centers, books = queries.sparkSession, index.centers, index.books
-    parts = len(books)
-
-    def probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                v = unit(stacked(f["v"]))
-                near = np.argsort(-(v @ centers.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"query_id": np.repeat(f["query_id"].to_numpy(), near.shape[1]), "cell": near.ravel(), "part": near.ravel() // TOGETHER, "q": list(np.repeat(v, near.shape[1], axis=0))})
-
     asked = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec).cast("array<double>").alias("v"))
-    opened = checkpointed(asked.mapInPandas(probed, "query_id long, cell int, part int, q array<double>"))
-    packs = opened.groupBy("part", "cell", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("pack")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
 
-    def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probed(q: np.ndarray) -> np.ndarray:
+        """Queries x cells: the cells of the nearest centers."""
+        near = np.argsort(-(unit(q) @ centers.T), axis=1, kind="stable")[:, :probes]
+        out = np.zeros((len(q), len(centers)), bool)
+        out[np.arange(len(q))[:, None], near] = True
+        return out
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for cell, qs, ids, codes in zip(f["cell"], f["qs"], f["ids"], f["codes"]):
-                q = np.stack([np.asarray(x["q"], np.float64) for x in qs])
-                names = np.frombuffer(b"".join(map(bytes, codes)), np.uint8).reshape(-1, parts)
-                score = np.repeat((q @ centers[cell])[:, None], len(names), axis=1)
-                for part, book, column in zip(np.split(q, parts, axis=1), books, names.T):
-                    score += (part @ book.T)[:, column]
-                top = np.argsort(-score, axis=1, kind="stable")[:, :rerank]
-                who = np.repeat([x["query_id"] for x in qs], top.shape[1])
-                yield pd.DataFrame({"query_id": who, "id": np.asarray(ids)[top].ravel(), "cell": cell, "score": np.take_along_axis(score, top, 1).ravel()})
-
-    found = packs.join(index.codes(spark), ["part", "cell"]).select("cell", "qs", "ids", "codes").mapInPandas(scanned, "query_id long, id long, cell int, score double")
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    wanted = found.withColumn("_r", first).where(F.col("_r") <= rerank).select("query_id", "id", F.floor(F.col("cell") / TOGETHER).cast("int").alias("part"))
-    both = wanted.join(index.vectors(spark).drop("cell"), ["part", "id"]).join(opened.groupBy("query_id").agg(F.first("q").alias("q")), "query_id")
-    similarity = F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 9)
-    scored = both.select("query_id", F.col("id").alias("corpus_id"), similarity.alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "corpus_id")
-    read = F.count("*").over(Window.partitionBy("query_id")).alias("n_read")
-    ranked = scored.select("*", read, F.row_number().over(order).cast("long").alias("rank"))
-    return ranked.where((F.col("rank") <= k) & (F.col("similarity") >= threshold))
+            if len(f):
+                q = stacked(f["v"])
+                yield pd.DataFrame({"query_id": f["query_id"], "near": (unit(q) @ centers.T).argmax(axis=1), "parts": [np.unique(np.flatnonzero(o) // TOGETHER) for o in probed(q)], "v": f["v"]})
+
+    placed = checkpointed(asked.mapInPandas(nearest, "query_id long, near int, parts array<int>, v array<double>"))
+    parts = [r.part for r in placed.select(F.explode("parts").alias("part")).distinct().collect()]  # folders, of which there are few
+    blocks, many = blocks_of(index.vectors(spark).where(F.col("part").isin(parts)), index.rows, ["cell", "id", "code", "v"])
+
+    def scan(ids: np.ndarray, q: np.ndarray, block: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        names = np.stack([np.frombuffer(c, np.uint8) for c in block["code"]])
+        cell, vectors = block["cell"], stacked(block["v"])
+        told = centers[cell] + np.concatenate([book[column] for book, column in zip(books, names.T)], axis=1)
+        told, own = told.astype(np.float32), (vectors * vectors).sum(axis=1)
+        for at in range(0, len(q), STEP):
+            mine = q[at : at + STEP]
+            opened = probed(mine)
+            some = np.flatnonzero(opened.any(axis=0)[cell])  # members of a cell that one of these queries opens
+            if not len(some):
+                continue
+            allowed = opened[:, cell[some]]
+            score = np.where(allowed, unit(mine).astype(np.float32) @ told[some].T, -np.inf)
+            most = min(rerank, len(some))
+            top = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            good, top = np.take_along_axis(allowed, top, 1), some[top]
+            norm = np.sqrt((mine * mine).sum(axis=1)[:, None] * own[top])
+            shared = np.matmul(vectors[top], mine[:, :, None])[:, :, 0]
+            sim = np.round(np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0), 9)
+            sim[~good] = -np.inf
+            best = np.lexsort((block["id"][top], -sim), axis=1)[:, :k]
+            sim, hit = np.take_along_axis(sim, best, 1), block["id"][np.take_along_axis(top, best, 1)]
+            kept = (sim >= threshold) & np.isfinite(sim)
+            who = np.broadcast_to(ids[at : at + STEP, None], sim.shape)
+            yield pd.DataFrame({"query_id": ids[at : at + STEP], "corpus_id": -1, "similarity": -np.inf, "n_read": good.sum(axis=1)})
+            yield pd.DataFrame({"query_id": who[kept], "corpus_id": hit[kept], "similarity": sim[kept], "n_read": 0})
+
+    met = meet(packs_of(placed.select("query_id", "near", "v"), ["near", "query_id"]), blocks, many, scan, "query_id long, corpus_id long, similarity double, n_read long")
+    # A query has k hits and one count a block.
+    hits = F.filter(F.collect_list(F.struct((-F.col("similarity")).alias("less"), "corpus_id")), lambda h: F.isnotnull(h["less"]) & (h["less"] < F.lit(float("inf"))))
+    ranked = met.groupBy("query_id").agg(F.slice(F.sort_array(hits), 1, k).alias("hits"), F.sum("n_read").alias("n_read"))
+    rows = ranked.select("query_id", "n_read", F.posexplode("hits").alias("at", "hit"))
+    return rows.select("query_id", F.col("hit.corpus_id").alias("corpus_id"), (-F.col("hit.less")).alias("similarity"), "n_read", (F.col("at") + 1).cast("long").alias("rank"))
