@@ -26,6 +26,8 @@ from wardline.session import checkpointed
 
 #: Bytes of vectors that may be handed to every task whole.
 HANDED = 1 << 26
+#: Vectors up to which all cosines cost less than choosing blocks, and queries that meet them at once.
+PLAIN, TOGETHER = 512, 2048
 #: Vectors of a block, and bounds (queries x blocks) held at once.
 LEAF, BOUNDS = 16, 1 << 21
 #: Cells per root of the corpus, corpus vectors per slice, queries per pack, vectors of a query scored at once.
@@ -76,7 +78,8 @@ class Blocks:
         alike = unit(vectors)
         order = leaf_order(alike)
         self.vectors, self.ids = np.ascontiguousarray(vectors[order]), np.array(ids)[order]
-        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        self.named = np.argsort(self.ids, kind="stable")
+        self.rank = np.argsort(self.named, kind="stable")
         self.own = (self.vectors * self.vectors).sum(axis=1)
         starts = np.arange(0, len(order), LEAF)
         self.high, self.low = np.maximum.reduceat(alike[order], starts), np.minimum.reduceat(alike[order], starts)
@@ -101,9 +104,23 @@ class Blocks:
         self.opened += shared.size
         return np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
 
+    def all_cosines(self, asked: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Cosines with all vectors, in the order of their ids, for steps of the queries."""
+        by_name, own = self.vectors[self.named].T, self.own[self.named]
+        for at in range(0, len(asked), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            norm = np.sqrt((asked[part] * asked[part]).sum(axis=1)[:, None] * own[None])
+            shared = asked[part] @ by_name
+            self.opened += shared.size
+            yield part, np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
+
     def extremes(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest and smallest cosine of each query with all vectors."""
         hi, lo = np.full(len(asked), -np.inf), np.full(len(asked), np.inf)
+        if len(self.ids) <= PLAIN:
+            for part, c in self.all_cosines(asked):
+                hi[part], lo[part] = c.max(axis=1), c.min(axis=1)
+            return hi, lo
         for part in self.steps(asked):
             self._extremes(asked[part], hi[part], lo[part])
         return hi, lo
@@ -137,11 +154,25 @@ class Blocks:
 
     def best(self, asked: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines) of the k best of each query, ties by id; `digits` rounds before comparing."""
+        places, found = self.best_places(asked, k, digits)
+        return self.ids[places], found
+
+    def best_places(self, asked: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """`best` with places in `ids` instead of ids."""
         k = min(k, len(self.ids))
         places, found = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k))
+        if len(self.ids) <= PLAIN and k <= LEAF:
+            for part, c in self.all_cosines(asked):
+                c = c if digits is None else np.round(c, digits)
+                rows = np.arange(len(c))
+                for n in range(k):  # of equal cosines the first, which is that of the smallest id
+                    top = c.argmax(axis=1)
+                    places[part, n], found[part, n] = self.named[top], c[rows, top]
+                    c[rows, top] = -np.inf
+            return places, found
         for part in self.steps(asked):
             places[part], found[part] = self._best(asked[part], k, digits)
-        return self.ids[places], found
+        return places, found
 
     def _best(self, asked: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
         square = (asked * asked).sum(axis=1)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,18 +228,32 @@ def top_similar_tokens(
     if known.blocks is not None:
         blocks = known.blocks
 
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = pa.array([str(r) for r in blocks.ids.tolist()], pa.string())
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The windows of many texts are searched together, long texts in steps."""
             for batch in batches:
-                for row, payload in zip(batch["row"], batch["payload"]):
-                    windows = unpack(bytes(payload))
+                held, n = [], 0
+                for k, payload in enumerate(batch.column("payload")):
+                    windows = unpack(payload.as_py())
                     for at in range(0, len(windows), geo.STEP):
-                        refs, sims = blocks.best(windows[at : at + geo.STEP].astype(np.float64), last)
-                        n, k = sims.shape
-                        rank = np.tile(np.arange(1, k + 1), n)
-                        found = pd.DataFrame({id_col: row, "pos": np.repeat(np.arange(at, at + n), k), "rank": rank, "ref": refs.ravel(), "similarity": sims.ravel()})
-                        yield found[rank >= first]
-
-        return queries.mapInPandas(nearest, f"{id_col} {kind}, pos bigint, rank bigint, ref string, similarity double")
+                        held.append((k, at, windows[at : at + geo.STEP]))
+                        n += len(held[-1][2])
+                        if n >= geo.STEP:
+                            yield found(batch.column("row"), held)
+                            held, n = [], 0
+                if n:
+                    yield found(batch.column("row"), held)
+
+        def found(ids: pa.Array, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            size = [len(w) for _, _, w in held]
+            row, pos = np.repeat([k for k, _, _ in held], size), np.concatenate([np.arange(at, at + len(w)) for _, at, w in held])
+            places, sims = blocks.best_places(np.concatenate([w for _, _, w in held]).astype(np.float64), last)
+            n, k = sims[:, first - 1 :].shape
+            columns = [ids.take(pa.array(np.repeat(row, k))), pa.array(np.repeat(pos, k)), pa.array(np.tile(np.arange(first, first + k), n)), names.take(pa.array(places[:, first - 1 :].ravel())), pa.array(sims[:, first - 1 :].ravel())]
+            return pa.RecordBatch.from_arrays(columns, [id_col, "pos", "rank", "ref", "similarity"])
+
+        return queries.mapInArrow(nearest, f"{id_col} {kind}, pos bigint, rank bigint, ref string, similarity double")
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
