@@ -1,12 +1,14 @@
 """Exact search among blocks, against all pairs: results, ties, and how little of the corpus is opened."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wardline.functions import geometry as geo
 from wardline.operators import nearest as nr
 from wardline.operators import similarity as sm
 from wardline.operators import tokens as tk
+from wardline.session import prepare
 
 
 def windows_of_text(rng, tokens, radius=5, dims=64):
@@ -111,3 +113,20 @@ def test_packs_meet_every_block_once(spark, monkeypatch):
     ask = df.where("id % 5 = 0").union(df.where("id = 5"))
     got, want = ([tuple(r) for r in sm.knn_search(ask, df, "id", "v", 4, 0.2, limit).select("query_id", "corpus_id", "similarity", "rank").collect()] for limit in (500, nr.HANDED))
     assert sorted(got) == sorted(want) and len(got) > 200
+
+
+def test_few_references_are_compared_without_bounds(monkeypatch):
+    """The same hits and ties as by blocks; no bounds are made."""
+    rng = np.random.default_rng(9)
+    blocks, asked = nr.Blocks(rng.integers(0, 3, (200, 8)).astype(float), [str(i) for i in rng.permutation(200)]), rng.integers(0, 3, (3000, 8)).astype(float)
+    with monkeypatch.context() as m:
+        m.setattr(nr, "PLAIN", 0)
+        (ids, sims), ends = blocks.best(asked, 5), blocks.extremes(asked)
+    monkeypatch.setattr(blocks, "bounds", None)
+    got, got_ends = blocks.best(asked, 5), blocks.extremes(asked)
+    assert (got[0] == ids).all() and np.array_equal(got[1], sims) and all(np.array_equal(a, b) for a, b in zip(ends, got_ends))
+
+
+def test_python_gets_batches_of_bounded_rows(spark):
+    sizes = prepare(spark).range(5000).coalesce(1).mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long")
+    assert {r.n for r in sizes.collect()} <= {1024, 5000 % 1024}

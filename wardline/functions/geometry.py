@@ -130,6 +130,9 @@ def window_moments(space: TokenSpace, cell: np.ndarray, radius: int) -> tuple[fl
     if n == 0:
         return 0.0, 0.0, 0.0
     parts = lambda: (unit_rows(space.around(cell, lo, min(n, lo + STEP), radius, radius)) for lo in range(0, n, STEP))
+    if n <= STEP:  # nearly all texts: their windows are made once
+        whole = list(parts())
+        parts = lambda: whole
     mean = sum(p.sum(axis=0) for p in parts()) / n
     by_dim = sum(((p - mean) ** 2).sum(axis=0) for p in parts()) / n
     variance = float(by_dim.mean() + mean.var())
