@@ -6,6 +6,7 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.operators.fusion import ThresholdConfig, percentile
 
-STATE = "n bigint, threshold double, scores array<double>, labels array<boolean>, waiting array<struct<us: bigint, id: bigint, score: double, label: boolean>>"
+STATE = "n bigint, threshold double, scores array<double>, labels array<boolean>, waiting binary"
+#: A waiting observation as it lies in the state, and those taken from it at once.
+WAITING, STEP = np.dtype([("us", "<i8"), ("id", "<i8"), ("score", "<f8"), ("label", "?")]), 65_536
 
 
 class Adapter:
@@ -48,28 +51,35 @@ def stream_thresholds(
 
     Observations wait until the watermark has passed them and are then taken in order of (event time, id), so files in any
     order give the thresholds of the batch query, as long as no row is later than `delay`. State per key: the window of the
-    last `config.window` observations, and those that wait. Rows without a time, id,
+    last `config.window` observations, and those that wait, as packed numbers (25 bytes each). Rows without a time, id,
     score or label only move the watermark; null keys are one key. Triggers that bring a key nothing give it no row.
     """
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, threshold, scores, labels, waiting = state.get if state.exists else (0, None, [], [], [])
+        n, threshold, scores, labels, packed = state.get if state.exists else (0, None, [], [], b"")
         adapter = Adapter(config, minimum, n, threshold, scores, labels)
-        waiting = [tuple(w) for w in waiting]
+        parts = [np.frombuffer(packed, WAITING)]
         if not state.hasTimedOut:
             for rows in batches:
                 rows = rows.dropna(subset=["us", "event_id", "score", "label"]).astype({"us": "int64", "event_id": "int64"})
-                waiting += list(zip(rows["us"].tolist(), rows["event_id"].tolist(), rows["score"].tolist(), rows["label"].tolist()))
-        waiting.sort()
+                part = np.empty(len(rows), WAITING)
+                for name, column in zip(WAITING.names, ("us", "event_id", "score", "label")):
+                    part[name] = rows[column].to_numpy(WAITING[name])
+                parts.append(part)
+        waiting = np.concatenate(parts)
+        del parts
+        waiting = waiting[np.lexsort([waiting[c] for c in reversed(WAITING.names)])]
         mark = state.getCurrentWatermarkMs()
-        due = bisect_left(waiting, (mark * 1000 + 1,))
-        for _, _, s, l in waiting[:due]:
-            adapter.observe(s, bool(l))
+        due = int(np.searchsorted(waiting["us"], mark * 1000, side="right"))
+        for at in range(0, due, STEP):
+            some = waiting[at : min(due, at + STEP)]
+            for s, l in zip(some["score"].tolist(), some["label"].tolist()):
+                adapter.observe(s, l)
         later = waiting[due:]
         kept = list(adapter.recent)
-        state.update((adapter.n, adapter.threshold, [s for s, _ in kept], [bool(l) for _, l in kept], later))
-        if later:
-            state.setTimeoutTimestamp(max(later[0][0] // 1000 + 1, mark + 1))
+        state.update((adapter.n, adapter.threshold, [s for s, _ in kept], [bool(l) for _, l in kept], later.tobytes()))
+        if len(later):
+            state.setTimeoutTimestamp(max(int(later["us"][0]) // 1000 + 1, mark + 1))
         if due:
             yield pd.DataFrame([(group[0], adapter.n, adapter.threshold)], columns=["key", "n", "threshold"])
 
