@@ -286,3 +286,44 @@ def test_numpy_and_column_features_agree(spark):
     for r in rows:
         for name in ("gradient", "phrase", "consistency", "sentence"):
             assert r.n[name] == pytest.approx(r[name], abs=1e-9)
+
+
+def random_cells():
+    rng = np.random.default_rng(3)
+    some = [rng.integers(0, 64, n) for n in rng.integers(0, 120, 60)]
+    return [np.zeros(0, np.int64), np.array([3]), np.array([3, 4]), *some, np.arange(5000) % 64, np.zeros(0, np.int64)]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 5, 9])
+def test_texts_worked_on_together_give_the_numbers_of_each(radius):
+    space, cells = geo.TokenSpace(), random_cells()
+    packs = list(geo.text_packs(space, cells))
+    assert len(packs) < len(cells) / 4 and sum(map(len, packs)) == len(cells)
+    near = [r for p in packs for r in geo.shift_cosines_each(space, p, radius, 5, 2)]
+    for got, cell in zip(near, cells, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(got, geo.shift_cosines(space, cell, radius, 5, 2)))
+    numbers = [r for p in packs for r in geo.window_numbers_each(space, p, radius)]
+    for got, cell in zip(numbers, cells, strict=True):
+        assert np.allclose(got, (*geo.window_moments(space, cell, radius), geo.text_gradient(space, cell), geo.phrase_anomaly(space, cell)), atol=1e-12)
+
+
+def test_each_possible_window_is_searched_once():
+    space, cells, asked = geo.TokenSpace(), random_cells(), []
+    refs = np.random.default_rng(4).integers(0, 3, (40, 64)).astype(float)
+    blocks, unit = nr.Blocks(refs, list(range(40))), nr.unit(refs)
+    search = lambda w: tk.similarity_numbers(blocks, space, w, unit.mean(axis=0), unit.T @ unit / 40)
+    kept = tk.WindowNumbers(space, 1, lambda w: asked.append(len(w)) or search(w))
+    for _ in range(2):
+        got = np.concatenate([kept(p) for p in geo.text_packs(space, cells)], axis=1)
+    windows = np.concatenate([space.around(c, 0, len(c), 1, 1) for c in cells])
+    assert np.allclose(got, search(windows), atol=1e-12)
+    assert sum(asked) == len(np.unique(windows, axis=0)) < len(windows)
+    assert not tk.WindowNumbers.few(space, 5) and not tk.WindowNumbers.few(geo.TokenSpace(4, True), 1)
+
+
+def test_shifts_are_counted_as_they_are_listed(analysed):
+    sizes = dt.cap_flags({"shift_counts": F.col("shift_counts")})
+    for listed, counted in zip(dt.cap_flags(), sizes):
+        assert analysed.where(~listed.eqNullSafe(counted)).count() == 0
+    plan = dt.detect_attacks(analysed.drop("shifts", "anomalies")).select("attack_risk")
+    assert plan.count() == analysed.count()

@@ -6,18 +6,19 @@ numbers per token or per text come back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions.vectors import DIMS, Embedder
 
-#: Tokens worked on at once.
-STEP = 8192
+#: Tokens worked on at once: of one text, and of several short ones.
+STEP, PACK = 8192, 2048
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,21 @@ class TokenSpace:
         at = np.arange(lo, hi)
         return running[np.minimum(at + right + 1, n) - a] - running[np.maximum(at - left, 0) - a]
 
+    def around_each(self, flat: np.ndarray, sizes: np.ndarray, left: int, right: int) -> np.ndarray:
+        """`around` for the tokens of several texts end to end; windows end with their text. For bucket numbers, whose sums are exact."""
+        at, ends = np.arange(len(flat)), np.cumsum(sizes)
+        start, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+        if left + right < self.dims // 4:
+            out = np.zeros((len(flat), self.dims))
+            for k in range(-left, right + 1):
+                inside = at[(at + k >= start) & (at + k < end)]
+                out[inside, flat[inside + k]] += 1
+            return out
+        running = np.zeros((len(flat) + 1, self.dims))
+        running[at + 1, flat] = 1
+        np.cumsum(running, axis=0, out=running)
+        return running[np.minimum(at + right + 1, end)] - running[np.maximum(at - left, start)]
+
     def pack(self, units: Column | str) -> Column:
         """The token vectors of a text as bytes."""
         kind = np.float32 if self.dense else np.int32
@@ -76,6 +92,46 @@ def space_of(embedder: Embedder) -> TokenSpace:
     return TokenSpace(embedder.dims, embedder.dense)
 
 
+def cells_of(space: TokenSpace, column: pa.Array) -> list[np.ndarray]:
+    """The token vectors of every text of an Arrow column; bucket numbers are not copied."""
+    if space.dense:
+        return [space.cell(v) for v in column.to_pylist()]
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return [flat[a:z] for a, z in zip([0, *ends], ends)]
+
+
+def lists(cells: list[np.ndarray]) -> pa.Array:
+    """One list of numbers per text as an Arrow column."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells)]), pa.int32()), pa.array(np.concatenate([np.zeros(0), *cells])))
+
+
+def bucket_rows(space: TokenSpace, cells: list[np.ndarray]) -> np.ndarray:
+    """Bucket counts of whole texts, a row each."""
+    flat, sizes, _ = ends_of(cells)
+    at = np.repeat(np.arange(len(cells)), sizes) * space.dims + flat
+    return np.bincount(at, minlength=len(cells) * space.dims).reshape(-1, space.dims).astype(np.float64)
+
+
+def text_packs(space: TokenSpace, cells: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Neighbouring texts of at most PACK tokens together, to be worked on at once; a longer or a dense text is alone."""
+    held, n = [], 0
+    for cell in cells:
+        if held and (space.dense or n + len(cell) > PACK):
+            yield held
+            held, n = [], 0
+        held.append(cell)
+        n += len(cell)
+    if held:
+        yield held
+
+
+def ends_of(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of texts end to end, the size of each text and its first place."""
+    sizes = np.array([len(c) for c in cells], np.int64)
+    return np.concatenate(cells), sizes, np.cumsum(sizes) - sizes
+
+
 def unit_rows(rows: np.ndarray) -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1))[:, None]
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
@@ -102,13 +158,36 @@ def shift_cosines(space: TokenSpace, cell: np.ndarray, radius: int, window: int,
     return np.concatenate([*near, np.zeros(0)]), np.concatenate([*far, np.zeros(0)])
 
 
+def neighbour_cosines_each(rows: np.ndarray, gap: int) -> np.ndarray:
+    """`neighbour_cosines` of exact sums, with what crosses two texts still among them."""
+    if len(rows) <= gap:
+        return np.zeros(0)
+    own = np.einsum("ij,ij->i", rows, rows)
+    shared = np.einsum("ij,ij->i", rows[:-gap], rows[gap:])
+    norm = np.sqrt(own[:-gap] * own[gap:])
+    return np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0)
+
+
+def shift_cosines_each(space: TokenSpace, cells: list[np.ndarray], radius: int, window: int, stride: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """`shift_cosines` of several texts."""
+    if len(cells) == 1:
+        return [shift_cosines(space, cells[0], radius, window, stride)]
+    flat, sizes, starts = ends_of(cells)
+    near = neighbour_cosines_each(space.around_each(flat, sizes, radius, radius), 1)
+    far = neighbour_cosines_each(space.around_each(flat, sizes, 0, window - 1), stride)
+    least = max(2 * window, window + stride)
+    runs = np.where(sizes >= least, sizes - window + 1 - stride, 0)
+    return [(near[a : a + max(n - 1, 0)], far[a : a + r]) for a, n, r in zip(starts.tolist(), sizes.tolist(), runs.tolist())]
+
+
 def token_numbers_udf(space: TokenSpace, shift_radius: int, window: int, stride: int):
     """Token vectors -> cosines of neighbouring windows and of token runs."""
 
-    @F.pandas_udf("struct<adjacent:array<double>,runs:array<double>>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        rows = [shift_cosines(space, space.cell(b), shift_radius, window, stride) for b in batch]
-        return pd.DataFrame({"adjacent": [r[0] for r in rows], "runs": [r[1] for r in rows]})
+    @F.arrow_udf("struct<adjacent:array<double>,runs:array<double>>")
+    def run(batch: pa.Array) -> pa.Array:
+        packs = text_packs(space, cells_of(space, batch))
+        rows = [r for cells in packs for r in shift_cosines_each(space, cells, shift_radius, window, stride)]
+        return pa.StructArray.from_arrays([lists([r[0] for r in rows]), lists([r[1] for r in rows])], ["adjacent", "runs"])
 
     return run
 
@@ -127,19 +206,28 @@ def clip(x: float) -> float:
 def window_moments(space: TokenSpace, cell: np.ndarray, radius: int) -> tuple[float, float, float]:
     """Component variance, perturbation signature and outlier score of a text's window embeddings."""
     n = len(cell)
+    return moments_of(n, lambda: (unit_rows(space.around(cell, lo, min(n, lo + STEP), radius, radius)) for lo in range(0, n, STEP)))
+
+
+def moments_of(n: int, parts: Callable[[], Iterable[np.ndarray]]) -> tuple[float, float, float]:
+    """The same from the unit vectors of the n windows, in parts that can be made again."""
     if n == 0:
         return 0.0, 0.0, 0.0
-    parts = lambda: (unit_rows(space.around(cell, lo, min(n, lo + STEP), radius, radius)) for lo in range(0, n, STEP))
     if n <= STEP:  # nearly all texts: their windows are made once
-        whole = list(parts())
-        parts = lambda: whole
-    mean = sum(p.sum(axis=0) for p in parts()) / n
-    by_dim = sum(((p - mean) ** 2).sum(axis=0) for p in parts()) / n
+        whole = next(iter(parts()))
+        mean = whole.sum(axis=0) / n
+        away = whole - mean
+        away *= away
+        by_dim, far = away.sum(axis=0) / n, [np.sqrt(away.sum(axis=1))]
+    else:
+        mean = sum(p.sum(axis=0) for p in parts()) / n
+        by_dim = sum(((p - mean) ** 2).sum(axis=0) for p in parts()) / n
+        far = (np.linalg.norm(p - mean, axis=1) for p in parts())
     variance = float(by_dim.mean() + mean.var())
     if n < 3:
         return variance, 0.0, 0.0
     signature = clip(1.0 - by_dim.std() / (by_dim.mean() + 1e-8))
-    dist = np.concatenate([np.linalg.norm(p - mean, axis=1) for p in parts()])
+    dist = np.concatenate(list(far))
     spread = dist.std()
     outlier = 0.0 if spread < 1e-6 else clip(np.abs(dist - dist.mean()).max() / spread / 3.0)
     return variance, signature, outlier
@@ -148,14 +236,30 @@ def window_moments(space: TokenSpace, cell: np.ndarray, radius: int) -> tuple[fl
 def phrase_anomaly(space: TokenSpace, cell: np.ndarray) -> float:
     """10 x variance over the embeddings of all trigrams; the same as spans.phrase_anomaly."""
     n = len(cell) - 2
-    if n < 1:
+    return phrase_of(n * space.dims, [unit_rows(space.around(cell, lo, min(n, lo + STEP), 0, 2)) for lo in range(0, n, STEP)])
+
+
+def phrase_of(size: int, parts: list[np.ndarray]) -> float:
+    """The same from the unit vectors of the trigrams and the number of their components."""
+    if size <= 0:
         return 0.0
-    parts = [unit_rows(space.around(cell, lo, min(n, lo + STEP), 0, 2)) for lo in range(0, n, STEP)]
-    size = n * space.dims
     mean = sum(p.sum() for p in parts) / size
     return clip(10.0 * (sum((p * p).sum() for p in parts) / size - mean * mean))
 
 
+def window_numbers_each(space: TokenSpace, cells: list[np.ndarray], radius: int) -> list[tuple[float, ...]]:
+    """`window_moments`, `text_gradient` and `phrase_anomaly` of several texts."""
+    if len(cells) == 1:
+        return [(*window_moments(space, cells[0], radius), text_gradient(space, cells[0]), phrase_anomaly(space, cells[0]))]
+    flat, sizes, starts = ends_of(cells)
+    windows, phrases = unit_rows(space.around_each(flat, sizes, radius, radius)), unit_rows(space.around_each(flat, sizes, 0, 2))
+    out = []
+    for cell, a, n in zip(cells, starts.tolist(), sizes.tolist()):
+        own, threes = [windows[a : a + n]], [phrases[a : a + n - 2]] if n > 2 else []
+        out.append((*moments_of(n, lambda own=own: own), text_gradient(space, cell), phrase_of((n - 2) * space.dims, threes)))
+    return out
+
+
 def sentence_moments(space: TokenSpace, cell: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
     """Mean pairwise cosine of the sentences and 10 x variance of their embeddings."""
     n = len(sizes)
@@ -185,7 +289,10 @@ def text_gradient(space: TokenSpace, cell: np.ndarray) -> float:
     """Norm of the gradient over the components of the whole text's embedding."""
     if len(cell) == 0:
         return 0.0
-    v = sum(space.rows(cell, lo, min(len(cell), lo + STEP)).sum(axis=0) for lo in range(0, len(cell), STEP))
+    if space.dense:
+        v = sum(space.rows(cell, lo, min(len(cell), lo + STEP)).sum(axis=0) for lo in range(0, len(cell), STEP))
+    else:
+        v = np.bincount(cell, minlength=space.dims).astype(np.float64)
     v = unit_rows(v[None])[0]
     inner = (v[2:] - v[:-2]) / 2.0
     return float(np.sqrt(inner @ inner + (v[1] - v[0]) ** 2 + (v[-1] - v[-2]) ** 2))
@@ -197,13 +304,11 @@ STATISTICS = ["variance", "signature", "outlier", "gradient", "phrase", "consist
 def text_statistics_udf(space: TokenSpace, radius: int):
     """(token vectors, those of the sentences end to end, sentence sizes) -> the vector features of a text, in one pass."""
 
-    @F.pandas_udf(f"struct<{','.join(f'{n}:double' for n in STATISTICS)}>")
-    def run(tokens: pd.Series, sentences: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, s, k in zip(tokens, sentences, sizes):
-            t, s, k = space.cell(t), space.cell(s), np.asarray(k, np.int64)
-            rows.append((*window_moments(space, t, radius), text_gradient(space, t), phrase_anomaly(space, t), *sentence_moments(space, s, k)))
-        return pd.DataFrame(rows, columns=STATISTICS)
+    @F.arrow_udf(f"struct<{','.join(f'{n}:double' for n in STATISTICS)}>")
+    def run(tokens: pa.Array, sentences: pa.Array, sizes: pa.Array) -> pa.Array:
+        found = (r for cells in text_packs(space, cells_of(space, tokens)) for r in window_numbers_each(space, cells, radius))
+        rows = [(*r, *sentence_moments(space, s, k)) for r, s, k in zip(found, cells_of(space, sentences), cells_of(TokenSpace(), sizes))]
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows)] or [pa.array([], pa.float64())] * len(STATISTICS), STATISTICS)
 
     return run
 

@@ -51,10 +51,13 @@ def esa(cosines: Column, scale: float = 10.0, threshold: float = 0.8) -> Column:
 
 
 def cap_flags(df_cols: dict[str, Column] | None = None, anomaly_cut: float = 0.6, masked_sim: float = 0.7) -> list[Column]:
-    """The four signs of contrastive prompting."""
-    shifts, n = F.col("shifts"), F.size("tokens")
-    strong = F.size(F.filter(shifts, lambda s: s["magnitude"] > 0.5))
-    windows = F.size(F.filter(shifts, lambda s: s["type"] == "window_based_shift"))
+    """The four signs of contrastive prompting; `shift_counts` among `df_cols` stands for the list of shifts."""
+    n, counted = F.size("tokens"), (df_cols or {}).get("shift_counts")
+    if counted is None:
+        strong = F.size(F.filter("shifts", lambda s: s["magnitude"] > 0.5))
+        windows = F.size(F.filter("shifts", lambda s: s["type"] == "window_based_shift"))
+    else:
+        strong, windows = counted["strong"], counted["windows"]
     masked = F.size(
         F.filter(F.zip_with("anomaly", "max_sim", lambda a, m: (a > anomaly_cut) & (m > masked_sim)), lambda x: x)
     )
@@ -62,8 +65,8 @@ def cap_flags(df_cols: dict[str, Column] | None = None, anomaly_cut: float = 0.6
     return [strong > 2, masked > n * 0.2, gap > 0.3, windows > 1]
 
 
-def cap(threshold: float = 0.75) -> Column:
-    a, b, c, d = [f.cast("int") for f in cap_flags()]
+def cap(threshold: float = 0.75, df_cols: dict[str, Column] | None = None) -> Column:
+    a, b, c, d = [f.cast("int") for f in cap_flags(df_cols)]
     score = (a + b + c + d) / F.lit(4.0)
     return verdict(score >= (1.0 - threshold), score, score)
 
@@ -152,7 +155,8 @@ def detect_attacks(
     `detection_text`. `extra` holds verdicts of fitted models by detector name.
     Rows that cannot be scored stay and fail safe: adversarial, confidence 1.
     """
-    named = {"ESA": esa(F.col("cosines"), esa_scale), "CAP": cap(), "STATISTICAL_ANOMALY": statistical(F.col("anomaly"))}
+    counted = {c: F.col(c) for c in df.columns if c == "shift_counts"}
+    named = {"ESA": esa(F.col("cosines"), esa_scale), "CAP": cap(df_cols=counted), "STATISTICAL_ANOMALY": statistical(F.col("anomaly"))}
     named.update(extra or {})
     broken = is_unscorable(F.col(text_col))
     named["DETECTION_ERROR"] = verdict(broken, F.lit(1.0), F.lit(1.0))

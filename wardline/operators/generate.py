@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import geometry as geo
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
 from wardline.operators.rows import fenced
@@ -149,6 +152,28 @@ def prompt_similarity(a: Column, b: Column) -> Column:
     return vx.let(text_counts(a), lambda x: vx.let(text_counts(b), lambda y: vx.cosine(x, y)))
 
 
+def text_cosine_udf():
+    """`prompt_similarity` of two texts from their bucket numbers."""
+    space = geo.space_of(vx.HASHED)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (geo.bucket_rows(space, [space.cell([] if v is None else v) for v in c]) for c in (a, b))
+        return pd.Series(cosine_rows(x, y))
+
+    return run
+
+
+def dot_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, added in the order of `vectors.dot`."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def cosine_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(dot_rows(a, a)) * np.sqrt(dot_rows(b, b))
+    return np.divide(dot_rows(a, b), norm, out=np.zeros(len(a)), where=norm > 0)
+
+
 def numbered(df: DataFrame, n: int) -> DataFrame:
     """Each row n times with its variant number."""
     return df.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -158,13 +183,13 @@ def cap_generate(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     """Contrastive variants; variant i uses pattern i mod 5 and stays if it is new and close enough."""
     types = F.array(*[F.lit(t) for t in PATTERN_TYPES])
     text = F.col(text_col)
-    base = df.withColumn("_own", text_counts(text))  # once per prompt, before the variants
+    base = df.withColumn("_own", vx.buckets(tx.words(text)))  # once per prompt, before the variants
     made = numbered(base, n).withColumn("pattern", F.element_at(types, F.col("variant") % len(PATTERN_TYPES) + 1))
     index = choice(F.col(id_col), F.col("variant"), 12, seed, "cap")
     made = fenced(made, {"attack": cap_dispatch(text, F.col("pattern"), index)})
-    near = vx.let(text_counts(F.col("attack")), lambda its: vx.cosine(F.col("_own"), its))
-    made = fenced(made, {"similarity": near})
-    return made.where((F.col("attack") != text) & (F.col("similarity") >= threshold)).drop("_own")
+    made = made.withColumn("_near", text_cosine_udf()("_own", vx.buckets(tx.words(F.col("attack")))))
+    made = fenced(made, {"similarity": F.col("_near")})
+    return made.where((F.col("attack") != text) & (F.col("similarity") >= threshold)).drop("_own", "_near")
 
 
 # --- embedding shift ---------------------------------------------------------------------
@@ -191,6 +216,25 @@ def pgd(vec: Column, weights: Column, label: Column, epsilon: float = 0.1, alpha
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
 
 
+def perturbed_udf(weights: list[float], epsilon: float, label: float = 1.0, alpha: float = 0.01, steps: int = 10):
+    """Bucket numbers of a text -> cosines of its embedding with `fgsm` and `pgd` of it, a batch of texts at once."""
+    space, w = geo.space_of(vx.HASHED), np.array(weights, float)
+
+    def sign(x: np.ndarray) -> np.ndarray:
+        p = 1.0 / (1.0 + np.exp(-dot_rows(x, np.broadcast_to(w, x.shape))))
+        return np.sign((p - label)[:, None] * w)
+
+    @F.pandas_udf("struct<fgsm:double,pgd:double>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        start = geo.unit_rows(geo.bucket_rows(space, [space.cell([] if v is None else v) for v in batch]))
+        once, moved = start + epsilon * sign(start), start
+        for _ in range(steps):
+            moved = np.minimum(np.maximum(moved + alpha * sign(moved), start - epsilon), start + epsilon)
+        return pd.DataFrame({"fgsm": cosine_rows(start, once), "pgd": cosine_rows(start, moved)})
+
+    return run
+
+
 def minor_variant(text: Column, index: Column) -> Column:
     lowered = F.lower(text)
     return pick(
@@ -223,22 +267,15 @@ def esa_generate(
     A perturbation that moves the embedding below cosine .8 becomes a word
     substitution, a smaller one a minor edit; unchanged texts are dropped.
     """
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    embedded = df.withColumn("_e", vx.embed(tx.words(F.col(text_col))))
-    label = F.lit(1.0)  # the class the attack moves towards
-    near = embedded.withColumns(
-        {
-            "_fgsm": vx.cosine(F.col("_e"), fgsm(F.col("_e"), w, label, epsilon)),
-            "_pgd": vx.cosine(F.col("_e"), pgd(F.col("_e"), w, label, epsilon)),
-        }
-    )
+    # label 1: the class the attack moves towards
+    near = df.withColumn("_near", perturbed_udf(weights, epsilon)(vx.buckets(tx.words(F.col(text_col)))))
     made = numbered(near, n).withColumn("method", F.when(F.col("variant") < n // 2, "fgsm").otherwise("pgd"))
-    made = made.withColumn("similarity", F.when(F.col("method") == "fgsm", F.col("_fgsm")).otherwise(F.col("_pgd")))
+    made = made.withColumn("similarity", F.when(F.col("method") == "fgsm", F.col("_near.fgsm")).otherwise(F.col("_near.pgd")))
     key, variant, text = F.col(id_col), F.col("variant"), F.col(text_col)
     edited = F.when(
         F.col("similarity") < 0.8, semantic_variant(text, choice(key, variant, 1 << 20, seed, "semantic"))
     ).otherwise(minor_variant(text, choice(key, variant, 5, seed, "minor")))
-    out = fenced(made, {"attack": edited}).drop("_e", "_fgsm", "_pgd")
+    out = fenced(made, {"attack": edited}).drop("_near")
     return out.where((F.col("attack") != text) & (F.col("attack") != ""))
 
 

@@ -6,7 +6,7 @@ until a caller explodes them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,27 +145,87 @@ def similarity_numbers(blocks: nr.Blocks, space: geo.TokenSpace, windows: np.nda
     return out if of is None else out[:, of]
 
 
+#: Different windows that bucket numbers and radius allow, up to which a task keeps the numbers of those it has met.
+KINDS = 1 << 19
+
+
+class WindowNumbers:
+    """`similarity_numbers` of the windows of bucket numbers, kept: each of the few possible windows is searched once in a task."""
+
+    def __init__(self, space: geo.TokenSpace, radius: int, search: Callable[[np.ndarray], np.ndarray]):
+        self.base, self.size, self.radius, self.search = space.dims + 1, 2 * radius + 1, radius, search
+        self.numbers = np.full((4, self.base**self.size), np.nan)
+
+    @staticmethod
+    def few(space: geo.TokenSpace, radius: int) -> bool:
+        return not space.dense and (space.dims + 1) ** (2 * radius + 1) <= KINDS
+
+    def __call__(self, cells: list[np.ndarray]) -> np.ndarray:
+        """Numbers of all windows of these texts, end to end."""
+        flat, sizes, starts = geo.ends_of(cells)
+        at, lo, hi = np.arange(len(flat)), np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+        held = np.full((len(flat), self.size), self.base - 1)
+        for k in range(self.size):
+            near = at + k - self.radius
+            inside = (near >= lo) & (near < hi)
+            held[inside, k] = flat[near[inside]]
+        held.sort(axis=1)
+        key = held @ self.base ** np.arange(self.size)
+        first = np.unique(key[np.isnan(self.numbers[0, key])])
+        for part in range(0, len(first), geo.STEP):
+            kinds = first[part : part + geo.STEP]
+            windows = np.zeros((len(kinds), self.base))
+            for k in range(self.size):
+                windows[np.arange(len(kinds)), kinds // self.base**k % self.base] += 1
+            self.numbers[:, kinds] = self.search(np.ascontiguousarray(windows[:, :-1]))
+        return self.numbers[:, key]
+
+
+def _windows(space: geo.TokenSpace, cells: list[np.ndarray], radius: int) -> Iterator[np.ndarray]:
+    """The windows of a pack of short texts at once, those of one text in steps."""
+    if len(cells) > 1:
+        flat, sizes, _ = geo.ends_of(cells)
+        yield space.around_each(flat, sizes, radius, radius)
+        return
+    for at in range(0, len(cells[0]), geo.STEP):
+        yield space.around(cells[0], at, min(len(cells[0]), at + geo.STEP), radius, radius)
+
+
 def similarity_udf(known: Reference, radius: int):
     """Token vectors of a text -> largest, smallest, mean and deviation of the cosines with all references, in one pass. The
-    windows of many texts are searched together, long texts in steps."""
+    windows of many texts are searched together, long texts in steps; where few windows are possible, each once in a task."""
     blocks, space = known.blocks, geo.space_of(known.embedder)
     total, second = known.total / known.weight, known.second / known.weight
 
-    @F.pandas_udf(f"struct<{SIMILARITIES}>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        cells = [space.cell(b) for b in batch]
+    def search(windows: np.ndarray) -> np.ndarray:
+        return similarity_numbers(blocks, space, windows, total, second)
+
+    def numbers(cells: list[np.ndarray]) -> np.ndarray:
         found, held, n = [np.zeros((4, 0))], [], 0
-        for cell in cells:
-            for at in range(0, len(cell), geo.STEP):
-                held.append(space.around(cell, at, min(len(cell), at + geo.STEP), radius, radius))
-                n += len(held[-1])
+        for pack in geo.text_packs(space, cells):
+            for windows in _windows(space, pack, radius):
+                held.append(windows)
+                n += len(windows)
                 if n >= geo.STEP:
-                    found.append(similarity_numbers(blocks, space, np.concatenate(held), total, second))
+                    found.append(search(np.concatenate(held)))
                     held, n = [], 0
         if held:
-            found.append(similarity_numbers(blocks, space, np.concatenate(held), total, second))
-        parts = np.split(np.concatenate(found, axis=1), np.cumsum([len(c) for c in cells])[:-1], axis=1)
-        return pd.DataFrame({name: [p[k] for p in parts] for k, name in enumerate(("hi", "lo", "mean", "std"))})
+            found.append(search(np.concatenate(held)))
+        return np.concatenate(found, axis=1)
+
+    kept: list[WindowNumbers] = []  # of the task: the function comes to each task anew
+
+    @F.arrow_udf(f"struct<{SIMILARITIES}>")
+    def run(batch: pa.Array) -> pa.Array:
+        cells = geo.cells_of(space, batch)
+        if WindowNumbers.few(space, radius):
+            if not kept:
+                kept.append(WindowNumbers(space, radius, search))
+            found = np.concatenate([np.zeros((4, 0)), *map(kept[0], geo.text_packs(space, cells))], axis=1)
+        else:
+            found = numbers(cells)
+        ends = pa.array(np.cumsum([0, *map(len, cells)]), pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(row)) for row in found], ["hi", "lo", "mean", "std"])
 
     return run
 
@@ -356,14 +416,25 @@ def with_cosines(df: DataFrame, params: TokenParams) -> DataFrame:
 
 
 def with_shifts(df: DataFrame, params: TokenParams) -> DataFrame:
-    """Add the list of shifts from the cosines."""
+    """Add the list of shifts from the cosines, and their numbers for callers that do not need their tokens."""
     cut = params.shift_threshold
-    return df.withColumn(
-        "shifts",
-        F.concat(
-            adjacent_shifts(F.col("tokens"), F.col("cosines"), cut),
-            window_shifts(F.col("tokens"), F.col("run_cosines"), params.window, cut),
-        ),
+    return df.withColumns(
+        {
+            "shifts": F.concat(
+                adjacent_shifts(F.col("tokens"), F.col("cosines"), cut),
+                window_shifts(F.col("tokens"), F.col("run_cosines"), params.window, cut),
+            ),
+            "shift_counts": shift_counts(F.col("cosines"), F.col("run_cosines"), cut),
+        }
+    )
+
+
+def shift_counts(cosines: Column, run_cosines: Column, threshold: float) -> Column:
+    """Shifts of a magnitude above .5, and those of token runs, counted without building the shifts."""
+    strong = lambda c: (c < threshold) & (1.0 - c > 0.5)
+    return F.struct(
+        (F.size(F.filter(cosines, strong)) + F.size(F.filter(run_cosines, strong))).alias("strong"),
+        F.size(F.filter(run_cosines, lambda c: c < threshold)).alias("windows"),
     )
 
 
