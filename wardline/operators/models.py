@@ -135,9 +135,9 @@ def fit_isolation_forest(
     drawn = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.xxhash64(*key).alias("_key"))
     # One uniform number per (row, tree) from the row's key, so that retried tasks draw the same rows.
     u = lambda t: F.pmod(F.xxhash64("_key", t), F.lit(1_000_003)) / 1_000_003.0
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), u(t).alias("u")))
-    hits = drawn.withColumn("_hits", F.filter(numbers, lambda n: n["u"] <= share))
-    picked = hits.withColumn("_hit", F.explode_outer("_hits")).where(F.col("_hit").isNotNull()).select(*features, "_key", "_hit.tree", "_hit.u")
+    # A loop over the trees with a condition, which Spark compiles; arrays of the numbers of all trees it would interpret.
+    each = drawn.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
+    picked = each.withColumn("u", u(F.col("tree"))).where(F.col("u") <= share).select(*features, "_key", "tree", "u")
     place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "_key"))
     picked = picked.withColumn("_place", place).where(F.col("_place") <= sample)
     depth = int(np.ceil(np.log2(max(sample, 2))))
@@ -153,21 +153,47 @@ def fit_isolation_forest(
     return [g.sort_values("node")[["feature", "cut", "left", "right", "path"]].to_numpy() for _, g in nodes.groupby("tree")]
 
 
+def walkable(forest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """All trees end to end as flat arrays: feature, cut, (left, right) pairs and path, and (root, depth) per tree. A leaf is its
+    own child, so rows walk without asking which have arrived."""
+    sizes = [len(t) for t in forest]
+    starts = np.cumsum([0, *sizes])[:-1]
+    nodes = np.concatenate(forest)
+    leaf, own = nodes[:, 0] < 0, np.arange(len(nodes))
+    first = np.repeat(starts, sizes)
+    left, right = (np.where(leaf, own, nodes[:, c].astype(np.int64) + first) for c in (2, 3))
+    feature, cut = np.where(leaf, 0, nodes[:, 0]).astype(np.int64), np.where(leaf, -np.inf, nodes[:, 1])
+    roots = []
+    for start in starts.tolist():
+        depth, level = 0, np.array([start])
+        while len(level := level[~leaf[level]]):
+            depth, level = depth + 1, np.concatenate([left[level], right[level]])
+        roots.append((start, depth))
+    return feature, cut, np.stack([right, left], axis=1).ravel(), nodes[:, 4], roots
+
+
+#: Pairs of a row and a tree that walk down together.
+WALK = 65_536
+
+
 def path_lengths(forest: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Mean path length over all trees, all rows walking down together."""
-    total = np.zeros(len(rows))
-    for tree in forest:
-        at = np.zeros(len(rows), dtype=np.int64)
-        while True:
-            feature = tree[at, 0].astype(np.int64)
-            inner = feature >= 0
-            if not inner.any():
-                break
-            i = np.nonzero(inner)[0]
-            below = rows[i, feature[i]] < tree[at[i], 1]
-            at[i] = np.where(below, tree[at[i], 2], tree[at[i], 3]).astype(np.int64)
-        total += tree[at, 4]
-    return total / len(forest)
+    return walk(walkable(forest), rows)
+
+
+def walk(trees: tuple, rows: np.ndarray) -> np.ndarray:
+    feature, cut, child, path, roots = trees
+    total, width, step = np.zeros(len(rows)), rows.shape[1], max(1, WALK // len(roots))
+    start, depth = np.array([r for r, _ in roots]), max(d for _, d in roots)
+    for lo in range(0, len(rows), step):
+        flat = np.ascontiguousarray(rows[lo : lo + step]).ravel()
+        base = np.arange(0, len(flat), width)
+        at = np.repeat(start[:, None], len(base), axis=1)
+        for _ in range(depth):
+            below = flat[base + feature[at]] < cut[at]
+            at = child[2 * at + below]
+        total[lo : lo + step] = path[at].sum(axis=0)
+    return total / len(roots)
 
 
 def score_isolation_forest(df: DataFrame, forest: list[np.ndarray], features: list[str], sample: int = SAMPLE, out: str = "outlier") -> DataFrame:
@@ -176,9 +202,10 @@ def score_isolation_forest(df: DataFrame, forest: list[np.ndarray], features: li
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        trees = walkable(forest)
         for columns in batches:
             rows = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            yield pd.Series(np.power(2.0, -path_lengths(forest, rows) / scale))
+            yield pd.Series(np.power(2.0, -walk(trees, rows) / scale))
 
     return df.withColumn(out, run(*[F.col(f).cast("double") for f in features]))
 
