@@ -6,6 +6,7 @@ numbers per token or per text come back.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardline.functions.vectors import DIMS, Embedder
+from wardline.functions.vectors import DIMS, Embedder, buckets
 
 #: Tokens worked on at once: of one text, and of several short ones.
 STEP, PACK = 8192, 2048
@@ -56,11 +57,12 @@ class TokenSpace:
         at, ends = np.arange(len(flat)), np.cumsum(sizes)
         start, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
         if left + right < self.dims // 4:
-            out = np.zeros((len(flat), self.dims))
+            out = np.zeros(len(flat) * self.dims)
+            row = at * self.dims
             for k in range(-left, right + 1):
-                inside = at[(at + k >= start) & (at + k < end)]
-                out[inside, flat[inside + k]] += 1
-            return out
+                inside = at[(at + k >= start) & (at + k < end)] if k else at
+                out[row[inside] + flat[inside + k]] += 1
+            return out.reshape(-1, self.dims)
         running = np.zeros((len(flat) + 1, self.dims))
         running[at + 1, flat] = 1
         np.cumsum(running, axis=0, out=running)
@@ -92,10 +94,42 @@ def space_of(embedder: Embedder) -> TokenSpace:
     return TokenSpace(embedder.dims, embedder.dense)
 
 
+def word_buckets(words: pa.Array, dims: int = DIMS) -> pa.Array:
+    """`vectors.buckets` of lists of lower-case words; a word that occurs again in the batch is hashed once."""
+    named = words.flatten().dictionary_encode()
+    kinds = [None if w is None else hashlib.md5(w.encode()).digest()[3] % dims for w in named.dictionary.to_numpy(zero_copy_only=False)]
+    ends = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    units = pa.array(kinds, pa.int32()).take(named.indices)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units, mask=words.is_null() if words.null_count else None)
+
+
+def lowered(words: Column) -> Column:
+    return F.transform(words, lambda w: F.lower(w))
+
+
+def embedded(embedder: Embedder, tokens: Column) -> Column:
+    """`embedder.embed` of a column of tokens (not in a lambda); hashed buckets come from a batch of texts at once."""
+    if not is_hashed(embedder):
+        return embedder.embed(tokens)
+
+    @F.arrow_udf("array<int>")
+    def run(words: pa.Array) -> pa.Array:
+        return word_buckets(words, embedder.dims)
+
+    return run(lowered(tokens))
+
+
+def is_hashed(embedder: Embedder) -> bool:
+    """Whether tokens may be handed over as lower-case words, to be hashed in Python."""
+    return embedder.embed is buckets
+
+
 def cells_of(space: TokenSpace, column: pa.Array) -> list[np.ndarray]:
-    """The token vectors of every text of an Arrow column; bucket numbers are not copied."""
+    """The token vectors of every text of an Arrow column; bucket numbers are not copied, lower-case words become them."""
     if space.dense:
         return [space.cell(v) for v in column.to_pylist()]
+    if not pa.types.is_integer(column.type.value_type):
+        column = word_buckets(column, space.dims)
     ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return [flat[a:z] for a, z in zip([0, *ends], ends)]
@@ -133,8 +167,8 @@ def ends_of(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def unit_rows(rows: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((rows * rows).sum(axis=1))[:, None]
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    return rows / norm if (norm > 0).all() else np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
 def neighbour_cosines(rows: np.ndarray, gap: int) -> np.ndarray:
@@ -247,19 +281,52 @@ def phrase_of(size: int, parts: list[np.ndarray]) -> float:
     return clip(10.0 * (sum((p * p).sum() for p in parts) / size - mean * mean))
 
 
-def window_numbers_each(space: TokenSpace, cells: list[np.ndarray], radius: int) -> list[tuple[float, ...]]:
-    """`window_moments`, `text_gradient` and `phrase_anomaly` of several texts."""
+def window_numbers_each(space: TokenSpace, cells: list[np.ndarray], radius: int) -> np.ndarray:
+    """`window_moments`, `text_gradient` and `phrase_anomaly` of several texts, a row each."""
     if len(cells) == 1:
-        return [(*window_moments(space, cells[0], radius), text_gradient(space, cells[0]), phrase_anomaly(space, cells[0]))]
-    flat, sizes, starts = ends_of(cells)
-    windows, phrases = unit_rows(space.around_each(flat, sizes, radius, radius)), unit_rows(space.around_each(flat, sizes, 0, 2))
-    out = []
-    for cell, a, n in zip(cells, starts.tolist(), sizes.tolist()):
-        own, threes = [windows[a : a + n]], [phrases[a : a + n - 2]] if n > 2 else []
-        out.append((*moments_of(n, lambda own=own: own), text_gradient(space, cell), phrase_of((n - 2) * space.dims, threes)))
+        return np.array([(*window_moments(space, cells[0], radius), text_gradient(space, cells[0]), phrase_anomaly(space, cells[0]))])
+    out = np.zeros((len(cells), 5))
+    filled = np.array([len(c) > 0 for c in cells])
+    if filled.any():
+        out[filled] = np.stack(filled_numbers_each(space, [c for c in cells if len(c)], radius), axis=1)
     return out
 
 
+def filled_numbers_each(space: TokenSpace, cells: list[np.ndarray], radius: int) -> list[np.ndarray]:
+    """The same, a column each, of texts with tokens: sums and extremes of a text are those of its rows among all rows."""
+    flat, sizes, starts = ends_of(cells)
+    windows, n = unit_rows(space.around_each(flat, sizes, radius, radius)), sizes[:, None]
+    mean = np.add.reduceat(windows, starts, axis=0) / n
+    away = np.subtract(windows, np.repeat(mean, sizes, axis=0), out=windows)
+    away *= away
+    by_dim, dist = np.add.reduceat(away, starts, axis=0) / n, np.sqrt(away.sum(axis=1))
+    variance = by_dim.mean(axis=1) + mean.var(axis=1)
+    signature = np.clip(1.0 - by_dim.std(axis=1) / (by_dim.mean(axis=1) + 1e-8), 0.0, 1.0)
+    off = dist - np.repeat(np.add.reduceat(dist, starts) / sizes, sizes)
+    spread = np.sqrt(np.add.reduceat(off * off, starts) / sizes)
+    far = np.divide(np.maximum.reduceat(np.abs(off), starts), spread, out=np.zeros(len(cells)), where=spread >= 1e-6)
+    few = sizes < 3
+    v = unit_rows(bucket_rows(space, cells))
+    inner = (v[:, 2:] - v[:, :-2]) / 2.0
+    gradient = np.sqrt((inner * inner).sum(axis=1) + (v[:, 1] - v[:, 0]) ** 2 + (v[:, -1] - v[:, -2]) ** 2)
+    return [variance, np.where(few, 0.0, signature), np.where(few, 0.0, np.clip(far / 3.0, 0.0, 1.0)), gradient, phrases_each(space, flat, sizes, starts)]
+
+
+def phrases_each(space: TokenSpace, flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """`phrase_anomaly` of texts with tokens: a trigram's unit vector adds up to 3 / sqrt(3 + 2 x its equal pairs), its squares to 1."""
+    sums = np.zeros(len(flat))
+    x, y, z = flat[:-2], flat[1:-1], flat[2:]
+    equal = (x == y).astype(np.int64) + (y == z) + (x == z)
+    sums[: max(len(flat) - 2, 0)] = 3.0 / np.sqrt(3.0 + 2.0 * equal)
+    for k in (1, 2):  # what crosses two texts
+        ends = starts + sizes - k
+        sums[ends[ends >= 0]] = 0.0
+    runs = np.maximum(sizes - 2, 0)
+    components = np.maximum(runs * space.dims, 1)
+    mean = np.add.reduceat(sums, starts) / components
+    return np.where(runs > 0, np.clip(10.0 * (runs / components - mean * mean), 0.0, 1.0), 0.0)
+
+
 def sentence_moments(space: TokenSpace, cell: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
     """Mean pairwise cosine of the sentences and 10 x variance of their embeddings."""
     n = len(sizes)
@@ -285,6 +352,28 @@ def sentence_moments(space: TokenSpace, cell: np.ndarray, sizes: np.ndarray) ->
     return consistency, clip(10.0 * (squares / (n * space.dims) - mean * mean))
 
 
+def sentence_moments_each(space: TokenSpace, cells: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    """`sentence_moments` of several texts, a row each."""
+    n = np.array([len(k) for k in sizes], np.int64)
+    if len(cells) == 1 or n.sum() > STEP:
+        return np.array([sentence_moments(space, c, k) for c, k in zip(cells, sizes)]).reshape(-1, 2)
+    out, several = np.tile([1.0, 0.0], (len(cells), 1)), n >= 2
+    if not several.any():
+        return out
+    flat, each = np.concatenate([c for c, s in zip(cells, several) if s]), np.concatenate([k for k, s in zip(sizes, several) if s])
+    n = n[several]
+    starts = np.cumsum(n) - n
+    at = np.repeat(np.arange(len(each)), each) * space.dims + flat
+    u = unit_rows(np.bincount(at, minlength=len(each) * space.dims).reshape(-1, space.dims).astype(np.float64))
+    total = np.add.reduceat(u, starts, axis=0)
+    filled = np.add.reduceat((each > 0).astype(np.int64), starts)
+    squares, components = np.add.reduceat((u * u).sum(axis=1), starts), np.add.reduceat(u.sum(axis=1), starts)
+    mean = components / (n * space.dims)
+    out[several, 0] = ((total * total).sum(axis=1) - filled) / (n * (n - 1.0))
+    out[several, 1] = np.clip(10.0 * (squares / (n * space.dims) - mean * mean), 0.0, 1.0)
+    return out
+
+
 def text_gradient(space: TokenSpace, cell: np.ndarray) -> float:
     """Norm of the gradient over the components of the whole text's embedding."""
     if len(cell) == 0:
@@ -302,13 +391,18 @@ STATISTICS = ["variance", "signature", "outlier", "gradient", "phrase", "consist
 
 
 def text_statistics_udf(space: TokenSpace, radius: int):
-    """(token vectors, those of the sentences end to end, sentence sizes) -> the vector features of a text, in one pass."""
+    """(token vectors, those of the sentences end to end, sentence sizes) -> the vector features of a text, in one pass. The
+    sentences may come as lower-case words where the vectors are bucket numbers."""
 
     @F.arrow_udf(f"struct<{','.join(f'{n}:double' for n in STATISTICS)}>")
     def run(tokens: pa.Array, sentences: pa.Array, sizes: pa.Array) -> pa.Array:
-        found = (r for cells in text_packs(space, cells_of(space, tokens)) for r in window_numbers_each(space, cells, radius))
-        rows = [(*r, *sentence_moments(space, s, k)) for r, s, k in zip(found, cells_of(space, sentences), cells_of(TokenSpace(), sizes))]
-        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows)] or [pa.array([], pa.float64())] * len(STATISTICS), STATISTICS)
+        spans, counts = cells_of(space, sentences), cells_of(TokenSpace(), sizes)
+        rows, done = [np.zeros((0, len(STATISTICS)))], 0
+        for cells in text_packs(space, cells_of(space, tokens)):
+            part = slice(done, done + len(cells))
+            rows.append(np.hstack([window_numbers_each(space, cells, radius), sentence_moments_each(space, spans[part], counts[part])]))
+            done += len(cells)
+        return pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(rows).T.copy()], STATISTICS)
 
     return run
 
@@ -316,10 +410,12 @@ def text_statistics_udf(space: TokenSpace, radius: int):
 def sentence_statistics_udf(space: TokenSpace):
     """(token vectors of the sentences end to end, sentence sizes) -> consistency and anomaly of the sentences."""
 
-    @F.pandas_udf("struct<consistency:double,sentence:double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for sentences, sizes in batches:
-            rows = [sentence_moments(space, space.cell(s), np.asarray(k, np.int64)) for s, k in zip(sentences, sizes)]
-            yield pd.DataFrame(rows, columns=["consistency", "sentence"])
+    @F.arrow_udf("struct<consistency:double,sentence:double>")
+    def run(sentences: pa.Array, sizes: pa.Array) -> pa.Array:
+        counts, rows, done = cells_of(TokenSpace(), sizes), [np.zeros((0, 2))], 0
+        for cells in text_packs(space, cells_of(space, sentences)):
+            rows.append(sentence_moments_each(space, cells, counts[done : done + len(cells)]))
+            done += len(cells)
+        return pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(rows).T.copy()], ["consistency", "sentence"])
 
     return run

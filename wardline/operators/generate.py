@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,13 +153,13 @@ def prompt_similarity(a: Column, b: Column) -> Column:
 
 
 def text_cosine_udf():
-    """`prompt_similarity` of two texts from their bucket numbers."""
+    """`prompt_similarity` of two texts from their bucket numbers or lower-case words."""
     space = geo.space_of(vx.HASHED)
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (geo.bucket_rows(space, [space.cell([] if v is None else v) for v in c]) for c in (a, b))
-        return pd.Series(cosine_rows(x, y))
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (geo.bucket_rows(space, geo.cells_of(space, c)) for c in (a, b))
+        return pa.array(cosine_rows(x, y))
 
     return run
 
@@ -183,11 +183,11 @@ def cap_generate(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     """Contrastive variants; variant i uses pattern i mod 5 and stays if it is new and close enough."""
     types = F.array(*[F.lit(t) for t in PATTERN_TYPES])
     text = F.col(text_col)
-    base = df.withColumn("_own", vx.buckets(tx.words(text)))  # once per prompt, before the variants
+    base = df.withColumn("_own", geo.embedded(vx.HASHED, tx.words(text)))  # once per prompt, before the variants
     made = numbered(base, n).withColumn("pattern", F.element_at(types, F.col("variant") % len(PATTERN_TYPES) + 1))
     index = choice(F.col(id_col), F.col("variant"), 12, seed, "cap")
     made = fenced(made, {"attack": cap_dispatch(text, F.col("pattern"), index)})
-    made = made.withColumn("_near", text_cosine_udf()("_own", vx.buckets(tx.words(F.col("attack")))))
+    made = made.withColumn("_near", text_cosine_udf()("_own", geo.lowered(tx.words(F.col("attack")))))
     made = fenced(made, {"similarity": F.col("_near")})
     return made.where((F.col("attack") != text) & (F.col("similarity") >= threshold)).drop("_own", "_near")
 
@@ -217,20 +217,20 @@ def pgd(vec: Column, weights: Column, label: Column, epsilon: float = 0.1, alpha
 
 
 def perturbed_udf(weights: list[float], epsilon: float, label: float = 1.0, alpha: float = 0.01, steps: int = 10):
-    """Bucket numbers of a text -> cosines of its embedding with `fgsm` and `pgd` of it, a batch of texts at once."""
+    """Bucket numbers or lower-case words of a text -> cosines of its embedding with `fgsm` and `pgd` of it, a batch of texts at once."""
     space, w = geo.space_of(vx.HASHED), np.array(weights, float)
 
     def sign(x: np.ndarray) -> np.ndarray:
         p = 1.0 / (1.0 + np.exp(-dot_rows(x, np.broadcast_to(w, x.shape))))
         return np.sign((p - label)[:, None] * w)
 
-    @F.pandas_udf("struct<fgsm:double,pgd:double>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        start = geo.unit_rows(geo.bucket_rows(space, [space.cell([] if v is None else v) for v in batch]))
+    @F.arrow_udf("struct<fgsm:double,pgd:double>")
+    def run(batch: pa.Array) -> pa.Array:
+        start = geo.unit_rows(geo.bucket_rows(space, geo.cells_of(space, batch)))
         once, moved = start + epsilon * sign(start), start
         for _ in range(steps):
             moved = np.minimum(np.maximum(moved + alpha * sign(moved), start - epsilon), start + epsilon)
-        return pd.DataFrame({"fgsm": cosine_rows(start, once), "pgd": cosine_rows(start, moved)})
+        return pa.StructArray.from_arrays([pa.array(cosine_rows(start, once)), pa.array(cosine_rows(start, moved))], ["fgsm", "pgd"])
 
     return run
 
@@ -253,8 +253,9 @@ def semantic_variant(text: Column, position: Column) -> Column:
     """One word, at a position taken modulo the length, swapped for a related one."""
 
     def swap(w: Column) -> Column:
-        at = F.pmod(position, F.size(w))
-        return F.array_join(F.transform(w, lambda x, i: F.when(i == at, swap_words(x, SEMANTIC_WORDS)).otherwise(x)), " ")
+        # bound: the position is a hash, and a lambda would compute it for every word
+        swapped = lambda at: F.transform(w, lambda x, i: F.when(i == at, swap_words(x, SEMANTIC_WORDS)).otherwise(x))
+        return F.array_join(vx.let(F.pmod(position, F.size(w)), swapped), " ")
 
     return vx.let(tx.words(text), lambda w: F.when(F.size(w) > 1, swap(w)).otherwise(text))
 
@@ -268,7 +269,7 @@ def esa_generate(
     substitution, a smaller one a minor edit; unchanged texts are dropped.
     """
     # label 1: the class the attack moves towards
-    near = df.withColumn("_near", perturbed_udf(weights, epsilon)(vx.buckets(tx.words(F.col(text_col)))))
+    near = df.withColumn("_near", perturbed_udf(weights, epsilon)(geo.lowered(tx.words(F.col(text_col)))))
     made = numbered(near, n).withColumn("method", F.when(F.col("variant") < n // 2, "fgsm").otherwise("pgd"))
     made = made.withColumn("similarity", F.when(F.col("method") == "fgsm", F.col("_near.fgsm")).otherwise(F.col("_near.pgd")))
     key, variant, text = F.col(id_col), F.col("variant"), F.col(text_col)
