@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions import geometry as geo
 from wardline.functions import text as tx
 from wardline.functions import vectors as vx
 
@@ -49,6 +50,13 @@ def sentence_spans(text: Column, embedder: vx.Embedder = vx.HASHED) -> Column:
     return F.transform(tx.sentences(text), lambda s: embedder.embed(tx.words(s)))
 
 
+def sentence_units(text: Column, embedder: vx.Embedder = vx.HASHED) -> Column:
+    """`sentence_spans`, or the lower-case words of every sentence where they are hashed later (`geometry.cells_of`)."""
+    if not geo.is_hashed(embedder):
+        return sentence_spans(text, embedder)
+    return F.transform(tx.sentences(text), lambda s: geo.lowered(tx.words(s)))
+
+
 def semantic_consistency(spans: Column) -> Column:
     """Mean dot product over all pairs of unit sentence vectors, from their sum:
     (|sum|^2 - non-empty) / (n (n - 1)); 1 below two sentences."""

@@ -161,15 +161,17 @@ def sentences(text: Column) -> Column:
     return F.split(text, "[.]", -1)
 
 
-def naturalness(text: Column) -> Column:
-    chars = F.length(F.regexp_replace(text, BLANK, "")).cast("double")
+def naturalness(text: Column, parts: Column | None = None) -> Column:
+    """How near words are to 5 characters and sentences to 15 words; `parts` is the number of `sentences`, if it is known."""
+    parts = sentence_count(text) if parts is None else parts
 
-    def score(n: Column) -> Column:
+    def score(w: Column) -> Column:
+        n, chars = F.size(w).cast("double"), F.length(F.array_join(w, "")).cast("double")
         by_length = 1.0 / (1.0 + F.abs(F.try_divide(chars, n) - 5.0))
-        by_structure = 1.0 / (1.0 + F.abs(n / sentence_count(text) - 15.0))
+        by_structure = 1.0 / (1.0 + F.abs(n / parts - 15.0))
         return F.when(n > 0, (by_length + by_structure) / 2.0).otherwise(0.0)
 
-    return let(word_count(text).cast("double"), score)
+    return let(words(text), score)
 
 
 def max_repeat(tokens: Column) -> Column:

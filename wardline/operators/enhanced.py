@@ -47,7 +47,7 @@ def features16(
     """Add the sixteen features to analysed prompts (see `tokens.analyze_tokens`)."""
     fixed = {**DEFAULT_FEATURES, **(defaults or {})}
     text, steps = F.coalesce(F.col(text_col), F.lit("")), sp.embedding_steps(F.col("cosines"))
-    base = fenced(df, {"_sentences": sp.sentence_spans(text, embedder)})
+    base = fenced(df, {"_sentences": sp.sentence_units(text, embedder)})
     sizes = F.transform("_sentences", lambda s: F.size(s))
     base = base.withColumn("_stats", geo.text_statistics_udf(geo.space_of(embedder), radius)(F.col("buckets"), F.flatten("_sentences"), sizes))
     found = base.withColumns(
@@ -57,7 +57,7 @@ def features16(
             "embedding_smoothness": F.when(F.size("buckets") < 2, 1.0).otherwise(1.0 / (1.0 + sp.mean_of(steps))),
             "perturbation_signature": F.col("_stats.signature"),
             "semantic_consistency": F.col("_stats.consistency"),
-            "linguistic_naturalness": tx.naturalness(text),
+            "linguistic_naturalness": tx.naturalness(text, F.size("_sentences")),
             "token_frequency_anomaly": tx.token_frequency_anomaly(F.col("tokens")),
             "embedding_outlier_score": F.col("_stats.outlier"),
             "position_entropy": sp.position_entropy(F.col("anomaly")),

@@ -43,7 +43,7 @@ class TokenParams:
 def with_tokens(df: DataFrame, text_col: str = "text", max_tokens: int | None = None, embedder: vx.Embedder = vx.HASHED) -> DataFrame:
     """Add `tokens` and `buckets`, what the embedder gives per token (bucket numbers, or vectors if it is dense)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return fenced(df.withColumn("tokens", tx.tokenize(text, max_tokens)), {"buckets": embedder.embed(F.col("tokens"))})
+    return fenced(df.withColumn("tokens", tx.tokenize(text, max_tokens)), {"buckets": geo.embedded(embedder, F.col("tokens"))})
 
 
 def token_context(df: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
@@ -337,7 +337,7 @@ def top_similar_tokens(
 def sentence_statistics(df: DataFrame, id_col: str, text_col: str = "text", embedder: vx.Embedder = vx.HASHED) -> DataFrame:
     """(id, consistency, sentence): mean pairwise cosine of a text's sentences and 10 x variance of their embeddings."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = fenced(df.select(id_col, text.alias("_t")), {"_s": sp.sentence_spans(F.col("_t"), embedder)})
+    spans = fenced(df.select(id_col, text.alias("_t")), {"_s": sp.sentence_units(F.col("_t"), embedder)})
     sizes = F.transform("_s", lambda s: F.size(s))
     both = geo.sentence_statistics_udf(geo.space_of(embedder))(F.flatten("_s"), sizes)
     return spans.select(id_col, both.alias("_n")).select(id_col, "_n.consistency", "_n.sentence")
