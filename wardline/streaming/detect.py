@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,53 +16,83 @@ from wardline.sources.sinks import enrich
 
 def stream_brute_force(
     failures: DataFrame, key: str, ts: str = "ts", id_col: str = "event_id", window_seconds: int = WINDOW_SECONDS,
-    threshold: int = MIN_FAILURES, delay: str = "10 minutes",
+    threshold: int = MIN_FAILURES, delay: str = "10 minutes", parts: int = 256,
 ) -> DataFrame:
     """Brute force on a stream of failed logins, the same events as the batch query.
 
     Rows wait until the watermark has passed them and are then swept in event time, so a row that arrives late but within
-    `delay` counts where it belongs. State per key: the waiting rows, and (time, count) pairs of the last window.
+    `delay` counts where it belongs; rows without a time never count. Keys are dealt into `parts` by their hash, and a part is
+    swept at once, because a call of the state function costs more than many keys. State per part: the waiting rows, and
+    (key, time, count) of the last window. `parts` is fixed for the life of a stream.
     """
     window = window_seconds * 1_000_000
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, counts, waiting, ids = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        if not state.hasTimedOut:
-            for rows in batches:
-                waiting += rows["us"].tolist()
-                ids += rows["event_id"].tolist()
-        mark = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(waiting)), key=lambda i: (waiting[i], ids[i]))
-        due = [i for i in order if waiting[i] <= mark]
-        out, inside = [], sum(counts)
-        for us, same in groupby(due, key=lambda i: waiting[i]):
-            found = [ids[i] for i in same]
-            while times and times[0] < us - window:
-                inside -= counts.pop(0)
-                times.pop(0)
-            times.append(us)
-            counts.append(len(found))
-            inside += len(found)
-            if inside >= threshold:
-                out += [(e, group[0], us, inside) for e in found]
-        later = order[len(due) :]
-        if later or times and times[-1] + window > mark:
-            state.update((times, counts, [waiting[i] for i in later], [ids[i] for i in later]))
-            wake = waiting[later[0]] if later else times[-1] + window
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        else:
+        seen, waiting = (pd.DataFrame(dict(zip(names, v))) for names, v in zip((SEEN, WAITING), halves(state.get if state.exists else [[]] * 6)))
+        arrived = [] if state.hasTimedOut else [rows[WAITING] for rows in batches]
+        waiting = typed(pd.concat([waiting, *arrived], ignore_index=True))
+        now = state.getCurrentWatermarkMs()
+        due = waiting["us"] <= now * 1000
+        later, (out, seen) = waiting[~due], sweep(typed(seen), waiting[due], window, threshold)
+        seen = seen[seen["us"] + window > now * 1000]
+        if len(later) or len(seen):
+            state.update(tuple(plain(rows[c]) for rows, names in ((seen, SEEN), (later, WAITING)) for c in names))
+            wake = later["us"].min() if len(later) else seen["us"].max() + window
+            state.setTimeoutTimestamp(max(int(wake) // 1000 + 1, now + 1))
+        elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "key", "us", "failed_attempts"])
+        yield out
 
     timed = failures.select(
         F.col(id_col).cast("long").alias("event_id"), F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")
-    ).withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
-    return timed.groupBy("key").applyInPandasWithState(
+    ).where("ts IS NOT NULL").withColumn("us", F.unix_micros("ts")).withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts))).withWatermark("ts", delay)
+    return timed.groupBy("_part").applyInPandasWithState(
         update, "event_id bigint, key string, us bigint, failed_attempts bigint",
-        "times array<bigint>, counts array<bigint>, waiting array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
+        "seen_keys array<string>, times array<bigint>, counts array<bigint>, keys array<string>, waiting array<bigint>, ids array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
+SEEN, WAITING = ["key", "us", "n"], ["key", "us", "event_id"]
+
+
+def halves(state) -> tuple:
+    return state[:3], state[3:]
+
+
+def plain(column: pd.Series) -> list:
+    """Values as the state takes them."""
+    gone = column.isna()
+    return [None if g else x for x, g in zip(column.tolist(), gone)] if gone.any() else column.tolist()
+
+
+def typed(rows: pd.DataFrame) -> pd.DataFrame:
+    kinds = {"key": object, "us": "int64", "n": "int64", "event_id": "Int64"}
+    return rows.astype({c: kinds[c] for c in rows.columns})
+
+
+def sweep(seen: pd.DataFrame, due: pd.DataFrame, window: int, threshold: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The due rows whose key has at least `threshold` rows in the window that ends with them, `seen` (key, time, count) among
+    them; and (key, time, count) of both that lie in the window of their key's last row."""
+    if not len(due):
+        return pd.DataFrame({"event_id": due["event_id"], "key": due["key"], "us": due["us"], "failed_attempts": due["us"]}), seen
+    code, keys = pd.factorize(np.concatenate([seen["key"].to_numpy(object), due["key"].to_numpy(object)]), use_na_sentinel=False)
+    us = np.concatenate([seen["us"], due["us"]])
+    # Ranks of the times and of the windows' beginnings: (key, rank) fits one number.
+    ranks, at = np.unique(np.concatenate([us, us - window]), return_inverse=True)
+    place, begin = code * len(ranks) + at[: len(us)], code * len(ranks) + at[len(us) :]
+    moments, first, own = np.unique(place, return_index=True, return_inverse=True)
+    counts = np.bincount(own, np.concatenate([seen["n"], np.ones(len(due))])).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    inside = sums[1:] - sums[np.searchsorted(moments, begin[first])]
+    got = inside[own[len(seen) :]]
+    out = due.assign(failed_attempts=got)[["event_id", "key", "us", "failed_attempts"]][got >= threshold]
+    who, when = code[first], us[first]
+    last = when[np.searchsorted(who, who, side="right") - 1]
+    kept = when >= last - window
+    return out, pd.DataFrame({"key": np.array(keys, object)[who][kept], "us": when[kept], "n": counts[kept]})
+
+
 def stream_event_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Events per type and hour; a window is final once the watermark passes its end."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
