@@ -30,7 +30,7 @@ def index_messages(messages: DataFrame, path: str, message: str, ts: str, id_col
     own with equal ids, whose scores add up to one hit.
     """
     timed = messages.where(F.col(ts).isNotNull()).select(
-        F.to_date(ts).alias("day"), F.col(ts).cast("timestamp").alias("ts"), F.col(id_col).alias("id"), F.array_sort(F.coalesce(message_words(F.col(message)), F.array())).alias("_words")
+        F.to_date(ts).alias("day"), F.col(ts).cast("timestamp").alias("ts"), F.col(id_col).alias("id"), F.sort_array(F.coalesce(message_words(F.col(message)), F.array())).alias("_words")
     )
     # Equal words stand together: a message's counts are the distances between the places where a word begins.
     begins = F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: ~F.get("_words", i).eqNullSafe(F.get("_words", i - 1)))
