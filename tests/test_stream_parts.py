@@ -38,9 +38,12 @@ def test_sweep_in_steps_is_the_sweep_of_all():
 
 def test_index_sorts_words_without_a_lambda(spark, tmp_path, monkeypatch):
     plans = []
-    monkeypatch.setattr(si, "overwrite", lambda df, path, write=si.overwrite: (plans.append(df._jdf.queryExecution().analyzed().toString()), write(df, path)))
+    monkeypatch.setattr(si, "overwrite", lambda df, path, write=si.overwrite: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, path)))
     messages = spark.createDataFrame([(1, "b a B é a"), (2, None), (3, "")], "id long, text string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     si.index_messages(messages, str(tmp_path / "i"), "text", "ts", "id")
     rows = spark.read.parquet(str(tmp_path / "i" / si.POSTINGS)).where("word <> ''").collect()
     assert {(r.id, r.word, r.found, r.length) for r in rows} == {(1, "a", 2, 5), (1, "b", 2, 5), (1, "é", 1, 5)}
-    assert "array_sort(" not in plans[0]
+    assert "split(" in plans[0] and "array_sort(" not in plans[0] and "lambda left" not in plans[0]
+    assert "split(" not in plans[1]  # messages are counted from what is stored, their words are not split again
+    counts = {r.word: (r.n, r.words) for r in spark.read.parquet(str(tmp_path / "i" / si.COUNTS)).collect()}
+    assert counts == {"": (3, 5), "a": (1, 2), "b": (1, 2), "é": (1, 1)}

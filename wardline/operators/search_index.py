@@ -35,17 +35,16 @@ def index_messages(messages: DataFrame, path: str, message: str, ts: str, id_col
     # Equal words stand together: a message's counts are the distances between the places where a word begins.
     begins = F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: ~F.get("_words", i).eqNullSafe(F.get("_words", i - 1)))
     counted = F.transform("_begins", lambda at, k: F.struct(F.get("_words", at).alias("word"), (F.get("_begins", k + 1) - at).cast("long").alias("found")))
-    single = timed.withColumn("_begins", begins).select("day", "ts", "id", F.size("_words").cast("long").alias("length"), F.explode(counted).alias("_c"))
+    # A row per message without a word counts messages and their words, and a day whose messages have no words is replaced too.
+    length = F.size("_words").cast("long")
+    itself = F.array(F.struct(F.lit("").alias("word"), length.alias("found")))
+    single = timed.withColumn("_begins", begins).select("day", "ts", "id", length.alias("length"), F.explode(F.concat(itself, counted)).alias("_c"))
     postings = single.select("day", "_c.word", "ts", "id", "_c.found", "length").where("found IS NOT NULL")
-    # A row per day without a word, so that a day whose messages have no words is replaced too.
-    lengths = timed.groupBy("day").agg(F.lit("").alias("word"), F.count("*").alias("n"), F.sum(F.size("_words").cast("long")).alias("words"))
-    marks = lengths.select("day", "word", *[F.lit(None).cast(postings.schema[c].dataType).alias(c) for c in ("ts", "id", "found", "length")])
     # Large days are split, small ones share a task.
-    table = postings.unionByName(marks).hint("rebalance", "day").sortWithinPartitions("day", "word")
-    overwrite(table, f"{path}/{POSTINGS}")
-    stored = messages.sparkSession.read.parquet(f"{path}/{POSTINGS}").where("word <> ''").join(lengths.select("day"), "day", "left_semi")
+    overwrite(postings.hint("rebalance", "day").sortWithinPartitions("day", "word"), f"{path}/{POSTINGS}")
+    stored = messages.sparkSession.read.parquet(f"{path}/{POSTINGS}").join(timed.select("day").distinct(), "day", "left_semi")
     found = stored.groupBy("day", "word").agg(F.count("*").alias("n"), F.sum("found").alias("words"))
-    overwrite(lengths.unionByName(found).repartition("day").sortWithinPartitions("day", "word"), f"{path}/{COUNTS}")
+    overwrite(found.repartition("day").sortWithinPartitions("day", "word"), f"{path}/{COUNTS}")
 
 
 def overwrite(df: DataFrame, path: str) -> None:
