@@ -279,6 +279,42 @@ def test_passages_of_over_fifty_words(spark, tmp_path):
         assert got[k] == rest
 
 
+def test_passages_reported_by_the_query(spark, tmp_path):
+    texts, clean, _ = passages(random.Random(6))
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts + clean)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op8_repeated_strings(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and min(len(p) for p in texts) < 400
+    assert all(got[k].n_passages > 0 and got[k].passage_bytes > 0 for k in range(len(texts)))
+    assert all(got[len(texts) + k].n_passages == got[len(texts) + k].passage_bytes == 0 for k in range(len(clean)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_beside_repeated_strings(spark, tmp_path, seed, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "BUCKET", 30_000)
+    rng = random.Random(seed)
+    texts = [*planted(rng), *(t.encode() for part in passages(rng)[:2] for t in part)]
+    rows = [(k % 50, t.decode()) for k, t in enumerate(texts)] + [(None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    found = bwt_dedup.without_repeats(docs, words=bwt_dedup.PASSAGE_WORDS, short=bwt_dedup.PASSAGE, keep=["text"]).collect()
+    runs = lambda spans: [tuple(s) for s in spans]
+    got = sorted((r.doc_id is None, r.doc_id or 0, bytes(r.kept), runs(r.spans), runs(r.passages)) for r in found)
+    want = []
+    for (doc_id, t), long_, short in zip(rows, plain_spans([(r[1] or "").encode() for r in rows]), plain_spans([(r[1] or "").encode() for r in rows], bwt_dedup.PASSAGE)):
+        t = (t or "").encode()
+        kept = b"".join(t[a:b] for a, b in zip([0, *(e for _, e in long_)], [*(b for b, _ in long_), len(t)]))
+        want.append((doc_id is None, doc_id or 0, kept, [tuple(x) for x in long_], [tuple(x) for x in plain_passages(t, short)]))
+    assert got == sorted(want) and any(w[4] and not w[3] for w in want)
+
+
+def test_ranks():
+    x = np.random.default_rng(3).integers(0, 1 << 63, 500, np.uint64)
+    near = np.r_[x, x, x ^ np.uint64(1), x[:7] ^ np.uint64(2)]
+    for y in (x, near, x[:1], x[:0]):
+        assert bwt_dedup.ranks(y).tolist() == np.unique(y, return_inverse=True)[1].tolist()
+
+
 def test_whole_words():
     t = b"one two three four five"
     assert bwt_dedup.whole_words(t, [[2, 18]], 1) == [[4, 18]] and bwt_dedup.whole_words(t, [[2, 16]], 1) == [[4, 13]]
