@@ -8,6 +8,7 @@ from wardline.functions import geometry as geo
 from wardline.operators import nearest as nr
 from wardline.operators import similarity as sm
 from wardline.operators import tokens as tk
+from wardline.plans import similarity_queries as sq
 from wardline.session import prepare
 
 
@@ -115,6 +116,55 @@ def test_packs_meet_every_block_once(spark, monkeypatch):
     assert sorted(got) == sorted(want) and len(got) > 200
 
 
+def plain_hits(asked, vectors, k, threshold):
+    norm = np.sqrt((asked * asked).sum(axis=1)[:, None] * (vectors * vectors).sum(axis=1)[None])
+    c = np.round(np.divide(asked @ vectors.T, norm, out=np.zeros(norm.shape), where=norm > 0), 9)
+    best = np.argsort(-c, axis=1, kind="stable")[:, :k]
+    return [(q, h, c[q, h]) for q, row in enumerate(best.tolist()) for h in row if c[q, h] >= threshold]
+
+
+@pytest.mark.parametrize("n, singly", [(0, 512), (3, 512), (5, 512), (6, 512), (700, 512), (700, 0)])
+def test_best_pairs_are_those_of_all_cosines(monkeypatch, n, singly):
+    """Fewer vectors than k, equal vectors, zeros, cosines that differ by less than single precision tells."""
+    monkeypatch.setattr(sm, "SINGLY", singly)
+    rng = np.random.default_rng(n)
+    vectors = rng.normal(size=(n, 8)).round(0 if n > 6 else 1)
+    vectors[n // 2 :] += 1e-8 * rng.normal(size=vectors[n // 2 :].shape)
+    vectors[: n // 50] = 0.0
+    asked = np.concatenate([vectors, rng.normal(size=(130, 8))])
+    for threshold in (0.2, -1.0):
+        got = [(q, h, s) for found in sm.best_pairs(asked, vectors, 5, threshold) for q, h, s in zip(*(x.tolist() for x in found))]
+        want = plain_hits(asked, vectors, 5, threshold)
+        assert len(got) == len(want) and np.allclose([s for *_, s in got], [s for *_, s in want], atol=2e-9)
+        assert sum(a[:2] == b[:2] for a, b in zip(got, want)) >= 0.99 * len(want)  # the ninth digit may round either way
+
+
+def test_every_vector_is_a_query(spark, tmp_path):
+    """Also one whose id is not divisible by 20, by the query and by its statement; vectors that are missing are no hits."""
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    rows = [(k, v) for k, v in enumerate(rng.normal(size=(90, 6)).round(3).tolist())] + [(90, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in sq.knn_search(spark, str(tmp_path)).select("query_id", "corpus_id", "similarity", "rank").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT query_id, corpus_id, similarity, rank FROM ({sq.ORACLE['knn_search']})").fetchall())
+    assert got == want and {r[0] for r in got} == set(range(90))
+
+
+def test_groups_of_packs_meet_every_block(spark, monkeypatch):
+    """One block for many tasks: packs are dealt into groups, and each still meets it once."""
+    monkeypatch.setattr(nr.packs_of, "__defaults__", (10,))
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(size=(300, 4)).round(0).tolist())], "id long, v array<float>")
+    dealt, plain = [], nr.meet
+    monkeypatch.setattr(nr, "meet", lambda *a: dealt.append(a[2:]) or plain(*a))
+    got, want = ([tuple(r) for r in sm.knn_search(df, df, "id", "v", 4, 0.2, limit).select("query_id", "corpus_id", "similarity", "rank").collect()] for limit in (500, nr.HANDED))
+    assert sorted(got) == sorted(want) and len(got) == 300 * 4 - 4 * sum(r == [0.0] * 4 for r in [list(x.v) for x in df.collect()])
+    assert dealt[0][0] == 1 and dealt[0][-1] >= 8
+
+
 def test_few_references_are_compared_without_bounds(monkeypatch):
     """The same hits and ties as by blocks; no bounds are made."""
     rng = np.random.default_rng(9)

@@ -352,8 +352,9 @@ def packs_of(queries: DataFrame, order: list[str], size: int = QUERIES) -> DataF
     return checkpointed(dealt.mapInPandas(run, f"ids array<{queries.schema['query_id'].dataType.simpleString()}>, q binary"))
 
 
-def meet(packs: DataFrame, blocks: DataFrame, many: int, use: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """What `use` makes of (ids, queries, columns of the block) for every pack and every block."""
+def meet(packs: DataFrame, blocks: DataFrame, many: int, use: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], Iterator[pd.DataFrame]], schema: str, groups: int = 1) -> DataFrame:
+    """What `use` makes of (ids, queries, columns of the block) for every pack and every block. Packs are dealt into `groups`,
+    and a group and a block are one key of the join."""
     fields = blocks.schema["m"].dataType.elementType.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,4 +368,8 @@ def meet(packs: DataFrame, blocks: DataFrame, many: int, use: Callable[[np.ndarr
                     yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     everywhere = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
-    return everywhere.join(blocks, "block").select("ids", "q", "m").mapInArrow(run, schema)
+    if groups == 1:
+        return everywhere.join(blocks, "block").select("ids", "q", "m").mapInArrow(run, schema)
+    dealt = everywhere.withColumn("dealt", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    copies = blocks.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return dealt.join(copies, ["block", "dealt"]).select("ids", "q", "m").mapInArrow(run, schema)

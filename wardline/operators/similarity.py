@@ -17,6 +17,8 @@ from wardline.session import checkpointed
 
 #: Bytes of vectors that a search of single vectors hands to every task; bounds leave little out where vectors have no clusters.
 FEW = 1 << 24
+#: Queries compared with a block at once, groups that bound their k-th best, pairs of a query up to which each is scored by itself.
+TOGETHER, GROUPS, SINGLY = 64, 256, 512
 HITS = "query_id bigint, corpus_id bigint, similarity double"
 
 
@@ -43,23 +45,53 @@ def best_hits(meetings: DataFrame, k: int, threshold: float) -> DataFrame:
     return keep_best(meetings.mapInPandas(run, HITS), k)
 
 
+def best_pairs(asked: np.ndarray, vectors: np.ndarray, k: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, cosine) of the k best of every query of at least the threshold, best first; of equal cosines the first vector.
+
+    Unit vectors in single precision tell which pairs can be among them: their cosines are off by `slack` at most, and the k-th
+    best of the largest cosines of GROUPS groups is a bound for the k-th best of all. Those pairs are scored in double precision.
+    """
+    near, own = nr.unit(vectors).astype(np.float32), (vectors * vectors).sum(axis=1)
+    n, groups = len(vectors), min(max(GROUPS, k), len(vectors))
+    slack = (vectors.shape[1] + 8) * np.finfo(np.float32).eps + 1e-9
+    for at in range(0, len(asked) if n else 0, TOGETHER):
+        part = asked[at : at + TOGETHER]
+        rough = nr.unit(part).astype(np.float32) @ near.T
+        cut = np.full(len(part), threshold - slack)
+        if n > k:
+            width = n // groups
+            most = np.fmax.reduce(rough[:, : groups * width].reshape(len(part), groups, width), axis=2)
+            most[np.isnan(most)] = -np.inf
+            cut = np.maximum(cut, np.partition(most, groups - k, axis=1)[:, groups - k] - 2 * slack)
+        row, hit = np.nonzero(rough >= cut[:, None])
+        many = len(row) > SINGLY * len(part)
+        shared = (part @ vectors.T)[row, hit] if many else np.einsum("ij,ij->i", part[row], vectors[hit])
+        norm = np.sqrt((part * part).sum(axis=1)[row] * own[hit])
+        sim = np.round(np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0), 9)
+        order = np.lexsort((hit, -sim, row))
+        order = order[sim[order] >= threshold]
+        order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+        yield at + row[order], hit[order], sim[order]
+
+
 def knn_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: int = 5, threshold: float = 0.7, handed: int = FEW) -> DataFrame:
     """Exact top-k by cosine among vectors of at least the threshold, ties by corpus id (numbers); see `nearest`."""
+    queries, corpus = (df.where(F.col(vec).isNotNull()) for df in (queries, corpus))
     packed = corpus.select(F.col(id_col).alias("id"), nr.packed(F.col(vec)).alias("v"))
     asked = queries.select(F.col(id_col).alias("row"), nr.packed(F.col(vec)).alias("payload"))
     one = packed.first()
     few = nr.handed(packed, len(one.v) // 8 or 1, handed) if one else []
     if few is None:
         return by_blocks(queries, corpus, id_col, vec, k, threshold)
-    blocks = nr.Blocks(np.stack([nr.one_vector(bytes(r.v))[0] for r in few]), [r.id for r in few]) if few else None
+    few = sorted(few, key=lambda r: r.id)
+    vectors, ids = np.array([nr.one_vector(bytes(r.v))[0] for r in few]), np.array([r.id for r in few])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if blocks is not None and len(batch):
-                ids, sims = blocks.best(np.stack([nr.one_vector(bytes(v))[0] for v in batch["payload"]]), k, 9)
-                n, most = sims.shape
-                rows = pd.DataFrame({"query_id": np.repeat(batch["row"].to_numpy(), most), "corpus_id": ids.ravel(), "similarity": sims.ravel(), "rank": np.tile(np.arange(1, most + 1), n)})
-                yield rows[rows["similarity"] >= threshold]
+            if len(ids) and len(batch):
+                for row, hit, sim in best_pairs(np.stack([nr.one_vector(bytes(v))[0] for v in batch["payload"]]), vectors, k, threshold):
+                    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                    yield pd.DataFrame({"query_id": batch["row"].to_numpy()[row], "corpus_id": ids[hit], "similarity": sim, "rank": rank})
 
     return asked.mapInPandas(run, HITS + ", rank bigint")
 
@@ -72,22 +104,13 @@ def by_blocks(queries: DataFrame, corpus: DataFrame, id_col: str, vec: str, k: i
 
     def use(ids: np.ndarray, q: np.ndarray, block: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         vectors = np.stack([np.asarray(v, np.float64) for v in block["v"]])
-        own = (vectors * vectors).sum(axis=1)
-        for at in range(0, len(q), nr.STEP // 32):
-            asked = q[at : at + nr.STEP // 32]
-            norm = np.sqrt((asked * asked).sum(axis=1)[:, None] * own[None])
-            shared = asked @ vectors.T
-            sim = np.round(np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0), 9)
-            # Everything as good as the k-th best, so that ids decide among equals.
-            cut = -np.partition(-sim, min(k, len(vectors)) - 1, axis=1)[:, min(k, len(vectors)) - 1]
-            row, hit = np.nonzero((sim >= cut[:, None]) & (sim >= threshold))
-            order = np.lexsort((block["id"][hit], -sim[row, hit], row))
-            row, hit = row[order], hit[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, hit = row[kept], hit[kept]
-            yield pd.DataFrame({"query_id": ids[at + row], "corpus_id": block["id"][hit], "similarity": sim[row, hit]})
-
-    met = nr.meet(nr.packs_of(asked.select("query_id", "v"), ["query_id"]), *nr.blocks_of(rows, rows.count(), ["id", "v"]), use, HITS)
+        for row, hit, sim in best_pairs(q, vectors, k, threshold):
+            yield pd.DataFrame({"query_id": ids[row], "corpus_id": block["id"][hit], "similarity": sim})
+
+    # Few blocks meet groups of packs, so that there is work for every task.
+    blocks, many = nr.blocks_of(rows, rows.count(), ["id", "v"])
+    groups = -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // many)
+    met = nr.meet(nr.packs_of(asked.select("query_id", "v"), ["query_id"]), blocks, many, use, HITS, groups)
     named = asked.select(F.col("id").alias("_name"), "query_id")
     return keep_best(met, k).join(named, "query_id").select(F.col("_name").alias("query_id"), "corpus_id", "similarity", "rank")
 
