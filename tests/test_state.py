@@ -104,3 +104,39 @@ def test_stream_thresholds_equal_the_batch_query(spark, tmp_path):
     newest = {r.key: (r.n, round(r.t, 9)) for r in got.where("key IS DISTINCT FROM 'end'").groupBy("key").agg(F.max("n").alias("n"), F.max_by("threshold", "n").alias("t")).collect()}
     want = {r.key: (r.n, round(r.threshold, 9)) for r in fu.adapt_thresholds(df, ["key"], ["ts", "event_id"], "score", "label", config).collect()}
     assert newest == want and set(want) == {"a", None}
+
+
+def test_observations_are_packed_by_key():
+    """One row per key of a step, whatever their order; what lacks a part only tells its time."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [("a", 5, 1, 0.5, True), (None, 7, 2, 0.25, False), ("a", 9, 3, None, True), ("a", 3, 4, 0.75, False), ("b", None, 5, 0.5, True), ("b", None, 6, 0.5, True), ("c", 2, None, 0.1, True), ("a", 1, 8, float("nan"), True)]
+    kinds = pa.schema([("key", pa.string()), ("us", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("label", pa.bool_())])
+    whole = pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
+    (got,) = st.packs(iter([whole.slice(0, 3), whole.slice(3), whole.slice(0, 0)]))
+    found = {r["key"]: (r["us"], np.frombuffer(r["packed"], st.WAITING).tolist()) for r in got.to_pylist()}
+    assert found == {"a": (9, [(5, 1, 0.5, True), (3, 4, 0.75, False)]), None: (7, [(7, 2, 0.25, False)]), "b": (None, []), "c": (2, [])}
+    many = pa.RecordBatch.from_pylist([dict(zip(kinds.names, ("ab"[i % 2], i, i, 0.5, True))) for i in range(3000)], kinds)
+    assert [b.num_rows for b in st.packs(iter([many.slice(at, 1000) for at in range(0, 3000, 1000)]))] == [2]
+    assert list(st.packs(iter([]))) == []
+
+
+def test_a_key_meets_its_state_once_a_trigger(spark, tmp_path, monkeypatch):
+    """4000 rows of a key are handed over with its state once, not once for 1024 of them; a row later than `delay` is left out."""
+    df = observations(spark, 4000, 5).withColumn("key", F.lit("a"))
+    start = dt.datetime(2024, 1, 1)
+    end = df.limit(1).select(F.lit(9999).cast("long").alias("event_id"), F.lit("end").alias("key"), (F.col("ts") + F.expr("INTERVAL 9 DAY")).alias("ts"), "score", "label")
+    late = spark.createDataFrame([(9001, "a", start, 0.5, True), (9002, "end", start + dt.timedelta(days=20), 0.5, True)], df.schema)
+    plans = []
+
+    def make(s):
+        out = st.stream_thresholds(s, "key", "score", "label", delay="10 minutes")
+        plans.append(out._jdf.queryExecution().logical().toString())
+        return out
+
+    got = run_stream(spark, [df, end, end.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))], late, make, tmp_path)
+    (want,) = fu.adapt_thresholds(df, ["key"], ["ts", "event_id"], "score", "label").collect()
+    newest = got.where("key = 'a'").groupBy("key").agg(F.max("n").alias("n"), F.max_by("threshold", "n").alias("t")).first()
+    assert (newest.n, round(newest.t, 9)) == (4000, round(want.threshold, 9))
+    assert plans[0].index("FlatMapGroupsInPandasWithState") < plans[0].index("MapInArrow")

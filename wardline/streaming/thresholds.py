@@ -8,15 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.operators.fusion import ThresholdConfig, percentile
 
-STATE = "n bigint, threshold double, scores array<double>, labels array<boolean>, waiting binary"
-#: A waiting observation as it lies in the state, and those taken from it at once.
+STATE = "n bigint, threshold double, scores array<double>, labels array<boolean>, waiting binary, mark bigint"
+#: An observation as it lies in a pack and in the state, and those packed or taken from it at once.
 WAITING, STEP = np.dtype([("us", "<i8"), ("id", "<i8"), ("score", "<f8"), ("label", "?")]), 65_536
+#: The time of rows without one.
+NEVER = np.iinfo(np.int64).min
 
 
 class Adapter:
@@ -43,6 +47,39 @@ class Adapter:
             self.threshold = min(c.high, max(c.low, (self.threshold + c.rate * (best - self.threshold)) * c.sensitivity))
 
 
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, us, packed) for each key of every STEP rows or so: the latest of their times, and the observations as WAITING rows."""
+
+    def flushed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        named = pc.dictionary_encode(rows["key"], null_encoding="encode").combine_chunks()
+        code, us = named.indices.to_numpy(), pc.fill_null(rows["us"], NEVER).to_numpy()
+        whole = np.ones(len(code), bool)
+        for name in WAITING.names:
+            whole &= rows[name].is_valid().to_numpy()
+        part = np.empty(len(code), WAITING)
+        for name in WAITING.names:
+            part[name] = pc.fill_null(rows[name], 0 if name != "label" else False).to_numpy()
+        whole &= ~np.isnan(part["score"])
+        latest = np.full(len(named.dictionary), NEVER)
+        np.maximum.at(latest, code, us)
+        ends = np.r_[0, np.cumsum(np.bincount(code[whole], minlength=len(latest)))] * WAITING.itemsize
+        packed = part[whole][np.argsort(code[whole], kind="stable")].tobytes()
+        return pa.RecordBatch.from_arrays(
+            [named.dictionary, pa.array(latest, mask=latest == NEVER), pa.array([packed[a:z] for a, z in zip(ends, ends[1:])], pa.binary())], ["key", "us", "packed"]
+        )
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= STEP:
+            yield flushed()
+            held, n = [], 0
+    if n:
+        yield flushed()
+
+
 def stream_thresholds(
     observations: DataFrame, key: str, score: str, label: str, ts: str = "ts", id_col: str = "event_id",
     config: ThresholdConfig = ThresholdConfig(), minimum: int = 50, delay: str = "10 minutes",
@@ -50,24 +87,22 @@ def stream_thresholds(
     """Per key and trigger that moved it on: observations so far `n` and the `threshold` after them; the largest n is the newest.
 
     Observations wait until the watermark has passed them and are then taken in order of (event time, id), so files in any
-    order give the thresholds of the batch query, as long as no row is later than `delay`. State per key: the window of the
-    last `config.window` observations, and those that wait, as packed numbers (25 bytes each). Rows without a time, id,
-    score or label only move the watermark; null keys are one key. Triggers that bring a key nothing give it no row.
+    order give the thresholds of the batch query, as long as no row is later than `delay`; a row that comes after later ones of
+    its key were taken is left out. Rows are packed by key before they are dealt (25 bytes an observation), because every 1024
+    rows that a key is handed come with its whole state. State per key: the window of the last `config.window` observations,
+    those that wait, packed as well, and the watermark up to which they were taken. Rows without a time, id, score or label
+    only move the watermark; null keys are one key. Triggers that bring a key nothing give it no row.
     """
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, threshold, scores, labels, packed = state.get if state.exists else (0, None, [], [], b"")
+        n, threshold, scores, labels, packed, taken = state.get if state.exists else (0, None, [], [], b"", None)
         adapter = Adapter(config, minimum, n, threshold, scores, labels)
-        parts = [np.frombuffer(packed, WAITING)]
-        if not state.hasTimedOut:
-            for rows in batches:
-                rows = rows.dropna(subset=["us", "event_id", "score", "label"]).astype({"us": "int64", "event_id": "int64"})
-                part = np.empty(len(rows), WAITING)
-                for name, column in zip(WAITING.names, ("us", "event_id", "score", "label")):
-                    part[name] = rows[column].to_numpy(WAITING[name])
-                parts.append(part)
-        waiting = np.concatenate(parts)
-        del parts
+        arrived = [] if state.hasTimedOut else [np.frombuffer(p, WAITING) for rows in batches for p in rows["packed"]]
+        come = np.concatenate([np.empty(0, WAITING), *arrived])
+        if taken is not None:
+            come = come[come["us"] > taken * 1000]
+        waiting = np.concatenate([np.frombuffer(packed, WAITING), come])
+        del arrived, come
         waiting = waiting[np.lexsort([waiting[c] for c in reversed(WAITING.names)])]
         mark = state.getCurrentWatermarkMs()
         due = int(np.searchsorted(waiting["us"], mark * 1000, side="right"))
@@ -77,16 +112,17 @@ def stream_thresholds(
                 adapter.observe(s, l)
         later = waiting[due:]
         kept = list(adapter.recent)
-        state.update((adapter.n, adapter.threshold, [s for s, _ in kept], [bool(l) for _, l in kept], later.tobytes()))
+        state.update((adapter.n, adapter.threshold, [s for s, _ in kept], [bool(l) for _, l in kept], later.tobytes(), mark))
         if len(later):
             state.setTimeoutTimestamp(max(int(later["us"][0]) // 1000 + 1, mark + 1))
         if due:
             yield pd.DataFrame([(group[0], adapter.n, adapter.threshold)], columns=["key", "n", "threshold"])
 
-    timed = observations.select(
-        F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("event_id"), F.col(ts).cast("timestamp").alias("ts"),
+    rows = observations.select(
+        F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(id_col).cast("long").alias("id"),
         F.col(score).cast("double").alias("score"), F.col(label).cast("boolean").alias("label"),
     )
-    return timed.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+    packed = rows.mapInArrow(packs, "key string, us long, packed binary")
+    return packed.select("key", F.timestamp_micros("us").alias("ts"), "packed").withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
         update, "key string, n bigint, threshold double", STATE, "append", GroupStateTimeout.EventTimeTimeout,
     )
