@@ -8,8 +8,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.test_against_brute_force import MEDIUM, WORD, components
-from wardline.llm import gray_wide
+from wardline.llm import gray_dedup, gray_wide
 from wardline.llm.common import table
 
 GOLDEN, M1, M2, ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
@@ -134,3 +135,37 @@ def test_one_stays_of_every_group(spark, tmp_path):
     assert gray_wide.one_per_group(empty).count() == 0 == gray_wide.similar_groups(empty).count()
     assert gray_wide.one_per_group(docs.limit(1)).count() == 1
     assert gray_wide.similar_groups(docs.select("doc_id", F.lit(None).cast("string").alias("text"))).select("component_id").distinct().count() == 1
+
+
+def test_pairs_at_the_asked_similarity_are_linked(spark):
+    """Bits differ as they do at 0.8, in many cells: not one pair in fifty is left out."""
+    rng = np.random.default_rng(21)
+    one = rng.integers(0, 2, (600, 512)).astype(np.uint8)
+    other = one ^ (rng.random((600, 512)) < gray_wide.flip_rate(0.8))
+    rows = [(k, bytearray(np.packbits(b).tobytes())) for k, b in enumerate(np.concatenate([one, other]))]
+    label = {r.node: r.root for r in gray_wide.components(spark.createDataFrame(rows, "node long, fp binary"), cell=32).collect()}
+    assert sum(label.get(600 + k) == k for k in range(600)) >= 588
+    assert all(k % 600 == label[k] for k in label)
+
+
+def test_the_stage_links_what_the_operator_links(spark, tmp_path):
+    """Texts of one phrase again and again: alike to op2's operator, which counts repeats, and unlike by their sets of shingles;
+    a near copy of either by its set joins them into one group."""
+    rng = random.Random(3)
+    some = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "ab"]
+    a, b = ("alpha beta gamma " * 400 + x for x in some)
+    near = "new " + b
+    rows = [(4, a), (2, b), (3, near), (1, " ".join(f"w{k}" for k in range(80)))]
+    assert jaccard(shingles(a), shingles(b)) < 0.2 and jaccard(shingles(b), shingles(near)) >= 0.8
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert {r.doc_id: r.component_id for r in gray_dedup.near_groups(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 2}
+    assert sorted(r.doc_id for r in gray_wide.one_per_group(docs).collect()) == [1, 2, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 2]
+    apart = docs.where("doc_id <> 2")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, apart, "").collect()) == [1, 3]
+    assert corpus_pipeline.near_copies(spark, docs.where("false"), "").count() == 0
+    twice = docs.union(docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "IF(doc_id = 1, NULL, text) AS text"))
+    twice.write.parquet(str(tmp_path / "t"))
+    kept = [(r.doc_id, r.text is None) for r in corpus_pipeline.near_copies(spark, spark.read.parquet(str(tmp_path / "t")), "").collect()]
+    assert sorted(kept, key=str) == [(1, False), (2, False), (None, True)]
